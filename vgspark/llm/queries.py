@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .secrets import op9_secrets
 from .simhash import op4_simhash
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op4_simhash": op4_simhash,
+    "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
 }
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .mixing import op1_mixing
 from .secrets import op9_secrets
 from .simhash import op4_simhash
 from .toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op4_simhash": op4_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,

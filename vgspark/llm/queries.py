@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .hamming import OP6_SQL, op6_hamming_topk
 from .mixing import op1_mixing
 from .secrets import op9_secrets
 from .simhash import op4_simhash
@@ -10,8 +11,11 @@ from .toxicity import op8_toxicity
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op4_simhash": op4_simhash,
+    "op6_hamming_topk": op6_hamming_topk,
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_hamming_topk": OP6_SQL,
+}

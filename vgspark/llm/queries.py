@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op5_decontamination
 from .hamming import OP6_SQL, op6_hamming_topk
 from .mixing import op1_mixing
 from .secrets import op9_secrets
@@ -11,6 +12,7 @@ from .toxicity import op8_toxicity
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op4_simhash": op4_simhash,
+    "op5_decontamination": op5_decontamination,
     "op6_hamming_topk": op6_hamming_topk,
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op5_decontamination
 from .hamming import OP6_SQL, op6_hamming_topk
+from .lines import OP3_SQL, op3_line_dedup
 from .mixing import op1_mixing
 from .secrets import op9_secrets
 from .simhash import op4_simhash
@@ -11,6 +12,7 @@ from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_hamming_topk": op6_hamming_topk,
@@ -19,5 +21,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
     "op6_hamming_topk": OP6_SQL,
 }

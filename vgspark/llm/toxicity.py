@@ -25,9 +25,11 @@ class Settings:
     fit_rows: int = 4000
     fit_windows: int = 200
     shared_bytes: int = 16384
-    class_bytes: int = 1024
-    contrast: float = 4.0
+    class_bytes: int = 3072
+    contrast: float = 2.5
     least_docs: int = 6
+    deviations: float = 8.0
+    plain_windows: int = 20_000
     threshold: float = 0.3
 
 
@@ -65,19 +67,22 @@ def _packed(b: bytes) -> np.ndarray:
     return out
 
 
-def _frequent(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    each = [np.unique(np.concatenate([_packed(w) for w in ws])) for ws in texts if ws]
+def _frequent(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of ``texts`` and in how many of them each is."""
+    each = [np.unique(_packed(b)) for b in texts]
     return np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _fragments(texts: list[list[bytes]], good: np.ndarray) -> list[bytes]:
-    """The runs of ``good`` n-grams in ``texts``, with one more byte at either end."""
+def _fragments(texts: list[bytes], good: np.ndarray) -> list[bytes]:
+    """The runs of ``good`` n-grams (sorted) in ``texts``, with one more byte at either end."""
     out = []
-    for b in (b for ws in texts for b in ws):
-        at = np.flatnonzero(np.isin(_packed(b), good, kind="sort"))
+    for b in texts if len(good) else []:
+        p = _packed(b)
+        at = np.flatnonzero(good[np.minimum(np.searchsorted(good, p), len(good) - 1)] == p)
         if len(at):
-            for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                out.append(b[max(0, int(run[0]) - 1) : int(run[-1]) + GRAM + 1])
+            cut = np.flatnonzero(np.diff(at) > 1)
+            for i, j in zip(at[np.concatenate(([0], cut + 1))].tolist(), at[np.concatenate((cut, [len(at) - 1]))].tolist()):
+                out.append(b[max(0, i - 1) : j + GRAM + 1])
     return out
 
 
@@ -93,19 +98,26 @@ def train(toxic: list[list[bytes]], ordinary: list[list[bytes]], s: Settings) ->
     """Separate dictionaries of the two classes, of one size, in front of one dictionary of ordinary text that both share.
 
     The toxic one learns from the stretches of toxic text whose n-grams are ``contrast``
-    times as frequent, by documents, as in ordinary text. The ordinary one learns
-    from ordinary windows, so that length alone favours neither.
+    times as frequent, by documents, as in ordinary text, and surely so (by
+    ``deviations`` of the difference). The ordinary one learns from ordinary
+    windows, so that length alone favours neither.
     """
-    (grams, n), (other, m) = _frequent(toxic), _frequent(ordinary)
+    joined = [b"\n".join(ws) for ws in toxic]
+    (grams, n), (other, m) = _frequent(joined), _frequent([b"\n".join(ws) for ws in ordinary])
     at = np.searchsorted(other, grams)
     seen = np.zeros(len(grams), np.int64)
     if len(other):
         same = other[np.minimum(at, len(other) - 1)] == grams
         seen[same] = m[at[same]]
-    good = grams[(n >= s.least_docs) & (n / max(1, len(toxic)) > s.contrast * (seen + 1) / max(1, len(ordinary)))]
-    plain = [w for ws in ordinary for w in ws[::6]]
+    p, q = n / max(1, len(toxic)), (seen + 1) / max(1, len(ordinary))
+    both = (n + seen + 1) / (len(toxic) + len(ordinary) + 1)
+    sure = (p - q) / np.sqrt(both * (1 - both) * (1 / max(1, len(toxic)) + 1 / max(1, len(ordinary))) + 1e-12)
+    least = max(3.5, s.deviations * min(1.0, (len(toxic) / 1500) ** 0.5))  # few documents can't deviate far
+    good = grams[(n >= s.least_docs) & (p > s.contrast * q) & (sure > least)]
+    plain = [w for ws in ordinary for w in ws]
     random.Random(1).shuffle(plain)
-    return Model(_dictionary(s.class_bytes, _fragments(toxic, good), k=16, d=8), _dictionary(s.class_bytes, plain, k=16, d=8), _dictionary(s.shared_bytes, plain))
+    plain = plain[: s.plain_windows]
+    return Model(_dictionary(s.class_bytes, _fragments(joined, good), k=16, d=8), _dictionary(s.class_bytes, plain, k=16, d=8), _dictionary(s.shared_bytes, plain, k=64, d=8))
 
 
 def _compressor(data: bytes) -> zs.ZstdCompressor:

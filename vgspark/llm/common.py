@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,8 +82,19 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def bitmap(df: DataFrame, col: Column | str, bits: int = 27) -> np.ndarray:
+    """A filter of fixed size over the longs in ``col``: bit ``x mod 2**bits`` is set for each x. Its words are made on the executors."""
+    i = F.col(col).bitwiseAND((1 << bits) - 1) if isinstance(col, str) else col.bitwiseAND((1 << bits) - 1)
+    words = df.select(i.alias("i")).groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(i & 63 AS INT))")).alias("v")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(found: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of the unsigned ``x`` may be in the filter."""
+    i = x & np.uint64(len(found) * 64 - 1)
+    return (found[i >> np.uint64(6)] >> (i & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def is_remainder(col: Column | str, mod: int, rest: int) -> Column:

@@ -8,6 +8,7 @@ from .lines import OP3_SQL, op3_line_dedup
 from .mixing import op1_mixing
 from .secrets import op9_secrets
 from .simhash import op4_simhash
+from .suffixes import op10_suffix_dedup
 from .toxicity import op8_toxicity
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_hamming_topk": op6_hamming_topk,
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -6,6 +6,7 @@ from .decontaminate import op5_decontamination
 from .hamming import OP6_SQL, op6_hamming_topk
 from .lines import OP3_SQL, op3_line_dedup
 from .mixing import op1_mixing
+from .pitman_yor import op7_pitman_yor
 from .secrets import op9_secrets
 from .simhash import op4_simhash
 from .suffixes import op10_suffix_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_hamming_topk": op6_hamming_topk,
+    "op7_pitman_yor": op7_pitman_yor,
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_suffix_dedup": op10_suffix_dedup,

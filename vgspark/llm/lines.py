@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, stored, table
+from .common import stored, table
 
 SIMILARITY = 0.8
 #: Token counts are kept for so many buckets of token hashes: a table of this size however many tokens there are.
@@ -17,20 +17,20 @@ BUCKETS = 1 << 16
 LEAST = 4
 
 
-def _tokens(line: str | Column) -> Column:
-    """The distinct token hashes of a line, sorted."""
-    found = F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), "")
-    return F.sort_array(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x))))
+def _spaced(text: str | Column) -> Column:
+    """Lower case, with a space for each white space but line ends."""
+    return F.translate(F.lower(text), "\t\x0b\x0c\r", "    ")
 
 
-def _exploded(docs: DataFrame, *keep: str) -> DataFrame:
-    return docs.select(*keep, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def _tokens(line: Column) -> Column:
+    """The distinct token hashes of a line, sorted."""
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda x: F.xxhash64(x))))
 
 
 def _rarity(docs: DataFrame) -> Column:
     """A literal array: for each bucket 4 * log2 of how many tokens of all lines fall in it."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).count().collect()
+    words = docs.select(F.explode(F.split(F.translate(_spaced("text"), "\n", " "), " ")).alias("w")).where("w <> ''")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b")).count().collect()
     rank = [0] * BUCKETS
     for b, n in counts:
         rank[b] = int(4 * math.log2(n))
@@ -41,56 +41,61 @@ def _prefix(n: Column, s: float) -> Column:
     return n - F.ceil(n * s - 1e-9).cast("int") + 1
 
 
+def tokenised(docs: DataFrame, similarity: float) -> DataFrame:
+    """``(doc_id, text_hash, row, line_no, k, n, p)``: of each line its class (of lines with equal tokens), its number of tokens and its rarest tokens.
+
+    ``p`` has as many as a similar line must share one of, in order of rarity, then of
+    hash; equal numbers are equal tokens.
+    """
+    rank = _rarity(docs)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), "text")
+    rows = rows.select("doc_id", "text_hash", "row", F.posexplode(F.transform(F.split(_spaced("text"), "\n"), _tokens)).alias("line_no", "t"))
+    order = F.transform("t", lambda x: F.shiftleft(F.get(rank, x.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 55).bitwiseOR(x.bitwiseAND((1 << 55) - 1)))
+    n = F.size("t")
+    rarest = F.when(n >= LEAST, F.slice(F.sort_array(order), F.lit(1), _prefix(n, similarity)))
+    return rows.select("doc_id", "text_hash", "row", "line_no", F.when(n > 0, _key("t")).alias("k"), n.alias("n"), rarest.alias("p"))
+
+
+def _key(tokens: str | Column) -> Column:
+    """The class of a line: a pair of hashes of its sorted tokens."""
+    return F.struct(F.xxhash64(tokens).alias("h"), F.hash(tokens).alias("g"))
+
+
 def similar_classes(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(k)``: classes of lines with equal tokens whose first line has an earlier line, of another class, that is similar.
+    """``(c)``: classes whose first line has an earlier line, of another class, that is similar. ``c`` grows with the first line.
 
-    Tokens are in order of rarity; classes that share a token of both prefixes, and whose
-    lengths and positions allow the similarity, are candidates, verified on all their
-    tokens. A class needs one earlier match only: it first meets the earliest and the
-    most frequent class of each of its prefix tokens; only those without a match
-    there meet all earlier classes.
+    Classes that share a token of both prefixes, and whose lengths and positions allow the
+    similarity, are candidates, verified on all their tokens. A class needs one earlier
+    match only: it first meets the earliest class of each of its prefix tokens; only
+    those without a match there meet all earlier classes.
     """
     s = similarity
-    rank = _rarity(docs)
-    toks = _exploded(docs).select(_tokens("line").alias("t")).where(F.size("t") >= LEAST)
-    # a token's place in the order: rarity, then its hash; equal numbers are equal tokens
-    order = F.transform("t", lambda x: F.shiftleft(F.get(rank, F.pmod(x, F.lit(BUCKETS)).cast("int")).cast("long"), 55).bitwiseOR(x.bitwiseAND(F.lit((1 << 55) - 1))))
-    keyed = toks.select(_key("t").alias("k"), F.size("t").alias("n"), F.slice(F.sort_array(order), F.lit(1), _prefix(F.size("t"), s)).alias("p"))
-    rows = keyed.select("k", "n", F.posexplode("p").alias("pos", "token"))
-    rows = rows.groupBy("token", "k").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    known = classes.where(f"n >= {LEAST}").select("k", "first", "copies")
-    rows = stored(rows.join(known, "k"), "prefixes")
+    rows = classes.where("p IS NOT NULL").select("c", "n", F.posexplode("p").alias("pos", "token"))
+    shared = stored(rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token", "low"), "shared")
+    rows = stored(rows.join(shared, "token"), "prefixes")
 
     def fits(a: str, b: str) -> Column:
+        """The first is the later one, and the lengths and positions leave room for the overlap that is needed."""
         n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
         need = F.ceil((n + m) * (s / (1 + s)) - 1e-9)
-        left = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
-        # what precedes the shared token is at most the smaller of both positions
-        return (F.col(f"{b}.first") < F.col(f"{a}.first")) & (F.least(n, m) >= F.ceil(F.greatest(n, m) * s - 1e-9)) & (left + F.least(f"{a}.pos", f"{b}.pos") >= need)
+        after = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
+        before = F.least(f"{a}.pos", f"{b}.pos")
+        return (F.col(f"{a}.token") == F.col(f"{b}.token")) & (F.col(f"{b}.c") < F.col(f"{a}.c")) & (F.least(n, m) >= F.ceil(F.greatest(n, m) * s - 1e-9)) & (after + before >= need)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The ``a`` of the pairs ``(a, b)`` whose token sets are similar."""
-        pairs = stored(pairs.distinct(), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-        sets = _exploded(docs).select(_tokens("line").alias("t")).where(F.size("t") >= LEAST).select(_key("t").alias("k"), "t")
-        sets = stored(sets.join(wanted, "k", "left_semi").groupBy("k").agg(F.first("t").alias("t")), "sets")
-        both = pairs.join(sets.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
-        shared = F.size(F.array_intersect("ta", "tb"))
-        return both.where(shared >= F.ceil((F.size("ta") + F.size("tb") - shared) * s - 1e-9)).select("a").distinct()
-
-    heads = rows.groupBy("token").agg(F.min_by(F.struct("k", "n", "pos", "first"), "first").alias("early"), F.max_by(F.struct("k", "n", "pos", "first"), F.struct("copies", "k")).alias("often"), F.count("*").alias("m")).where("m > 1")
-    met = rows.join(heads, "token").select("k", "n", "pos", "first", F.explode(F.array("early", "often")).alias("h"))
-    met = met.select(F.struct("k", "n", "pos", "first").alias("a"), F.col("h").alias("b")).where(fits("a", "b"))
-    done = stored(verified(met.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"))), "matched")
-    open_ = rows.join(done, rows["k"] == done["a"], "left_anti")
-    rest = open_.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & fits("a", "b")).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"))
-    more = stored(verified(rest), "matched")
-    return done.unionByName(more).select(F.col("a").alias("k"))
+        pairs = stored(pairs.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct(), "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "k"), "c").select("c", F.col("k.h").alias("wh"), F.col("k.g").alias("wg"))
+        lines = docs.select(F.explode(F.transform(F.split(_spaced("text"), "\n"), _tokens)).alias("t")).select("t", F.xxhash64("t").alias("h"), F.hash("t").alias("g"))
+        sets = lines.join(stored(wanted, "wanted"), (F.col("h") == F.col("wh")) & (F.col("g") == F.col("wg"))).groupBy("c").agg(F.first("t").alias("t"))
+        sets = stored(sets, "sets")
+        both = pairs.join(sets.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b")
+        common = F.size(F.array_intersect("ta", "tb"))
+        return stored(both.where(common >= F.ceil((F.size("ta") + F.size("tb") - common) * s - 1e-9)).select(F.col("a").alias("c")).distinct(), "matched")
 
-
-def _key(tokens: str | Column) -> Column:
-    """The class of a line: a pair of hashes of its sorted tokens."""
-    return F.struct(F.xxhash64(tokens).alias("h"), F.hash(tokens).alias("g"))
+    done = verified(rows.alias("a").join(rows.where("c = low").alias("b"), fits("a", "b")))
+    open_ = rows.where("c > low").join(done, "c", "left_anti")
+    return done.unionByName(verified(open_.alias("a").join(rows.where("c > low").alias("b"), fits("a", "b"))))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -99,20 +104,20 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A line goes if an earlier line, in order of document id (null first), hash of the
     text, repeated row and line number, has a token set of Jaccard similarity
     ``similarity`` or more; earlier lines count whether they stay or go. Tokens are the
-    lower-cased words of a line, each once. Lines without tokens stay. A null text has
-    no line. ``copy`` numbers rows that agree in id and text, from 1.
+    lower-cased words of a line, each once, told apart by 55 bits of their hashes in the
+    join and 64 when verified. Lines without tokens stay. A null text has no line. ``copy``
+    numbers rows that agree in id and text, from 1.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = _exploded(docs.select("*", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row")), "doc_id", "text_hash", "row")
-    lines = lines.select("doc_id", "text_hash", "row", "line_no", _tokens("line").alias("t"))
-    lines = stored(lines.select("doc_id", "text_hash", "row", "line_no", F.size("t").alias("n"), F.when(F.size("t") > 0, _key("t")).alias("k")), "lines")
+    lines = stored(tokenised(docs, similarity), "lines")
     at = F.struct("doc_id", "text_hash", "row", "line_no")
-    classes = lines.where("n > 0").groupBy("k").agg(F.min(at).alias("first"), F.min("n").alias("n"), F.count("*").alias("copies"))
-    classes = stored(classes, "classes")
-    gone = stored(similar_classes(docs, classes, similarity).distinct().withColumn("gone", F.lit(True)), "gone")
+    classes = lines.where("n > 0").groupBy("k").agg(F.min(at).alias("first"), F.first("n").alias("n"), F.first("p").alias("p"), F.count("*").alias("copies"))
+    classes = stored(stored(classes, "classes").orderBy("first").withColumn("c", F.monotonically_increasing_id()), "classes")
+    gone = similar_classes(docs, classes, similarity).withColumn("gone", F.lit(True))
     # lines of classes that lose none: seen once, without a match
-    loss = stored(classes.join(gone, "k", "left").where("copies > 1 OR gone").select("k", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "loss")
-    out = lines.where("n > 0").join(loss, "k").where((at > F.col("first")) | F.col("gone")).groupBy("doc_id", "text_hash", "row").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    loss = classes.select("c", "k", "first", "copies").join(gone, "c", "left").where("copies > 1 OR gone").select("k", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    loss = stored(loss, "loss")
+    out = lines.where("n > 0").drop("n", "p").join(loss, "k").where((at > F.col("first")) | F.col("gone")).groupBy("doc_id", "text_hash", "row").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
     every = lines.groupBy("doc_id", "text_hash", "row").agg(F.count("*").alias("n_lines"))
     found = every.alias("e").join(out.alias("o"), F.expr("e.row = o.row AND e.text_hash = o.text_hash AND e.doc_id <=> o.doc_id"), "left")
     found = found.select("e.doc_id", "e.text_hash", "e.row", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))

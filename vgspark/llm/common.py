@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -82,6 +83,12 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are gone: it does so when both collectors have found them unused."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bitmap(df: DataFrame, col: Column | str, bits: int = 27) -> np.ndarray:
     """A filter of fixed size over the longs in ``col``: bit ``x mod 2**bits`` is set for each x. Its words are made on the executors."""
     i = F.col(col).bitwiseAND((1 << bits) - 1) if isinstance(col, str) else col.bitwiseAND((1 << bits) - 1)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, in_bitmap, stored, table
+from .common import bitmap, freed, in_bitmap, stored, table
 
 LENGTH = 100
 #: Bytes of the first buckets' strings: a power of two, built by doubling.
@@ -77,46 +76,89 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _count(batches, length):
     for b in batches:
         ids, n = np.unique(anchors(*_buffers(b.column(0)), length)[1], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n)], ["b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n)], ["key", "n"])
+
 
+def _row_id(row: np.ndarray, lo: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """A mixed number for a suffix, for filters."""
+    x = (row.astype(np.uint64) * _A + lo.astype(np.uint64)) * _B ^ cls.view(np.uint64)
+    x ^= x >> np.uint64(31)
+    x *= _M
+    return x ^ (x >> np.uint64(29))
 
-def _contexts(batches, length, repeated):
+
+def _suffixes(batches, length, repeated, firsts):
+    """Suffixes whose bucket is in the filter ``repeated``, each with the class of its context; with ``firsts``, those in that filter, each with its context."""
     left = length - Q
     for batch in batches:
         data, offsets = _buffers(batch.column(2))
+        rows = batch.column(1).to_numpy()
         at, ids = anchors(data, offsets, length)
         keep = in_bitmap(repeated.value, ids)
         at, ids = at[keep], ids[keep]
         row = np.searchsorted(offsets, at, "right") - 1
         start, stop = offsets[row], offsets[row + 1]
         lo, hi = np.maximum(start, at - left), np.minimum(stop, at + length)
-        for i in range(0, len(at), 50_000):
-            part = slice(i, i + 50_000)
-            context = [data[x:y].tobytes() for x, y in zip(lo[part].tolist(), hi[part].tolist())]
-            before = (at - lo)[part]
-            cls = [xxhash.xxh3_64_intdigest(c, seed=n) for c, n in zip(context, before.tolist())]
+        view = memoryview(data)
+        digest = xxhash.xxh3_64_intdigest
+        cls = np.fromiter((digest(view[x:y], seed=z - x) for x, y, z in zip(lo.tolist(), hi.tolist(), at.tolist())), np.uint64, len(at)).view(np.int64)
+        if firsts is not None:
+            keep = in_bitmap(firsts.value, _row_id(rows[row], lo - start, cls))
+            at, ids, row, start, stop, lo, hi, cls = (x[keep] for x in (at, ids, row, start, stop, lo, hi, cls))
+        for i in range(0, len(at), 100_000):
+            part = slice(i, i + 100_000)
             r = pa.array(row[part])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(r), batch.column(1).take(r), pa.array(ids[part].view(np.int64)), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(lo[part] - start[part]), pa.array(np.minimum(at, stop - length)[part] - start[part]), pa.array(context, pa.binary())],
-                ["doc_id", "row", "b", "cls", "lo", "hi", "context"],
-            )
+            columns = [batch.column(0).take(r), batch.column(1).take(r), pa.array(ids[part].view(np.int64)), pa.array(cls[part]), pa.array(lo[part] - start[part]), pa.array(np.minimum(at, stop - length)[part] - start[part])]
+            names = ["doc_id", "row", "b", "cls", "lo", "hi"]
+            if firsts is not None:
+                columns.append(pa.array((at - start)[part]))
+                columns.append(pa.array([view[x:y].tobytes() for x, y in zip(lo[part].tolist(), hi[part].tolist())], pa.binary()))
+                names += ["at", "context"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def _strings(batches, length, wanted, repeated):
-    """All ``length``-byte strings of the contexts in the filter ``wanted``, as identifiers; with ``repeated``, only those in it."""
+def _ids(batches):
     for b in batches:
-        own = pa.array(np.frombuffer(b.column(2).cast(pa.int64()).buffers()[1], np.int64)[b.column(2).offset :][: len(b)])
-        keep = np.flatnonzero(in_bitmap(wanted.value, own.to_numpy().view(np.uint64)))
-        lo, hi, context = (b.column(i).take(pa.array(keep)).to_pylist() for i in (3, 4, 5))
+        x = _row_id(*(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], ["x"])
+
+
+#: Starts that are looked at together: what their strings have in common is looked up first.
+STEP = 12
+
+
+def _runs(lo: int, hi: int, at: int, length: int):
+    """Runs of starts by how far before the suffix they are: ``(first, last, from, to)``, the latter two what all strings of a whole run share."""
+    for g in range((at - hi) // STEP, (at - lo) // STEP + 1):
+        least, most = at - (g + 1) * STEP + 1, at - g * STEP
+        yield max(lo, least), min(hi, most), most - lo, least + length - lo
+
+
+def _common(batches, length):
+    """For each run of STEP starts in a context the identifier of what all its strings have in common."""
+    digest = xxhash.xxh3_64_intdigest
+    for b in batches:
+        key = [digest(c[i:j]) for x, y, z, c in zip(*(b.column(i).to_pylist() for i in range(4))) for _, _, i, j in _runs(x, y, z, length)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64))], ["key"])
+
+
+def _strings(batches, length, repeated, again=None):
+    """The identifiers of all ``length``-byte strings of the runs whose common part is in ``repeated``; with ``again``, of those in it."""
+    digest = xxhash.xxh3_64_intdigest
+    for b in batches:
+        lo, hi, at, context = (b.column(i).to_pylist() for i in range(2, 6))
+        runs = [(k, *r) for k, (x, y, z) in enumerate(zip(lo, hi, at)) for r in _runs(x, y, z, length)]
+        common = np.fromiter((digest(context[k][i:j]) for k, _, _, i, j in runs), np.uint64, len(runs))
         row, start, key = [], [], []
-        for i, x, y, c in zip(keep.tolist(), lo, hi, context):
-            for s in range(y - x + 1):
-                row.append(i)
-                start.append(x + s)
-                key.append(xxhash.xxh3_64_intdigest(c[s : s + length]))
+        for r in np.flatnonzero(in_bitmap(repeated.value, common)).tolist():
+            k, first, last, _, _ = runs[r]
+            for s in range(first, last + 1):
+                row.append(k)
+                start.append(s)
+                key.append(digest(context[k][s - lo[k] : s - lo[k] + length]))
         row, start, key = np.array(row, np.int64), np.array(start, np.int64), np.array(key, np.uint64)
-        if repeated is not None:
-            some = in_bitmap(repeated.value, key)
+        if again is not None:
+            some = in_bitmap(again.value, key)
             row, start, key = row[some], start[some], key[some]
         for i in range(0, len(row), 500_000):
             r = pa.array(row[i : i + 500_000])
@@ -129,34 +171,43 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     1. Sampled suffixes fall into buckets by their first Q bytes; buckets of one suffix end here.
     2. Buckets are refined by what stands at later offsets and before: the class of all bytes that a
        string with this suffix can reach. All but the first of a class only hold strings of the first.
-    3. Firsts that share a bucket are refined string by string, by the identifiers of their
-       ``length``-byte strings at each offset; the earliest of each stays.
+    3. Firsts that share a bucket are refined by the identifiers of what STEP neighbouring strings
+       have in common at each offset, and those that still share one by the strings themselves.
 
-    Each refinement is a minimum by identifier, combined before the shuffle, and a join
-    with the few of them that repeat. Identifiers have 64 bits.
+    Each refinement is a minimum or count by identifier, combined before the shuffle; the next
+    one reads a filter of fixed size of the identifiers that repeat, which lets some others
+    through, and an exact join decides at the end. Identifiers have 64 bits.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     share = spark.sparkContext.broadcast
-    counts = docs.select("text").mapInArrow(lambda it: _count(it, length), "b long, n long").groupBy("b").agg(F.sum("n").alias("n"))
-    many = share(bitmap(counts.where("n > 1"), "b"))
-    found = docs.select("doc_id", "row", "text").mapInArrow(lambda it: _contexts(it, length, many), f"doc_id {kind}, row long, b long, cls long, lo long, hi long, context binary")
-    found = stored(found, "suffixes")
+    own = docs.select("doc_id", "row", "text")
+
+    def repeats(keys: DataFrame) -> np.ndarray:
+        found = bitmap(keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "key")
+        freed(spark)
+        return found
+
+    many = share(repeats(docs.select("text").mapInArrow(lambda it: _count(it, length), "key long, n long")))
+    schema = f"doc_id {kind}, row long, b long, cls long, lo long, hi long"
+    found = stored(own.mapInArrow(lambda it: _suffixes(it, length, many, None), schema), "suffixes")
+    classes = stored(found.groupBy("cls", "b").agg(F.min(F.struct("doc_id", "row", "lo")).alias("first"), F.count("*").alias("n")), "classes")
     at = F.struct("doc_id", "row", "lo")
-    classes = stored(found.groupBy("cls").agg(F.min(at).alias("first"), F.min("b").alias("b"), F.count("*").alias("n")), "classes")
-    later = found.select("cls", "doc_id", "row", "lo", "hi").join(classes.where("n > 1").select("cls", "first"), "cls").where(at > F.col("first")).select("row", "lo", "hi")
-    mixed = stored(classes.groupBy("b").agg(F.count("*").alias("m")).where("m > 1").select("b"), "mixed")
-    own = F.xxhash64("row", "lo", "cls")
-    firsts = classes.join(mixed, "b").select(F.xxhash64("first.row", "first.lo", "cls").alias("x"))
-    wanted = share(bitmap(firsts, "x"))
-    source = found.select("doc_id", "row", own.alias("x"), "lo", "hi", "context")
-    schema = f"doc_id {kind}, row long, start long, key long"
+    later = stored(found.select("cls", "doc_id", "row", "lo", "hi").join(classes.where("n > 1").select("cls", "first"), "cls").where(at > F.col("first")).select("row", "lo", "hi"), "later")
+    freed(spark)
+    mixed = classes.groupBy("b").agg(F.count("*").alias("m")).where("m > 1").select("b")
+    firsts = classes.join(stored(mixed, "mixed"), "b").select("first.row", "first.lo", "cls")
+    firsts = share(bitmap(firsts.mapInArrow(_ids, "x long"), "x"))
+    source = stored(own.mapInArrow(lambda it: _suffixes(it, length, many, firsts), schema + ", at long, context binary"), "contexts")
+    freed(spark)
+    common = source.select("lo", "hi", "at", "context").mapInArrow(lambda it: _common(it, length), "key long").withColumn("n", F.lit(1))
+    common = share(repeats(common))
+    source, schema = source.select("doc_id", "row", "lo", "hi", "at", "context"), f"doc_id {kind}, row long, start long, key long"
+    again = share(repeats(source.mapInArrow(lambda it: _strings(it, length, common), schema).select("key", F.lit(1).alias("n"))))
+    strings = source.mapInArrow(lambda it: _strings(it, length, common, again), schema)
     at = F.struct("doc_id", "row", "start")
-    repeats = source.mapInArrow(lambda it: _strings(it, length, wanted, None), schema).groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last"))
-    repeats = stored(repeats.where("first < last").select("key", "first"), "repeats")
-    again = share(bitmap(repeats, "key"))
-    strings = source.mapInArrow(lambda it: _strings(it, length, wanted, again), schema)
-    equal = strings.join(repeats, "key").where(at > F.col("first")).select("row", F.col("start").alias("lo"), F.col("start").alias("hi"))
+    first = stored(strings.groupBy("key").agg(F.min(at).alias("first")), "strings")
+    equal = strings.join(first, "key").where(at > F.col("first")).select("row", F.col("start").alias("lo"), F.col("start").alias("hi"))
     return later.unionByName(equal)
 
 

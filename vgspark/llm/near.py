@@ -1,0 +1,122 @@
+"""Near copies by word shingles: SimHash segments that differ by one bit at most propose, Jaccard similarity decides."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import bitmap, components, freed, in_bitmap, stored, words
+
+SHINGLE, SIMILARITY = 5, 0.8
+#: The print is cut into SEGMENTS of WIDTH bits; at similarity 0.8 some 15% of the bits differ, and one segment by at most one bit in nine cases of ten.
+SEGMENTS, WIDTH = 12, 20
+#: Bits of 64 further ones that may differ in a candidate.
+NEAR = 18
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    x = h + np.uint64((0x9E3779B97F4A7C15 * k) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(found: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of the shingles; fewer words than a shingle are one, and no words none."""
+    if not found:
+        return np.zeros(0, np.uint64)
+    k = min(size, len(found))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(found[i : i + k])) for i in range(len(found) - k + 1)), np.uint64, len(found) - k + 1))
+
+
+def wide_print(found: list[bytes]) -> list[int]:
+    """Five SimHash words of 64 bits over the set of shingles: the first verifies, the others are cut into segments."""
+    h = shingle_hashes(found)
+    out = []
+    for k in range(5):
+        total = np.zeros(64, np.int64)
+        for i in range(0, len(h), 1 << 16):
+            total += np.unpackbits(_mixed(h[i : i + (1 << 16)], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits((2 * total > len(h)).astype(np.uint8), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def _prints(batches):
+    for b in batches:
+        key, prints = [], [[] for _ in range(5)]
+        for text in b.column(1).to_pylist():
+            found = words(text)
+            key.append(xxhash.xxh3_64_intdigest(b" ".join(found)))
+            for to, x in zip(prints, wide_print(found)):
+                to.append(x)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(key, np.uint64).view(np.int64)), *(pa.array(x, pa.int64()) for x in prints)], ["row", "node", "p0", "p1", "p2", "p3", "p4"])
+
+
+def _variants(batches, wanted):
+    """Every one-wildcard variant of every segment, or those in the filter."""
+    per = SEGMENTS // 4
+    for b in batches:
+        node, first = b.column(0), b.column(1)
+        for s in range(SEGMENTS):
+            word = b.column(2 + s // per).to_numpy().view(np.uint64)
+            part = (word >> np.uint64((s % per) * WIDTH)) & np.uint64((1 << WIDTH) - 1)
+            for p in range(WIDTH):
+                key = (part & ~np.uint64(1 << p)) | np.uint64((s * WIDTH + p) << WIDTH)
+                key = _mixed(key, 1)  # the filter takes the lowest bits
+                at = np.arange(len(key)) if wanted is None else np.flatnonzero(in_bitmap(wanted.value, key))
+                at_ = pa.array(at)
+                yield pa.RecordBatch.from_arrays([node.take(at_), first.take(at_), pa.array(key[at].view(np.int64))], ["node", "p0", "key"])
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``(row, doc_id, group)``: documents linked through steps of Jaccard similarity ``similarity`` or more of their five-word shingles.
+
+    ``row`` numbers the input's rows (as monotonically_increasing_id does). Rows with equal words are one node and never paired. A node first
+    meets one node of each of its buckets; after that only nodes of a bucket that aren't yet
+    linked meet, so groups of near copies don't meet in all pairs. Every candidate within
+    NEAR bits is verified on its whole sets of shingles. A null text counts as empty; texts without
+    words are one node. ``group`` is a number shared by the rows of a group.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    prints = stored(rows.select("row", "text").mapInArrow(_prints, "row long, node long, p0 long, p1 long, p2 long, p3 long, p4 long"), "prints")
+    nodes = stored(prints.groupBy("node", "p0", "p1", "p2", "p3", "p4").agg(F.min("row").alias("row")), "nodes")
+    source = nodes.select("node", "p0", "p1", "p2", "p3", "p4").repartition(F.col("node"))
+    keys = source.mapInArrow(lambda it: _variants(it, None), "node long, p0 long, key long").groupBy("key").count()
+    many = spark.sparkContext.broadcast(bitmap(keys.where("count > 1"), "key"))
+    freed(spark)
+    at = stored(source.mapInArrow(lambda it: _variants(it, many), "node long, p0 long, key long"), "variants")
+    low = stored(at.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a"), "low")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs.distinct(), "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
+
+        def sets(batches):
+            for b in batches:
+                out = [np.sort(shingle_hashes(words(x))).view(np.int64) for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "s"])
+
+        found = rows.select("row", "text").join(stored(wanted, "wanted"), "row").select("node", "text").mapInArrow(sets, "node long, s array<long>")
+        found = stored(found, "sets")
+        both = pairs.join(found.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return stored(both.where(common >= (F.size("sa") + F.size("sb") - common) * similarity - 1e-9).select("a", "b"), "links")
+
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= NEAR
+    first = at.join(low, "key").where("node <> a").join(nodes.select(F.col("node").alias("a"), F.col("p0").alias("q")), "a").where(near("p0", "q"))
+    links = verified(first.select("a", F.col("node").alias("b")))
+    roots = stored(components(links), "roots")
+    placed = at.join(roots, "node", "left").select("node", "p0", "key", F.coalesce("root", "node").alias("root"))
+    open_ = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    placed = stored(placed.join(stored(open_, "open"), "key", "left_semi"), "placed")
+    l, r = placed.alias("l"), placed.alias("r")
+    rest = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & near("l.p0", "r.p0"))
+    more = verified(rest.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
+    roots = stored(components(links.unionByName(more)), "roots")
+    grouped = prints.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("group"))
+    return rows.select("row", "doc_id").join(stored(grouped, "grouped"), "row")

@@ -8,18 +8,21 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import freed, stored, table
 
 SIMILARITY = 0.8
 #: Token counts are kept for so many buckets of token hashes: a table of this size however many tokens there are.
 BUCKETS = 1 << 16
+#: Bits of the filters that spare rows which no join wants.
+FILTER = 1 << 22
 #: Below so many tokens only lines with the same tokens are similar enough.
 LEAST = 4
 
 
-def _spaced(text: str | Column) -> Column:
-    """Lower case, with a space for each white space but line ends."""
-    return F.translate(F.lower(text), "\t\x0b\x0c\r", "    ")
+def _spaced(text: str) -> Column:
+    """Lower case, with a space for each white space but line ends; texts that have none of these aren't looked through for them."""
+    odd = [F.contains(F.col(text), F.lit(x)) for x in "\t\x0b\x0c\r"]
+    return F.lower(F.when(odd[0] | odd[1] | odd[2] | odd[3], F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(F.col(text)))
 
 
 def _tokens(line: Column) -> Column:
@@ -29,7 +32,7 @@ def _tokens(line: Column) -> Column:
 
 def _rarity(docs: DataFrame) -> Column:
     """A literal array: for each bucket 4 * log2 of how many tokens of all lines fall in it."""
-    words = docs.select(F.explode(F.split(F.translate(_spaced("text"), "\n", " "), " ")).alias("w")).where("w <> ''")
+    words = docs.select(F.explode(F.split(F.replace(_spaced("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b")).count().collect()
     rank = [0] * BUCKETS
     for b, n in counts:
@@ -41,6 +44,21 @@ def _prefix(n: Column, s: float) -> Column:
     return n - F.ceil(n * s - 1e-9).cast("int") + 1
 
 
+def _may_hold(hashes: DataFrame, x: Column) -> Column:
+    """Whether ``x`` may be among ``hashes``: a filter of FILTER bits as a literal array. It spares work; a join decides."""
+    i = F.col("x").bitwiseAND(FILTER - 1)
+    found = hashes.groupBy(F.shiftright(i, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(x & 63 AS INT))")).alias("v")).collect()
+    bits = [0] * (FILTER // 64)
+    for w, v in found:
+        bits[w] = v
+    word = F.get(F.from_json(F.lit(json.dumps(bits)), "array<bigint>"), F.shiftright(x.bitwiseAND(FILTER - 1), 6).cast("int"))
+    return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))) != 0
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), "text")
+
+
 def tokenised(docs: DataFrame, similarity: float) -> DataFrame:
     """``(doc_id, text_hash, row, line_no, k, n, p)``: of each line its class (of lines with equal tokens), its number of tokens and its rarest tokens.
 
@@ -48,7 +66,7 @@ def tokenised(docs: DataFrame, similarity: float) -> DataFrame:
     hash; equal numbers are equal tokens.
     """
     rank = _rarity(docs)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), "text")
+    rows = _numbered(docs)
     rows = rows.select("doc_id", "text_hash", "row", F.posexplode(F.transform(F.split(_spaced("text"), "\n"), _tokens)).alias("line_no", "t"))
     order = F.transform("t", lambda x: F.shiftleft(F.get(rank, x.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 55).bitwiseOR(x.bitwiseAND((1 << 55) - 1)))
     n = F.size("t")
@@ -70,6 +88,7 @@ def similar_classes(docs: DataFrame, classes: DataFrame, similarity: float = SIM
     those without a match there meet all earlier classes.
     """
     s = similarity
+    rows_ = _numbered(docs)
     rows = classes.where("p IS NOT NULL").select("c", "n", F.posexplode("p").alias("pos", "token"))
     shared = stored(rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token", "low"), "shared")
     rows = stored(rows.join(shared, "token"), "prefixes")
@@ -85,15 +104,18 @@ def similar_classes(docs: DataFrame, classes: DataFrame, similarity: float = SIM
     def verified(pairs: DataFrame) -> DataFrame:
         """The ``a`` of the pairs ``(a, b)`` whose token sets are similar."""
         pairs = stored(pairs.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct(), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "k"), "c").select("c", F.col("k.h").alias("wh"), F.col("k.g").alias("wg"))
-        lines = docs.select(F.explode(F.transform(F.split(_spaced("text"), "\n"), _tokens)).alias("t")).select("t", F.xxhash64("t").alias("h"), F.hash("t").alias("g"))
-        sets = lines.join(stored(wanted, "wanted"), (F.col("h") == F.col("wh")) & (F.col("g") == F.col("wg"))).groupBy("c").agg(F.first("t").alias("t"))
+        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "first.row", "first.line_no"), "c"), "wanted")
+        some = rows_.where(_may_hold(wanted.select(F.xxhash64("row").alias("x")), F.xxhash64("row")))
+        lines = some.select("row", F.posexplode(F.split(_spaced("text"), "\n")).alias("line_no", "line"))
+        lines = lines.where(_may_hold(wanted.select(F.xxhash64("row", "line_no").alias("x")), F.xxhash64("row", "line_no")))
+        sets = lines.join(wanted, ["row", "line_no"]).select("c", _tokens(F.col("line")).alias("t"))
         sets = stored(sets, "sets")
         both = pairs.join(sets.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b")
         common = F.size(F.array_intersect("ta", "tb"))
         return stored(both.where(common >= F.ceil((F.size("ta") + F.size("tb") - common) * s - 1e-9)).select(F.col("a").alias("c")).distinct(), "matched")
 
     done = verified(rows.alias("a").join(rows.where("c = low").alias("b"), fits("a", "b")))
+    freed(docs.sparkSession)
     open_ = rows.where("c > low").join(done, "c", "left_anti")
     return done.unionByName(verified(open_.alias("a").join(rows.where("c > low").alias("b"), fits("a", "b"))))
 
@@ -113,6 +135,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     at = F.struct("doc_id", "text_hash", "row", "line_no")
     classes = lines.where("n > 0").groupBy("k").agg(F.min(at).alias("first"), F.first("n").alias("n"), F.first("p").alias("p"), F.count("*").alias("copies"))
     classes = stored(stored(classes, "classes").orderBy("first").withColumn("c", F.monotonically_increasing_id()), "classes")
+    freed(docs.sparkSession)
     gone = similar_classes(docs, classes, similarity).withColumn("gone", F.lit(True))
     # lines of classes that lose none: seen once, without a match
     loss = classes.select("c", "k", "first", "copies").join(gone, "c", "left").where("copies > 1 OR gone").select("k", "first", F.coalesce("gone", F.lit(False)).alias("gone"))

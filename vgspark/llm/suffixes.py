@@ -142,27 +142,34 @@ def _common(batches, length):
         yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64))], ["key"])
 
 
-def _strings(batches, length, repeated, again=None):
-    """The identifiers of all ``length``-byte strings of the runs whose common part is in ``repeated``; with ``again``, of those in it."""
+def _spans(batches, length, repeated, firsts=None, again=None):
+    """Runs whose common part is in the filter ``repeated``, each with the identifier of all the bytes of its strings.
+
+    With ``firsts``: the single strings of the runs in that filter, and with ``again`` those of them in it.
+    """
     digest = xxhash.xxh3_64_intdigest
     for b in batches:
+        rows = b.column(1).to_numpy()
         lo, hi, at, context = (b.column(i).to_pylist() for i in range(2, 6))
         runs = [(k, *r) for k, (x, y, z) in enumerate(zip(lo, hi, at)) for r in _runs(x, y, z, length)]
         common = np.fromiter((digest(context[k][i:j]) for k, _, _, i, j in runs), np.uint64, len(runs))
-        row, start, key = [], [], []
-        for r in np.flatnonzero(in_bitmap(repeated.value, common)).tolist():
-            k, first, last, _, _ = runs[r]
-            for s in range(first, last + 1):
-                row.append(k)
-                start.append(s)
-                key.append(digest(context[k][s - lo[k] : s - lo[k] + length]))
-        row, start, key = np.array(row, np.int64), np.array(start, np.int64), np.array(key, np.uint64)
-        if again is not None:
-            some = in_bitmap(again.value, key)
-            row, start, key = row[some], start[some], key[some]
-        for i in range(0, len(row), 500_000):
-            r = pa.array(row[i : i + 500_000])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(r), b.column(1).take(r), pa.array(start[i : i + 500_000]), pa.array(key[i : i + 500_000].view(np.int64))], ["doc_id", "row", "start", "key"])
+        runs = [runs[i] for i in np.flatnonzero(in_bitmap(repeated.value, common)).tolist()]
+        of = np.array([r[0] for r in runs], np.int64)
+        first, last = (np.array([r[i] for r in runs], np.int64) for i in (1, 2))
+        key = np.fromiter((digest(context[k][x - lo[k] : y - lo[k] + length]) for k, x, y, _, _ in runs), np.uint64, len(runs))
+        if firsts is not None:
+            some = np.flatnonzero(in_bitmap(firsts.value, _row_id(rows[of], first, key.view(np.int64)))) if len(of) else of
+            of, first, last = of[some], first[some], last[some]
+            n = last - first + 1
+            of, first = np.repeat(of, n), np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else first, n) + np.arange(n.sum())
+            last = first
+            key = np.fromiter((digest(context[k][x - lo[k] : x - lo[k] + length]) for k, x in zip(of.tolist(), first.tolist())), np.uint64, len(of))
+            if again is not None:
+                some = in_bitmap(again.value, key)
+                of, first, last, key = of[some], first[some], last[some], key[some]
+        for i in range(0, len(of), 500_000):
+            r = pa.array(of[i : i + 500_000])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(r), b.column(1).take(r), *(pa.array(x[i : i + 500_000]) for x in (first, last, key.view(np.int64)))], ["doc_id", "row", "lo", "hi", "key"])
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -171,8 +178,9 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     1. Sampled suffixes fall into buckets by their first Q bytes; buckets of one suffix end here.
     2. Buckets are refined by what stands at later offsets and before: the class of all bytes that a
        string with this suffix can reach. All but the first of a class only hold strings of the first.
-    3. Firsts that share a bucket are refined by the identifiers of what STEP neighbouring strings
-       have in common at each offset, and those that still share one by the strings themselves.
+    3. Firsts that share a bucket are refined by runs of STEP neighbouring strings: by the identifiers of
+       what these have in common, then of all their bytes. All but the first of equal runs
+       repeat it; firsts that still share a common part are refined by their single strings.
 
     Each refinement is a minimum or count by identifier, combined before the shuffle; the next
     one reads a filter of fixed size of the identifiers that repeat, which lets some others
@@ -202,13 +210,20 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     freed(spark)
     common = source.select("lo", "hi", "at", "context").mapInArrow(lambda it: _common(it, length), "key long").withColumn("n", F.lit(1))
     common = share(repeats(common))
-    source, schema = source.select("doc_id", "row", "lo", "hi", "at", "context"), f"doc_id {kind}, row long, start long, key long"
-    again = share(repeats(source.mapInArrow(lambda it: _strings(it, length, common), schema).select("key", F.lit(1).alias("n"))))
-    strings = source.mapInArrow(lambda it: _strings(it, length, common, again), schema)
-    at = F.struct("doc_id", "row", "start")
-    first = stored(strings.groupBy("key").agg(F.min(at).alias("first")), "strings")
-    equal = strings.join(first, "key").where(at > F.col("first")).select("row", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    return later.unionByName(equal)
+    source, schema = source.select("doc_id", "row", "lo", "hi", "at", "context"), f"doc_id {kind}, row long, lo long, hi long, key long"
+
+    def after_first(found: DataFrame, first: DataFrame) -> DataFrame:
+        return found.join(first, "key").where(at > F.col("first")).select("row", "lo", "hi")
+
+    spans = stored(source.mapInArrow(lambda it: _spans(it, length, common), schema), "spans")
+    first = stored(spans.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n")), "firsts")
+    freed(spark)
+    equal = stored(after_first(spans, first.where("n > 1").select("key", "first")), "later")
+    heads = share(bitmap(first.select("first.row", "first.lo", "key").mapInArrow(_ids, "x long"), "x"))
+    again = share(repeats(source.mapInArrow(lambda it: _spans(it, length, common, heads), schema).select("key", F.lit(1).alias("n"))))
+    strings = stored(source.mapInArrow(lambda it: _spans(it, length, common, heads, again), schema), "strings")
+    single = after_first(strings, stored(strings.groupBy("key").agg(F.min(at).alias("first")), "firsts"))
+    return later.unionByName(equal).unionByName(single)
 
 
 def _merged(starts: list, length: int) -> list[tuple[int, int]]:

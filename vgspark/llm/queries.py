@@ -10,10 +10,12 @@ from .pitman_yor import op7_pitman_yor
 from .secrets import op9_secrets
 from .simhash import op4_simhash
 from .suffixes import op10_suffix_dedup
+from .surrogates import op2_surrogates
 from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_surrogates": op2_surrogates,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,

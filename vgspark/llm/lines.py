@@ -14,7 +14,9 @@ SIMILARITY = 0.8
 #: Token counts are kept for so many buckets of token hashes: a table of this size however many tokens there are.
 BUCKETS = 1 << 16
 #: Bits of the filters that spare rows which no join wants.
-FILTER = 1 << 22
+FILTER = 1 << 20
+#: Tokens that the prefixes of similar lines share, and classes with one token from which on the earliest comes first.
+SHARED, OFTEN = 3, 64
 #: Below so many tokens only lines with the same tokens are similar enough.
 LEAST = 4
 
@@ -25,23 +27,30 @@ def _spaced(text: str) -> Column:
     return F.lower(F.when(odd[0] | odd[1] | odd[2] | odd[3], F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(F.col(text)))
 
 
-def _tokens(line: Column) -> Column:
-    """The distinct token hashes of a line, sorted."""
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda x: F.xxhash64(x))))
-
-
 def _rarity(docs: DataFrame) -> Column:
-    """A literal array: for each bucket 4 * log2 of how many tokens of all lines fall in it."""
+    """A literal array: for each bucket log2 of how many tokens of all lines fall in it."""
     words = docs.select(F.explode(F.split(F.replace(_spaced("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b")).count().collect()
     rank = [0] * BUCKETS
     for b, n in counts:
-        rank[b] = int(4 * math.log2(n))
+        rank[b] = min(31, int(math.log2(n)))
     return F.from_json(F.lit(json.dumps(rank)), "array<int>")
 
 
+def _tokens(line: Column, rank: Column) -> Column:
+    """The distinct tokens of a line in order of rarity, as numbers: log2 of their bucket's count, then the longer the rarer, then a hash of 52 bits."""
+
+    def number(x: Column) -> Column:
+        h = F.xxhash64(x)
+        often = F.get(rank, h.bitwiseAND(BUCKETS - 1).cast("int"))
+        return F.shiftleft((often * 64 + 63 - F.least(F.length(x), F.lit(63))).cast("long"), 52).bitwiseOR(F.shiftrightunsigned(h, 12))
+
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), number)))
+
+
 def _prefix(n: Column, s: float) -> Column:
-    return n - F.ceil(n * s - 1e-9).cast("int") + 1
+    """So many of its rarest tokens that a similar line has SHARED of them among as many of its own."""
+    return n - F.ceil(n * s - 1e-9).cast("int") + SHARED
 
 
 def _may_hold(hashes: DataFrame, x: Column) -> Column:
@@ -59,65 +68,51 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), "text")
 
 
-def tokenised(docs: DataFrame, similarity: float) -> DataFrame:
-    """``(doc_id, text_hash, row, line_no, k, n, p)``: of each line its class (of lines with equal tokens), its number of tokens and its rarest tokens.
-
-    ``p`` has as many as a similar line must share one of, in order of rarity, then of
-    hash; equal numbers are equal tokens.
-    """
-    rank = _rarity(docs)
-    rows = _numbered(docs)
-    rows = rows.select("doc_id", "text_hash", "row", F.posexplode(F.transform(F.split(_spaced("text"), "\n"), _tokens)).alias("line_no", "t"))
-    order = F.transform("t", lambda x: F.shiftleft(F.get(rank, x.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 55).bitwiseOR(x.bitwiseAND((1 << 55) - 1)))
+def tokenised(docs: DataFrame, similarity: float, rank: Column) -> DataFrame:
+    """``(doc_id, text_hash, row, line_no, k, n, p)``: of each line its class (of lines with equal tokens), its number of tokens and its rarest tokens."""
+    lines = F.transform(F.split(_spaced("text"), "\n"), lambda x: _tokens(x, rank))
+    rows = _numbered(docs).select("doc_id", "text_hash", "row", F.posexplode(lines).alias("line_no", "t"))
     n = F.size("t")
-    rarest = F.when(n >= LEAST, F.slice(F.sort_array(order), F.lit(1), _prefix(n, similarity)))
-    return rows.select("doc_id", "text_hash", "row", "line_no", F.when(n > 0, _key("t")).alias("k"), n.alias("n"), rarest.alias("p"))
-
-
-def _key(tokens: str | Column) -> Column:
-    """The class of a line: a pair of hashes of its sorted tokens."""
-    return F.struct(F.xxhash64(tokens).alias("h"), F.hash(tokens).alias("g"))
+    return rows.select("doc_id", "text_hash", "row", "line_no", F.when(n > 0, F.xxhash64("t")).alias("k"), n.alias("n"), F.when(n >= LEAST, F.slice("t", F.lit(1), _prefix(n, similarity))).alias("p"))
 
 
-def similar_classes(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def similar_classes(docs: DataFrame, classes: DataFrame, rank: Column, similarity: float = SIMILARITY) -> DataFrame:
     """``(c)``: classes whose first line has an earlier line, of another class, that is similar. ``c`` grows with the first line.
 
-    Classes that share a token of both prefixes, and whose lengths and positions allow the
-    similarity, are candidates, verified on all their tokens. A class needs one earlier
-    match only: it first meets the earliest class of each of its prefix tokens; only
-    those without a match there meet all earlier classes.
+    Classes whose prefixes share SHARED tokens, and whose lengths allow the similarity, are
+    candidates, verified on all their tokens. A class needs one earlier match only: those
+    with a token that OFTEN classes share first meet the earliest of these, where
+    positions allow it; only those without a match there meet all earlier classes.
     """
     s = similarity
-    rows_ = _numbered(docs)
+    numbered = _numbered(docs)
     rows = classes.where("p IS NOT NULL").select("c", "n", F.posexplode("p").alias("pos", "token"))
-    shared = stored(rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token", "low"), "shared")
+    shared = stored(rows.groupBy("token").agg(F.min("c").alias("low"), F.count("*").alias("m")).where("m > 1"), "shared")
     rows = stored(rows.join(shared, "token"), "prefixes")
-
-    def fits(a: str, b: str) -> Column:
-        """The first is the later one, and the lengths and positions leave room for the overlap that is needed."""
-        n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-        need = F.ceil((n + m) * (s / (1 + s)) - 1e-9)
-        after = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
-        before = F.least(f"{a}.pos", f"{b}.pos")
-        return (F.col(f"{a}.token") == F.col(f"{b}.token")) & (F.col(f"{b}.c") < F.col(f"{a}.c")) & (F.least(n, m) >= F.ceil(F.greatest(n, m) * s - 1e-9)) & (after + before >= need)
+    n, m = F.col("a.n"), F.col("b.n")
+    need = F.ceil((n + m) * (s / (1 + s)) - 1e-9)
+    fits = (F.col("a.token") == F.col("b.token")) & (F.col("b.c") < F.col("a.c")) & (F.least(n, m) >= F.ceil(F.greatest(n, m) * s - 1e-9))
+    placed = F.least(n - F.col("a.pos"), m - F.col("b.pos")) + F.least("a.pos", "b.pos") >= need
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The ``a`` of the pairs ``(a, b)`` whose token sets are similar."""
-        pairs = stored(pairs.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct(), "pairs")
+        pairs = stored(pairs, "pairs")
         wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "first.row", "first.line_no"), "c"), "wanted")
-        some = rows_.where(_may_hold(wanted.select(F.xxhash64("row").alias("x")), F.xxhash64("row")))
+        some = numbered.where(_may_hold(wanted.select(F.xxhash64("row").alias("x")), F.xxhash64("row")))
         lines = some.select("row", F.posexplode(F.split(_spaced("text"), "\n")).alias("line_no", "line"))
         lines = lines.where(_may_hold(wanted.select(F.xxhash64("row", "line_no").alias("x")), F.xxhash64("row", "line_no")))
-        sets = lines.join(wanted, ["row", "line_no"]).select("c", _tokens(F.col("line")).alias("t"))
-        sets = stored(sets, "sets")
+        sets = stored(lines.join(wanted, ["row", "line_no"]).select("c", _tokens(F.col("line"), rank).alias("t")), "sets")
         both = pairs.join(sets.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b")
         common = F.size(F.array_intersect("ta", "tb"))
         return stored(both.where(common >= F.ceil((F.size("ta") + F.size("tb") - common) * s - 1e-9)).select(F.col("a").alias("c")).distinct(), "matched")
 
-    done = verified(rows.alias("a").join(rows.where("c = low").alias("b"), fits("a", "b")))
+    ends = (F.col("a.c").alias("a"), F.col("b.c").alias("b"))
+    often = rows.where(F.col("m") >= OFTEN)
+    done = verified(often.alias("a").join(often.where("c = low").alias("b"), fits & placed).select(*ends).distinct())
     freed(docs.sparkSession)
     open_ = rows.where("c > low").join(done, "c", "left_anti")
-    return done.unionByName(verified(open_.alias("a").join(rows.where("c > low").alias("b"), fits("a", "b"))))
+    pairs = open_.alias("a").join(rows.alias("b"), fits).groupBy(*ends).agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
+    return done.unionByName(verified(pairs.select("a", "b")))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -126,21 +121,23 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A line goes if an earlier line, in order of document id (null first), hash of the
     text, repeated row and line number, has a token set of Jaccard similarity
     ``similarity`` or more; earlier lines count whether they stay or go. Tokens are the
-    lower-cased words of a line, each once, told apart by 55 bits of their hashes in the
-    join and 64 when verified. Lines without tokens stay. A null text has no line. ``copy``
-    numbers rows that agree in id and text, from 1.
+    lower-cased words of a line, each once, told apart by length and hash. Lines without
+    tokens stay. A null text has no line. ``copy`` numbers rows that agree in id and text, from 1.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = stored(tokenised(docs, similarity), "lines")
+    rank = _rarity(docs)
+    lines = stored(tokenised(docs, similarity, rank), "lines")
     at = F.struct("doc_id", "text_hash", "row", "line_no")
-    classes = lines.where("n > 0").groupBy("k").agg(F.min(at).alias("first"), F.first("n").alias("n"), F.first("p").alias("p"), F.count("*").alias("copies"))
-    classes = stored(stored(classes, "classes").orderBy("first").withColumn("c", F.monotonically_increasing_id()), "classes")
+    classes = lines.where("n > 0").groupBy("k", "n").agg(F.min(F.struct(at.alias("at"), "p")).alias("x"), F.count("*").alias("copies"))
+    classes = classes.select("k", "n", F.col("x.at").alias("first"), "x.p", "copies").orderBy("first").withColumn("c", F.monotonically_increasing_id())
+    classes = stored(classes, "classes")
     freed(docs.sparkSession)
-    gone = similar_classes(docs, classes, similarity).withColumn("gone", F.lit(True))
+    gone = similar_classes(docs, classes, rank, similarity).withColumn("gone", F.lit(True))
     # lines of classes that lose none: seen once, without a match
-    loss = classes.select("c", "k", "first", "copies").join(gone, "c", "left").where("copies > 1 OR gone").select("k", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    loss = classes.select("c", "k", "n", "first", "copies").join(gone, "c", "left").where("copies > 1 OR gone").select("k", "n", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     loss = stored(loss, "loss")
-    out = lines.where("n > 0").drop("n", "p").join(loss, "k").where((at > F.col("first")) | F.col("gone")).groupBy("doc_id", "text_hash", "row").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    freed(docs.sparkSession)
+    out = lines.where("n > 0").drop("p").join(loss, ["k", "n"]).where((at > F.col("first")) | F.col("gone")).groupBy("doc_id", "text_hash", "row").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
     every = lines.groupBy("doc_id", "text_hash", "row").agg(F.count("*").alias("n_lines"))
     found = every.alias("e").join(out.alias("o"), F.expr("e.row = o.row AND e.text_hash = o.text_hash AND e.doc_id <=> o.doc_id"), "left")
     found = found.select("e.doc_id", "e.text_hash", "e.row", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, freed, in_bitmap, stored, table
+from .common import bitmap, dropped, freed, in_bitmap, stored, table
 
 LENGTH = 100
 #: Bytes of the first buckets' strings: a power of two, built by doubling.
@@ -202,11 +202,13 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     classes = stored(found.groupBy("cls", "b").agg(F.min(F.struct("doc_id", "row", "lo")).alias("first"), F.count("*").alias("n")), "classes")
     at = F.struct("doc_id", "row", "lo")
     later = stored(found.select("cls", "doc_id", "row", "lo", "hi").join(classes.where("n > 1").select("cls", "first"), "cls").where(at > F.col("first")).select("row", "lo", "hi"), "later")
+    dropped(found)
     freed(spark)
     mixed = classes.groupBy("b").agg(F.count("*").alias("m")).where("m > 1").select("b")
     firsts = classes.join(stored(mixed, "mixed"), "b").select("first.row", "first.lo", "cls")
     firsts = share(bitmap(firsts.mapInArrow(_ids, "x long"), "x"))
     source = stored(own.mapInArrow(lambda it: _suffixes(it, length, many, firsts), schema + ", at long, context binary"), "contexts")
+    dropped(classes)
     freed(spark)
     common = source.select("lo", "hi", "at", "context").mapInArrow(lambda it: _common(it, length), "key long").withColumn("n", F.lit(1))
     common = share(repeats(common))
@@ -219,10 +221,17 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     first = stored(spans.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n")), "firsts")
     freed(spark)
     equal = stored(after_first(spans, first.where("n > 1").select("key", "first")), "later")
+    dropped(spans)
     heads = share(bitmap(first.select("first.row", "first.lo", "key").mapInArrow(_ids, "x long"), "x"))
+    dropped(first)
+    freed(spark)
     again = share(repeats(source.mapInArrow(lambda it: _spans(it, length, common, heads), schema).select("key", F.lit(1).alias("n"))))
     strings = stored(source.mapInArrow(lambda it: _spans(it, length, common, heads, again), schema), "strings")
-    single = after_first(strings, stored(strings.groupBy("key").agg(F.min(at).alias("first")), "firsts"))
+    dropped(source)
+    first = stored(strings.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last").select("key", "first"), "firsts")
+    single = stored(after_first(strings, first), "later")
+    dropped(strings, first)
+    freed(spark)
     return later.unionByName(equal).unionByName(single)
 
 
@@ -262,6 +271,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     starts = repeated_starts(docs, length).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
     starts = stored(starts.withColumnRenamed("row", "at"), "starts")
+    freed(docs.sparkSession)
     both = docs.join(starts, F.col("row") == F.col("at"), "left").select("doc_id", "text", "starts")
     return both.mapInArrow(lambda it: _cut(it, length), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
 

@@ -15,8 +15,6 @@ SIMILARITY = 0.8
 BUCKETS = 1 << 16
 #: Bits of the filters that spare rows which no join wants.
 FILTER = 1 << 20
-#: Tokens that the prefixes of similar lines share, and classes with one token from which on the earliest comes first.
-SHARED, OFTEN = 3, 64
 #: Below so many tokens only lines with the same tokens are similar enough.
 LEAST = 4
 
@@ -28,12 +26,13 @@ def _spaced(text: str) -> Column:
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """A literal array: for each bucket log2 of how many tokens of all lines fall in it."""
+    """A literal array: for each bucket log2 of how many tokens of all lines fall in it, less what a bucket has on average."""
     words = docs.select(F.explode(F.split(F.replace(_spaced("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b")).count().collect()
+    usual = int(math.log2(max(1, sum(n for _, n in counts) // BUCKETS))) + 1  # below that a bucket's count tells little of each token's
     rank = [0] * BUCKETS
     for b, n in counts:
-        rank[b] = min(31, int(math.log2(n)))
+        rank[b] = max(0, min(31, int(math.log2(n))) - usual)
     return F.from_json(F.lit(json.dumps(rank)), "array<int>")
 
 
@@ -49,8 +48,14 @@ def _tokens(line: Column, rank: Column) -> Column:
 
 
 def _prefix(n: Column, s: float) -> Column:
-    """So many of its rarest tokens that a similar line has SHARED of them among as many of its own."""
-    return n - F.ceil(n * s - 1e-9).cast("int") + SHARED
+    """So many of its rarest tokens that a similar line has one of them among as many of its own."""
+    return n - F.ceil(n * s - 1e-9).cast("int") + 1
+
+
+def _bits(t: str, of: int) -> Column:
+    """A bit for each token: lines differ by at least as many tokens as bits."""
+    own = F.filter(t, lambda x: x.bitwiseAND(64) == 64 * of)
+    return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
 
 
 def _may_hold(hashes: DataFrame, x: Column) -> Column:
@@ -69,30 +74,30 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def tokenised(docs: DataFrame, similarity: float, rank: Column) -> DataFrame:
-    """``(doc_id, text_hash, row, line_no, k, n, p)``: of each line its class (of lines with equal tokens), its number of tokens and its rarest tokens."""
+    """``(doc_id, text_hash, row, line_no, k, n, p, b0, b1)``: of each line its class (of lines with equal tokens), its number of tokens, its rarest tokens and 128 bits of all."""
     lines = F.transform(F.split(_spaced("text"), "\n"), lambda x: _tokens(x, rank))
     rows = _numbered(docs).select("doc_id", "text_hash", "row", F.posexplode(lines).alias("line_no", "t"))
     n = F.size("t")
-    return rows.select("doc_id", "text_hash", "row", "line_no", F.when(n > 0, F.xxhash64("t")).alias("k"), n.alias("n"), F.when(n >= LEAST, F.slice("t", F.lit(1), _prefix(n, similarity))).alias("p"))
+    return rows.select("doc_id", "text_hash", "row", "line_no", F.when(n > 0, F.xxhash64("t")).alias("k"), n.alias("n"), F.when(n >= LEAST, F.slice("t", F.lit(1), _prefix(n, similarity))).alias("p"), _bits("t", 0).alias("b0"), _bits("t", 1).alias("b1"))
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, rank: Column, similarity: float = SIMILARITY) -> DataFrame:
     """``(c)``: classes whose first line has an earlier line, of another class, that is similar. ``c`` grows with the first line.
 
-    Classes whose prefixes share SHARED tokens, and whose lengths allow the similarity, are
-    candidates, verified on all their tokens. A class needs one earlier match only: those
-    with a token that OFTEN classes share first meet the earliest of these, where
-    positions allow it; only those without a match there meet all earlier classes.
+    Classes whose prefixes share a token, and whose lengths, positions and bits allow the
+    similarity, are candidates, verified on all their tokens. A class needs one earlier
+    match only: it first meets the earliest class of each of its prefix tokens; only
+    those without a match there meet all earlier classes.
     """
     s = similarity
     numbered = _numbered(docs)
-    rows = classes.where("p IS NOT NULL").select("c", "n", F.posexplode("p").alias("pos", "token"))
-    shared = stored(rows.groupBy("token").agg(F.min("c").alias("low"), F.count("*").alias("m")).where("m > 1"), "shared")
+    rows = classes.where("p IS NOT NULL").select("c", "n", "b0", "b1", F.posexplode("p").alias("pos", "token"))
+    shared = stored(rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token", "low"), "shared")
     rows = stored(rows.join(shared, "token"), "prefixes")
     n, m = F.col("a.n"), F.col("b.n")
     need = F.ceil((n + m) * (s / (1 + s)) - 1e-9)
-    fits = (F.col("a.token") == F.col("b.token")) & (F.col("b.c") < F.col("a.c")) & (F.least(n, m) >= F.ceil(F.greatest(n, m) * s - 1e-9))
-    placed = F.least(n - F.col("a.pos"), m - F.col("b.pos")) + F.least("a.pos", "b.pos") >= need
+    differ = F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))) + F.bit_count(F.col("a.b1").bitwiseXOR(F.col("b.b1")))
+    fits = (F.col("a.token") == F.col("b.token")) & (F.col("b.c") < F.col("a.c")) & (F.least(n, m) >= F.ceil(F.greatest(n, m) * s - 1e-9)) & (F.least(n - F.col("a.pos"), m - F.col("b.pos")) + F.least("a.pos", "b.pos") >= need) & (differ <= n + m - 2 * need)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The ``a`` of the pairs ``(a, b)`` whose token sets are similar."""
@@ -107,12 +112,14 @@ def similar_classes(docs: DataFrame, classes: DataFrame, rank: Column, similarit
         return stored(both.where(common >= F.ceil((F.size("ta") + F.size("tb") - common) * s - 1e-9)).select(F.col("a").alias("c")).distinct(), "matched")
 
     ends = (F.col("a.c").alias("a"), F.col("b.c").alias("b"))
-    often = rows.where(F.col("m") >= OFTEN)
-    done = verified(often.alias("a").join(often.where("c = low").alias("b"), fits & placed).select(*ends).distinct())
+
+    def sharing(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.alias("a").join(b.alias("b"), fits).select(*ends).distinct()
+
+    done = verified(sharing(rows.where("c > low"), rows.where("c = low")))
     freed(docs.sparkSession)
-    open_ = rows.where("c > low").join(done, "c", "left_anti")
-    pairs = open_.alias("a").join(rows.alias("b"), fits).groupBy(*ends).agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
-    return done.unionByName(verified(pairs.select("a", "b")))
+    open_ = stored(rows.where("c > low").join(done, "c", "left_anti"), "open")
+    return done.unionByName(verified(sharing(open_, rows)))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -128,8 +135,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rank = _rarity(docs)
     lines = stored(tokenised(docs, similarity, rank), "lines")
     at = F.struct("doc_id", "text_hash", "row", "line_no")
-    classes = lines.where("n > 0").groupBy("k", "n").agg(F.min(F.struct(at.alias("at"), "p")).alias("x"), F.count("*").alias("copies"))
-    classes = classes.select("k", "n", F.col("x.at").alias("first"), "x.p", "copies").orderBy("first").withColumn("c", F.monotonically_increasing_id())
+    classes = lines.where("n > 0").groupBy("k", "n").agg(F.min(F.struct(at.alias("at"), "p", "b0", "b1")).alias("x"), F.count("*").alias("copies"))
+    classes = classes.select("k", "n", F.col("x.at").alias("first"), "x.p", "x.b0", "x.b1", "copies").orderBy("first").withColumn("c", F.monotonically_increasing_id())
     classes = stored(classes, "classes")
     freed(docs.sparkSession)
     gone = similar_classes(docs, classes, rank, similarity).withColumn("gone", F.lit(True))
@@ -137,7 +144,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     loss = classes.select("c", "k", "n", "first", "copies").join(gone, "c", "left").where("copies > 1 OR gone").select("k", "n", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     loss = stored(loss, "loss")
     freed(docs.sparkSession)
-    out = lines.where("n > 0").drop("p").join(loss, ["k", "n"]).where((at > F.col("first")) | F.col("gone")).groupBy("doc_id", "text_hash", "row").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    out = lines.where("n > 0").drop("p", "b0", "b1").join(loss, ["k", "n"]).where((at > F.col("first")) | F.col("gone")).groupBy("doc_id", "text_hash", "row").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
     every = lines.groupBy("doc_id", "text_hash", "row").agg(F.count("*").alias("n_lines"))
     found = every.alias("e").join(out.alias("o"), F.expr("e.row = o.row AND e.text_hash = o.text_hash AND e.doc_id <=> o.doc_id"), "left")
     found = found.select("e.doc_id", "e.text_hash", "e.row", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))

@@ -89,7 +89,7 @@ def freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def bitmap(df: DataFrame, col: Column | str, bits: int = 27) -> np.ndarray:
+def bitmap(df: DataFrame, col: Column | str, bits: int = 25) -> np.ndarray:
     """A filter of fixed size over the longs in ``col``: bit ``x mod 2**bits`` is set for each x. Its words are made on the executors."""
     i = F.col(col).bitwiseAND((1 << bits) - 1) if isinstance(col, str) else col.bitwiseAND((1 << bits) - 1)
     words = df.select(i.alias("i")).groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(i & 63 AS INT))")).alias("v")).toArrow()

@@ -124,7 +124,7 @@ def _ids(batches):
 
 
 #: Starts that are looked at together: what their strings have in common is looked up first.
-STEP = 12
+STEP = 6
 
 
 def _runs(lo: int, hi: int, at: int, length: int):
@@ -138,8 +138,10 @@ def _common(batches, length):
     """For each run of STEP starts in a context the identifier of what all its strings have in common."""
     digest = xxhash.xxh3_64_intdigest
     for b in batches:
-        key = [digest(c[i:j]) for x, y, z, c in zip(*(b.column(i).to_pylist() for i in range(4))) for _, _, i, j in _runs(x, y, z, length)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64))], ["key"])
+        found = [(digest(c[i:j]), r, x + i) for r, x, y, z, c in zip(*(b.column(i).to_pylist() for i in range(5))) for _, _, i, j in _runs(x, y, z, length)]
+        key = np.array([f[0] for f in found], np.uint64).view(np.int64)
+        row, at = (np.array([f[i] for f in found], np.int64) for i in (1, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(_row_id(row, at, key).view(np.int64))], ["key", "x"])
 
 
 def _spans(batches, length, repeated, firsts=None, again=None):
@@ -162,6 +164,8 @@ def _spans(batches, length, repeated, firsts=None, again=None):
             of, first, last = of[some], first[some], last[some]
             n = last - first + 1
             of, first = np.repeat(of, n), np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else first, n) + np.arange(n.sum())
+            some = np.unique(_row_id(rows[of], first, np.zeros(len(of), np.int64)), return_index=True)[1]  # several suffixes reach the same string
+            of, first = of[some], first[some]
             last = first
             key = np.fromiter((digest(context[k][x - lo[k] : x - lo[k] + length]) for k, x in zip(of.tolist(), first.tolist())), np.uint64, len(of))
             if again is not None:
@@ -169,7 +173,8 @@ def _spans(batches, length, repeated, firsts=None, again=None):
                 of, first, last, key = of[some], first[some], last[some], key[some]
         for i in range(0, len(of), 500_000):
             r = pa.array(of[i : i + 500_000])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(r), b.column(1).take(r), *(pa.array(x[i : i + 500_000]) for x in (first, last, key.view(np.int64)))], ["doc_id", "row", "lo", "hi", "key"])
+            part = [x[i : i + 500_000] for x in (first, last, key.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(r), b.column(1).take(r), *map(pa.array, part), pa.array(_row_id(rows[of[i : i + 500_000]], part[0], part[2]).view(np.int64))], ["doc_id", "row", "lo", "hi", "key", "x"])
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -192,11 +197,14 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     own = docs.select("doc_id", "row", "text")
 
     def repeats(keys: DataFrame) -> np.ndarray:
-        found = bitmap(keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "key")
+        """A filter of the keys that stand at different places ``x``."""
+        found = bitmap(keys.groupBy("key").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a < b"), "key")
         freed(spark)
         return found
 
-    many = share(repeats(docs.select("text").mapInArrow(lambda it: _count(it, length), "key long, n long")))
+    counts = docs.select("text").mapInArrow(lambda it: _count(it, length), "key long, n long")
+    many = share(bitmap(counts.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "key"))
+    freed(spark)
     schema = f"doc_id {kind}, row long, b long, cls long, lo long, hi long"
     found = stored(own.mapInArrow(lambda it: _suffixes(it, length, many, None), schema), "suffixes")
     classes = stored(found.groupBy("cls", "b").agg(F.min(F.struct("doc_id", "row", "lo")).alias("first"), F.count("*").alias("n")), "classes")
@@ -209,15 +217,17 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     firsts = share(bitmap(firsts.mapInArrow(_ids, "x long"), "x"))
     source = stored(own.mapInArrow(lambda it: _suffixes(it, length, many, firsts), schema + ", at long, context binary"), "contexts")
     dropped(classes)
+    many.destroy()
+    firsts.destroy()
     freed(spark)
-    common = source.select("lo", "hi", "at", "context").mapInArrow(lambda it: _common(it, length), "key long").withColumn("n", F.lit(1))
+    common = source.select("row", "lo", "hi", "at", "context").mapInArrow(lambda it: _common(it, length), "key long, x long")
     common = share(repeats(common))
-    source, schema = source.select("doc_id", "row", "lo", "hi", "at", "context"), f"doc_id {kind}, row long, lo long, hi long, key long"
+    source, schema = source.select("doc_id", "row", "lo", "hi", "at", "context"), f"doc_id {kind}, row long, lo long, hi long, key long, x long"
 
     def after_first(found: DataFrame, first: DataFrame) -> DataFrame:
         return found.join(first, "key").where(at > F.col("first")).select("row", "lo", "hi")
 
-    spans = stored(source.mapInArrow(lambda it: _spans(it, length, common), schema), "spans")
+    spans = stored(source.mapInArrow(lambda it: _spans(it, length, common), schema).drop("x"), "spans")
     first = stored(spans.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n")), "firsts")
     freed(spark)
     equal = stored(after_first(spans, first.where("n > 1").select("key", "first")), "later")
@@ -225,9 +235,12 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     heads = share(bitmap(first.select("first.row", "first.lo", "key").mapInArrow(_ids, "x long"), "x"))
     dropped(first)
     freed(spark)
-    again = share(repeats(source.mapInArrow(lambda it: _spans(it, length, common, heads), schema).select("key", F.lit(1).alias("n"))))
-    strings = stored(source.mapInArrow(lambda it: _spans(it, length, common, heads, again), schema), "strings")
+    again = share(repeats(source.mapInArrow(lambda it: _spans(it, length, common, heads), schema).select("key", "x")))
+    strings = stored(source.mapInArrow(lambda it: _spans(it, length, common, heads, again), schema).drop("x"), "strings")
     dropped(source)
+    for x in (common, heads, again):
+        x.destroy()
+    freed(spark)
     first = stored(strings.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last").select("key", "first"), "firsts")
     single = stored(after_first(strings, first), "later")
     dropped(strings, first)

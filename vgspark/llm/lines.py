@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import freed, stored, table
+from .common import dropped, freed, stored, table
 
 SIMILARITY = 0.8
 #: Token counts are kept for so many buckets of token hashes: a table of this size however many tokens there are.
@@ -52,10 +52,9 @@ def _prefix(n: Column, s: float) -> Column:
     return n - F.ceil(n * s - 1e-9).cast("int") + 1
 
 
-def _bits(t: str, of: int) -> Column:
+def _bits(t: str) -> Column:
     """A bit for each token: lines differ by at least as many tokens as bits."""
-    own = F.filter(t, lambda x: x.bitwiseAND(64) == 64 * of)
-    return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
+    return F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
 
 
 def _may_hold(hashes: DataFrame, x: Column) -> Column:
@@ -74,11 +73,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def tokenised(docs: DataFrame, similarity: float, rank: Column) -> DataFrame:
-    """``(doc_id, text_hash, row, line_no, k, n, p, b0, b1)``: of each line its class (of lines with equal tokens), its number of tokens, its rarest tokens and 128 bits of all."""
-    lines = F.transform(F.split(_spaced("text"), "\n"), lambda x: _tokens(x, rank))
-    rows = _numbered(docs).select("doc_id", "text_hash", "row", F.posexplode(lines).alias("line_no", "t"))
+    """``(doc_id, text_hash, row, line_no, k, n, p, bits)``: of each line its class (of lines with equal tokens), its number of tokens, its rarest tokens and 64 bits of all."""
+    rows = _numbered(docs).select("doc_id", "text_hash", "row", F.posexplode(F.split(_spaced("text"), "\n")).alias("line_no", "line"))
+    rows = rows.select("doc_id", "text_hash", "row", "line_no", _tokens(F.col("line"), rank).alias("t"))
     n = F.size("t")
-    return rows.select("doc_id", "text_hash", "row", "line_no", F.when(n > 0, F.xxhash64("t")).alias("k"), n.alias("n"), F.when(n >= LEAST, F.slice("t", F.lit(1), _prefix(n, similarity))).alias("p"), _bits("t", 0).alias("b0"), _bits("t", 1).alias("b1"))
+    return rows.select("doc_id", "text_hash", "row", "line_no", F.when(n > 0, F.xxhash64("t")).alias("k"), n.alias("n"), F.when(n >= LEAST, F.slice("t", F.lit(1), _prefix(n, similarity))).alias("p"), F.when(n >= LEAST, _bits("t")).alias("bits"))
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, rank: Column, similarity: float = SIMILARITY) -> DataFrame:
@@ -91,12 +90,13 @@ def similar_classes(docs: DataFrame, classes: DataFrame, rank: Column, similarit
     """
     s = similarity
     numbered = _numbered(docs)
-    rows = classes.where("p IS NOT NULL").select("c", "n", "b0", "b1", F.posexplode("p").alias("pos", "token"))
+    rows = classes.where("p IS NOT NULL").select("c", "n", "bits", F.posexplode("p").alias("pos", "token"))
     shared = stored(rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token", "low"), "shared")
-    rows = stored(rows.join(shared, "token"), "prefixes")
+    rows = stored(rows.join(shared, "token").withColumn("head", F.col("c") == F.col("low")).drop("low"), "prefixes")
+    freed(docs.sparkSession)
     n, m = F.col("a.n"), F.col("b.n")
     need = F.ceil((n + m) * (s / (1 + s)) - 1e-9)
-    differ = F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))) + F.bit_count(F.col("a.b1").bitwiseXOR(F.col("b.b1")))
+    differ = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
     fits = (F.col("a.token") == F.col("b.token")) & (F.col("b.c") < F.col("a.c")) & (F.least(n, m) >= F.ceil(F.greatest(n, m) * s - 1e-9)) & (F.least(n - F.col("a.pos"), m - F.col("b.pos")) + F.least("a.pos", "b.pos") >= need) & (differ <= n + m - 2 * need)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -116,9 +116,9 @@ def similar_classes(docs: DataFrame, classes: DataFrame, rank: Column, similarit
     def sharing(a: DataFrame, b: DataFrame) -> DataFrame:
         return a.alias("a").join(b.alias("b"), fits).select(*ends).distinct()
 
-    done = verified(sharing(rows.where("c > low"), rows.where("c = low")))
+    done = verified(sharing(rows.where("NOT head"), rows.where("head")))
     freed(docs.sparkSession)
-    open_ = stored(rows.where("c > low").join(done, "c", "left_anti"), "open")
+    open_ = rows.where("NOT head").join(done, "c", "left_anti")
     return done.unionByName(verified(sharing(open_, rows)))
 
 
@@ -135,16 +135,18 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rank = _rarity(docs)
     lines = stored(tokenised(docs, similarity, rank), "lines")
     at = F.struct("doc_id", "text_hash", "row", "line_no")
-    classes = lines.where("n > 0").groupBy("k", "n").agg(F.min(F.struct(at.alias("at"), "p", "b0", "b1")).alias("x"), F.count("*").alias("copies"))
-    classes = classes.select("k", "n", F.col("x.at").alias("first"), "x.p", "x.b0", "x.b1", "copies").orderBy("first").withColumn("c", F.monotonically_increasing_id())
+    classes = lines.where("n > 0").groupBy("k", "n").agg(F.min(F.struct(at.alias("at"), "p", "bits")).alias("x"), F.count("*").alias("copies"))
+    classes = classes.select("k", "n", F.col("x.at").alias("first"), "x.p", "x.bits", "copies").orderBy("first").withColumn("c", F.monotonically_increasing_id())
     classes = stored(classes, "classes")
+    whole, lines = lines, stored(lines.drop("p", "bits"), "lines")
+    dropped(whole)
     freed(docs.sparkSession)
     gone = similar_classes(docs, classes, rank, similarity).withColumn("gone", F.lit(True))
     # lines of classes that lose none: seen once, without a match
     loss = classes.select("c", "k", "n", "first", "copies").join(gone, "c", "left").where("copies > 1 OR gone").select("k", "n", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     loss = stored(loss, "loss")
     freed(docs.sparkSession)
-    out = lines.where("n > 0").drop("p", "b0", "b1").join(loss, ["k", "n"]).where((at > F.col("first")) | F.col("gone")).groupBy("doc_id", "text_hash", "row").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    out = lines.where("n > 0").join(loss, ["k", "n"]).where((at > F.col("first")) | F.col("gone")).groupBy("doc_id", "text_hash", "row").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
     every = lines.groupBy("doc_id", "text_hash", "row").agg(F.count("*").alias("n_lines"))
     found = every.alias("e").join(out.alias("o"), F.expr("e.row = o.row AND e.text_hash = o.text_hash AND e.doc_id <=> o.doc_id"), "left")
     found = found.select("e.doc_id", "e.text_hash", "e.row", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))

@@ -52,9 +52,10 @@ def _prefix(n: Column, s: float) -> Column:
     return n - F.ceil(n * s - 1e-9).cast("int") + 1
 
 
-def _bits(t: str) -> Column:
-    """A bit for each token: lines differ by at least as many tokens as bits."""
-    return F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
+def _bits(t: str, half: int) -> Column:
+    """Half of 128 bits, one for each token: lines differ by at least as many tokens as bits."""
+    own = F.filter(t, lambda x: x.bitwiseAND(64) == 64 * half)
+    return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
 
 
 def _may_hold(hashes: DataFrame, x: Column) -> Column:
@@ -73,11 +74,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def tokenised(docs: DataFrame, similarity: float, rank: Column) -> DataFrame:
-    """``(doc_id, text_hash, row, line_no, k, n, p, bits)``: of each line its class (of lines with equal tokens), its number of tokens, its rarest tokens and 64 bits of all."""
+    """``(doc_id, text_hash, row, line_no, k, n, p, bits, more)``: of each line its class (of lines with equal tokens), its number of tokens, its rarest tokens and 128 bits of all."""
     rows = _numbered(docs).select("doc_id", "text_hash", "row", F.posexplode(F.split(_spaced("text"), "\n")).alias("line_no", "line"))
     rows = rows.select("doc_id", "text_hash", "row", "line_no", _tokens(F.col("line"), rank).alias("t"))
     n = F.size("t")
-    return rows.select("doc_id", "text_hash", "row", "line_no", F.when(n > 0, F.xxhash64("t")).alias("k"), n.alias("n"), F.when(n >= LEAST, F.slice("t", F.lit(1), _prefix(n, similarity))).alias("p"), F.when(n >= LEAST, _bits("t")).alias("bits"))
+    return rows.select("doc_id", "text_hash", "row", "line_no", F.when(n > 0, F.xxhash64("t")).alias("k"), n.alias("n"), F.when(n >= LEAST, F.slice("t", F.lit(1), _prefix(n, similarity))).alias("p"), F.when(n >= LEAST, _bits("t", 0)).alias("bits"), F.when(n >= LEAST, _bits("t", 1)).alias("more"))
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, rank: Column, similarity: float = SIMILARITY) -> DataFrame:
@@ -90,13 +91,13 @@ def similar_classes(docs: DataFrame, classes: DataFrame, rank: Column, similarit
     """
     s = similarity
     numbered = _numbered(docs)
-    rows = classes.where("p IS NOT NULL").select("c", "n", "bits", F.posexplode("p").alias("pos", "token"))
+    rows = classes.where("p IS NOT NULL").select("c", "n", "bits", "more", F.posexplode("p").alias("pos", "token"))
     shared = stored(rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token", "low"), "shared")
     rows = stored(rows.join(shared, "token").withColumn("head", F.col("c") == F.col("low")).drop("low"), "prefixes")
     freed(docs.sparkSession)
     n, m = F.col("a.n"), F.col("b.n")
     need = F.ceil((n + m) * (s / (1 + s)) - 1e-9)
-    differ = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))
+    differ = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) + F.bit_count(F.col("a.more").bitwiseXOR(F.col("b.more")))
     fits = (F.col("a.token") == F.col("b.token")) & (F.col("b.c") < F.col("a.c")) & (F.least(n, m) >= F.ceil(F.greatest(n, m) * s - 1e-9)) & (F.least(n - F.col("a.pos"), m - F.col("b.pos")) + F.least("a.pos", "b.pos") >= need) & (differ <= n + m - 2 * need)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -135,10 +136,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rank = _rarity(docs)
     lines = stored(tokenised(docs, similarity, rank), "lines")
     at = F.struct("doc_id", "text_hash", "row", "line_no")
-    classes = lines.where("n > 0").groupBy("k", "n").agg(F.min(F.struct(at.alias("at"), "p", "bits")).alias("x"), F.count("*").alias("copies"))
-    classes = classes.select("k", "n", F.col("x.at").alias("first"), "x.p", "x.bits", "copies").orderBy("first").withColumn("c", F.monotonically_increasing_id())
+    classes = lines.where("n > 0").groupBy("k", "n").agg(F.min(F.struct(at.alias("at"), "p", "bits", "more")).alias("x"), F.count("*").alias("copies"))
+    classes = classes.select("k", "n", F.col("x.at").alias("first"), "x.p", "x.bits", "x.more", "copies").orderBy("first").withColumn("c", F.monotonically_increasing_id())
     classes = stored(classes, "classes")
-    whole, lines = lines, stored(lines.drop("p", "bits"), "lines")
+    whole, lines = lines, stored(lines.drop("p", "bits", "more"), "lines")
     dropped(whole)
     freed(docs.sparkSession)
     gone = similar_classes(docs, classes, rank, similarity).withColumn("gone", F.lit(True))

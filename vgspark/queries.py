@@ -31,7 +31,8 @@ def _parsed(spark: SparkSession, d: str) -> GraphSet:
     """The testbed's graph A written as GFA lines and read from them."""
     text = gfa.to_lines(graph(spark, d, "A"))
     # S lines come in order of ids, so that ids are given anew in that order
-    return gfa.parse(text.select("graph_id", (F.col("part") * (1 << 50) + F.col("a")).alias("line_no"), "value"))
+    at = F.when(F.col("part") == 3, F.monotonically_increasing_id()).otherwise(F.col("a") * 1024 + F.pmod(F.col("b") - F.col("a"), F.lit(1024)))
+    return gfa.parse(text.select("graph_id", (F.col("part").cast("long") * (1 << 58) + at).alias("line_no"), "value"))
 
 
 def _alignment(spark: SparkSession, d: str, **how):

@@ -116,7 +116,7 @@ def decompose(g: GraphSet, nested: str = "drop", max_alleles: int = 100_000, ran
     if nested == "drop":
         inside = alleles.where("size(path) > 2").select("graph_id", F.explode(F.expr("slice(path, 2, size(path) - 2)")).alias("source")).distinct()
         alleles = kept(alleles.join(inside, ["graph_id", "source"], "left_anti"))
-    rank = topological_rank(g) if rank is None else rank
+    rank = kept(topological_rank(g)) if rank is None else rank  # a cycle is an error even where there is no bubble
     snarls = alleles.groupBy("graph_id", "source", "sink").agg(F.count("*").cast("int").alias("allele_count"))
     snarls = snarls.join(rank.withColumnRenamed("node_id", "source"), ["graph_id", "source"])
     snarls = snarls.withColumn("snarl_idx", (F.row_number().over(Window.partitionBy("graph_id").orderBy("rank")) - 1).cast("int"))

@@ -48,8 +48,13 @@ def _tokens(line: Column, rank: Column) -> Column:
 
 
 def _prefix(n: Column, s: float) -> Column:
-    """So many of its rarest tokens that a similar line has one of them among as many of its own."""
-    return n - F.ceil(n * s - 1e-9).cast("int") + 1
+    """So many of its rarest tokens that a similar line has ``_shared`` of them among as many of its own."""
+    return n - F.ceil(n * s - 1e-9).cast("int") + _shared(n)
+
+
+def _shared(n: Column) -> Column:
+    """Long lines, whose bits are all set, share more tokens."""
+    return F.greatest(F.lit(1), F.floor(n / 20)).cast("int")
 
 
 def _bits(t: str, half: int) -> Column:
@@ -84,7 +89,7 @@ def tokenised(docs: DataFrame, similarity: float, rank: Column) -> DataFrame:
 def similar_classes(docs: DataFrame, classes: DataFrame, rank: Column, similarity: float = SIMILARITY) -> DataFrame:
     """``(c)``: classes whose first line has an earlier line, of another class, that is similar. ``c`` grows with the first line.
 
-    Classes whose prefixes share a token, and whose lengths, positions and bits allow the
+    Classes whose prefixes share a token, or more for long lines, and whose lengths, positions and bits allow the
     similarity, are candidates, verified on all their tokens. A class needs one earlier
     match only: it first meets the earliest class of each of its prefix tokens; only
     those without a match there meet all earlier classes.
@@ -116,7 +121,8 @@ def similar_classes(docs: DataFrame, classes: DataFrame, rank: Column, similarit
     ends = (F.col("a.c").alias("a"), F.col("b.c").alias("b"))
 
     def sharing(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.alias("a").join(b.alias("b"), fits).select(*ends).distinct()
+        pairs = a.alias("a").join(b.alias("b"), fits).groupBy(*ends).agg(F.count("*").alias("found"), F.min(_shared(F.least(n, m))).alias("least"))
+        return pairs.where("found >= least").select("a", "b")
 
     done = verified(sharing(rows.where("NOT head"), rows.where("head")))
     freed(docs.sparkSession)

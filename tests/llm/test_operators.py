@@ -107,6 +107,48 @@ def test_near_copies(spark):
     assert r[0] == r[20] and r[1] == r[21] and r[22] == r[23] and len(set(r.values())) == 11
 
 
+def test_near_copies_whole(spark):
+    rng = random.Random(17)
+    rows, want = [], {}
+    for n in (4, 5, 9, 20, 45, 90, 300, 1000):
+        for _ in range(12 if n < 100 else 3):
+            a = [f"w{rng.randrange(10**6)}" for _ in range(n + 4 + n // 4 + 1)]
+            i = len(rows)
+            # n shingles against n + n // 4, which is 0.8 or just above, and with one more just below
+            rows += [(i, " ".join(a[: n + 4]), "s"), (i + 1, " ".join(a[:-1]), "s")]
+            b = [f"v{x}" for x in a]
+            rows += [(i + 2, " ".join(b[: n + 4]), "s"), (i + 3, " ".join(b), "s")]
+            want |= {i: i, i + 1: i, i + 2: i + 2, i + 3: i + 3}
+    license = " ".join(f"l{k}" for k in range(40))
+    for k in range(60):  # a common passage makes no copies
+        want[len(rows)] = len(rows)
+        rows.append((len(rows), license + " " + " ".join(f"u{k}x{x}" for x in range(20)), "s"))
+    first = {}
+    for x in near.near_copies(frame(spark, rows)).orderBy("doc_id").collect():
+        assert first.setdefault(x.group, x.doc_id) == want[x.doc_id], rows[x.doc_id]
+    assert len(first) == len(set(want.values()))
+
+
+def test_near_copies_brute_force(spark):
+    rng = random.Random(18)
+    base = [[f"w{rng.randrange(40)}" for _ in range(rng.choice((1, 4, 8, 9, 12, 30, 80)))] for _ in range(25)]
+    docs = []
+    for _ in range(150):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            w.insert(rng.randrange(len(w) + 1), f"w{rng.randrange(40)}") if rng.random() < 0.5 else w.pop(rng.randrange(len(w))) if len(w) > 1 else None
+        docs.append(w)
+    sets = [{tuple(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)} for w in docs]
+    root = list(range(len(docs)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if docs[i] == docs[j] or len(x & sets[j]) >= 0.8 * len(x | sets[j]) - 1e-9:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    group = {x.doc_id: x.group for x in near.near_copies(frame(spark, [(i, " ".join(w), "s") for i, w in enumerate(docs)])).collect()}
+    assert all((group[i] == group[j]) == (root[i] == root[j]) for i in range(len(docs)) for j in range(i))
+
+
 def test_decontamination(spark):
     rows = texts()
     items = [(1, "What is abra cadabra of the seven hills in spring? The answer is forty two."), (2, rows[6][1]), (3, None), (4, "")]

@@ -116,7 +116,9 @@ def similar_classes(docs: DataFrame, classes: DataFrame, rank: Column, similarit
         sets = stored(lines.join(wanted, ["row", "line_no"]).select("c", _tokens(F.col("line"), rank).alias("t")), "sets")
         both = pairs.join(sets.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b")
         common = F.size(F.array_intersect("ta", "tb"))
-        return stored(both.where(common >= F.ceil((F.size("ta") + F.size("tb") - common) * s - 1e-9)).select(F.col("a").alias("c")).distinct(), "matched")
+        matched = stored(both.where(common >= F.ceil((F.size("ta") + F.size("tb") - common) * s - 1e-9)).select(F.col("a").alias("c")).distinct(), "matched")
+        dropped(pairs, wanted, sets)
+        return matched
 
     ends = (F.col("a.c").alias("a"), F.col("b.c").alias("b"))
 
@@ -127,7 +129,9 @@ def similar_classes(docs: DataFrame, classes: DataFrame, rank: Column, similarit
     done = verified(sharing(rows.where("NOT head"), rows.where("head")))
     freed(docs.sparkSession)
     open_ = rows.where("NOT head").join(done, "c", "left_anti")
-    return done.unionByName(verified(sharing(open_, rows)))
+    done = done.unionByName(verified(sharing(open_, rows)))
+    dropped(rows, shared)
+    return done
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

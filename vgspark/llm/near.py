@@ -1,27 +1,20 @@
-"""Near copies by word shingles: SimHash segments that differ by one bit at most propose, Jaccard similarity decides."""
+"""Near copies by word shingles: an exact set-similarity join of all documents by their rarest shingles."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, components, freed, in_bitmap, stored, words
+from .common import bitmap, components, dropped, freed, in_bitmap, stored, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: The print is cut into SEGMENTS of WIDTH bits; at similarity 0.8 some 15% of the bits differ, and one segment by at most one bit in nine cases of ten.
-SEGMENTS, WIDTH = 12, 20
-#: Bits of 64 further ones that may differ in a candidate.
-NEAR = 18
-
-
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    x = h + np.uint64((0x9E3779B97F4A7C15 * k) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: One text in SAMPLED tells which shingles are frequent, which OFTEN of its texts hold; FREQUENT of them at most come last in the order. Any order is exact.
+SAMPLED, OFTEN, FREQUENT = 16, 4, 1 << 18
+#: Bits of the filter that spares shingles which no other document has among its rarest.
+FILTER = 27
 
 
 def shingle_hashes(found: list[bytes], size: int = SHINGLE) -> np.ndarray:
@@ -33,90 +26,132 @@ def shingle_hashes(found: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(found[i : i + k])) for i in range(len(found) - k + 1)), np.uint64, len(found) - k + 1))
 
 
-def wide_print(found: list[bytes]) -> list[int]:
-    """Five SimHash words of 64 bits over the set of shingles: the first verifies, the others are cut into segments."""
-    h = shingle_hashes(found)
-    out = []
-    for k in range(5):
-        total = np.zeros(64, np.int64)
-        for i in range(0, len(h), 1 << 16):
-            total += np.unpackbits(_mixed(h[i : i + (1 << 16)], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits((2 * total > len(h)).astype(np.uint8), bitorder="little").view(np.int64)[0]))
-    return out
-
-
-def _prints(batches):
-    for b in batches:
-        key, prints = [], [[] for _ in range(5)]
-        for text in b.column(1).to_pylist():
-            found = words(text)
-            key.append(xxhash.xxh3_64_intdigest(b" ".join(found)))
-            for to, x in zip(prints, wide_print(found)):
-                to.append(x)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(key, np.uint64).view(np.int64)), *(pa.array(x, pa.int64()) for x in prints)], ["row", "node", "p0", "p1", "p2", "p3", "p4"])
-
-
-def _variants(batches, wanted):
-    """Every one-wildcard variant of every segment, or those in the filter."""
-    per = SEGMENTS // 4
-    for b in batches:
-        node, first = b.column(0), b.column(1)
-        for s in range(SEGMENTS):
-            word = b.column(2 + s // per).to_numpy().view(np.uint64)
-            part = (word >> np.uint64((s % per) * WIDTH)) & np.uint64((1 << WIDTH) - 1)
-            for p in range(WIDTH):
-                key = (part & ~np.uint64(1 << p)) | np.uint64((s * WIDTH + p) << WIDTH)
-                key = _mixed(key, 1)  # the filter takes the lowest bits
-                at = np.arange(len(key)) if wanted is None else np.flatnonzero(in_bitmap(wanted.value, key))
-                at_ = pa.array(at)
-                yield pa.RecordBatch.from_arrays([node.take(at_), first.take(at_), pa.array(key[at].view(np.int64))], ["node", "p0", "key"])
+def prefix(h: np.ndarray, keys: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of the distinct ``h``, frequent ones last, that a similar set has one of them among as many of its own."""
+    n = len(h)
+    if not n:
+        return h
+    rank = np.zeros(n, np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        rank = np.where(keys[at] == h, ranks[at], 0)
+    return h[np.lexsort((h, rank))][: n - int(np.ceil(n * similarity - 1e-9)) + 1]
+
+
+def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles by a sample of the texts, sorted, and their ranks from the rarest, 1, up."""
+
+    def shingles(batches):
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(words(text)).view(np.int64))], ["key"])
+
+    some = rows.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(SAMPLED)) == 0).select("text").mapInArrow(shingles, "key long")
+    found = some.groupBy("key").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(FREQUENT).toArrow()
+    key = found["key"].to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return key[order], (len(key) - order).astype(np.int64)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``(row, doc_id, group)``: documents linked through steps of Jaccard similarity ``similarity`` or more of their five-word shingles.
 
-    ``row`` numbers the input's rows (as monotonically_increasing_id does). Rows with equal words are one node and never paired. A node first
-    meets one node of each of its buckets; after that only nodes of a bucket that aren't yet
-    linked meet, so groups of near copies don't meet in all pairs. Every candidate within
-    NEAR bits is verified on its whole sets of shingles. A null text counts as empty; texts without
+    ``row`` numbers the input's rows (as monotonically_increasing_id does). Rows with equal words are one node and never paired. Similar
+    nodes share one of their rarest shingles, so all of them meet. A node first
+    meets one node of each of its shingles; after that only nodes that aren't yet
+    linked meet, so groups of near copies don't meet in all pairs. Pairs whose sizes and
+    positions allow the similarity are verified on their whole sets of shingles. Shingles are told apart by
+    64-bit hashes. A null text counts as empty; texts without
     words are one node. ``group`` is a number shared by the rows of a group.
     """
     spark = docs.sparkSession
+    freed(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    prints = stored(rows.select("row", "text").mapInArrow(_prints, "row long, node long, p0 long, p1 long, p2 long, p3 long, p4 long"), "prints")
-    nodes = stored(prints.groupBy("node", "p0", "p1", "p2", "p3", "p4").agg(F.min("row").alias("row")), "nodes")
-    source = nodes.select("node", "p0", "p1", "p2", "p3", "p4").repartition(F.col("node"))
-    keys = source.mapInArrow(lambda it: _variants(it, None), "node long, p0 long, key long").groupBy("key").count()
-    many = spark.sparkContext.broadcast(bitmap(keys.where("count > 1"), "key"))
+    frequent = spark.sparkContext.broadcast(_frequent(rows))
+
+    def prefixes(batches):
+        for b in batches:
+            node, size, out = [], [], []
+            for text in b.column(1).to_pylist():
+                found = words(text)
+                node.append(xxhash.xxh3_64_intdigest(b" ".join(found)))
+                h = shingle_hashes(found)
+                size.append(len(h))
+                out.append(prefix(h, *frequent.value, similarity).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(out, pa.list_(pa.int64()))], ["row", "node", "n", "p"])
+
+    prints = stored(rows.select("row", "text").mapInArrow(prefixes, "row long, node long, n int, p array<long>"), "prints")
+    nodes = stored(prints.groupBy("node").agg(F.min("row").alias("row")), "nodes")
+
+    def slots(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array((b.column(0).flatten().to_numpy(zero_copy_only=False) & ((1 << FILTER) - 1)).astype(np.int32))], ["slot"])
+
+    seen = prints.select("p").mapInArrow(slots, "slot int").groupBy("slot").count().where("count > 1")
+    many = spark.sparkContext.broadcast(bitmap(seen.select(F.col("slot").cast("long").alias("slot")), "slot", FILTER))
+    freed(spark)
+
+    def shared(batches):
+        for b in batches:
+            p = b.column(2)
+            each = np.diff(p.offsets.to_numpy())
+            key, of = p.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(each)), each)
+            pos = np.arange(len(key)) - np.repeat(np.cumsum(each) - each, each)
+            at = np.flatnonzero(in_bitmap(many.value, key.view(np.uint64)))
+            from_ = pa.array(of[at])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(from_), b.column(1).take(from_), pa.array(pos[at].astype(np.int32)), pa.array(key[at])], ["node", "n", "pos", "key"])
+
+    spread = prints.select("node", "n", "p").mapInArrow(shared, "node long, n int, pos int, key long")
+    at = stored(spread.distinct(), "shared")
+    low = at.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("x"), F.max("node").alias("z")).where("x.node < z")
+    low = stored(low.select("key", F.col("x.node").alias("a"), F.col("x.n").alias("m"), F.col("x.pos").alias("at")), "low")
     freed(spark)
-    at = stored(source.mapInArrow(lambda it: _variants(it, many), "node long, p0 long, key long"), "variants")
-    low = stored(at.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a"), "low")
+
+    def fits(n: str, m: str, before: Column, i: str, j: str) -> Column:
+        """Whether sizes allow the similarity when ``before`` shingles at most are shared up to positions ``i`` and ``j``."""
+        n, m = F.col(n), F.col(m)
+        need = F.ceil((n + m) * (similarity / (1 + similarity)) - 1e-9)
+        return (F.least(n, m) >= F.ceil(F.greatest(n, m) * similarity - 1e-9)) & (before + F.least(n - 1 - F.col(i), m - 1 - F.col(j)) >= need)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.distinct(), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+        held = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("row").alias("h")), "h"))
+        freed(spark)
 
         def sets(batches):
+            """The whole sets of wanted nodes; the filter may let others pass, which no pair has."""
             for b in batches:
-                out = [np.sort(shingle_hashes(words(x))).view(np.int64) for x in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "s"])
+                b = b.filter(pa.array(in_bitmap(held.value, b.column(0).to_numpy().view(np.uint64))))
+                found = [words(x) for x in b.column(1).to_pylist()]
+                node = np.array([xxhash.xxh3_64_intdigest(b" ".join(x)) for x in found], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([shingle_hashes(x).view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "s"])
 
-        found = rows.select("row", "text").join(stored(wanted, "wanted"), "row").select("node", "text").mapInArrow(sets, "node long, s array<long>")
-        found = stored(found, "sets")
+        found = stored(rows.select(F.xxhash64("row").alias("h"), "text").mapInArrow(sets, "node long, s array<long>"), "sets")
         both = pairs.join(found.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
-        return stored(both.where(common >= (F.size("sa") + F.size("sb") - common) * similarity - 1e-9).select("a", "b"), "links")
+        links = stored(both.where(common >= (F.size("sa") + F.size("sb") - common) * similarity - 1e-9).select("a", "b"), "links")
+        dropped(pairs, found)
+        freed(spark)
+        return links
 
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= NEAR
-    first = at.join(low, "key").where("node <> a").join(nodes.select(F.col("node").alias("a"), F.col("p0").alias("q")), "a").where(near("p0", "q"))
+    first = at.join(low, "key").where("node <> a").where(fits("n", "m", F.least("pos", "at") + 1, "pos", "at"))
     links = verified(first.select("a", F.col("node").alias("b")))
     roots = stored(components(links), "roots")
-    placed = at.join(roots, "node", "left").select("node", "p0", "key", F.coalesce("root", "node").alias("root"))
+    placed = at.join(low.select("key"), "key", "left_semi").join(roots, "node", "left").select("node", "n", "pos", "key", F.coalesce("root", "node").alias("root"))
+    placed = stored(placed, "placed")
+    dropped(at, low)
     open_ = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    placed = stored(placed.join(stored(open_, "open"), "key", "left_semi"), "placed")
-    l, r = placed.alias("l"), placed.alias("r")
-    rest = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & near("l.p0", "r.p0"))
-    more = verified(rest.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
+    open_ = stored(placed.join(stored(open_, "open"), "key", "left_semi"), "placed")
+    l, r = open_.alias("l"), open_.alias("r")
+    # a pair that isn't linked meets in each shingle that both have among their rarest, which come first of all they share
+    rest = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & fits("l.n", "r.n", F.least("l.pos", "r.pos") + 1, "l.pos", "r.pos"))
+    rest = rest.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.n").alias("n"), F.col("r.n").alias("m")).agg(F.count("*").alias("found"), F.max("l.pos").alias("i"), F.max("r.pos").alias("j"))
+    more = verified(rest.where(fits("n", "m", F.col("found"), "i", "j")).select("a", "b"))
+    dropped(placed, open_)
     roots = stored(components(links.unionByName(more)), "roots")
     grouped = prints.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("group"))
-    return rows.select("row", "doc_id").join(stored(grouped, "grouped"), "row")
+    grouped = stored(grouped, "grouped")
+    dropped(prints, nodes)
+    freed(spark)
+    return rows.select("row", "doc_id").join(grouped, "row")

@@ -159,6 +159,18 @@ def test_decontamination(spark):
     assert not decontaminate.contaminated(frame(spark, rows), bench.limit(0)).collect()
 
 
+def test_leaks_without_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b = "What is abra cadabra of the seven hills in spring? The answer is forty two.", "Who sailed round the cold northern cape before winter came? It was old captain Brandt."
+    spark.createDataFrame([(1, a), (None, b)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, "foo " + a, "s"), (5, "bar " + b, "s"), (7, "baz " + a, "s"), (7, "clean text of the same id", "s"), (None, "clean text without an id", "s"), (8, None, "s")]
+    out = corpus_pipeline.leaks_out(spark, frame(spark, rows), str(tmp_path))
+    assert sorted(str(x.text) for x in out.collect()) == sorted(str(rows[i][1]) for i in (3, 4, 5)) and out.columns == frame(spark, rows).columns
+    found = decontaminate.contaminated(frame(spark, rows), spark.read.parquet(str(tmp_path / "benchmark.parquet")))
+    assert {(x.doc_id, x.item_id) for x in found.collect()} == {(None, 1), (5, None), (7, 1)}
+
+
 def test_hamming(spark):
     rng = random.Random(8)
     codes = [rng.getrandbits(64) for _ in range(300)]

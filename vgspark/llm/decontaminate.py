@@ -133,7 +133,7 @@ class Index:
 
 def indexes(benchmark: DataFrame, threshold: float, limit: int = INDEX_BYTES) -> list[Index]:
     """Indexes over all items, of ``limit`` bytes of text each or one item; counts for BM25 are over all of them."""
-    items = benchmark.select(F.col("item_id").alias("id"), "text").where("text IS NOT NULL AND id IS NOT NULL")
+    items = benchmark.select(F.col("item_id").alias("id"), "text").where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-size // limit)
     chunks = [[(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i).orderBy("id", "text").collect()] for i in range(parts)]
@@ -179,6 +179,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.select("doc_id", F.col("h.item").cast(item_kind).alias("item_id"), "h.score", F.col("h.question").alias("question_overlap"), F.col("h.answer").alias("answer_overlap"), F.col("h.start").alias("start_word"), F.col("h.end").alias("end_word"))
 
 
+def without_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = 0.5, overlap: float = 0.6) -> DataFrame:
+    """The rows of ``docs`` that hold no item, as ``contaminated`` finds them; rows are judged by their text, whatever their id."""
+    at = docs.columns.index(text_col)
+    for index in indexes(benchmark, threshold):
+        index = docs.sparkSession.sparkContext.broadcast(index)  # INDEX_BYTES of text at most
+
+        def clean(batches, index=index):
+            for b in batches:
+                yield b.filter(pa.array([not (x and index.value.search(terms(x), overlap)) for x in b.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")), "start_word", "end_word")

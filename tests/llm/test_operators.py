@@ -72,6 +72,22 @@ def test_lines(spark):
     assert {x.text for x in kept.where("doc_id = 50").collect()} == {None}
 
 
+@pytest.mark.parametrize("similarity", (0.5, 0.7))
+def test_short_lines(spark, similarity):
+    rng = random.Random(3)
+    docs = [(i, "\n".join(" ".join(rng.sample("abcdefghijklmnopqrstuvwxyz", rng.randrange(1, 6))) for _ in range(6)), "s") for i in range(12)]
+    docs += [(20, "one two three\nred green", "s"), (21, "one two three four\nred green blue\nblack", "s")]
+    seen, want = [], {}
+    for i, t, _ in docs:
+        want[i] = []
+        for k, line in enumerate(t.split("\n")):
+            s = set(line.split())
+            if any(len(s & o) >= similarity * len(s | o) - 1e-9 for o in seen):
+                want[i].append(k)
+            seen.append(s)
+    assert {x.doc_id: list(x.removed) for x in lines.removed_lines(frame(spark, docs), similarity=similarity).collect()} == want and want[21][0] == 0
+
+
 def test_simhash(spark):
     rows = texts()
 

@@ -15,8 +15,11 @@ SIMILARITY = 0.8
 BUCKETS = 1 << 16
 #: Bits of the filters that spare rows which no join wants.
 FILTER = 1 << 20
-#: Below so many tokens only lines with the same tokens are similar enough.
-LEAST = 4
+
+
+def _least(s: float) -> int:
+    """Below so many tokens only lines with the same tokens are similar enough: n and n + 1 tokens have n / (n + 1)."""
+    return math.ceil(s / (1 - s) - 1e-9) if s < 1 else 1 << 30
 
 
 def _spaced(text: str) -> Column:
@@ -82,8 +85,8 @@ def tokenised(docs: DataFrame, similarity: float, rank: Column) -> DataFrame:
     """``(doc_id, text_hash, row, line_no, k, n, p, bits, more)``: of each line its class (of lines with equal tokens), its number of tokens, its rarest tokens and 128 bits of all."""
     rows = _numbered(docs).select("doc_id", "text_hash", "row", F.posexplode(F.split(_spaced("text"), "\n")).alias("line_no", "line"))
     rows = rows.select("doc_id", "text_hash", "row", "line_no", _tokens(F.col("line"), rank).alias("t"))
-    n = F.size("t")
-    return rows.select("doc_id", "text_hash", "row", "line_no", F.when(n > 0, F.xxhash64("t")).alias("k"), n.alias("n"), F.when(n >= LEAST, F.slice("t", F.lit(1), _prefix(n, similarity))).alias("p"), F.when(n >= LEAST, _bits("t", 0)).alias("bits"), F.when(n >= LEAST, _bits("t", 1)).alias("more"))
+    n, least = F.size("t"), _least(similarity)
+    return rows.select("doc_id", "text_hash", "row", "line_no", F.when(n > 0, F.xxhash64("t")).alias("k"), n.alias("n"), F.when(n >= least, F.slice("t", F.lit(1), _prefix(n, similarity))).alias("p"), F.when(n >= least, _bits("t", 0)).alias("bits"), F.when(n >= least, _bits("t", 1)).alias("more"))
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, rank: Column, similarity: float = SIMILARITY) -> DataFrame:
@@ -135,13 +138,13 @@ def similar_classes(docs: DataFrame, classes: DataFrame, rank: Column, similarit
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``(doc_id, text_hash, copy, n_lines, removed)``: for each row the numbers, from 0, of the lines that go.
+    """``(doc_id, text_hash, copy, n_lines, removed)``: for each row with a text the numbers, from 0, of the lines that go.
 
     A line goes if an earlier line, in order of document id (null first), hash of the
     text, repeated row and line number, has a token set of Jaccard similarity
     ``similarity`` or more; earlier lines count whether they stay or go. Tokens are the
     lower-cased words of a line, each once, told apart by length and hash. Lines without
-    tokens stay. A null text has no line. ``copy`` numbers rows that agree in id and text, from 1.
+    tokens stay. A null text has no line and no row. ``copy`` numbers rows that agree in id and text, from 1.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rank = _rarity(docs)

@@ -20,7 +20,12 @@ GRAM = 7
 
 @dataclass
 class Settings:
-    """``fit_rows``: labelled rows of each label at most that each dictionary, and the calibration, learns from."""
+    """``fit_rows``: labelled rows of each label at most that each dictionary, and the calibration, learns from.
+
+    ``fit_windows``: windows at most, picked at random, that each training text gives the dictionaries; ``plain_windows``: ordinary
+    windows in all that the ordinary and the shared dictionary are made from. ``deviations`` is the bar for n-grams from 1500 toxic rows
+    up; below, it falls with their square root, to 3.5. Calibration and scoring read whole texts.
+    """
 
     fit_rows: int = 4000
     fit_windows: int = 200

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
         if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
             found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -38,6 +41,13 @@ def stored(df: DataFrame, what: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` if it comes straight from files, so that its rows keep their order and numbers whenever they are read again; else a stored copy."""
+    plan = df._jdf.queryExecution().executedPlan().treeString()
+    own = all(re.search(r"FileScan|BatchScan|Project|Filter|ColumnarToRow|WholeStageCodegen|AdaptiveSparkPlan|LocalTableScan", x) for x in plan.split("\n") if x.strip())
+    return df if own and "rand(" not in plan else stored(df, "rows")
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete tables that ``stored`` wrote and nothing reads any more."""
     for df in frames:

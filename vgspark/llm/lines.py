@@ -8,11 +8,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, freed, stored, table
+from .common import dropped, freed, settled, stored, table
 
 SIMILARITY = 0.8
 #: Token counts are kept for so many buckets of token hashes: a table of this size however many tokens there are.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
+#: Prefix tokens whose bucket has more lines than this meet the first line of each token before they meet the others.
+HEAVY = 1024
 #: Bits of the filters that spare rows which no join wants.
 FILTER = 1 << 20
 
@@ -28,42 +30,42 @@ def _spaced(text: str) -> Column:
     return F.lower(F.when(odd[0] | odd[1] | odd[2] | odd[3], F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(F.col(text)))
 
 
+def _table(values: list[int]) -> Column:
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<int>")
+
+
 def _rarity(docs: DataFrame) -> Column:
-    """A literal array: for each bucket log2 of how many tokens of all lines fall in it, less what a bucket has on average."""
+    """A literal array: for each bucket, in eighths, log2 of how many tokens of all lines fall in it."""
     words = docs.select(F.explode(F.split(F.replace(_spaced("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b")).count().collect()
-    usual = int(math.log2(max(1, sum(n for _, n in counts) // BUCKETS))) + 1  # below that a bucket's count tells little of each token's
     rank = [0] * BUCKETS
-    for b, n in counts:
-        rank[b] = max(0, min(31, int(math.log2(n))) - usual)
-    return F.from_json(F.lit(json.dumps(rank)), "array<int>")
+    for b, n in words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b")).count().collect():
+        rank[b] = min(255, int(8 * math.log2(n)))
+    return _table(rank)
 
 
-def _tokens(line: Column, rank: Column) -> Column:
-    """The distinct tokens of a line in order of rarity, as numbers: log2 of their bucket's count, then the longer the rarer, then a hash of 52 bits."""
+def _hashes(line: str) -> Column:
+    """The distinct tokens of a line, as hashes of 64 bits."""
+    return F.array_distinct(F.array_remove(F.transform(F.split(line, " "), lambda x: F.xxhash64(x)), F.xxhash64(F.lit(""))))
 
-    def number(x: Column) -> Column:
-        h = F.xxhash64(x)
-        often = F.get(rank, h.bitwiseAND(BUCKETS - 1).cast("int"))
-        return F.shiftleft((often * 64 + 63 - F.least(F.length(x), F.lit(63))).cast("long"), 52).bitwiseOR(F.shiftrightunsigned(h, 12))
 
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), number)))
+def _ordered(h: str, rank: Column) -> Column:
+    """Hashes in order of rarity, as numbers: the rank of their bucket, then 55 bits of the hash."""
+    return F.sort_array(F.transform(h, lambda x: F.shiftleft(F.coalesce(F.get(rank, x.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0)).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(x, 9))))
 
 
-def _prefix(n: Column, s: float) -> Column:
-    """So many of its rarest tokens that a similar line has ``_shared`` of them among as many of its own."""
-    return n - F.ceil(n * s - 1e-9).cast("int") + _shared(n)
+def _parity(h: str) -> Column:
+    """64 bits, each telling whether an odd number of tokens falls on it: lines differ by at least as many tokens as bits."""
+    return F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
 
 
-def _shared(n: Column) -> Column:
-    """Long lines, whose bits are all set, share more tokens."""
-    return F.greatest(F.lit(1), F.floor(n / 20)).cast("int")
+def _longest_prefix(n: Column, s: float) -> Column:
+    """So many of its rarest tokens that a similar line, if it has fewer, has one of them among its ``_shortest_prefix``."""
+    return n - F.ceil(n * s - 1e-9).cast("int") + 1
 
 
-def _bits(t: str, half: int) -> Column:
-    """Half of 128 bits, one for each token: lines differ by at least as many tokens as bits."""
-    own = F.filter(t, lambda x: x.bitwiseAND(64) == 64 * half)
-    return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
+def _shortest_prefix(n: Column, s: float) -> Column:
+    """The same for the line that has fewer tokens, or as many."""
+    return n - F.ceil(n * (2 * s / (1 + s)) - 1e-9).cast("int") + 1
 
 
 def _may_hold(hashes: DataFrame, x: Column) -> Column:
@@ -82,87 +84,120 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def tokenised(docs: DataFrame, similarity: float, rank: Column) -> DataFrame:
-    """``(doc_id, text_hash, row, line_no, k, n, p, bits, more)``: of each line its class (of lines with equal tokens), its number of tokens, its rarest tokens and 128 bits of all."""
-    rows = _numbered(docs).select("doc_id", "text_hash", "row", F.posexplode(F.split(_spaced("text"), "\n")).alias("line_no", "line"))
-    rows = rows.select("doc_id", "text_hash", "row", "line_no", _tokens(F.col("line"), rank).alias("t"))
-    n, least = F.size("t"), _least(similarity)
-    return rows.select("doc_id", "text_hash", "row", "line_no", F.when(n > 0, F.xxhash64("t")).alias("k"), n.alias("n"), F.when(n >= least, F.slice("t", F.lit(1), _prefix(n, similarity))).alias("p"), F.when(n >= least, _bits("t", 0)).alias("bits"), F.when(n >= least, _bits("t", 1)).alias("more"))
+    """``(doc_id, text_hash, row, line_no, k, n, parity, p)``: of each line its class (lines with equal tokens agree in k, n and parity), its number of tokens and its rarest tokens."""
+    place = ["doc_id", "text_hash", "row", "line_no"]
+    rows = _numbered(docs).select(*place[:3], F.posexplode(F.split(_spaced("text"), "\n")).alias("line_no", "line"))
+    rows = rows.select(*place, _hashes("line").alias("h"))
+    rows = rows.select(*place, F.size("h").alias("n"), _parity("h").alias("parity"), _ordered("h", rank).alias("t"))
+    return rows.select(*place, F.when(F.col("n") > 0, F.xxhash64("t")).alias("k"), "n", "parity", F.when(F.col("n") >= _least(similarity), F.slice("t", F.lit(1), _longest_prefix(F.col("n"), similarity))).alias("p"))
 
 
-def similar_classes(docs: DataFrame, classes: DataFrame, rank: Column, similarity: float = SIMILARITY) -> DataFrame:
+def similar_classes(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(c)``: classes whose first line has an earlier line, of another class, that is similar. ``c`` grows with the first line.
 
-    Classes whose prefixes share a token, or more for long lines, and whose lengths, positions and bits allow the
-    similarity, are candidates, verified on all their tokens. A class needs one earlier
-    match only: it first meets the earliest class of each of its prefix tokens; only
-    those without a match there meet all earlier classes.
+    Of two similar lines the one with fewer tokens has one of its shorter prefix in the
+    longer prefix of the other. Pairs that meet so, and whose lengths, positions and
+    parities allow the similarity, are candidates, verified on all their tokens. A class
+    needs one earlier match only: the candidate that differs in the fewest bits is verified
+    first, the others if that one fails. Frequent prefix tokens would meet in
+    all pairs within large groups of similar lines: there each class first meets the
+    earliest class of the token, and only those without a match there meet the others.
     """
     s = similarity
     numbered = _numbered(docs)
-    rows = classes.where("p IS NOT NULL").select("c", "n", "bits", "more", F.posexplode("p").alias("pos", "token"))
-    shared = stored(rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token", "low"), "shared")
-    freed(docs.sparkSession)
-    rows = stored(rows.join(shared, "token").withColumn("head", F.col("c") == F.col("low")).drop("low"), "prefixes")
-    freed(docs.sparkSession)
-    n, m = F.col("a.n"), F.col("b.n")
+    some = classes.where("p IS NOT NULL")
+    rows = some.select("c", "n", "parity", F.posexplode("p").alias("pos", "token"))
+    bucket = F.xxhash64("token").bitwiseAND(BUCKETS - 1)
+    counts = some.select(F.explode("p").alias("token")).groupBy(bucket.alias("b")).count().where(F.col("count") > HEAVY).collect()
+    n, m = F.col("l.n"), F.col("r.n")
     need = F.ceil((n + m) * (s / (1 + s)) - 1e-9)
-    differ = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) + F.bit_count(F.col("a.more").bitwiseXOR(F.col("b.more")))
-    fits = (F.col("a.token") == F.col("b.token")) & (F.col("b.c") < F.col("a.c")) & (F.least(n, m) >= F.ceil(F.greatest(n, m) * s - 1e-9)) & (F.least(n - F.col("a.pos"), m - F.col("b.pos")) + F.least("a.pos", "b.pos") >= need) & (differ <= n + m - 2 * need)
+    differ = F.bit_count(F.col("l.parity").bitwiseXOR(F.col("r.parity")))
+    fits = (F.col("l.token") == F.col("r.token")) & (n <= m) & ((n < m) | (F.col("l.c") < F.col("r.c"))) & (n >= F.ceil(m * s - 1e-9)) & (differ <= n + m - 2 * need)
+    fits &= F.least(n - F.col("l.pos"), m - F.col("r.pos")) + F.least("l.pos", "r.pos") >= need
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        """``(a, b, differ)``, the later class first, of the candidates."""
+        left = left.where(F.col("pos") < _shortest_prefix(F.col("n"), s))
+        pairs = left.alias("l").join(right.alias("r"), fits)
+        return pairs.select(F.greatest("l.c", "r.c").alias("a"), F.least("l.c", "r.c").alias("b"), differ.cast("tinyint").alias("differ"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The ``a`` of the pairs ``(a, b)`` whose token sets are similar."""
-        pairs = stored(pairs, "pairs")
-        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "first.row", "first.line_no"), "c"), "wanted")
-        some = numbered.where(_may_hold(wanted.select(F.xxhash64("row").alias("x")), F.xxhash64("row")))
-        lines = some.select("row", F.posexplode(F.split(_spaced("text"), "\n")).alias("line_no", "line"))
+        """The ``a`` of the pairs whose token sets are similar."""
+        best = pairs.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("x"), F.max("b").alias("high"), F.min("b").alias("low"))
+        best = stored(best.select("a", F.col("x.b").alias("b"), (F.col("low") < F.col("high")).alias("more")), "best")
+        freed(docs.sparkSession)
+        wanted = best.select(F.explode(F.array("a", "b")).alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+        wanted = stored(wanted.join(classes.select("c", "first.row", "first.line_no"), "c"), "wanted")
+        freed(docs.sparkSession)
+        found = numbered.where(_may_hold(wanted.select(F.xxhash64("row").alias("x")), F.xxhash64("row")))
+        lines = found.select("row", F.posexplode(F.split(_spaced("text"), "\n")).alias("line_no", "line"))
         lines = lines.where(_may_hold(wanted.select(F.xxhash64("row", "line_no").alias("x")), F.xxhash64("row", "line_no")))
-        sets = stored(lines.join(wanted, ["row", "line_no"]).select("c", _tokens(F.col("line"), rank).alias("t")), "sets")
-        both = pairs.join(sets.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b")
-        common = F.size(F.array_intersect("ta", "tb"))
-        matched = stored(both.where(common >= F.ceil((F.size("ta") + F.size("tb") - common) * s - 1e-9)).select(F.col("a").alias("c")).distinct(), "matched")
-        dropped(pairs, wanted, sets)
-        return matched
-
-    ends = (F.col("a.c").alias("a"), F.col("b.c").alias("b"))
-
-    def sharing(a: DataFrame, b: DataFrame) -> DataFrame:
-        pairs = a.alias("a").join(b.alias("b"), fits).groupBy(*ends).agg(F.count("*").alias("found"), F.min(_shared(F.least(n, m))).alias("least"))
-        return pairs.where("found >= least").select("a", "b")
-
-    done = verified(sharing(rows.where("NOT head"), rows.where("head")))
-    freed(docs.sparkSession)
-    open_ = rows.where("NOT head").join(done, "c", "left_anti")
-    done = done.unionByName(verified(sharing(open_, rows)))
-    dropped(rows, shared)
-    return done
+        sets = stored(lines.join(wanted, ["row", "line_no"]).select("c", _hashes("line").alias("t")), "sets")
+        dropped(wanted)
+        freed(docs.sparkSession)
+
+        def alike(pairs: DataFrame) -> DataFrame:
+            both = pairs.join(sets.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b")
+            common = F.size(F.array_intersect("ta", "tb"))
+            return stored(both.where(common >= F.ceil((F.size("ta") + F.size("tb") - common) * s - 1e-9)).select(F.col("a").alias("c")).distinct(), "matched")
+
+        first = alike(best.select("a", "b"))
+        freed(docs.sparkSession)
+        open_ = best.where("more").join(first, F.col("a") == F.col("c"), "left_anti").select("a", F.col("b").alias("tried"))
+        rest = alike(pairs.join(open_, "a").where("b <> tried").select("a", "b").distinct())
+        dropped(pairs, best, sets)
+        freed(docs.sparkSession)
+        return first.unionByName(rest)
+
+    if not counts:
+        return verified(stored(met(rows, rows), "pairs"))
+    heavy = [0] * BUCKETS
+    for b, _ in counts:
+        heavy[b] = 1
+    is_heavy = F.get(_table(heavy), bucket.cast("int")) == 1
+    often = stored(rows.where(is_heavy), "often")
+    first = often.groupBy("token").agg(F.min(F.struct("c", "n", "pos", "parity")).alias("x")).select("token", "x.*")
+    later = often.join(stored(first, "heads").select("token", F.col("c").alias("head")), "token").where("c > head").drop("head")
+    heads = verified(stored(met(later, first).unionByName(met(first, later)), "pairs"))
+    open_ = often.join(heads, "c", "left_anti")
+    # of a pair the later class is open, whichever has more tokens
+    rest = met(open_, often).unionByName(met(often, open_)).join(heads, F.col("a") == F.col("c"), "left_anti")
+    light = rows.where(~is_heavy)
+    out = heads.unionByName(verified(stored(met(light, light).unionByName(rest), "pairs"))).distinct()
+    dropped(often)
+    return out
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``(doc_id, text_hash, copy, n_lines, removed)``: for each row with a text the numbers, from 0, of the lines that go.
+    """``(doc_id, text_hash, copy, n_lines, removed)``: for each row the numbers, from 0, of the lines that go.
 
     A line goes if an earlier line, in order of document id (null first), hash of the
     text, repeated row and line number, has a token set of Jaccard similarity
     ``similarity`` or more; earlier lines count whether they stay or go. Tokens are the
-    lower-cased words of a line, each once, told apart by length and hash. Lines without
-    tokens stay. A null text has no line and no row. ``copy`` numbers rows that agree in id and text, from 1.
+    lower-cased words of a line, each once, told apart by hashes of 64 bits; classes of lines by 128 bits and their length.
+    Lines without tokens stay. A null text has no line (n_lines is 0, removed empty), an empty one has one. ``copy`` numbers
+    rows that agree in id and text, from 1; ids may be of any type that has an order. Texts may be of any length: after the
+    first split, rows are lines. Other columns, of whatever name, are ignored; an empty table gives none.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = settled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     rank = _rarity(docs)
     lines = stored(tokenised(docs, similarity, rank), "lines")
     at = F.struct("doc_id", "text_hash", "row", "line_no")
-    classes = lines.where("n > 0").groupBy("k", "n").agg(F.min(F.struct(at.alias("at"), "p", "bits", "more")).alias("x"), F.count("*").alias("copies"))
-    classes = classes.select("k", "n", F.col("x.at").alias("first"), "x.p", "x.bits", "x.more", "copies").orderBy("first").withColumn("c", F.monotonically_increasing_id())
+    classes = lines.where("n > 0").groupBy("k", "n", "parity").agg(F.min(F.struct(at.alias("at"), "p")).alias("x"), F.count("*").alias("copies"))
+    classes = classes.select("k", "n", "parity", F.col("x.at").alias("first"), "x.p", "copies").orderBy("first").withColumn("c", F.monotonically_increasing_id())
     classes = stored(classes, "classes")
-    whole, lines = lines, stored(lines.drop("p", "bits", "more"), "lines")
+    whole, lines = lines, stored(lines.drop("p"), "lines")
     dropped(whole)
     freed(docs.sparkSession)
-    gone = similar_classes(docs, classes, rank, similarity).withColumn("gone", F.lit(True))
+    gone = similar_classes(docs, classes, similarity).withColumn("gone", F.lit(True))
     # lines of classes that lose none: seen once, without a match
-    loss = classes.select("c", "k", "n", "first", "copies").join(gone, "c", "left").where("copies > 1 OR gone").select("k", "n", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    loss = classes.select("c", "k", "n", "parity", "first", "copies").join(gone, "c", "left").where("copies > 1 OR gone").select("k", "n", "parity", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     loss = stored(loss, "loss")
+    dropped(classes)
     freed(docs.sparkSession)
-    out = lines.where("n > 0").join(loss, ["k", "n"]).where((at > F.col("first")) | F.col("gone")).groupBy("doc_id", "text_hash", "row").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    out = lines.where("n > 0").join(loss, ["k", "n", "parity"]).where((at > F.col("first")) | F.col("gone")).groupBy("doc_id", "text_hash", "row").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
     every = lines.groupBy("doc_id", "text_hash", "row").agg(F.count("*").alias("n_lines"))
+    every = every.unionByName(_numbered(docs).where("text IS NULL").select("doc_id", "text_hash", "row", F.lit(0).cast("long").alias("n_lines")))
     found = every.alias("e").join(out.alias("o"), F.expr("e.row = o.row AND e.text_hash = o.text_hash AND e.doc_id <=> o.doc_id"), "left")
     found = found.select("e.doc_id", "e.text_hash", "e.row", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
     copy = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("row"))
@@ -170,16 +205,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with the text of each row rebuilt from the lines that stay; all other columns as they were. Null texts stay null."""
+    """``docs`` with the text of each row rebuilt from the lines that stay; all other columns, of whatever names, as they were. Null texts stay null."""
     lost = removed_lines(docs, id_col, text_col, similarity).where(F.size("removed") > 0)
-    lost = stored(lost.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("copy", "removed"))).alias("lost")).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}), "lost")
-    rows = docs.withColumn("__hash2", F.xxhash64(text_col))
-    rows = rows.join(lost, rows[id_col].eqNullSafe(lost["__id"]) & (F.col("__hash2") == F.col("__hash")), "left")
-    alone = rows.where("lost IS NULL")
-    some = rows.where("lost IS NOT NULL").withColumn("__copy", F.row_number().over(Window.partitionBy(id_col, "__hash2").orderBy(F.lit(0))))
-    some = some.withColumn("__gone", F.coalesce(F.get(F.array(F.col("lost")[F.col("__copy")]), F.lit(0)), F.array().cast("array<int>")))
-    kept = F.array_join(F.transform(F.filter(F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: ~F.array_contains(F.col("__gone"), y["i"])), lambda y: y["x"]), "\n")
-    return alone.select(*docs.columns).unionByName(some.withColumn(text_col, kept).select(*docs.columns))
+    lost = stored(lost.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("copy", "removed"))).alias("lost")), "lost")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("own"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("hash"), docs[text_col].alias("body"))
+    rows = rows.join(lost, rows["id"].eqNullSafe(lost["doc_id"]) & (F.col("hash") == F.col("text_hash")), "left")
+    alone = rows.where("lost IS NULL").select("own", "body")
+    some = rows.where("lost IS NOT NULL").withColumn("at", F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(0))))
+    some = some.withColumn("gone", F.coalesce(F.get(F.array(F.col("lost")[F.col("at")]), F.lit(0)), F.array().cast("array<int>")))
+    kept = F.array_join(F.transform(F.filter(F.transform(F.split("body", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: ~F.array_contains(F.col("gone"), y["i"])), lambda y: y["x"]), "\n")
+    both = alone.unionByName(some.select("own", kept.alias("body")))
+    return both.select(*(F.col("body").alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +243,8 @@ matched AS (
 gone AS (
   SELECT doc_id, line_no FROM toks JOIN classes USING (t)
   WHERE doc_id * 10000000 + line_no > classes.first OR classes.c IN (SELECT c FROM matched))
-SELECT l.doc_id, count(*) AS n_lines, count(g.line_no) AS n_removed,
+SELECT doc_id, 0 AS n_lines, 0 AS n_removed, '' AS removed FROM documents WHERE text IS NULL
+UNION ALL SELECT l.doc_id, count(*) AS n_lines, count(g.line_no) AS n_removed,
        coalesce(string_agg(CAST(g.line_no AS VARCHAR), ',' ORDER BY g.line_no), '') AS removed
 FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line_no = l.line_no GROUP BY l.doc_id
 """

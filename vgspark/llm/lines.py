@@ -35,11 +35,11 @@ def _table(values: list[int]) -> Column:
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """A literal array: for each bucket, in eighths, log2 of how many tokens of all lines fall in it."""
+    """A literal array: for each bucket, in thirds, log2 of how many tokens of all lines fall in it (127 at most, of which the JVM has one object each)."""
     words = docs.select(F.explode(F.split(F.replace(_spaced("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
     rank = [0] * BUCKETS
     for b, n in words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b")).count().collect():
-        rank[b] = min(255, int(8 * math.log2(n)))
+        rank[b] = min(127, int(3 * math.log2(n)))
     return _table(rank)
 
 
@@ -49,8 +49,8 @@ def _hashes(line: str) -> Column:
 
 
 def _ordered(h: str, rank: Column) -> Column:
-    """Hashes in order of rarity, as numbers: the rank of their bucket, then 55 bits of the hash."""
-    return F.sort_array(F.transform(h, lambda x: F.shiftleft(F.coalesce(F.get(rank, x.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0)).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(x, 9))))
+    """Hashes in order of rarity, as numbers: the rank of their bucket, then 56 bits of the hash."""
+    return F.sort_array(F.transform(h, lambda x: F.shiftleft(F.coalesce(F.get(rank, x.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
 
 
 def _parity(h: str) -> Column:
@@ -58,6 +58,16 @@ def _parity(h: str) -> Column:
     return F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
 
 
+def _sketch(h: str) -> list[Column]:
+    """The parities of 128 bits, in two halves: a token falls on one of them."""
+
+    def half(i: int) -> Column:
+        one = lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(1)
+        return F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one(x) if i else 1 - one(x), x.bitwiseAND(63).cast("int"))))
+
+    return [half(0).alias("low"), half(1).alias("high"), F.size(h).alias("n")]
+
+
 def _longest_prefix(n: Column, s: float) -> Column:
     """So many of its rarest tokens that a similar line, if it has fewer, has one of them among its ``_shortest_prefix``."""
     return n - F.ceil(n * s - 1e-9).cast("int") + 1
@@ -144,8 +154,18 @@ def similar_classes(docs: DataFrame, classes: DataFrame, similarity: float = SIM
         first = alike(best.select("a", "b"))
         freed(docs.sparkSession)
         open_ = best.where("more").join(first, F.col("a") == F.col("c"), "left_anti").select("a", F.col("b").alias("tried"))
-        rest = alike(pairs.join(open_, "a").where("b <> tried").select("a", "b").distinct())
-        dropped(pairs, best, sets)
+        rest = stored(pairs.join(open_, "a").where("b <> tried").select("a", "b").distinct(), "rest")
+        dropped(pairs, best)
+        freed(docs.sparkSession)
+        bits = sets.select("c", *_sketch("t"))
+        x, y = (bits.select(F.col("c").alias(e), F.struct("low", "high", "n").alias(f"of_{e}")) for e in "ab")
+        near = F.bit_count(F.col("of_a.low").bitwiseXOR(F.col("of_b.low"))) + F.bit_count(F.col("of_a.high").bitwiseXOR(F.col("of_b.high")))
+        total = F.col("of_a.n") + F.col("of_b.n")
+        rest, every = stored(rest.join(x, "a").join(y, "b").where(near <= total - 2 * F.ceil(total * (s / (1 + s)) - 1e-9)).select("a", "b"), "rest"), rest
+        dropped(every)
+        freed(docs.sparkSession)
+        every, rest = rest, alike(rest)
+        dropped(every, sets)
         freed(docs.sparkSession)
         return first.unionByName(rest)
 

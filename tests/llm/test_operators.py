@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vgspark.llm import decontaminate, hamming, lines, mixing, near, pitman_yor, secrets, simhash, suffixes, surrogates, toxicity
+from vgspark.llm import decontaminate, hamming, lines, mixing, pitman_yor, secrets, simhash, suffixes, surrogates, toxicity
 from vgspark.llm.common import components, is_remainder, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, score double"
@@ -119,7 +119,7 @@ def test_near_copies(spark):
     rows = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(120)), "s") for i in range(10)]
     w = rows[0][1].split()
     rows += [(20, " ".join(w[:60] + ["zz"] + w[61:]), "s"), (21, rows[1][1], "s"), (22, None, "s"), (23, "", "s")]
-    r = {x.doc_id: x.group for x in near.near_copies(frame(spark, rows)).collect()}
+    r = {x.doc_id: x.group for x in simhash.near_copies(frame(spark, rows)).collect()}
     assert r[0] == r[20] and r[1] == r[21] and r[22] == r[23] and len(set(r.values())) == 11
 
 
@@ -140,7 +140,7 @@ def test_near_copies_whole(spark):
         want[len(rows)] = len(rows)
         rows.append((len(rows), license + " " + " ".join(f"u{k}x{x}" for x in range(20)), "s"))
     first = {}
-    for x in near.near_copies(frame(spark, rows)).orderBy("doc_id").collect():
+    for x in simhash.near_copies(frame(spark, rows)).orderBy("doc_id").collect():
         assert first.setdefault(x.group, x.doc_id) == want[x.doc_id], rows[x.doc_id]
     assert len(first) == len(set(want.values()))
 
@@ -161,7 +161,7 @@ def test_near_copies_brute_force(spark):
             if docs[i] == docs[j] or len(x & sets[j]) >= 0.8 * len(x | sets[j]) - 1e-9:
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
-    group = {x.doc_id: x.group for x in near.near_copies(frame(spark, [(i, " ".join(w), "s") for i, w in enumerate(docs)])).collect()}
+    group = {x.doc_id: x.group for x in simhash.near_copies(frame(spark, [(i, " ".join(w), "s") for i, w in enumerate(docs)])).collect()}
     assert all((group[i] == group[j]) == (root[i] == root[j]) for i in range(len(docs)) for j in range(i))
 
 

@@ -5,12 +5,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored, table, words
+from .common import bitmap, components, dropped, freed, in_bitmap, settled, stored, table, words
 
 SHINGLE = 3
+#: Near copies: words a shingle, and the Jaccard similarity of the sets of shingles.
+WORDS, SIMILARITY = 5, 0.8
+#: A task's tally of shingles keeps so many distinct ones; beyond that those seen once in it are let go. FREQUENT of those that OFTEN documents hold come last in the order. Any order is exact.
+KEPT, OFTEN, FREQUENT = 4_000_000, 64, 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -87,6 +91,175 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id", "component_size")
 
 
+def _majority(h: np.ndarray) -> int:
+    """The signed 64-bit SimHash of a set of hashes."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        total += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * total > len(h)).astype(np.uint8), bitorder="little").view(np.int64)[0])
+
+
+def shingle_hashes(found: list[bytes], size: int = WORDS) -> np.ndarray:
+    """The distinct hashes of the shingles; fewer words than a shingle are one, and no words none."""
+    if not found:
+        return np.zeros(0, np.uint64)
+    k = min(size, len(found))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(found[i : i + k])) for i in range(len(found) - k + 1)), np.uint64, len(found) - k + 1))
+
+
+def prefix(h: np.ndarray, keys: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of the distinct ``h``, frequent ones last, that a similar set has one of them among as many of its own."""
+    n = len(h)
+    if not n:
+        return h
+    rank = np.zeros(n, np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        rank = np.where(keys[at] == h, ranks[at], 0)
+    return h[np.lexsort((h, rank))][: n - int(np.ceil(n * similarity - 1e-9)) + 1]
+
+
+def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of all texts, sorted, and their ranks from the rarest, 1, up.
+
+    Each task tallies the shingles of its texts and hands on those it saw twice or more, so what is shuffled is little; the counts are
+    lower bounds.
+    """
+
+    def tallied(batches):
+        key, n, waiting, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+        def merged():
+            x, w = np.concatenate([key, *waiting]), np.concatenate([n, np.ones(size, np.int64)])
+            u, at = np.unique(x, return_inverse=True)
+            return u, np.bincount(at, w, len(u)).astype(np.int64)
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                waiting.append(shingle_hashes(words(text)))
+                size += len(waiting[-1])
+                if size > KEPT:
+                    key, n = merged()
+                    waiting, size = [], 0
+                    if len(key) > KEPT:
+                        key, n = key[n > 1], n[n > 1]
+        key, n = merged()
+        key, n = key[n > 1], n[n > 1]
+        for i in range(0, len(key), 500_000):
+            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 500_000].view(np.int64)), pa.array(n[i : i + 500_000])], ["key", "n"])
+
+    found = rows.select("text").mapInArrow(tallied, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = found.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    key = found["key"].to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return key[order], (len(key) - order).astype(np.int64)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, max_bits: int = 3) -> DataFrame:
+    """``(row, doc_id, group)``: documents linked through steps of Jaccard similarity ``similarity`` or more of their five-word shingles.
+
+    ``row`` numbers the input's rows (as monotonically_increasing_id does). Rows with equal words are one node and never paired, so repeated
+    rows and ids are rows of their own in one group. Nodes whose SimHash prints differ by at most ``max_bits`` bits meet by
+    one-wildcard variants of the segments and are verified. Bits can't promise to find all pairs at the similarity, so what is not yet
+    linked then meets by shingles: similar nodes share one of their rarest. A node first
+    meets one node of each of its shingles; after that only nodes that aren't yet
+    linked meet, so groups of near copies don't meet in all pairs. Pairs whose sizes and
+    positions allow the similarity are verified on their whole sets of shingles. Shingles are told apart by
+    64-bit hashes. A null text counts as empty; texts without words are one node. Texts of any length are taken
+    whole. Other columns, of whatever names, are ignored; an empty table gives none. ``group`` is a number shared by the rows of a group.
+    """
+    spark = docs.sparkSession
+    freed(spark)
+    docs = settled(docs)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    frequent = spark.sparkContext.broadcast(_frequent(rows))
+
+    def prefixes(batches):
+        for b in batches:
+            node, size, fp, out = [], [], [], []
+            for text in b.column(1).to_pylist():
+                found = words(text)
+                node.append(xxhash.xxh3_64_intdigest(b" ".join(found)))
+                h = shingle_hashes(found)
+                size.append(len(h))
+                fp.append(_majority(h))
+                out.append(prefix(h, *frequent.value, similarity).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(fp, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["row", "node", "n", "fp", "p"])
+
+    prints = stored(rows.select("row", "text").mapInArrow(prefixes, "row long, node long, n int, fp long, p array<long>"), "prints")
+    nodes = stored(prints.groupBy("node").agg(F.min("row").alias("row")), "nodes")
+
+    def fits(n: str, m: str, before: Column, i: str, j: str) -> Column:
+        """Whether sizes allow the similarity when ``before`` shingles at most are shared up to positions ``i`` and ``j``."""
+        n, m = F.col(n), F.col(m)
+        need = F.ceil((n + m) * (similarity / (1 + similarity)) - 1e-9)
+        return (F.least(n, m) >= F.ceil(F.greatest(n, m) * similarity - 1e-9)) & (before + F.least(n - 1 - F.col(i), m - 1 - F.col(j)) >= need)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs.distinct(), "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+        held = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("row").alias("h")), "h"))
+        freed(spark)
+
+        def sets(batches):
+            """The whole sets of wanted nodes; the filter may let others pass, which no pair has."""
+            for b in batches:
+                b = b.filter(pa.array(in_bitmap(held.value, b.column(0).to_numpy().view(np.uint64))))
+                found = [words(x) for x in b.column(1).to_pylist()]
+                node = np.array([xxhash.xxh3_64_intdigest(b" ".join(x)) for x in found], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([shingle_hashes(x).view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "s"])
+
+        found = stored(rows.select(F.xxhash64("row").alias("h"), "text").mapInArrow(sets, "node long, s array<long>"), "sets")
+        both = pairs.join(found.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        links = stored(both.where(common >= (F.size("sa") + F.size("sb") - common) * similarity - 1e-9).select("a", "b"), "links")
+        dropped(pairs, found)
+        freed(spark)
+        return links
+
+    # operator's own links first: prints that differ by few bits
+    same = prints.groupBy("fp").agg(F.min("node").alias("node"), F.max("node").alias("other"))
+    same = stored(same, "same")
+    close = fingerprint_links(same.select("fp"), max_bits)
+    close = close.join(same.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(same.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
+    close = close.unionByName(same.where("node < other").select(F.col("node").alias("x"), F.col("other").alias("y")))
+    links = verified(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    dropped(same)
+    known = stored(components(links), "known")
+    # then what bits can't promise: similar sets share one of their rarest shingles
+    spread = prints.select("node", "n", F.posexplode("p").alias("pos", "key"))
+    low = spread.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("x"), F.max("node").alias("z")).where("x.node < z")
+    low = stored(low.select("key", F.col("x.node").alias("a"), F.col("x.n").alias("m"), F.col("x.pos").alias("at")), "low")
+    freed(spark)
+    at = stored(spread.join(low.select("key"), "key", "left_semi").distinct(), "shared")
+    freed(spark)
+    first = at.join(low, "key").where("node <> a").where(fits("n", "m", F.least("pos", "at") + 1, "pos", "at")).select("a", F.col("node").alias("b")).distinct()
+    for end in "ab":
+        first = first.join(known.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    found = verified(first.where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b"))
+    links = links.unionByName(found)
+    dropped(known)
+    roots = stored(components(links), "roots")
+    placed = at.join(roots, "node", "left").select("node", "n", "pos", "key", F.coalesce("root", "node").alias("root"))
+    placed = stored(placed, "placed")
+    dropped(at, low)
+    open_ = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    open_ = stored(placed.join(stored(open_, "open"), "key", "left_semi"), "placed")
+    l, r = open_.alias("l"), open_.alias("r")
+    # a pair that isn't linked meets in each shingle that both have among their rarest, which come first of all they share
+    rest = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & fits("l.n", "r.n", F.least("l.pos", "r.pos") + 1, "l.pos", "r.pos"))
+    rest = rest.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.n").alias("n"), F.col("r.n").alias("m")).agg(F.count("*").alias("found"), F.max("l.pos").alias("i"), F.max("r.pos").alias("j"))
+    more = verified(rest.where(fits("n", "m", F.col("found"), "i", "j")).select("a", "b"))
+    dropped(placed, open_)
+    roots = stored(components(links.unionByName(more)), "roots")
+    grouped = prints.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("group"))
+    grouped = stored(grouped, "grouped")
+    dropped(prints, nodes)
+    freed(spark)
+    return rows.select("row", "doc_id").join(grouped, "row")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")

@@ -6,8 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vgspark.llm import decontaminate, lines, mixing, near, toxicity
-from vgspark.llm.common import is_remainder, stored, table
+from vgspark.llm import decontaminate, lines, mixing, simhash, toxicity
+from vgspark.llm.common import is_remainder, settled, stored, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +31,11 @@ def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays (of equal ids one row)."""
-    found = near.near_copies(docs)
-    first = stored(found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x")).select(F.col("x.row").alias("__row")), "kept")
-    rows = docs.withColumn("__at", F.monotonically_increasing_id())
-    return rows.join(first, F.col("__at") == F.col("__row"), "left_semi").select(*docs.columns)
+    docs = settled(docs)
+    found = simhash.near_copies(docs)
+    first = stored(found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x")).select(F.col("x.row").alias("row")), "first")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("own"), F.monotonically_increasing_id().alias("at"))
+    return rows.join(first, F.col("at") == F.col("row"), "left_semi").select(*(F.col("own")[c].alias(c) for c in docs.columns))
 
 
 def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ SHINGLE = 3
 #: Near copies: words a shingle, and the Jaccard similarity of the sets of shingles.
 WORDS, SIMILARITY = 5, 0.8
 #: A task's tally of shingles keeps so many distinct ones; beyond that those seen once in it are let go. FREQUENT of those that OFTEN documents hold come last in the order. Any order is exact.
-KEPT, OFTEN, FREQUENT = 4_000_000, 64, 1 << 18
+KEPT, OFTEN, FREQUENT = 1_000_000, 64, 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -131,9 +131,12 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         key, n, waiting, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
         def merged():
-            x, w = np.concatenate([key, *waiting]), np.concatenate([n, np.ones(size, np.int64)])
-            u, at = np.unique(x, return_inverse=True)
-            return u, np.bincount(at, w, len(u)).astype(np.int64)
+            u, c = np.unique(np.concatenate(waiting or [key[:0]]), return_counts=True)
+            at = np.searchsorted(key, u)
+            old = np.zeros(len(u), bool)
+            old[at < len(key)] = key[at[at < len(key)]] == u[at < len(key)]
+            n[at[old]] += c[old]
+            return np.insert(key, at[~old], u[~old]), np.insert(n, at[~old], c[~old])
 
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -221,10 +224,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # operator's own links first: prints that differ by few bits
     same = prints.groupBy("fp").agg(F.min("node").alias("node"), F.max("node").alias("other"))
     same = stored(same, "same")
-    close = fingerprint_links(same.select("fp"), max_bits)
-    close = close.join(same.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(same.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
-    close = close.unionByName(same.where("node < other").select(F.col("node").alias("x"), F.col("other").alias("y")))
-    links = verified(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    groups = components(fingerprint_links(same.select("fp"), max_bits))
+    # of each group of prints all nodes are held against one, so that pairs don't grow with its square; who differs from that one meets others below
+    of = prints.select("fp", "node").distinct().join(groups.withColumnRenamed("node", "print"), F.col("fp") == F.col("print"), "left").select("node", F.coalesce("root", "fp").alias("fp"))
+    close = of.join(same.select("fp", F.col("node").alias("head")), "fp").where("node <> head")
+    links = verified(close.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")))
     dropped(same)
     known = stored(components(links), "known")
     # then what bits can't promise: similar sets share one of their rarest shingles

@@ -49,8 +49,11 @@ def minimizers(seq: str | Column, k: int = 15, window: int = 10) -> Column:
     """Distinct window minima of the k-mer hashes, sorted; fewer k-mers than a window give their least, none gives an empty array."""
     seq = _col(seq)
     n = F.length(seq) - k + 1
-    hashes = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: kmer_hash(F.substring(seq, i, F.lit(k))))
-    minima = F.transform(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))), lambda i: F.array_min(F.slice(hashes, i, F.lit(window))))
+    letters = F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq), F.lit(1))), lambda i: F.ascii(F.substring(seq, i, F.lit(1))).cast("long"))
+    hashed = lambda code, i: F.aggregate(F.slice(code, i, F.lit(k)), F.lit(FNV_BASIS).cast("long"), lambda h, c: (h.bitwiseXOR(c) * FNV_PRIME).bitwiseAND(0xFFFFFFFF))
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  x is computed once, not for each use
+    hashes = bound(letters, lambda code: F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: hashed(code, i)))
+    minima = bound(hashes, lambda h: F.transform(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))), lambda i: F.array_min(F.slice(h, i, F.lit(window)))))
     return F.when(n < 1, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(minima)))
 
 

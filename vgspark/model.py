@@ -42,6 +42,8 @@ class AlignParams:
     nested: str = "drop"
     include_unpaired: bool = False
     max_alleles: int = 100_000
+    #: Bubbles are scored if they share an allele of this similarity, found by equality joins, for large graphs; None: all that could score above zero.
+    candidate_sim: float | None = None
     anchor: AnchorParams = field(default_factory=AnchorParams)
     match: MatchParams = field(default_factory=MatchParams)
 
@@ -67,7 +69,17 @@ class GraphSet:
         )
 
     def describe(self) -> DataFrame:
-        """Each node with its successors, in order of name."""
+        """``(rank, name, seq, successors)``: the nodes in topological order, each with the names of its successors."""
+        from .operators.topology import topological_rank
+
         names = self.nodes.select("node_id", F.col("name").alias("succ"))
         out = self.edges.join(names, self.edges["dst"] == names["node_id"]).groupBy("src").agg(F.array_sort(F.collect_list("succ")).alias("successors"))
-        return self.nodes.join(out, self.nodes["node_id"] == out["src"], "left").select("name", "seq", F.coalesce("successors", F.array().cast("array<string>")).alias("successors"))
+        rank = topological_rank(self).select("node_id", "rank")
+        return self.nodes.join(rank, "node_id").join(out, F.col("node_id") == F.col("src"), "left").select("rank", "name", "seq", F.coalesce("successors", F.array().cast("array<string>")).alias("successors"))
+
+    def described_paths(self) -> DataFrame:
+        """``(path_name, nodes, seq)``: each haplotype with the names of its nodes and its sequence."""
+        from .operators.topology import path_sequences
+
+        names = self.paths.join(self.nodes.select("node_id", "name"), "node_id").groupBy("path_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "name"))), lambda x: x["name"]).alias("nodes"))
+        return names.join(path_sequences(self.paths, self.nodes).select("path_name", "seq"), "path_name")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import minimizers, similar, similarity
 from ..model import AnchorParams, GraphSet
+from ..storage import kept
 from . import greedy
 from .topology import backbone
 
@@ -14,24 +15,59 @@ from .topology import backbone
 def similar_pairs(a: DataFrame, b: DataFrame, p: AnchorParams) -> DataFrame:
     """``(l, r, score)`` of all pairs of ``(node_id, seq)`` with similarity ``min_sim`` or more, without comparing all with all.
 
-    A sequence of b is cut into one piece more than edits are allowed, so one piece stands
-    unchanged in any similar sequence, moved by as many places at most. Pieces meet by
-    equality of text and of the length of b's sequence; lengths and a banded edit
+    A sequence of b is cut into one piece more than edits are allowed. One piece stands unchanged in any similar
+    sequence with no more edits before it than pieces, and after it likewise, which bounds how far it
+    moves. Pieces meet by equality of text and of the length of b's sequence; lengths and a banded edit
     distance decide. Sequences too short to be cut meet by length.
     """
     s = p.min_sim
     most = lambda n: F.floor((1 - s) * F.floor(n / s) + 1e-9).cast("int")  # noqa: E731  edits allowed with a sequence of n
     cut = "transform(sequence(0, t), i -> named_struct('i', i, 'p', CAST(floor(m * i / (t + 1)) AS INT), 'n', CAST(floor(m * (i + 1) / (t + 1)) - floor(m * i / (t + 1)) AS INT)))"
     right = b.select(F.col("node_id").alias("r"), F.col("seq").alias("sb"), F.length("seq").alias("m")).withColumn("t", most(F.col("m")))
+    there = right.select("m").distinct()
     right = right.select("r", "sb", "m", F.explode(F.expr(cut)).alias("x")).select("r", "sb", "m", "x.i", F.expr("substring(sb, x.p + 1, x.n)").alias("piece"))
     lengths = F.sequence(F.ceil(F.length("seq") * s - 1e-9).cast("int"), F.floor(F.length("seq") / s + 1e-9).cast("int"))
-    left = a.select(F.col("node_id").alias("l"), F.col("seq").alias("sa"), F.explode(lengths).alias("m")).withColumn("t", most(F.col("m")))
-    left = left.select("l", "sa", "m", "t", F.explode(F.expr(cut)).alias("x")).select("l", "sa", "m", "x.i", "x.n", F.explode(F.expr("sequence(greatest(0, x.p - t), least(length(sa) - x.n, x.p + t))")).alias("at")).where("at >= 0")
+    left = a.select(F.col("node_id").alias("l"), F.col("seq").alias("sa"), F.explode(lengths).alias("m")).join(there, "m", "left_semi").withColumn("t", most(F.col("m")))
+    left = left.select("l", "sa", "m", "t", (F.length("sa") - F.col("m")).alias("d"), F.explode(F.expr(cut)).alias("x"))
+    low, high = "greatest(0, x.p - x.i, x.p + d - (t - x.i))", "least(length(sa) - x.n, x.p + x.i, x.p + d + (t - x.i))"
+    left = left.where(F.expr(f"{low} <= {high}")).select("l", "sa", "m", "x.i", "x.n", F.explode(F.expr(f"sequence({low}, {high})")).alias("at"))
     left = left.select("l", "sa", "m", "i", F.expr("substring(sa, at + 1, n)").alias("piece")).distinct()
     met = left.join(right, ["m", "i", "piece"]).select("l", "sa", "r", "sb").distinct()
     return met.where(similar("sa", "sb", s, p.strict)).select("l", "r", similarity("sa", "sb").alias("score"))
 
 
+def similar_sequences(a: DataFrame, b: DataFrame, p: AnchorParams) -> DataFrame:
+    """``(sa, sb, score)`` of the different sequences of the columns ``seq`` that are similar; equal ones aren't paired."""
+    x, y = (f.select("seq").distinct().select(F.col("seq").alias("node_id"), "seq") for f in (a, b))
+    return similar_pairs(x, y, p).where("l <> r").withColumnsRenamed({"l": "sa", "r": "sb"})
+
+
+def _counted(nodes: DataFrame) -> DataFrame:
+    """``(node_id, seq, nth)``: of the nodes of one sequence the first, the second and so on, by a range sort and the sizes of its partitions, so that a frequent sequence spreads."""
+    at = F.monotonically_increasing_id()
+    rows = kept(nodes.select("node_id", "seq").orderBy("seq", "node_id").withColumn("at", at))
+    part = F.shiftright("at", 33)
+    own = rows.groupBy(part.alias("part"), "seq").agg(F.min("at").alias("low"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("seq").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = own.select("part", "seq", "low", before.alias("before"))
+    return rows.withColumn("part", part).join(own, ["part", "seq"]).select("node_id", "seq", (F.col("at") - F.col("low") + F.col("before")).alias("nth"))
+
+
+def _equal_first(a: DataFrame, b: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(edges taken, a left, b left)``: where a sequence has no similar other one on either side, its nodes pair off in order, as both greedy choices do."""
+    mixed = near.select(F.explode(F.array("sa", "sb")).alias("seq")).distinct()
+    x, y = (_counted(f.join(mixed, "seq", "left_anti")) for f in (a, b))
+    zipped = x.withColumnRenamed("node_id", "l").join(y.withColumnRenamed("node_id", "r"), ["seq", "nth"]).select("l", "r", F.lit(1.0).alias("score"))
+    return zipped, a.join(mixed, "seq", "left_semi"), b.join(mixed, "seq", "left_semi")
+
+
+def _edges(a: DataFrame, b: DataFrame, near: DataFrame) -> DataFrame:
+    """``(l, r, score)`` of nodes with equal or with ``near`` sequences."""
+    l, r = a.select(F.col("node_id").alias("l"), F.col("seq").alias("sa")), b.select(F.col("node_id").alias("r"), F.col("seq").alias("sb"))
+    same = l.join(r, l["sa"] == r["sb"]).select("l", "r", F.lit(1.0).alias("score"))
+    return same.unionByName(l.join(near, "sa").join(r, "sb").select("l", "r", "score"))
+
+
 def minimizer_index(nodes: DataFrame, p: AnchorParams) -> DataFrame:
     """``(h, node_id)``, distinct; sequences shorter than a k-mer have none."""
     return nodes.select("node_id", F.explode(minimizers("seq", p.kmer_len, p.window)).alias("h")).distinct()
@@ -43,12 +79,24 @@ def minimizer_candidates(a: DataFrame, b: DataFrame, p: AnchorParams) -> DataFra
 
 
 def find_anchors(ga: GraphSet, gb: GraphSet, p: AnchorParams) -> DataFrame:
-    """``(node_a, node_b, sim)``: exact, each A node in order takes its best free B node; by minimizers, the most similar pair comes first."""
-    a, b = backbone(ga).select("node_id", "seq"), backbone(gb).select("node_id", "seq")
+    """``(node_a, node_b, sim)``: exact, each A node in order takes its best free B node; by minimizers, the most similar pair comes first.
+
+    Nodes of sequences that no other sequence is similar to pair off in order; only the others compete in rounds.
+    """
+    a, b = kept(backbone(ga).select("node_id", "seq")), kept(backbone(gb).select("node_id", "seq"))
     exact = p.strategy == "exact" or p.strategy == "auto" and a.count() * b.count() <= p.exact_pairs
     if exact:
-        found = greedy.serial(similar_pairs(a, b, p))
+        near = kept(similar_sequences(a, b, p))
+        if p.strict and p.min_sim >= 1:
+            return near.select(F.lit(0).cast("long").alias("node_a"), F.lit(0).cast("long").alias("node_b"), F.col("score").alias("sim")).limit(0)
+        found, a, b = _equal_first(a, b, near)
+        rest = greedy.serial(_edges(a, b, near))
     else:
-        edges = minimizer_candidates(a, b, p).join(a.select(F.col("node_id").alias("l"), F.col("seq").alias("sa")), "l").join(b.select(F.col("node_id").alias("r"), F.col("seq").alias("sb")), "r")
-        found = greedy.best_first(edges.where(similar("sa", "sb", p.min_sim)).select("l", "r", similarity("sa", "sb").alias("score")))
+        a, b = (f.where(F.length("seq") >= p.kmer_len) for f in (a, b))
+        x, y = (f.select("seq").distinct().select(F.col("seq").alias("node_id"), "seq") for f in (a, b))
+        met = minimizer_candidates(x, y, p).where("l <> r").select(F.col("l").alias("sa"), F.col("r").alias("sb"))
+        near = kept(met.where(similar("sa", "sb", p.min_sim)).select("sa", "sb", similarity("sa", "sb").alias("score")))
+        found, a, b = _equal_first(a, b, near)
+        rest = greedy.best_first(_edges(a, b, near))
+    found = found.unionByName(rest)
     return found.select(F.col("l").alias("node_a"), F.col("r").alias("node_b"), F.col("score").alias("sim"))

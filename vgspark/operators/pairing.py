@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import similarity
-from ..model import AlignParams, GraphSet
+from ..model import AlignParams, AnchorParams, GraphSet
 from . import greedy
+from .anchors import similar_sequences
 from .matching import allele_lists, match_pairs
 
 
@@ -18,11 +19,19 @@ def _ends(g: GraphSet, snarls: DataFrame, alleles: DataFrame, side: str) -> Data
     return s.select(F.col("snarl_idx").alias(f"snarl_{side}"), F.col("src").alias(f"src_{side}"), F.col("snk").alias(f"snk_{side}"), F.col("seqs").alias(f"seqs_{side}"))
 
 
-def candidates(alleles_a: DataFrame, alleles_b: DataFrame) -> DataFrame:
-    """``(snarl_a, snarl_b)`` of bubbles that share an allele: an equality join, where the number of all pairs would grow with the square."""
-    a = alleles_a.select(F.col("snarl_idx").alias("snarl_a"), "seq").distinct()
-    b = alleles_b.select(F.col("snarl_idx").alias("snarl_b"), "seq").distinct()
-    return a.join(b, "seq").select("snarl_a", "snarl_b").distinct()
+def candidates(alleles_a: DataFrame, alleles_b: DataFrame, min_sim: float = 0.9) -> DataFrame:
+    """``(snarl_a, snarl_b)`` of bubbles that share an allele of similarity ``min_sim``, by equality joins, where the number of all pairs would grow with the square.
+
+    At the similarity at which alleles match this is every pair that can have a positive score. Equality joins need long
+    pieces, though: at 0.75 nearly all short alleles meet.
+    """
+    a = alleles_a.select(F.col("snarl_idx").alias("snarl_a"), F.col("seq").alias("sa")).distinct()
+    b = alleles_b.select(F.col("snarl_idx").alias("snarl_b"), F.col("seq").alias("sb")).distinct()
+    found = a.join(b, a["sa"] == b["sb"]).select("snarl_a", "snarl_b")
+    if min_sim < 1:
+        near = similar_sequences(alleles_a, alleles_b, AnchorParams(min_sim=min_sim)).select("sa", "sb")
+        found = found.unionByName(a.join(near, "sa").join(b, "sb").select("snarl_a", "snarl_b"))
+    return found.distinct()
 
 
 def scored(ga: GraphSet, gb: GraphSet, da: tuple[DataFrame, DataFrame], db: tuple[DataFrame, DataFrame], p: AlignParams, pairs: DataFrame | None = None, how: str = "auto") -> DataFrame:

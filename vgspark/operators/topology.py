@@ -23,6 +23,13 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("graph_id", F.col("src").alias("node_id")).agg(F.array_sort(F.collect_set("dst")).alias("successors"))
 
 
+def neighbours(edges: DataFrame, nodes: DataFrame | None = None, direction: str = "out") -> DataFrame:
+    """``(graph_id, node_id, neighbour)``: successors (``out``) or predecessors (``in``) of all nodes, or of the ``(graph_id, node_id)`` given."""
+    src, dst = ("src", "dst") if direction == "out" else ("dst", "src")
+    found = edges.select("graph_id", F.col(src).alias("node_id"), F.col(dst).alias("neighbour")).distinct()
+    return found if nodes is None else found.join(nodes.select("graph_id", "node_id").distinct(), ["graph_id", "node_id"], "left_semi")
+
+
 def degrees(g: GraphSet) -> DataFrame:
     """``(graph_id, node_id, in_degree, out_degree)``; one aggregation over both ends of each edge."""
     e = g.edges.distinct()
@@ -90,3 +97,41 @@ def node_spans(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     both = paths.join(nodes.select("graph_id", "node_id", F.length("seq").cast("long").alias("n")), ["graph_id", "node_id"])
     upto = F.sum("n").over(Window.partitionBy("graph_id", "path_name").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
     return both.select("graph_id", "path_name", "step", "node_id", (upto - F.col("n")).alias("start"), upto.alias("end"))
+
+
+def covering_paths(g: GraphSet, most: int = 1000) -> DataFrame:
+    """``(graph_id, path_idx, path)``: for each node, in order, a path from a start to an end that holds it unless one before does; then others, up to ``most``.
+
+    The way to a node is by its first predecessors, on from it by its first successors; the others follow in lexicographic order. A graph is one
+    group: meant for small graphs, where an outside tool is to read all sequences.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        e = pdf[pdf["dst"].notna()]
+        after: dict[int, list[int]] = {}
+        before: dict[int, list[int]] = {}
+        for a, b in sorted(set(zip(e["src"].astype("int64"), e["dst"].astype("int64")))):
+            after.setdefault(a, []).append(b)
+            before.setdefault(b, []).append(a)
+        nodes = sorted({*pdf["src"].astype("int64"), *e["dst"].astype("int64")})
+        found, seen = [], set()
+        for n in nodes:
+            if n not in seen and len(found) < most:
+                path = [n]
+                while path[0] in before:
+                    path.insert(0, before[path[0]][0])
+                while path[-1] in after:
+                    path.append(after[path[-1]][0])
+                found.append(path)
+                seen.update(path)
+        have, todo = {tuple(p) for p in found}, [[n] for n in reversed(nodes) if n not in before]
+        while todo and len(found) < most:
+            path = todo.pop()
+            if path[-1] in after:
+                todo += [[*path, x] for x in reversed(after[path[-1]])]
+            elif tuple(path) not in have:
+                found.append(path)
+        return pd.DataFrame({"graph_id": key[0], "path_idx": range(len(found)), "path": found})
+
+    rows = g.nodes.select("graph_id", F.col("node_id").alias("src"), F.lit(None).cast("long").alias("dst")).unionByName(g.edges.select("graph_id", "src", "dst").distinct())
+    return rows.groupBy("graph_id").applyInPandas(run, "graph_id string, path_idx int, path array<long>")

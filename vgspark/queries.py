@@ -12,7 +12,7 @@ from .operators.matching import similarity_matrix
 from .plans.aligner import align
 from .sinks import writers
 from .sources import gfa
-from .sources.testbed import graph, table
+from .sources.testbed import graph, table, variant, walk_lines
 
 EXACT = AnchorParams(strategy="exact")
 MINIMIZER = AnchorParams(strategy="minimizer")
@@ -36,7 +36,7 @@ def _parsed(spark: SparkSession, d: str) -> GraphSet:
 
 
 def _alignment(spark: SparkSession, d: str, **how):
-    return align(graph(spark, d, "A"), graph(spark, d, "B"), AlignParams(anchor=EXACT, **how), shared_only=True)
+    return align(graph(spark, d, "A"), graph(spark, d, "B"), AlignParams(anchor=EXACT, candidate_sim=0.9, **how))
 
 
 def _scores(spark: SparkSession, d: str, how: str = "auto", objective: str = "reference") -> DataFrame:
@@ -45,6 +45,26 @@ def _scores(spark: SparkSession, d: str, how: str = "auto", objective: str = "re
     return pairing.scored(ga, gb, da, db, AlignParams(match=MatchParams(objective=objective)), pairing.candidates(da[1], db[1]), how)
 
 
+def _variant(spark: SparkSession, d: str, how: str = "auto", objective: str = "reference") -> tuple[DataFrame, tuple, tuple]:
+    ga, gb = variant(spark, d, "A"), variant(spark, d, "B")
+    da, db = snarls.decompose(ga), snarls.decompose(gb)
+    return pairing.scored(ga, gb, da, db, AlignParams(match=MatchParams(objective=objective)), pairing.candidates(da[1], db[1]), how), da, db
+
+
+def _variant_snarls(spark: SparkSession, d: str, nested: str) -> DataFrame:
+    a, b = (snarls.decompose(variant(spark, d, g), nested)[0] for g in "AB")
+    return a.unionByName(b)
+
+
+def _walked(spark: SparkSession, d: str) -> GraphSet:
+    return gfa.parse(walk_lines(spark, d))
+
+
+def _named_edges(g: GraphSet) -> DataFrame:
+    u, v = (g.nodes.select(F.col("node_id").alias(e), F.col("name").alias(n)) for e, n in (("src", "u"), ("dst", "v")))
+    return g.edges.join(u, "src").join(v, "dst").select("u", "v")
+
+
 def _matches(df: DataFrame) -> DataFrame:
     m = F.array_sort(F.transform("matches", lambda x: F.concat_ws(":", x["i"], x["j"])))
     return df.select("snarl_a", "snarl_b", F.round("score", 6).alias("score"), F.size("matches").alias("n_matched"), F.array_join(m, ",").alias("matched"), F.array_join(F.col("a_only").cast("array<string>"), ",").alias("a_only"), F.array_join(F.col("b_only").cast("array<string>"), ",").alias("b_only"))
@@ -115,11 +135,26 @@ QUERIES = {
     "delta_a_only": lambda s, d: _alignment(s, d).delta_a.select("snarl_id", "allele_idx", "seq"),
     "delta_b_only": lambda s, d: _alignment(s, d).delta_b.select("snarl_id", "allele_idx", "seq"),
     "total_score": lambda s, d: _alignment(s, d).total.withColumn("total", F.round("total", 4)),
-    "gaf_lines": lambda s, d: (lambda a, b: (lambda r: _lines(writers.gaf_lines(r.anchors, r.alignments.withColumn("matches", F.array_sort("matches")), r.total, a, b, r.snarls_a, r.snarls_b, "A", "B")))(align(a, b, AlignParams(anchor=EXACT), shared_only=True)))(graph(s, d, "A"), graph(s, d, "B")),
-    "delta_vcf_lines": lambda s, d: (lambda a: (lambda r: _lines(writers.delta_vcf_lines(r.delta_a, a, r.snarls_a, "A")))(align(a, graph(s, d, "B"), AlignParams(anchor=EXACT), shared_only=True)))(graph(s, d, "A")),
+    "gaf_lines": lambda s, d: (lambda a, b: (lambda r: _lines(writers.gaf_lines(r.anchors, r.alignments.withColumn("matches", F.array_sort("matches")), r.total, a, b, r.snarls_a, r.snarls_b, "A", "B")))(align(a, b, AlignParams(anchor=EXACT, candidate_sim=0.9))))(graph(s, d, "A"), graph(s, d, "B")),
+    "delta_vcf_lines": lambda s, d: (lambda a: (lambda r: _lines(writers.delta_vcf_lines(r.delta_a, a, r.snarls_a, "A")))(align(a, graph(s, d, "B"), AlignParams(anchor=EXACT, candidate_sim=0.9))))(graph(s, d, "A")),
     "precision_recall": lambda s, d: metrics.precision_recall(_seqs(s, d, "A"), _seqs(s, d, "B")).select("hits", "n_found", "n_truth", *(F.round(c, 9).alias(c) for c in ("prec", "rec", "f1"))),
     "paf_overlap": lambda s, d: _covered(s, d),
     "paf_consistency": lambda s, d: metrics.consistency(anchors.find_anchors(graph(s, d, "A"), graph(s, d, "B"), EXACT), _covered(s, d)).withColumn("rate", F.round("rate", 9)),
+    "predecessors": lambda s, d: topology.neighbours(both(s, d).edges, direction="in"),
+    "work_distribution": lambda s, d: metrics.work_distribution(decomposed(s, d, "A")[0]).select("n", "k_max", *(F.round(c, 6).alias(c) for c in ("k_mean", "pct_k2", "gini_k", "gini_work"))),
+    "matched_nodes": lambda s, d: (lambda a, b: metrics.matched_nodes(_scores(s, d), a, b))(decomposed(s, d, "A")[1], decomposed(s, d, "B")[1]),
+    "work_scores": lambda s, d: _alignment(s, d, pairing="work").alignments.select("snarl_a", "snarl_b", F.round("w_struct", 6).alias("w_struct")),
+    "shared_nodes": lambda s, d: (lambda r: r.shared_nodes_a.select(F.lit("A").alias("graph_id"), "node_id").unionByName(r.shared_nodes_b.select(F.lit("B").alias("graph_id"), "node_id")))(_alignment(s, d)),
+    "walk_nodes": lambda s, d: _walked(s, d).nodes.select("node_id", "name", "seq"),
+    "walk_edges": lambda s, d: _named_edges(_walked(s, d)),
+    "walk_paths": lambda s, d: (lambda g: g.paths.join(g.nodes.select("node_id", "name"), "node_id").select("path_name", "step", "name"))(_walked(s, d)),
+    "variant_snarls": lambda s, d: _variant_snarls(s, d, "drop"),
+    "variant_snarls_nested": lambda s, d: _variant_snarls(s, d, "keep"),
+    "variant_alleles": lambda s, d: (lambda x: x[1].select("snarl_idx", "allele_idx", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"), "seq"))(snarls.decompose(variant(s, d, "B"))),
+    "variant_match_lap": lambda s, d: _matches(_variant(s, d)[0]),
+    "variant_match_greedy": lambda s, d: _matches(_variant(s, d, "greedy")[0]),
+    "variant_match_optimal": lambda s, d: _matches(_variant(s, d, objective="optimal")[0]),
+    "variant_anchors": lambda s, d: anchors.find_anchors(variant(s, d, "A"), variant(s, d, "B"), EXACT).withColumn("sim", F.round("sim", 6)),
     "bench_stderr": lambda s, d: metrics.grouped_stderr(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity").select("l_returnflag", "l_linestatus", "n", F.round("mean", 6).alias("mean"), F.round("stderr", 6).alias("stderr")),
     "speedup": lambda s, d: metrics.speedup(table(s, d, "lineitem"), "l_linenumber", "l_quantity").select("l_linenumber", *(F.round(c, 6).alias(c) for c in ("mean", "speedup", "efficiency"))),
 }
@@ -127,30 +162,48 @@ QUERIES = {
 #: The testbed in SQL: fl (lines of A and B), al (alleles), spine, nodes, edges, paths, sn (bubbles), am (alleles of bubbles), bb (backbone), pr (pairs).
 _DNA = "translate(md5({}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 _BASE = f"""WITH
-al AS (SELECT DISTINCT 'A' AS g, l_orderkey AS ok, CAST(l_linenumber AS BIGINT) AS ln FROM lineitem WHERE l_returnflag IN ('A', 'N')
+al AS MATERIALIZED (SELECT DISTINCT 'A' AS g, l_orderkey AS ok, CAST(l_linenumber AS BIGINT) AS ln FROM lineitem WHERE l_returnflag IN ('A', 'N')
   UNION ALL SELECT DISTINCT 'B', l_orderkey, CAST(l_linenumber AS BIGINT) FROM lineitem WHERE l_returnflag IN ('N', 'R')),
 gs AS (SELECT unnest(['A', 'B']) AS g),
 sp AS (SELECT g, o_orderkey AS ok FROM orders, gs),
 spine AS (SELECT * FROM sp UNION ALL SELECT g, max(ok) + 1 FROM sp GROUP BY g),
-nodes AS (SELECT g, ok * 16 AS node_id, 'anc_' || ok AS name, left({_DNA.format("'anc:' || ok")}, 20) AS seq FROM spine
+nodes AS MATERIALIZED (SELECT g, ok * 16 AS node_id, 'anc_' || ok AS name, left({_DNA.format("'anc:' || ok")}, 20) AS seq FROM spine
   UNION ALL SELECT g, ok * 16 + ln, 'al_' || ok || '_' || ln, {_DNA.format("'line:' || ok || ':' || ln")} FROM al),
 edges AS (SELECT g, ok * 16 AS src, ok * 16 + ln AS dst FROM al UNION ALL SELECT g, ok * 16 + ln, (ok + 1) * 16 FROM al
   UNION ALL SELECT g, ok * 16, (ok + 1) * 16 FROM sp WHERE NOT EXISTS (SELECT 1 FROM al WHERE al.g = sp.g AND al.ok = sp.ok)),
 paths AS (SELECT g, 'h' || CAST(ok // 100 AS VARCHAR) AS path_name, CAST(2 * (ok % 100) AS INTEGER) AS step, ok * 16 AS node_id FROM sp
   UNION ALL SELECT g, 'h' || CAST(ok // 100 AS VARCHAR), CAST(2 * (ok % 100) + 1 AS INTEGER), ok * 16 + min(ln) FROM al GROUP BY g, ok),
-deg AS (SELECT g, node_id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (
+deg AS MATERIALIZED (SELECT g, node_id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (
   SELECT g, node_id, 0 AS i, 0 AS o FROM nodes UNION ALL SELECT g, src, 0, 1 FROM edges UNION ALL SELECT g, dst, 1, 0 FROM edges) GROUP BY ALL),
-bb AS (SELECT nodes.* FROM nodes JOIN deg USING (g, node_id) WHERE in_degree <= 1 AND out_degree <= 1),
-sn AS (SELECT g, ok, k, CAST(row_number() OVER (PARTITION BY g ORDER BY ok) - 1 AS INTEGER) AS idx, 'anc_' || ok || '>anc_' || (ok + 1) AS snarl_id
+bb AS MATERIALIZED (SELECT nodes.* FROM nodes JOIN deg USING (g, node_id) WHERE in_degree <= 1 AND out_degree <= 1),
+sn AS MATERIALIZED (SELECT g, ok, k, CAST(row_number() OVER (PARTITION BY g ORDER BY ok) - 1 AS INTEGER) AS idx, 'anc_' || ok || '>anc_' || (ok + 1) AS snarl_id
   FROM (SELECT g, ok, count(*) AS k FROM al GROUP BY g, ok) WHERE k > 1),
-am AS (SELECT sn.g, sn.ok, sn.idx, sn.k, sn.snarl_id, al.ln, CAST(row_number() OVER (PARTITION BY sn.g, sn.ok ORDER BY al.ln) - 1 AS INTEGER) AS ai, {_DNA.format("'line:' || al.ok || ':' || al.ln")} AS seq
+am AS MATERIALIZED (SELECT sn.g, sn.ok, sn.idx, sn.k, sn.snarl_id, al.ln, CAST(row_number() OVER (PARTITION BY sn.g, sn.ok ORDER BY al.ln) - 1 AS INTEGER) AS ai, {_DNA.format("'line:' || al.ok || ':' || al.ln")} AS seq
   FROM sn JOIN al USING (g, ok)),
 mt AS (SELECT a.ok, a.idx AS snarl_a, b.idx AS snarl_b, a.k AS ka, b.k AS kb, a.ai AS i, b.ai AS j FROM am a JOIN am b ON a.g = 'A' AND b.g = 'B' AND a.ok = b.ok AND a.ln = b.ln),
 pr AS (SELECT ok, snarl_a, snarl_b, count(*) AS s, 2 * (count(*) - 0.5 * (any_value(ka) + any_value(kb) - 2 * count(*))) AS w_struct, string_agg(i || ':' || j, ',' ORDER BY i || ':' || j) AS matched,
     string_agg(i || ':' || j || ':1', chr(9) ORDER BY i, j) AS tabbed FROM mt GROUP BY ok, snarl_a, snarl_b),
-an AS (SELECT a.node_id AS node_a, b.node_id AS node_b, 1.0 AS sim, a.name FROM bb a JOIN bb b ON a.g = 'A' AND b.g = 'B' AND a.seq = b.seq),
+an AS (SELECT a.node_id AS node_a, b.node_id AS node_b, 1.0 AS sim, a.name FROM (SELECT * FROM bb WHERE g = 'A') a JOIN (SELECT * FROM bb WHERE g = 'B') b ON a.seq = b.seq),
 pos AS (SELECT *, 1.5 + w_struct AS score FROM pr WHERE 1.5 + w_struct > 0)
 """
+#: The testbed with differences: vsn (bubbles), vam (their alleles with paths), vmt (matched alleles), vpr (pairs).
+_VARIANT = _BASE + f""",
+vn AS (SELECT DISTINCT g, ok FROM al WHERE ok % 10 = 0),
+va AS (SELECT g, ok, ok * 16 + ln AS at, ln, (ok * 16) || ',' || (ok * 16 + ln) || ',' || ((ok + 1) * 16) AS path,
+    CASE WHEN g = 'B' AND ln % 2 = 0 THEN translate(left(seq, 1), 'ACGT', 'CGTA') || substring(seq, 2) ELSE seq END AS seq
+    FROM (SELECT g, ok, ln, {_DNA.format("'line:' || ok || ':' || ln")} AS seq FROM al)
+  UNION ALL SELECT g, ok, ok * 16 + 8, 8 + i, (ok * 16) || ',' || (ok * 16 + 8) || ',' || (ok * 16 + 8 + i) || ',' || (ok * 16 + 11) || ',' || ((ok + 1) * 16),
+    {_DNA.format("'x:' || ok")} || {_DNA.format("'y' || i || ':' || ok")} || {_DNA.format("'z:' || ok")} FROM vn, (SELECT unnest([1, 2]) AS i)),
+vsn AS MATERIALIZED (SELECT g, ok, k, CAST(row_number() OVER (PARTITION BY g ORDER BY ok) - 1 AS INTEGER) AS idx FROM (SELECT g, ok, count(*) AS k FROM va GROUP BY g, ok) WHERE k > 1),
+vam AS MATERIALIZED (SELECT vsn.g, vsn.ok, vsn.idx, vsn.k, va.ln, va.path, va.seq, CAST(row_number() OVER (PARTITION BY vsn.g, vsn.ok ORDER BY va.ln) - 1 AS INTEGER) AS ai FROM vsn JOIN va USING (g, ok)),
+vmt AS (SELECT a.ok, a.idx AS snarl_a, b.idx AS snarl_b, a.k AS ka, b.k AS kb, a.ai AS i, b.ai AS j, CASE WHEN a.seq = b.seq THEN 1.0 ELSE 1 - 1 / 32 END AS sim
+  FROM (SELECT * FROM vam WHERE g = 'A') a JOIN (SELECT * FROM vam WHERE g = 'B') b ON a.ok = b.ok AND a.ln = b.ln),
+vpr AS (SELECT ok, snarl_a, snarl_b, any_value(ka) AS ka, any_value(kb) AS kb, count(*) AS s, 2 * (sum(sim) - 0.5 * (any_value(ka) + any_value(kb) - 2 * count(*))) AS w_struct, string_agg(i || ':' || j, ',' ORDER BY i || ':' || j) AS matched,
+  list(i) AS li, list(j) AS lj FROM vmt GROUP BY ok, snarl_a, snarl_b)
+"""
+_VMATCH = """SELECT snarl_a, snarl_b, round(1.5 + w_struct, 6) AS score, CAST(s AS INTEGER) AS n_matched, matched,
+ array_to_string(list_filter(range(0, ka), lambda x: NOT list_contains(li, x)), ',') AS a_only, array_to_string(list_filter(range(0, kb), lambda x: NOT list_contains(lj, x)), ',') AS b_only FROM vpr"""
+_WALK = _BASE + """, first AS (SELECT ok, min(ln) AS ln, row_number() OVER (ORDER BY ok) - 1 AS nth FROM al WHERE g = 'A' GROUP BY ok), num AS (SELECT node_id, name, seq, row_number() OVER (ORDER BY node_id) - 1 AS id FROM nodes WHERE g = 'A')"""
 _ONLY = "SELECT am.* FROM am JOIN {pairs} p ON p.ok = am.ok WHERE am.g = '{g}' AND NOT EXISTS (SELECT 1 FROM am o WHERE o.g = '{o}' AND o.ok = am.ok AND o.ln = am.ln)"
 _MATCH = """SELECT snarl_a, snarl_b, round(1.5 + w_struct, 6) AS score, CAST(s AS INTEGER) AS n_matched, matched,
  coalesce((SELECT string_agg(CAST(ai AS VARCHAR), ',' ORDER BY ai) FROM (""" + _ONLY.format(pairs="pr", g="A", o="B") + """) x WHERE x.idx = pr.snarl_a), '') AS a_only,
@@ -211,6 +264,29 @@ ORACLE_SQL = {
     "precision_recall": _BASE + "SELECT h AS hits, f AS n_found, t AS n_truth, round(h / f, 9) AS prec, round(h / t, 9) AS rec, round(2 * (h / f) * (h / t) / (h / f + h / t), 9) AS f1 FROM (SELECT (SELECT count(*) FROM am a JOIN am b ON a.g = 'A' AND b.g = 'B' AND a.seq = b.seq) AS h, (SELECT count(*) FROM am WHERE g = 'A') AS f, (SELECT count(*) FROM am WHERE g = 'B') AS t)",
     "paf_overlap": _BASE + ", sps AS (SELECT g, path_name, node_id, e - length(seq) AS s, e FROM (SELECT *, sum(length(seq)) OVER (PARTITION BY g, path_name ORDER BY step) AS e FROM paths JOIN nodes USING (g, node_id))), half AS (SELECT path_name, max(e) // 2 AS h FROM sps WHERE g = 'A' GROUP BY path_name) SELECT DISTINCT a.node_id AS node_a, b.node_id AS node_b FROM half JOIN sps a ON a.g = 'A' AND a.path_name = half.path_name AND a.s < h JOIN sps b ON b.g = 'B' AND b.path_name = half.path_name AND b.s < h",
     "paf_consistency": _BASE + ", sps AS (SELECT g, path_name, node_id, e - length(seq) AS s, e FROM (SELECT *, sum(length(seq)) OVER (PARTITION BY g, path_name ORDER BY step) AS e FROM paths JOIN nodes USING (g, node_id))), half AS (SELECT path_name, max(e) // 2 AS h FROM sps WHERE g = 'A' GROUP BY path_name), cov AS (SELECT DISTINCT a.node_id AS node_a, b.node_id AS node_b FROM half JOIN sps a ON a.g = 'A' AND a.path_name = half.path_name AND a.s < h JOIN sps b ON b.g = 'B' AND b.path_name = half.path_name AND b.s < h) SELECT count(*) AS n, count(cov.node_a) AS covered, round(count(cov.node_a) / count(*), 9) AS rate FROM an LEFT JOIN cov USING (node_a, node_b)",
+    "predecessors": _BASE + "SELECT DISTINCT g AS graph_id, dst AS node_id, src AS neighbour FROM edges",
+    "work_distribution": _BASE + """, k AS (SELECT k, CAST(k * k * k AS DOUBLE) AS w, row_number() OVER (ORDER BY k) AS r, count(*) OVER () AS n FROM sn WHERE g = 'A')
+      SELECT count(*) AS n, CAST(max(k) AS INTEGER) AS k_max, round(avg(k), 6) AS k_mean, round(100 * avg(CASE WHEN k = 2 THEN 1.0 ELSE 0.0 END), 6) AS pct_k2,
+      round(sum((2 * r - n - 1) * k) / (any_value(n) * sum(k)), 6) AS gini_k, round(sum((2 * r - n - 1) * w) / (any_value(n) * sum(w)), 6) AS gini_work FROM k""",
+    "matched_nodes": _BASE + "SELECT DISTINCT a.ok * 16 + a.ln AS node_a, b.ok * 16 + b.ln AS node_b FROM (SELECT * FROM am WHERE g = 'A') a JOIN (SELECT * FROM am WHERE g = 'B') b ON a.ok = b.ok AND a.ln = b.ln",
+    "work_scores": _BASE + """, za AS (SELECT *, row_number() OVER (ORDER BY idx) AS n FROM sn WHERE g = 'A'), zb AS (SELECT *, row_number() OVER (ORDER BY k DESC, idx) AS n FROM sn WHERE g = 'B')
+      SELECT za.idx AS snarl_a, zb.idx AS snarl_b, CAST(round(2 * (coalesce(m.s, 0) - 0.5 * (za.k + zb.k - 2 * coalesce(m.s, 0))), 6) AS DOUBLE) AS w_struct FROM za JOIN zb USING (n) LEFT JOIN pr m ON m.snarl_a = za.idx AND m.snarl_b = zb.idx""",
+    "shared_nodes": _BASE + "SELECT 'A' AS graph_id, node_a AS node_id FROM an UNION ALL SELECT 'B', node_b FROM an",
+    "walk_nodes": _WALK + " SELECT id AS node_id, name, seq FROM num UNION ALL SELECT (SELECT count(*) FROM num) + nth, 'al_' || ok || '_' || ln || '_rc', translate(reverse(seq), 'ACGT', 'TGCA') FROM first JOIN num ON num.node_id = ok * 16 + ln",
+    "walk_edges": _WALK + " SELECT 'al_' || ok || '_' || ln AS u, 'al_' || ok || '_' || ln || '_rc' AS v FROM first UNION ALL SELECT 'anc_' || ok, 'al_' || ok || '_' || ln || '_rc' FROM first",
+    "walk_paths": _WALK + " SELECT 's' || ok || '#1#c:0-52' AS path_name, CAST(0 AS INTEGER) AS step, 'anc_' || ok AS name FROM first UNION ALL SELECT 's' || ok || '#1#c:0-52', 1, 'al_' || ok || '_' || ln || '_rc' FROM first",
+    "variant_snarls": _VARIANT + "SELECT g AS graph_id, idx AS snarl_idx, ok * 16 AS source, (ok + 1) * 16 AS sink, 'anc_' || ok || '>anc_' || (ok + 1) AS snarl_id, CAST(k AS INTEGER) AS allele_count, k * k * k AS subtree_work FROM vsn",
+    "variant_snarls_nested": _VARIANT + """SELECT g AS graph_id, CAST(row_number() OVER (PARTITION BY g ORDER BY source) - 1 AS INTEGER) AS snarl_idx, source, sink, snarl_id, CAST(k AS INTEGER) AS allele_count, k * k * k AS subtree_work FROM (
+      SELECT g, ok * 16 AS source, (ok + 1) * 16 AS sink, 'anc_' || ok || '>anc_' || (ok + 1) AS snarl_id, k FROM vsn UNION ALL SELECT g, ok * 16 + 8, ok * 16 + 11, 'x_' || ok || '>z_' || ok, 2 FROM vn)""",
+    "variant_alleles": _VARIANT + "SELECT idx AS snarl_idx, ai AS allele_idx, path, seq FROM vam WHERE g = 'B'",
+    "variant_match_lap": _VARIANT + _VMATCH,
+    "variant_match_greedy": _VARIANT + _VMATCH,
+    "variant_match_optimal": _VARIANT + _VMATCH,
+    "variant_anchors": _VARIANT + """, one AS (SELECT * FROM va WHERE ln < 8)
+      SELECT a.at AS node_a, b.at AS node_b, CAST(round(CASE WHEN a.seq = b.seq THEN 1 ELSE 1 - 1 / 32 END, 6) AS DOUBLE) AS sim FROM (SELECT * FROM one WHERE g = 'A') a JOIN (SELECT * FROM one WHERE g = 'B') b ON a.ok = b.ok AND a.ln = b.ln
+      UNION ALL SELECT a.ok * 16 + 8 + i, a.ok * 16 + 8 + i, 1 FROM (SELECT * FROM vn WHERE g = 'A') a JOIN (SELECT * FROM vn WHERE g = 'B') b USING (ok), (SELECT unnest([1, 2]) AS i)
+      UNION ALL SELECT bb.node_id, bb.node_id, 1 FROM bb JOIN bb o ON bb.g = 'A' AND o.g = 'B' AND o.node_id = bb.node_id WHERE bb.node_id % 16 = 0
+        AND NOT EXISTS (SELECT 1 FROM vn WHERE vn.ok * 16 = bb.node_id OR (vn.ok + 1) * 16 = bb.node_id)""",
     "bench_stderr": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity) / sqrt(count(*)), 6) AS stderr FROM lineitem GROUP BY ALL",
     "speedup": "WITH m AS (SELECT l_linenumber, avg(l_quantity) AS mean FROM lineitem GROUP BY 1), b AS (SELECT arg_min(mean, l_linenumber) AS base, min(l_linenumber) AS least FROM m) SELECT l_linenumber, round(mean, 6) AS mean, round(base / mean, 6) AS speedup, round(base / mean * least / l_linenumber, 6) AS efficiency FROM m, b",
 }

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import GraphSet
-from ..operators.topology import path_edges  # noqa: F401
 
 
 def dna(key: Column, length: int = 32) -> Column:
@@ -53,12 +50,19 @@ def bubble_pair(spark: SparkSession, n: int, seed: int = 42, anchor: int = 20, a
     return out[0], out[1], t.select("snarl", "type", "seq")
 
 
-def random_dna(length: int, rng: random.Random) -> str:
-    return "".join(rng.choice("ACGT") for _ in range(length))
-
-
-def mutated(seq: str, rate: float, rng: random.Random) -> str:
-    return "".join(rng.choice([x for x in "ACGT" if x != c]) if rng.random() < rate else c for c in seq)
+def planted_pair(spark: SparkSession, n: int, shared: int = 2, a_only: int = 1, b_only: int = 1, seed: int = 99) -> tuple[GraphSet, GraphSet, DataFrame]:
+    """Two chains of ``n`` bubbles with so many shared and private alleles of 12 letters between anchors of 8, and ``truth (snarl, type, seq)``."""
+    kinds = F.concat(*(F.array_repeat(F.lit(k), c) for k, c in (("shared", shared), ("a_only", a_only), ("b_only", b_only))))
+    t = spark.range(n).select(F.col("id").alias("snarl"), F.posexplode(kinds).alias("i", "type")).withColumn("seq", dna(F.concat_ws(":", F.lit(f"planted{seed}"), "snarl", "i"), 12))
+    chain = spark.range(n + 1).select((F.col("id") * 64).alias("node_id"), F.concat(F.lit("p"), F.col("id")).alias("name"), dna(F.concat_ws(":", F.lit(f"end{seed}"), "id"), 8).alias("seq"))
+    out = []
+    for g, own in (("A", "a_only"), ("B", "b_only")):
+        mine = t.where(F.col("type").isin("shared", own)).withColumn("node_id", F.col("snarl") * 64 + F.col("i") + 1)
+        nodes = chain.unionByName(mine.select("node_id", F.concat_ws("_", F.lit("q"), "snarl", "i").alias("name"), "seq")).select(F.lit(g).alias("graph_id"), "node_id", "name", "seq")
+        into = mine.select(F.lit(g).alias("graph_id"), (F.col("snarl") * 64).alias("src"), F.col("node_id").alias("dst"))
+        onward = mine.select(F.lit(g).alias("graph_id"), F.col("node_id").alias("src"), ((F.col("snarl") + 1) * 64).alias("dst"))
+        out.append(GraphSet(nodes, into.unionByName(onward), spark.createDataFrame([], "graph_id string, path_name string, step int, node_id long")))
+    return out[0], out[1], t.select("snarl", "type", "seq")
 
 
 def demo_pair(spark: SparkSession) -> tuple[GraphSet, GraphSet]:

@@ -32,3 +32,34 @@ def graph(spark: SparkSession, sf_dir: str, graph_id: str) -> GraphSet:
     steps = spine.select("ok", F.lit(0).cast("long").alias("ln")).unionByName(first)
     paths = steps.select(g, F.concat(F.lit("h"), F.floor(F.col("ok") / 100).cast("string")).alias("path_name"), (2 * (F.col("ok") % 100) + F.when(F.col("ln") > 0, 1).otherwise(0)).cast("int").alias("step"), (F.col("ok") * 16 + F.col("ln")).alias("node_id"))
     return GraphSet(nodes, into.unionByName(out).unionByName(bare), paths)
+
+
+def variant(spark: SparkSession, sf_dir: str, graph_id: str) -> GraphSet:
+    """The same pair with differences: in graph B the alleles of even lines have another first letter, and each tenth
+    order with lines has two more alleles that share their ends, a bubble within its bubble: x, then y1 or y2, then z.
+    """
+    g = graph(spark, sf_dir, graph_id)
+    if graph_id == "B":
+        turned = F.concat(F.translate(F.substring("seq", 1, 1), "ACGT", "CGTA"), F.expr("substring(seq, 2)"))
+        even = F.pmod("node_id", F.lit(16)).between(1, 7) & (F.pmod("node_id", F.lit(2)) == 0)
+        g.nodes = g.nodes.withColumn("seq", F.when(even, turned).otherwise(F.col("seq")))
+    within = g.nodes.where(F.pmod("node_id", F.lit(16)).between(1, 7)).select(F.floor(F.col("node_id") / 16).alias("ok")).distinct().where("ok % 10 = 0")
+    own, at = F.lit(graph_id).alias("graph_id"), F.col("ok") * 16
+    parts = within.select("ok", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(i).alias("i")) for i, n in ((8, "x"), (9, "y1"), (10, "y2"), (11, "z"))))).alias("p"))
+    parts = parts.select(own, (at + F.col("p.i")).alias("node_id"), F.concat_ws("_", "p.n", "ok").alias("name"), dna(F.concat_ws(":", "p.n", "ok")).alias("seq"))
+    ends = [(0, 8), (8, 9), (8, 10), (9, 11), (10, 11), (11, 16)]
+    edges = within.select(own, F.explode(F.array(*(F.struct((at + a).alias("src"), (at + b).alias("dst")) for a, b in ends))).alias("e")).select("graph_id", "e.src", "e.dst")
+    return GraphSet(g.nodes.unionByName(parts), g.edges.unionByName(edges), g.paths)
+
+
+def walk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GFA lines with W lines and reversed steps: the segments of graph A, a link from each order's first allele to its reverse, and a walk
+    for each order: its anchor forward, then its first allele in reverse.
+    """
+    g = graph(spark, sf_dir, "A")
+    seg = g.nodes.select("graph_id", F.col("node_id").alias("line_no"), F.concat_ws("\t", F.lit("S"), "name", "seq").alias("value"))
+    al = g.nodes.where(F.pmod("node_id", F.lit(16)) > 0).groupBy("graph_id", F.floor(F.col("node_id") / 16).alias("ok")).agg(F.min_by("name", "node_id").alias("al"))
+    at = F.lit(1 << 50).cast("long") + F.col("ok") * 2
+    link = al.select("graph_id", at.alias("line_no"), F.concat_ws("\t", F.lit("L"), "al", F.lit("+"), "al", F.lit("-"), F.lit("0M")).alias("value"))
+    walk = al.select("graph_id", (at + 1).alias("line_no"), F.concat_ws("\t", F.lit("W"), F.concat(F.lit("s"), "ok"), F.lit("1"), F.lit("c"), F.lit("0"), F.lit("52"), F.concat(F.lit(">anc_"), "ok", F.lit("<"), "al")).alias("value"))
+    return seg.unionByName(link).unionByName(walk)

@@ -275,6 +275,45 @@ def test_surrogates(spark):
     assert len({surrogates.permuted(i, 1000, "t") for i in range(1000)}) == 1000
 
 
+def test_surrogates_full_shapes(spark):
+    mails = [f"{a}@{b}.de" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    people = [("Mr", "Fotia Nabad"), ("Mrs", "Fotia Nabad"), ("Dr", "Fotia Kulan")]
+    docs = frame(spark, [(i, f"from {m} on", "s") for i, m in enumerate(mails)] + [(1000 + i, f"{t} {n} came", "s") for i, (t, n) in enumerate(people)])
+    r = {x.doc_id: x.text for x in surrogates.with_surrogates(docs).collect()}
+    new = [r[i].split()[1] for i in range(len(mails))]
+    assert len(set(new)) == len(mails) and not set(new) & set(mails)
+    given = [r[1000 + i].split()[1] for i in range(3)]
+    assert len(set(given)) == 3 and not set(given) & {"Fotia", "Nabad", "Kulan"}
+    assert r[1000].split()[2] == r[1001].split()[2] != r[1002].split()[2]
+
+
+def test_surrogate_forms_widen():
+    for kind, norm in (("email", "x@y.de"), ("card", "4111111111111111"), ("iban", "GB82WEST12345698765432"), ("phone", "+1|0175557713"), ("ssn", "123456789"), ("ip", "10.0.0.7"), ("given", "m|john"), ("family", "n|иванов")):
+        narrow, wide = (surrogates.surrogate(kind, norm, a) for a in (surrogates.WIDER - 1, surrogates.WIDER + 2))
+        assert len(wide) > len(narrow)
+    assert surrogates.luhn(surrogates.surrogate("card", "4111111111111111", surrogates.WIDER + 1))
+    assert surrogates._iban_ok(surrogates.surrogate("iban", "GB82WEST12345698765432", surrogates.WIDER + 1))
+
+
+def test_long_lines(spark):
+    rng = random.Random(5)
+    docs = []
+    for i in range(40):
+        w = [f"t{rng.randrange(60)}" for _ in range(rng.choice((20, 24, 30, 60)))]
+        again = [x if rng.random() > 0.12 else f"u{rng.randrange(9)}" for x in w]
+        docs.append((i, " ".join(w) + "\n" + " ".join(again), "s"))
+    seen, want = [], {}
+    for i, t, _ in docs:
+        want[i] = []
+        for k, line in enumerate(t.split("\n")):
+            s = set(line.split())
+            if any(len(s & o) >= 0.8 * len(s | o) - 1e-9 for o in seen):
+                want[i].append(k)
+            seen.append(s)
+    got = {x.doc_id: list(x.removed) for x in lines.removed_lines(frame(spark, docs)).collect()}
+    assert got == want and any(want.values()) and not all(want.values())
+
+
 def test_pipeline_small(spark, tmp_path):
     import corpus_pipeline
 

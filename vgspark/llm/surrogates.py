@@ -16,6 +16,8 @@ from .common import dropped, stored, table
 KEY = b"surrogates"
 #: Entities with a second or later choice that are sent to all tasks at most; more are joined.
 SENT = 200_000
+#: The first choice that may be longer than what it stands for.
+WIDER = 6
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 NUMBER = re.compile(
@@ -85,26 +87,46 @@ def luhn(digits: str) -> bool:
 
 
 def script(word: str) -> str:
+    """The script that a name is spelled in; scripts without a spelling of their own count as Latin."""
     name = unicodedata.name(word[0], "LATIN").split(" ")[0]
     return name if name in SPELLING else "LATIN"
 
 
-def _name(kind: str, norm: str, gender: str, tweak: str) -> str:
+def _name(kind: str, norm: str, gender: str, tweak: str, wider: int) -> str:
     onset, vowel, ends = SPELLING[script(norm)]
-    h, out = _hash(tweak, kind, norm, gender), ""
-    for _ in range(2 if kind == "given" else 3):
-        h, i = divmod(h, len(onset))
-        h, j = divmod(h, len(vowel))
-        out += onset[i] + vowel[j]
-    if kind == "given":
-        return out + ends[gender][h % len(ends[gender])]
-    return out + onset[h % 18]
+    size, out = len(onset) * len(vowel), ""
+    for turn in range((2 if kind == "given" else 3) + wider):
+        h = _hash(tweak, kind, norm, gender, str(turn)) % size
+        out += onset[h // len(vowel)] + vowel[h % len(vowel)]
+    h = _hash(tweak, kind, norm, gender, "end")
+    return out + (ends[gender][h % len(ends[gender])] if kind == "given" else onset[h % min(18, len(onset))])
+
+
+def form(kind: str, norm: str) -> str:
+    """What a reader tells entities apart by: names by their letters, whatever their gender and place; numbers by their digits and letters."""
+    if kind in ("given", "family"):
+        return "name:" + norm.partition("|")[2]
+    if kind in ("email", "ip"):
+        return f"{kind}:{norm}"
+    return "number:" + "".join(c for c in norm if c.isalnum())
 
 
 @lru_cache(1 << 16)
 def surrogate(kind: str, norm: str, attempt: int) -> str:
-    """What stands for an entity, in normal form: a function of the key, the entity and the number of earlier choices that collided."""
-    tweak = f"{kind}:{attempt}"
+    """What stands for an entity, in normal form: a function of the key, the entity and the number of earlier choices that collided.
+
+    From choice WIDER on the form grows by a letter, digit or syllable each time, so that
+    there is room however full a form is: names and the local parts of addresses get longer,
+    numbers get more digits at their end, and IP addresses become ones of the IPv6 documentation range.
+    """
+    tweak, wider = f"{kind}:{attempt}", max(0, attempt - WIDER + 1)
+    if wider and kind == "ip":
+        h = _hash(tweak, norm)
+        return "2001:db8:" + ":".join(f"{h >> s & 0xFFFF:x}" for s in range(0, 96, 16))
+    if wider and kind == "email":
+        norm = "a" * wider + norm
+    elif wider and kind not in ("given", "family"):
+        norm += "0" * wider
     if kind == "ip":
         # stays in or out of the private ranges
         n, private = 0, _private(norm)
@@ -116,14 +138,14 @@ def surrogate(kind: str, norm: str, attempt: int) -> str:
             if _private(out) == private:
                 return out
     if kind == "card":
-        good = luhn(norm)
+        good = luhn(norm[: len(norm) - wider])
         while True:
             norm = permuted_text(norm, tweak)
             if luhn(norm) == good:
                 return norm
     if kind == "iban":
         body = permuted_text(norm[4:], tweak)
-        if not _iban_ok(norm):
+        if not _iban_ok(norm[: len(norm) - wider]):
             return norm[:2] + permuted_text(norm[2:4], tweak) + body
         return norm[:2] + f"{98 - _mod97(body + norm[:2] + '00'):02d}" + body
     if kind == "phone":
@@ -138,7 +160,7 @@ def surrogate(kind: str, norm: str, attempt: int) -> str:
         return both + "." + ".".join(labels[-keep:])
     if kind in ("given", "family"):
         gender, _, word = norm.partition("|")
-        return f"{gender}|{_name(kind, word, gender, tweak)}"
+        return f"{gender}|{_name(kind, word, gender, tweak, wider)}"
     return permuted_text(norm, tweak)
 
 
@@ -156,9 +178,9 @@ def _iban_ok(norm: str) -> bool:
 
 
 def _refilled(shape: str, chars: str) -> str:
-    """``shape`` with its letters and digits replaced in turn."""
+    """``shape`` with its letters and digits replaced in turn; characters that are left come at the end."""
     it = iter(chars)
-    return "".join(next(it) if c.isalnum() else c for c in shape)
+    return "".join([next(it) if c.isalnum() else c for c in shape] + list(it))
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
@@ -222,29 +244,39 @@ def _found(batches):
 
 def _chosen(batches):
     for b in batches:
-        out = [surrogate(k, n, a) for k, n, a in zip(*(b.column(i).to_pylist() for i in range(3)))]
+        out = [form(k, surrogate(k, n, a)) for k, n, a in zip(*(b.column(i).to_pylist() for i in range(3)))]
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], ["kind", "norm", "attempt", "chosen"])
 
 
+def _forms(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([form(k, n) for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.string())], ["chosen"])
+
+
 def collisions(docs: DataFrame) -> DataFrame:
     """``(kind, norm, attempt)`` of the entities whose first choice collided: with that of another entity or with an entity of the corpus.
 
-    All entities choose; of those that chose alike the first by normal form and
-    attempt keeps its choice, the others and those that chose an existing entity choose again.
+    Choices are compared as they are read (``form``). All entities choose; of those that
+    chose alike the one with the fewest choices, then the first by kind and normal form,
+    keeps its choice; the others, and those that chose an existing entity, choose again.
+    Choices get longer from the WIDER-th on, so this ends after a few more rounds than that.
     """
     known = stored(docs.select("text").mapInArrow(_found, "kind string, norm string").distinct(), "entities")
     state = stored(known.withColumn("attempt", F.lit(0)).mapInArrow(_chosen, "kind string, norm string, attempt int, chosen string"), "choices")
-    taken = known.select("kind", F.col("norm").alias("chosen")).withColumn("taken", F.lit(True))
+    taken = known.mapInArrow(_forms, "chosen string").distinct().withColumn("taken", F.lit(True))
     while True:
-        best = state.groupBy("kind", "chosen").agg(F.min("norm").alias("keeps"), F.count("*").alias("n"))
-        lost = best.where("n > 1").select("kind", "chosen", "keeps")
-        both = state.join(lost, ["kind", "chosen"], "left").join(taken, ["kind", "chosen"], "left")
-        again = stored(both.where("taken OR norm <> keeps").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")), "again")
+        best = state.groupBy("chosen").agg(F.min(F.struct("attempt", "kind", "norm")).alias("keeps"), F.count("*").alias("n"))
+        lost = best.where("n > 1").select("chosen", "keeps")
+        both = state.join(lost, "chosen", "left").join(taken, "chosen", "left")
+        again = both.where(F.col("taken") | (F.struct("attempt", "kind", "norm") != F.col("keeps")))
+        again = stored(again.select("kind", "norm", (F.col("attempt") + 1).alias("attempt")), "again")
         if not again.limit(1).count():
-            return stored(state.where("attempt > 0").select("kind", "norm", "attempt"), "collided")
+            out = stored(state.where("attempt > 0").select("kind", "norm", "attempt"), "collided")
+            dropped(known, state, again)
+            return out
         after = state.join(again.select("kind", "norm"), ["kind", "norm"], "left_anti").select("kind", "norm", "attempt", "chosen")
         after = stored(after.unionByName(again.mapInArrow(_chosen, "kind string, norm string, attempt int, chosen string")), "choices")
-        dropped(state)
+        dropped(state, again)
         state = after
 
 

@@ -17,6 +17,8 @@ BUCKETS = 1 << 18
 HEAVY = 1024
 #: Bits of the filters that spare rows which no join wants.
 FILTER = 1 << 20
+#: From so many tokens on, the parities of 64 bits are held apart for two halves of the tokens, 128 bits in all.
+LONG = 24
 
 
 def _least(s: float) -> int:
@@ -58,14 +60,11 @@ def _parity(h: str) -> Column:
     return F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
 
 
-def _sketch(h: str) -> list[Column]:
-    """The parities of 128 bits, in two halves: a token falls on one of them."""
-
-    def half(i: int) -> Column:
-        one = lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(1)
-        return F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one(x) if i else 1 - one(x), x.bitwiseAND(63).cast("int"))))
-
-    return [half(0).alias("low"), half(1).alias("high"), F.size(h).alias("n")]
+def _half(h: str) -> Column:
+    """The parities of one half of the tokens; those of the other are what is left of ``_parity``. Zero below LONG tokens."""
+    own = lambda x: 1 - F.shiftrightunsigned(x, 6).bitwiseAND(1)
+    bits = F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", own(x), x.bitwiseAND(63).cast("int"))))
+    return F.when(F.size(h) >= LONG, bits).otherwise(F.lit(0).cast("long"))
 
 
 def _longest_prefix(n: Column, s: float) -> Column:
@@ -94,12 +93,12 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def tokenised(docs: DataFrame, similarity: float, rank: Column) -> DataFrame:
-    """``(doc_id, text_hash, row, line_no, k, n, parity, p)``: of each line its class (lines with equal tokens agree in k, n and parity), its number of tokens and its rarest tokens."""
+    """``(doc_id, text_hash, row, line_no, k, n, parity, half, p)``: of each line its class (lines with equal tokens agree in k, n and parity), its number of tokens and its rarest tokens."""
     place = ["doc_id", "text_hash", "row", "line_no"]
     rows = _numbered(docs).select(*place[:3], F.posexplode(F.split(_spaced("text"), "\n")).alias("line_no", "line"))
     rows = rows.select(*place, _hashes("line").alias("h"))
-    rows = rows.select(*place, F.size("h").alias("n"), _parity("h").alias("parity"), _ordered("h", rank).alias("t"))
-    return rows.select(*place, F.when(F.col("n") > 0, F.xxhash64("t")).alias("k"), "n", "parity", F.when(F.col("n") >= _least(similarity), F.slice("t", F.lit(1), _longest_prefix(F.col("n"), similarity))).alias("p"))
+    rows = rows.select(*place, F.size("h").alias("n"), _parity("h").alias("parity"), _half("h").alias("half"), _ordered("h", rank).alias("t"))
+    return rows.select(*place, F.when(F.col("n") > 0, F.xxhash64("t")).alias("k"), "n", "parity", "half", F.when(F.col("n") >= _least(similarity), F.slice("t", F.lit(1), _longest_prefix(F.col("n"), similarity))).alias("p"))
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -116,12 +115,13 @@ def similar_classes(docs: DataFrame, classes: DataFrame, similarity: float = SIM
     s = similarity
     numbered = _numbered(docs)
     some = classes.where("p IS NOT NULL")
-    rows = some.select("c", "n", "parity", F.posexplode("p").alias("pos", "token"))
+    rows = some.select("c", "n", "parity", "half", F.posexplode("p").alias("pos", "token"))
     bucket = F.xxhash64("token").bitwiseAND(BUCKETS - 1)
     counts = some.select(F.explode("p").alias("token")).groupBy(bucket.alias("b")).count().where(F.col("count") > HEAVY).collect()
     n, m = F.col("l.n"), F.col("r.n")
     need = F.ceil((n + m) * (s / (1 + s)) - 1e-9)
-    differ = F.bit_count(F.col("l.parity").bitwiseXOR(F.col("r.parity")))
+    half = F.when(n >= LONG, F.col("l.half").bitwiseXOR(F.col("r.half"))).otherwise(F.lit(0).cast("long"))  # of n and m, n is the lesser
+    differ = F.bit_count(half) + F.bit_count(F.col("l.parity").bitwiseXOR(F.col("r.parity")).bitwiseXOR(half))
     fits = (F.col("l.token") == F.col("r.token")) & (n <= m) & ((n < m) | (F.col("l.c") < F.col("r.c"))) & (n >= F.ceil(m * s - 1e-9)) & (differ <= n + m - 2 * need)
     fits &= F.least(n - F.col("l.pos"), m - F.col("r.pos")) + F.least("l.pos", "r.pos") >= need
 
@@ -157,13 +157,6 @@ def similar_classes(docs: DataFrame, classes: DataFrame, similarity: float = SIM
         rest = stored(pairs.join(open_, "a").where("b <> tried").select("a", "b").distinct(), "rest")
         dropped(pairs, best)
         freed(docs.sparkSession)
-        bits = sets.select("c", *_sketch("t"))
-        x, y = (bits.select(F.col("c").alias(e), F.struct("low", "high", "n").alias(f"of_{e}")) for e in "ab")
-        near = F.bit_count(F.col("of_a.low").bitwiseXOR(F.col("of_b.low"))) + F.bit_count(F.col("of_a.high").bitwiseXOR(F.col("of_b.high")))
-        total = F.col("of_a.n") + F.col("of_b.n")
-        rest, every = stored(rest.join(x, "a").join(y, "b").where(near <= total - 2 * F.ceil(total * (s / (1 + s)) - 1e-9)).select("a", "b"), "rest"), rest
-        dropped(every)
-        freed(docs.sparkSession)
         every, rest = rest, alike(rest)
         dropped(every, sets)
         freed(docs.sparkSession)
@@ -176,7 +169,7 @@ def similar_classes(docs: DataFrame, classes: DataFrame, similarity: float = SIM
         heavy[b] = 1
     is_heavy = F.get(_table(heavy), bucket.cast("int")) == 1
     often = stored(rows.where(is_heavy), "often")
-    first = often.groupBy("token").agg(F.min(F.struct("c", "n", "pos", "parity")).alias("x")).select("token", "x.*")
+    first = often.groupBy("token").agg(F.min(F.struct("c", "n", "pos", "parity", "half")).alias("x")).select("token", "x.*")
     later = often.join(stored(first, "heads").select("token", F.col("c").alias("head")), "token").where("c > head").drop("head")
     heads = verified(stored(met(later, first).unionByName(met(first, later)), "pairs"))
     open_ = often.join(heads, "c", "left_anti")
@@ -203,10 +196,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rank = _rarity(docs)
     lines = stored(tokenised(docs, similarity, rank), "lines")
     at = F.struct("doc_id", "text_hash", "row", "line_no")
-    classes = lines.where("n > 0").groupBy("k", "n", "parity").agg(F.min(F.struct(at.alias("at"), "p")).alias("x"), F.count("*").alias("copies"))
-    classes = classes.select("k", "n", "parity", F.col("x.at").alias("first"), "x.p", "copies").orderBy("first").withColumn("c", F.monotonically_increasing_id())
+    classes = lines.where("n > 0").groupBy("k", "n", "parity").agg(F.min(F.struct(at.alias("at"), "half", "p")).alias("x"), F.count("*").alias("copies"))
+    classes = classes.select("k", "n", "parity", F.col("x.at").alias("first"), "x.half", "x.p", "copies").orderBy("first").withColumn("c", F.monotonically_increasing_id())
     classes = stored(classes, "classes")
-    whole, lines = lines, stored(lines.drop("p"), "lines")
+    whole, lines = lines, stored(lines.drop("p", "half"), "lines")
     dropped(whole)
     freed(docs.sparkSession)
     gone = similar_classes(docs, classes, similarity).withColumn("gone", F.lit(True))

@@ -206,12 +206,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         freed(spark)
 
         def sets(batches):
-            """The whole sets of wanted nodes; the filter may let others pass, which no pair has."""
+            """The whole sets of wanted nodes; the filter may let others pass, which no pair has. The words of one text at a time are in memory, and some sets."""
+
+            def out(node, sets):
+                return pa.RecordBatch.from_arrays([pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+
             for b in batches:
                 b = b.filter(pa.array(in_bitmap(held.value, b.column(0).to_numpy().view(np.uint64))))
-                found = [words(x) for x in b.column(1).to_pylist()]
-                node = np.array([xxhash.xxh3_64_intdigest(b" ".join(x)) for x in found], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([shingle_hashes(x).view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "s"])
+                node, sets, n = [], [], 0
+                for text in b.column(1):
+                    found = words(text.as_py())
+                    node.append(xxhash.xxh3_64_intdigest(b" ".join(found)))
+                    sets.append(shingle_hashes(found).view(np.int64))
+                    n += len(sets[-1])
+                    if n > KEPT:
+                        yield out(node, sets)
+                        node, sets, n = [], [], 0
+                yield out(node, sets)
 
         found = stored(rows.select(F.xxhash64("row").alias("h"), "text").mapInArrow(sets, "node long, s array<long>"), "sets")
         both = pairs.join(found.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")

@@ -193,7 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Model:
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.select("doc_id", "toxic", F.xxhash64("doc_id", F.lit("toxicity")).alias("h"))
     rows = [r for y in (0, 1) for r in known.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(2 * s.fit_rows).collect()]
-    sample = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["toxic"]), bool(r["h"] & 1)) for r in rows], "id long, toxic int, half boolean")
+    kind = known.schema["doc_id"].dataType.simpleString()
+    sample = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["toxic"]), bool(r["h"] & 1)) for r in rows], f"id {kind}, toxic int, half boolean")
+    kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("doc_id", "toxic", "half", "text")
 
     def pick(batches):
@@ -204,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Model:
                 out.append(random.Random(i).sample(ws, s.fit_windows) if len(ws) > s.fit_windows else ws)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.binary()))], ["doc_id", "toxic", "windows"])
 
-    found = texts.where("half").mapInArrow(pick, "doc_id long, toxic int, windows array<binary>").toArrow().to_pylist()
+    found = texts.where("half").mapInArrow(pick, f"doc_id {kind}, toxic int, windows array<binary>").toArrow().to_pylist()
     found.sort(key=lambda r: (r["doc_id"], r["windows"]))  # the order of partitions may differ
     model = train([r["windows"] for r in found if r["toxic"]], [r["windows"] for r in found if not r["toxic"]], s)
 
@@ -214,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Model:
             out = [scorer.features(x) for x in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.float64()))], ["doc_id", "toxic", "features"])
 
-    seen = texts.where("NOT half").mapInArrow(measure, "doc_id long, toxic int, features array<double>").toArrow().to_pylist()
+    seen = texts.where("NOT half").mapInArrow(measure, f"doc_id {kind}, toxic int, features array<double>").toArrow().to_pylist()
     seen.sort(key=lambda r: (r["doc_id"], r["features"]))
     if seen:
         calibrate(model, np.array([r["features"] for r in seen]), np.array([float(r["toxic"]) for r in seen]))

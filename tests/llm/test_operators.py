@@ -175,6 +175,48 @@ def test_decontamination(spark):
     assert not decontaminate.contaminated(frame(spark, rows), bench.limit(0)).collect()
 
 
+def test_decontamination_brute_force(spark):
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(400)]
+    sentence = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, sentence(rng.choice((3, 6, 10, 25, 70))).capitalize() + "? " + sentence(rng.choice((1, 4, 8))) + ".") for i in range(60)]
+    rows = [(i, sentence(rng.randrange(0, 300)), "s") for i in range(30)]
+    for i in range(30, 70):
+        planted = [x if rng.random() > 0.04 else "zz" for x in rng.choice(items)[1].split()]
+        rows.append((i, " ".join([sentence(rng.randrange(150)), *planted, sentence(rng.randrange(150))]), "s"))
+    parts = [decontaminate.question_answer(t) for _, t in items]
+    df = {}
+    for q, a in parts:
+        for t in {*q, *a}:
+            df[t] = df.get(t, 0) + 1
+    mean = sum(len(q) + len(a) for q, a in parts) / len(parts)
+    want = {}
+    for d, text, _ in rows:
+        w = decontaminate.terms(text)
+        for i, (q, a) in enumerate(parts):
+            bag, n = q + a, len(q) + len(a)
+            own = {t: np.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5)) * bag.count(t) * 2.2 / (bag.count(t) + 1.2 * (0.25 + 0.75 * n / mean)) for t in bag}
+            step = 8
+            while step < n:
+                step *= 2
+            for p in range(0, len(w), step):
+                passage = w[p : p + 2 * step]
+                score = sum(own[t] for t in own if t in passage) / sum(own.values())
+                grams = lambda x: {tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4))}
+                qs = len(grams(q) & grams(passage)) / len(grams(q)) if len(q) >= 5 else float(b" ".join(q) in b" ".join(passage))
+                hits = sum(min(a.count(t), passage.count(t)) for t in set(a)) / len(a)
+                if score >= 0.5 and qs >= 0.6 and hits >= 0.6:
+                    want[d, i] = max(score, want.get((d, i), 0))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert len(want) > 20 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    # neither other items nor the size of an index change what is found
+    some = list(decontaminate.indexes(bench, 0.5, limit=1000))
+    texts_ = [t for _, t, _ in rows]
+    apart = {(d, x["item"]) for index in some for d, found in enumerate(index.searched(texts_, 0.6)) for x in found}
+    assert len(some) > 1 and apart == set(want)
+
+
 def test_leaks_without_ids(spark, tmp_path):
     import corpus_pipeline
 
@@ -260,6 +302,8 @@ def test_toxicity(spark):
     got = {x.doc_id: x.score for x in toxicity.score(docs, model).collect()}
     held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 == 2]
     assert np.mean([(got[i] >= 0.3) == (i % 3 == 0) for i in held]) > 0.9 and all(0 <= x <= 1 for x in got.values())
+    named = toxicity.fit(docs.withColumn("doc_id", F.col("doc_id").cast("string")), known.withColumn("doc_id", F.concat(F.col("doc_id").cast("string"))))
+    assert named.weights
     none = toxicity.fit(docs, known.where("toxic = 0"))
     assert set(x.score for x in toxicity.score(docs, none).collect()) == {0.0}
 

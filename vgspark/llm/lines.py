@@ -13,8 +13,8 @@ from .common import dropped, freed, settled, stored, table
 SIMILARITY = 0.8
 #: Token counts are kept for so many buckets of token hashes: a table of this size however many tokens there are.
 BUCKETS = 1 << 18
-#: Prefix tokens whose bucket has more lines than this meet the first line of each token before they meet the others.
-HEAVY = 1024
+#: Prefix tokens are counted in FILTER buckets; those of a bucket with more lines than this meet the first line of each token before they meet the others.
+HEAVY = 64
 #: Bits of the filters that spare rows which no join wants.
 FILTER = 1 << 20
 #: From so many tokens on, the parities of 64 bits are held apart for two halves of the tokens, 128 bits in all.
@@ -116,8 +116,9 @@ def similar_classes(docs: DataFrame, classes: DataFrame, similarity: float = SIM
     numbered = _numbered(docs)
     some = classes.where("p IS NOT NULL")
     rows = some.select("c", "n", "parity", "half", F.posexplode("p").alias("pos", "token"))
-    bucket = F.xxhash64("token").bitwiseAND(BUCKETS - 1)
-    counts = some.select(F.explode("p").alias("token")).groupBy(bucket.alias("b")).count().where(F.col("count") > HEAVY).collect()
+    bucket = F.xxhash64("token").bitwiseAND(FILTER - 1)
+    counts = some.select(F.explode("p").alias("token")).groupBy(bucket.alias("x")).count().where(F.col("count") > HEAVY)
+    is_heavy = _may_hold(counts, F.xxhash64("token"))
     n, m = F.col("l.n"), F.col("r.n")
     need = F.ceil((n + m) * (s / (1 + s)) - 1e-9)
     half = F.when(n >= LONG, F.col("l.half").bitwiseXOR(F.col("r.half"))).otherwise(F.lit(0).cast("long"))  # of n and m, n is the lesser
@@ -162,22 +163,25 @@ def similar_classes(docs: DataFrame, classes: DataFrame, similarity: float = SIM
         freed(docs.sparkSession)
         return first.unionByName(rest)
 
-    if not counts:
-        return verified(stored(met(rows, rows), "pairs"))
-    heavy = [0] * BUCKETS
-    for b, _ in counts:
-        heavy[b] = 1
-    is_heavy = F.get(_table(heavy), bucket.cast("int")) == 1
     often = stored(rows.where(is_heavy), "often")
+    freed(docs.sparkSession)
     first = often.groupBy("token").agg(F.min(F.struct("c", "n", "pos", "parity", "half")).alias("x")).select("token", "x.*")
-    later = often.join(stored(first, "heads").select("token", F.col("c").alias("head")), "token").where("c > head").drop("head")
+    first = stored(first, "heads")
+    later = often.join(first.select("token", F.col("c").alias("head")), "token").where("c > head").drop("head")
     heads = verified(stored(met(later, first).unionByName(met(first, later)), "pairs"))
+    dropped(first)
+    freed(docs.sparkSession)
+    # what has a match is done; of a pair the later class is open, whichever has more tokens
+    matched = heads.select(F.col("c").alias("a"))
     open_ = often.join(heads, "c", "left_anti")
-    # of a pair the later class is open, whichever has more tokens
-    rest = met(open_, often).unionByName(met(often, open_)).join(heads, F.col("a") == F.col("c"), "left_anti")
-    light = rows.where(~is_heavy)
-    out = heads.unionByName(verified(stored(met(light, light).unionByName(rest), "pairs"))).distinct()
+    rest = stored(met(open_, often).unionByName(met(often, open_)).join(matched, "a", "left_anti"), "pairs")
     dropped(often)
+    freed(docs.sparkSession)
+    light = rows.where(~is_heavy)
+    light = stored(met(light, light).join(matched, "a", "left_anti"), "pairs")
+    freed(docs.sparkSession)
+    out = heads.unionByName(verified(stored(rest.unionByName(light), "pairs"))).distinct()
+    dropped(rest, light)
     return out
 
 

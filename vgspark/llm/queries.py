@@ -6,6 +6,7 @@ from .decontaminate import op5_decontamination
 from .hamming import OP6_SQL, op6_hamming_topk
 from .lines import OP3_SQL, op3_line_dedup
 from .mixing import op1_mixing
+from .partenum import OP12_SQL, op12_ngram_jaccard
 from .pitman_yor import op7_pitman_yor
 from .secrets import op9_secrets
 from .simhash import op4_simhash
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_ngram_jaccard": op12_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op6_hamming_topk": OP6_SQL,
+    "op12_ngram_jaccard": OP12_SQL,
 }

@@ -55,7 +55,7 @@ def test_groups_equal_all_pairs(spark):
     got = sorted(map(tuple, partenum.jaccard_groups(docs).collect()), key=repr)
     assert got == brute(rows)
     assert not partenum.jaccard_groups(docs.limit(0)).collect()
-    named = docs.withColumnsRenamed({"doc_id": "k", "text": "body"}).withColumn("k", docs["doc_id"].cast("string"))
+    named = docs.withColumnsRenamed({"doc_id": "k", "text": "body"}).selectExpr("CAST(k AS string) AS k", "body", "node")
     assert {(r.doc_id, r.n_shingles) for r in partenum.jaccard_groups(named, "k", "body").collect()} == {(None if i is None else str(i), n) for i, n, _ in brute(rows)}
 
 

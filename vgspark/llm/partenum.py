@@ -69,7 +69,9 @@ def signatures(h: np.ndarray, low: np.ndarray, percent: int = PERCENT) -> np.nda
     Two sets, the smaller one of size a, differ in at most ``a * (1 - s) / s`` features. An instance belongs to the band of the smaller set,
     so a set has signatures for its own band and the one below. In an instance features fall into first-level partitions, so many that at
     least one holds at most MISSED of the k that differ; that one's cells without the MISSED that hold them are equal, and all such subsets
-    of cells are enumerated. A subset without features says nothing: sets that share it get signatures by another partitioning below it.
+    of cells are enumerated. A subset without features says nothing. Where there are many first-level partitions some more are made, so that one
+    more of each of them has an equal subset, and a set with empty subsets in no more than these leaves them out; any other set that has
+    one gets signatures by another partitioning below it.
     """
     n = len(h)
     if not n:
@@ -86,20 +88,24 @@ def signatures(h: np.ndarray, low: np.ndarray, percent: int = PERCENT) -> np.nda
 def _enumerated(h: np.ndarray, differ: int, tag: np.uint64, depth: int) -> list[np.ndarray]:
     missed = min(MISSED, differ)
     parts = differ // (missed + 1) + 1
+    spare = parts // 64 + 1 if parts >= 24 else 0
+    parts += spare
     with np.errstate(over="ignore"):
         tag = _mixed(np.array([tag + np.uint64(depth)]) * _MUL[2])
         cell = (_mixed(h ^ tag) % np.uint64(parts * CELLS)).astype(np.int64)
         sums, held = np.zeros(parts * CELLS, np.uint64), np.bincount(cell, minlength=parts * CELLS).reshape(parts, CELLS)
         np.add.at(sums, cell, _mixed(h + _MUL[2]))
         sums = sums.reshape(parts, CELLS)
+        chosen = list(combinations(range(CELLS), CELLS - missed))
+        empty = np.stack([held[:, c].sum(1) == 0 for c in chosen])
+        refined = empty.any(0).sum() > spare
         out = []
-        for j, chosen in enumerate(combinations(range(CELLS), CELLS - missed)):
-            own = sums[:, chosen].sum(1, dtype=np.uint64)
+        for j, c in enumerate(chosen):
+            own = sums[:, c].sum(1, dtype=np.uint64)
             place = np.arange(parts, dtype=np.uint64) * np.uint64(CELLS * CELLS) + np.uint64(j)
             sig = _mixed(_mixed(own + tag) + place * _MUL[0])
-            empty = held[:, chosen].sum(1) == 0
-            out.append(sig[~empty])
-            for x in sig[empty]:
+            out.append(sig[~empty[j]])
+            for x in sig[empty[j]] if refined else ():
                 out += [np.array([x], np.uint64)] if depth == 3 else _enumerated(h, differ, x, depth + 1)
     return out
 

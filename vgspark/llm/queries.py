@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversations import OP11_SQL, op11_conversation_repair
 from .decontaminate import op5_decontamination
 from .hamming import OP6_SQL, op6_hamming_topk
 from .lines import OP3_SQL, op3_line_dedup
@@ -25,11 +26,13 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_ngram_jaccard": op12_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op6_hamming_topk": OP6_SQL,
+    "op11_conversation_repair": OP11_SQL,
     "op12_ngram_jaccard": OP12_SQL,
 }

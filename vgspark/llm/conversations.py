@@ -380,8 +380,8 @@ best AS (
   SELECT counts.*, list_min([w, a]).c AS cost, list_min([w, a]).a AS audit
   FROM ways JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ways.conv_id AND counts.n = ways.pos),
 edits AS (SELECT conv_id, k, substr(audit, k, 1) AS e FROM best, LATERAL (SELECT unnest(range(1, length(audit) + 1)) AS k)),
-at AS (SELECT *, count(*) FILTER (e <> 'I') OVER h AS pos, count(*) FILTER (e <> 'D') OVER h AS placed FROM edits WINDOW h AS (PARTITION BY conv_id ORDER BY k)),
-kept AS (SELECT at.*, f.role, f.text, bool_or(e = 'K' AND placed = 1 AND f.r = 's') OVER (PARTITION BY at.conv_id) AS led FROM at JOIN f ON f.conv_id IS NOT DISTINCT FROM at.conv_id AND f.pos = greatest(at.pos, 1)),
+ran AS (SELECT *, count(*) FILTER (e <> 'I') OVER h AS pos, count(*) FILTER (e <> 'D') OVER h AS placed FROM edits WINDOW h AS (PARTITION BY conv_id ORDER BY k)),
+kept AS (SELECT ran.*, f.role, f.text, bool_or(e = 'K' AND placed = 1 AND f.r = 's') OVER (PARTITION BY ran.conv_id) AS led FROM ran JOIN f ON f.conv_id IS NOT DISTINCT FROM ran.conv_id AND f.pos = greatest(ran.pos, 1)),
 said AS (
   SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (placed - led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS whole
   FROM kept WHERE e <> 'D' GROUP BY conv_id)

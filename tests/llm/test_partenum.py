@@ -74,6 +74,26 @@ def test_large_group_meets_by_few_pairs(spark):
     assert sorted(map(tuple, partenum.jaccard_groups(docs).collect()), key=repr) == brute(rows)
 
 
+def flat(h, low):
+    return np.concatenate([h[:0], *(s for _, s in partenum.signatures(h, low))])
+
+
+def allowed(a, b, low):
+    """The parities in an instance that both have differ in no more bits than there are features that only one set has."""
+    x, y = (dict(zip(reversed(partenum.instances(len(h), low)), partenum.parities(h, low))) for h in (a, b))
+    return all(sum(map(int.bit_count, (p ^ q).view(np.uint64).tolist())) <= len(np.setxor1d(a, b)) for p, q in ((x[i], y[i]) for i in x.keys() & y.keys()))
+
+
+def test_words_across_blocks(monkeypatch):
+    rng = random.Random(10)
+    text = "".join(rng.choice("ab c\nÉ") for _ in range(2000))
+    whole = partenum.Shingles().words(text)
+    assert len(whole) == len(text.encode().split()) and len(set(whole.tolist())) == len({w.lower() for w in text.encode().split()})
+    for block in (1, 2, 5, 64, 999):
+        monkeypatch.setattr(partenum, "BLOCK", block)
+        assert (partenum.Shingles().words(text) == whole).all()
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(6)
     low = partenum.bands()
@@ -85,7 +105,8 @@ def test_similar_sets_share_a_signature():
             a = np.unique(a)
             common = len(np.intersect1d(a, b))
             if 100 * common >= 85 * (len(a) + len(b) - common) and common < max(len(a), len(b)):
-                assert len(np.intersect1d(partenum.signatures(a, low), partenum.signatures(b, low)))
+                assert len(np.intersect1d(flat(a, low), flat(b, low)))
+                assert allowed(a, b, low)
 
 
 def test_empty_projections_are_refined():
@@ -93,6 +114,6 @@ def test_empty_projections_are_refined():
     rng = np.random.default_rng(7)
     low, seen = partenum.bands(), {}
     for i in range(4000):
-        for s in partenum.signatures(np.unique(rng.integers(0, 1 << 63, 7).astype(np.uint64)), low):
+        for s in flat(np.unique(rng.integers(0, 1 << 63, 7).astype(np.uint64)), low):
             seen.setdefault(int(s), set()).add(i)
     assert max(map(len, seen.values())) < 4

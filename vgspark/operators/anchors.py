@@ -81,7 +81,7 @@ def minimizer_candidates(a: DataFrame, b: DataFrame, p: AnchorParams) -> DataFra
 def find_anchors(ga: GraphSet, gb: GraphSet, p: AnchorParams) -> DataFrame:
     """``(node_a, node_b, sim)``: exact, each A node in order takes its best free B node; by minimizers, the most similar pair comes first.
 
-    Nodes of sequences that no other sequence is similar to pair off in order; only the others compete in rounds.
+    Nodes of sequences that no other sequence is similar to pair off in order; only the others compete: exact, by classes of equal sequences, by minimizers in rounds.
     """
     a, b = kept(backbone(ga).select("node_id", "seq")), kept(backbone(gb).select("node_id", "seq"))
     exact = p.strategy == "exact" or p.strategy == "auto" and a.count() * b.count() <= p.exact_pairs
@@ -90,7 +90,11 @@ def find_anchors(ga: GraphSet, gb: GraphSet, p: AnchorParams) -> DataFrame:
         if p.strict and p.min_sim >= 1:
             return near.select(F.lit(0).cast("long").alias("node_a"), F.lit(0).cast("long").alias("node_b"), F.col("score").alias("sim")).limit(0)
         found, a, b = _equal_first(a, b, near)
-        rest = greedy.serial(_edges(a, b, near))
+        if near.isEmpty():
+            return found.select(F.col("l").alias("node_a"), F.col("r").alias("node_b"), F.col("score").alias("sim"))
+        same = a.select("seq").distinct().join(b.select("seq").distinct(), "seq").select(F.col("seq").alias("cl"), F.col("seq").alias("cr"), F.lit(1.0).alias("score"))
+        scores = same.unionByName(near.select(F.col("sa").alias("cl"), F.col("sb").alias("cr"), "score"))
+        rest = greedy.serial_classes(a.select(F.col("node_id").alias("l"), F.col("seq").alias("cl")), b.select(F.col("node_id").alias("r"), F.col("seq").alias("cr")), scores).select("l", "r", "score")
     else:
         a, b = (f.where(F.length("seq") >= p.kmer_len) for f in (a, b))
         x, y = (f.select("seq").distinct().select(F.col("seq").alias("node_id"), "seq") for f in (a, b))

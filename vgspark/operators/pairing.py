@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import similarity
@@ -10,6 +10,7 @@ from ..model import AlignParams, AnchorParams, GraphSet
 from . import greedy
 from .anchors import similar_sequences
 from .matching import allele_lists, match_pairs
+from .order import numbered
 
 
 def _ends(g: GraphSet, snarls: DataFrame, alleles: DataFrame, side: str) -> DataFrame:
@@ -60,10 +61,26 @@ def by_score(scores: DataFrame) -> DataFrame:
     return scores.join(taken, ["snarl_a", "snarl_b"])
 
 
+def classes(g: GraphSet, d: tuple[DataFrame, DataFrame], side: str) -> DataFrame:
+    """``(snarl_a, class_a)`` (or b): bubbles with equal ends and equal alleles are a class, named by its least bubble."""
+    rows = _ends(g, *d, side).select(f"snarl_{side}", F.sha2(F.to_json(F.struct(f"src_{side}", f"snk_{side}", f"seqs_{side}")), 256).alias("same"))
+    first = rows.groupBy("same").agg(F.min(f"snarl_{side}").alias(f"class_{side}"))
+    return rows.join(first, "same").select(f"snarl_{side}", f"class_{side}")
+
+
+def by_score_classes(scores: DataFrame, classes_a: DataFrame, classes_b: DataFrame) -> DataFrame:
+    """As ``by_score``, where ``scores`` has a row for each two classes, under the names of their least bubbles."""
+    a, b = classes_a.select(F.col("snarl_a").alias("l"), F.col("class_a").alias("cl")), classes_b.select(F.col("snarl_b").alias("r"), F.col("class_b").alias("cr"))
+    edges = scores.where("score > 0").select(F.col("snarl_a").alias("cl"), F.col("snarl_b").alias("cr"), "score")
+    taken = greedy.serial_classes(a, b, edges).select(F.col("l").alias("own_a"), F.col("r").alias("own_b"), F.col("cl").alias("snarl_a")).join(b.select(F.col("r").alias("own_b"), F.col("cr").alias("snarl_b")), "own_b")
+    rest = [c for c in scores.columns if c not in ("snarl_a", "snarl_b")]
+    return scores.join(taken, ["snarl_a", "snarl_b"]).select(F.col("own_a").alias("snarl_a"), F.col("own_b").alias("snarl_b"), *rest)
+
+
 def by_work(snarls_a: DataFrame, snarls_b: DataFrame) -> DataFrame:
     """``(snarl_a, snarl_b)``: the A bubbles in order with the B bubbles from the most alleles down."""
-    a = snarls_a.select(F.col("snarl_idx").alias("snarl_a"), "graph_id").withColumn("n", F.row_number().over(Window.partitionBy("graph_id").orderBy("snarl_a"))).drop("graph_id")
-    b = snarls_b.select(F.col("snarl_idx").alias("snarl_b"), "graph_id", "subtree_work").withColumn("n", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.col("subtree_work").desc(), "snarl_b"))).drop("graph_id", "subtree_work")
+    a = numbered(snarls_a.select(F.col("snarl_idx").alias("snarl_a")), ["snarl_a"], name="n")
+    b = numbered(snarls_b.select(F.col("snarl_idx").alias("snarl_b"), "subtree_work"), [F.col("subtree_work").desc(), "snarl_b"], name="n")
     return a.join(b, "n").select("snarl_a", "snarl_b")
 
 

@@ -2,7 +2,7 @@
 
 A bubble whose alleles are single nodes, or nothing, between a source and a sink is found by joins
 alone, wherever it lies. Only sources that aren't of this kind go to a kernel that
-walks the graph in topological order.
+walks their region of the graph in topological order.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..model import GraphSet
 from ..storage import kept
-from .topology import degrees, kahn, topological_rank
+from .order import numbered
+from .topology import degrees, regions, topological_rank
 
 
 def find_sink(source: int, succ: list[list[int]], rank: list[int], order: list[int]) -> int | None:
@@ -64,16 +65,19 @@ def allele_paths(source: int, sink: int, succ: list[list[int]], rank: list[int],
 
 
 def _walked(most: int):
+    """The bubbles of one region: edges with the ranks of both ends, and a row without an end for each source to look at."""
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         e = pdf[pdf["dst"].notna()]
         src, dst = e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64)
-        nodes = np.unique(np.concatenate([src, dst, pdf["src"].to_numpy(np.int64)]))
-        rank = kahn(nodes, src, dst)
+        nodes, at = np.unique(np.concatenate([src, dst]), return_index=True)
+        order = np.argsort(np.concatenate([e["rank"], e["to"]])[at])
+        rank = np.empty(len(nodes), np.int64)
+        rank[order] = np.arange(len(nodes))
         succ: list[list[int]] = [[] for _ in nodes]
         for a, b in sorted(zip(np.searchsorted(nodes, src).tolist(), np.searchsorted(nodes, dst).tolist())):
             succ[a].append(b)
-        order, rank = np.argsort(rank).tolist(), rank.tolist()
-        rows = []
+        order, rank, rows = order.tolist(), rank.tolist(), []
         for s in np.searchsorted(nodes, pdf.loc[pdf["dst"].isna(), "src"].to_numpy(np.int64)).tolist():
             t = find_sink(s, succ, rank, order)
             paths = allele_paths(s, t, succ, rank, most) if t is not None else []
@@ -84,8 +88,12 @@ def _walked(most: int):
     return run
 
 
-def raw_alleles(g: GraphSet, max_alleles: int = 100_000) -> DataFrame:
-    """``(graph_id, source, sink, path)`` of all bubbles, nested ones too."""
+def raw_alleles(g: GraphSet, rank: DataFrame, max_alleles: int = 100_000, region: int = 1_000_000) -> DataFrame:
+    """``(graph_id, source, sink, path)`` of all bubbles, nested ones too.
+
+    Sources that joins can't settle go to a kernel with their region: a group is no larger than what lies between two nodes
+    that all ways go through.
+    """
     e = g.edges.select("graph_id", "src", "dst").distinct()
     d = kept(degrees(g))
     branching = d.where("out_degree > 1").select("graph_id", F.col("node_id").alias("src"), F.col("out_degree").alias("k"))
@@ -98,10 +106,15 @@ def raw_alleles(g: GraphSet, max_alleles: int = 100_000) -> DataFrame:
     ends = leads.groupBy("graph_id", "src").agg(F.first("k").alias("k"), F.min("end").alias("low"), F.max("end").alias("high"), F.count("end").alias("n"), F.max(F.when(F.col("end").isNull(), F.col("mid"))).alias("bare"))
     simple = ends.where("low = high AND (n = k OR (n = k - 1 AND bare = low))").select("graph_id", "src", F.col("low").alias("sink"))
     found = leads.join(simple, ["graph_id", "src"]).select("graph_id", F.col("src").alias("source"), "sink", F.when(F.col("mid") == F.col("sink"), F.array("src", "sink")).otherwise(F.array("src", "mid", "sink")).alias("path"))
-    rest = branching.join(simple, ["graph_id", "src"], "left_anti").select("graph_id", "src", F.lit(None).cast("long").alias("dst"))
-    graphs = rest.select("graph_id").distinct()
-    walk = e.join(graphs, "graph_id", "left_semi").unionByName(rest)
-    walked = walk.groupBy("graph_id").applyInPandas(_walked(max_alleles), "graph_id string, source long, sink long, path array<long>")
+    rest = kept(branching.join(simple, ["graph_id", "src"], "left_anti").select("graph_id", "src"))
+    if rest.isEmpty():
+        return found
+    places = rank.join(regions(e, rank, region), ["graph_id", "node_id"])
+    at = places.select("graph_id", F.col("node_id").alias("src"), "rank", "region")
+    rest = rest.join(at, ["graph_id", "src"]).select("graph_id", "region", "src", F.lit(None).cast("long").alias("dst"), "rank", F.lit(None).cast("long").alias("to"))
+    walk = e.join(at, ["graph_id", "src"]).join(rest.select("graph_id", "region").distinct(), ["graph_id", "region"], "left_semi")
+    walk = walk.join(rank.select("graph_id", F.col("node_id").alias("dst"), F.col("rank").alias("to")), ["graph_id", "dst"]).select(*rest.columns)
+    walked = walk.unionByName(rest).groupBy("graph_id", "region").applyInPandas(_walked(max_alleles), "graph_id string, source long, sink long, path array<long>")
     return found.unionByName(walked)
 
 
@@ -112,14 +125,14 @@ def decompose(g: GraphSet, nested: str = "drop", max_alleles: int = 100_000, ran
     ids. With ``nested='drop'`` a snarl whose source lies inside another one goes. The
     sequence of an allele is that of its inner nodes.
     """
-    alleles = kept(raw_alleles(g, max_alleles))
+    rank = kept(topological_rank(g)) if rank is None else rank  # a cycle is an error even where there is no bubble
+    alleles = kept(raw_alleles(g, rank, max_alleles))
     if nested == "drop":
         inside = alleles.where("size(path) > 2").select("graph_id", F.explode(F.expr("slice(path, 2, size(path) - 2)")).alias("source")).distinct()
         alleles = kept(alleles.join(inside, ["graph_id", "source"], "left_anti"))
-    rank = kept(topological_rank(g)) if rank is None else rank  # a cycle is an error even where there is no bubble
     snarls = alleles.groupBy("graph_id", "source", "sink").agg(F.count("*").cast("int").alias("allele_count"))
     snarls = snarls.join(rank.withColumnRenamed("node_id", "source"), ["graph_id", "source"])
-    snarls = snarls.withColumn("snarl_idx", (F.row_number().over(Window.partitionBy("graph_id").orderBy("rank")) - 1).cast("int"))
+    snarls = numbered(snarls, ["rank"], ["graph_id"], "snarl_idx", 0).withColumn("snarl_idx", F.col("snarl_idx").cast("int"))
     names = g.nodes.select("graph_id", "node_id", "name")
     snarls = snarls.join(names.withColumnsRenamed({"node_id": "source", "name": "s"}), ["graph_id", "source"]).join(names.withColumnsRenamed({"node_id": "sink", "name": "t"}), ["graph_id", "sink"])
     work = F.pow("allele_count", F.lit(3)).cast("long")
@@ -127,9 +140,7 @@ def decompose(g: GraphSet, nested: str = "drop", max_alleles: int = 100_000, ran
     snarls = kept(snarls)
     idx = (F.row_number().over(Window.partitionBy("graph_id", "source").orderBy("path")) - 1).cast("int")
     alleles = alleles.select("graph_id", "source", idx.alias("allele_idx"), "path").join(snarls.select("graph_id", "source", "snarl_idx"), ["graph_id", "source"])
-    alleles = kept(alleles)
-    inner = alleles.select("graph_id", "snarl_idx", "allele_idx", F.posexplode(F.expr("CASE WHEN size(path) > 2 THEN slice(path, 2, size(path) - 2) END")).alias("i", "node_id"))
-    inner = inner.join(g.nodes.select("graph_id", "node_id", "seq"), ["graph_id", "node_id"])
-    seqs = inner.groupBy("graph_id", "snarl_idx", "allele_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "seq"))), lambda x: x["seq"]), "").alias("seq"))
-    alleles = alleles.join(seqs, ["graph_id", "snarl_idx", "allele_idx"], "left").select("graph_id", "snarl_idx", "allele_idx", "path", F.coalesce("seq", F.lit("")).alias("seq"))
-    return snarls, alleles
+    inner = alleles.select("graph_id", "snarl_idx", "allele_idx", "path", F.posexplode_outer(F.expr("CASE WHEN size(path) > 2 THEN slice(path, 2, size(path) - 2) END")).alias("i", "node_id"))
+    inner = inner.join(g.nodes.select("graph_id", "node_id", "seq"), ["graph_id", "node_id"], "left")
+    seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "seq"))), lambda x: x["seq"]), "")
+    return snarls, kept(inner.groupBy("graph_id", "snarl_idx", "allele_idx").agg(F.first("path").alias("path"), seq.alias("seq")))

@@ -6,16 +6,18 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import GraphSet
+from ..storage import kept
+from . import order
 
 
 def path_edges(paths: DataFrame) -> DataFrame:
     """An edge for each two consecutive steps."""
-    nxt = F.lead("node_id").over(Window.partitionBy("graph_id", "path_name").orderBy("step"))
-    return paths.select("graph_id", F.col("node_id").alias("src"), nxt.alias("dst")).where("dst IS NOT NULL")
+    nxt = order.following(paths, ["step"], "node_id", "dst", ["graph_id", "path_name"])
+    return nxt.select("graph_id", F.col("node_id").alias("src"), "dst").where("dst IS NOT NULL")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -76,6 +78,31 @@ def topological_rank(g: GraphSet) -> DataFrame:
     return rows.groupBy("graph_id").applyInPandas(ranked, "graph_id string, node_id long, rank long")
 
 
+def regions(edges: DataFrame, rank: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``(graph_id, node_id, region)``: stretches of a graph between nodes that no edge passes by.
+
+    No edge leads from before such a node to behind it, so all ways on go through it: what begins in a region ends there, or at the next
+    one's first node. Where a region has over ``most`` nodes, parts of the graph that aren't joined, whose ranks
+    alternate, are told apart first. Regions differ in size, never in what can be said of them.
+    """
+    ends = edges.join(rank.select("graph_id", F.col("node_id").alias("dst"), F.col("rank").alias("to")), ["graph_id", "dst"])
+    reach = ends.groupBy("graph_id", F.col("src").alias("node_id")).agg(F.max("to").alias("reach"))
+    nodes = kept(rank.join(reach, ["graph_id", "node_id"], "left"))
+
+    def cut(nodes: DataFrame, by: list[str]) -> DataFrame:
+        passed = order.running(nodes, ["rank"], "reach", "passed", by, "max", itself=False)
+        first = passed.withColumn("first", F.when(F.col("passed").isNull() | (F.col("passed") <= F.col("rank")), F.col("rank")))
+        return kept(order.running(first, ["rank"], "first", "start", by, "max").select("graph_id", "node_id", "rank", "reach", F.struct(*by[1:], "start").alias("region")))
+
+    found = cut(nodes, ["graph_id"])
+    size = found.groupBy("graph_id", "region").count().agg(F.max("count")).first()[0]
+    if (size or 0) > most:
+        part = order.components(edges.select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b")), ["graph_id"])
+        joined = nodes.join(part.withColumnRenamed("node", "node_id"), ["graph_id", "node_id"], "left")
+        found = cut(kept(joined.withColumn("root", F.coalesce("root", "node_id"))), ["graph_id", "root"])
+    return found.select("graph_id", "node_id", "region")
+
+
 def reachable(edges: DataFrame, hops: int) -> DataFrame:
     """``(graph_id, src, dst, hops)``: pairs joined by at most so many edges, with the fewest."""
     e = edges.select("graph_id", "src", "dst").distinct()
@@ -86,17 +113,20 @@ def reachable(edges: DataFrame, hops: int) -> DataFrame:
     return found.groupBy("graph_id", "src", "dst").agg(F.min("hops").alias("hops"))
 
 
-def path_sequences(paths: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(graph_id, path_name, seq)``."""
-    both = paths.join(nodes.select("graph_id", "node_id", "seq"), ["graph_id", "node_id"])
-    return both.groupBy("graph_id", "path_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+def path_sequences(paths: DataFrame, nodes: DataFrame, block: int = 1024) -> DataFrame:
+    """``(graph_id, path_name, seq)``: blocks of so many steps are put together first, then the blocks of a path, so no group has a row for each step."""
+    at = order.numbered(paths, ["step"], ["graph_id", "path_name"], "nth", 0)
+    both = at.join(nodes.select("graph_id", "node_id", "seq"), ["graph_id", "node_id"])
+    text = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, "seq"))), lambda x: x["seq"]), "").alias("seq")
+    blocks = both.groupBy("graph_id", "path_name", F.floor(F.col("nth") / block).alias("block")).agg(text("nth"))
+    return blocks.groupBy("graph_id", "path_name").agg(text("block"))
 
 
 def node_spans(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(graph_id, path_name, step, node_id, start, end)``: where each step's sequence lies in its path's."""
     both = paths.join(nodes.select("graph_id", "node_id", F.length("seq").cast("long").alias("n")), ["graph_id", "node_id"])
-    upto = F.sum("n").over(Window.partitionBy("graph_id", "path_name").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-    return both.select("graph_id", "path_name", "step", "node_id", (upto - F.col("n")).alias("start"), upto.alias("end"))
+    upto = order.running(both, ["step"], "n", "end", ["graph_id", "path_name"])
+    return upto.select("graph_id", "path_name", "step", "node_id", (F.col("end") - F.col("n")).alias("start"), "end")
 
 
 def covering_paths(g: GraphSet, most: int = 1000) -> DataFrame:
@@ -114,6 +144,7 @@ def covering_paths(g: GraphSet, most: int = 1000) -> DataFrame:
             after.setdefault(a, []).append(b)
             before.setdefault(b, []).append(a)
         nodes = sorted({*pdf["src"].astype("int64"), *e["dst"].astype("int64")})
+        kahn(np.array(nodes, np.int64), e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64))  # a cycle is an error
         found, seen = [], set()
         for n in nodes:
             if n not in seen and len(found) < most:

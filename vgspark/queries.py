@@ -118,10 +118,10 @@ QUERIES = {
     "minimizer_candidates": lambda s, d: anchors.minimizer_candidates(topology.backbone(graph(s, d, "A")), topology.backbone(graph(s, d, "B")), MINIMIZER),
     "topo_rank": lambda s, d: topology.topological_rank(both(s, d)),
     "reachability": lambda s, d: topology.reachable(both(s, d).edges, 3),
-    "snarls": lambda s, d: (lambda x, y: x.unionByName(y))(decomposed(s, d, "A")[0], decomposed(s, d, "B")[0]),
-    "alleles": lambda s, d: (lambda x, y: x.unionByName(y).select("graph_id", "snarl_idx", "allele_idx", F.array_join(F.col("path").cast("array<string>"), ",").alias("path")))(decomposed(s, d, "A")[1], decomposed(s, d, "B")[1]),
+    "snarls": lambda s, d: snarls.decompose(both(s, d))[0],
+    "alleles": lambda s, d: snarls.decompose(both(s, d))[1].select("graph_id", "snarl_idx", "allele_idx", F.array_join(F.col("path").cast("array<string>"), ",").alias("path")),
     "allele_sequences": lambda s, d: decomposed(s, d, "A")[1].select("snarl_idx", "allele_idx", "seq"),
-    "k_histogram": lambda s, d: (lambda x, y: metrics.histogram(x.unionByName(y)))(decomposed(s, d, "A")[0], decomposed(s, d, "B")[0]),
+    "k_histogram": lambda s, d: metrics.histogram(snarls.decompose(both(s, d))[0]),
     "gini_work": lambda s, d: metrics.gini(decomposed(s, d, "A")[0], "subtree_work").select("n", F.round("gini", 6).alias("gini")),
     "sim_matrix": lambda s, d: (lambda a, b: similarity_matrix(pairing.candidates(a, b), a, b).select("snarl_a", "snarl_b", "i", "j", F.round("sim", 9).alias("sim")))(decomposed(s, d, "A")[1], decomposed(s, d, "B")[1]),
     "allele_match_lap": lambda s, d: _matches(_scores(s, d)),
@@ -161,7 +161,7 @@ QUERIES = {
 
 #: The testbed in SQL: fl (lines of A and B), al (alleles), spine, nodes, edges, paths, sn (bubbles), am (alleles of bubbles), bb (backbone), pr (pairs).
 _DNA = "translate(md5({}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
-_BASE = f"""WITH
+BASE_SQL = f"""WITH
 al AS MATERIALIZED (SELECT DISTINCT 'A' AS g, l_orderkey AS ok, CAST(l_linenumber AS BIGINT) AS ln FROM lineitem WHERE l_returnflag IN ('A', 'N')
   UNION ALL SELECT DISTINCT 'B', l_orderkey, CAST(l_linenumber AS BIGINT) FROM lineitem WHERE l_returnflag IN ('N', 'R')),
 gs AS (SELECT unnest(['A', 'B']) AS g),
@@ -187,7 +187,7 @@ an AS (SELECT a.node_id AS node_a, b.node_id AS node_b, 1.0 AS sim, a.name FROM
 pos AS (SELECT *, 1.5 + w_struct AS score FROM pr WHERE 1.5 + w_struct > 0)
 """
 #: The testbed with differences: vsn (bubbles), vam (their alleles with paths), vmt (matched alleles), vpr (pairs).
-_VARIANT = _BASE + f""",
+_VARIANT = BASE_SQL + f""",
 vn AS (SELECT DISTINCT g, ok FROM al WHERE ok % 10 = 0),
 va AS (SELECT g, ok, ok * 16 + ln AS at, ln, (ok * 16) || ',' || (ok * 16 + ln) || ',' || ((ok + 1) * 16) AS path,
     CASE WHEN g = 'B' AND ln % 2 = 0 THEN translate(left(seq, 1), 'ACGT', 'CGTA') || substring(seq, 2) ELSE seq END AS seq
@@ -203,75 +203,75 @@ vpr AS (SELECT ok, snarl_a, snarl_b, any_value(ka) AS ka, any_value(kb) AS kb, c
 """
 _VMATCH = """SELECT snarl_a, snarl_b, round(1.5 + w_struct, 6) AS score, CAST(s AS INTEGER) AS n_matched, matched,
  array_to_string(list_filter(range(0, ka), lambda x: NOT list_contains(li, x)), ',') AS a_only, array_to_string(list_filter(range(0, kb), lambda x: NOT list_contains(lj, x)), ',') AS b_only FROM vpr"""
-_WALK = _BASE + """, first AS (SELECT ok, min(ln) AS ln, row_number() OVER (ORDER BY ok) - 1 AS nth FROM al WHERE g = 'A' GROUP BY ok), num AS (SELECT node_id, name, seq, row_number() OVER (ORDER BY node_id) - 1 AS id FROM nodes WHERE g = 'A')"""
+_WALK = BASE_SQL + """, first AS (SELECT ok, min(ln) AS ln, row_number() OVER (ORDER BY ok) - 1 AS nth FROM al WHERE g = 'A' GROUP BY ok), num AS (SELECT node_id, name, seq, row_number() OVER (ORDER BY node_id) - 1 AS id FROM nodes WHERE g = 'A')"""
 _ONLY = "SELECT am.* FROM am JOIN {pairs} p ON p.ok = am.ok WHERE am.g = '{g}' AND NOT EXISTS (SELECT 1 FROM am o WHERE o.g = '{o}' AND o.ok = am.ok AND o.ln = am.ln)"
 _MATCH = """SELECT snarl_a, snarl_b, round(1.5 + w_struct, 6) AS score, CAST(s AS INTEGER) AS n_matched, matched,
  coalesce((SELECT string_agg(CAST(ai AS VARCHAR), ',' ORDER BY ai) FROM (""" + _ONLY.format(pairs="pr", g="A", o="B") + """) x WHERE x.idx = pr.snarl_a), '') AS a_only,
  coalesce((SELECT string_agg(CAST(ai AS VARCHAR), ',' ORDER BY ai) FROM (""" + _ONLY.format(pairs="pr", g="B", o="A") + """) x WHERE x.idx = pr.snarl_b), '') AS b_only FROM pr"""
-_FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
-_MINS = """list_sort(list_distinct(list_transform(range(1, greatest(len(hs) - 10 + 1, 1) + 1), lambda i: list_min(hs[i:i + 9]))))"""
-_HASHED = f"hs AS (SELECT g, node_id, name, list_transform(range(1, length(seq) - 15 + 2), lambda p: {_FNV.format('substring(seq, p, 15)')}) AS hs FROM {{}})"
+FNV_SQL = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+MINIMA_SQL = """list_sort(list_distinct(list_transform(range(1, greatest(len(hs) - 10 + 1, 1) + 1), lambda i: list_min(hs[i:i + 9]))))"""
+_HASHED = f"hs AS (SELECT g, node_id, name, list_transform(range(1, length(seq) - 15 + 2), lambda p: {FNV_SQL.format('substring(seq, p, 15)')}) AS hs FROM {{}})"
 
 ORACLE_SQL = {
-    "gfa_lines": _BASE + """SELECT 'H' || chr(9) || 'VN:Z:1.0' AS value UNION ALL SELECT 'S' || chr(9) || name || chr(9) || seq FROM nodes WHERE g = 'A'
+    "gfa_lines": BASE_SQL + """SELECT 'H' || chr(9) || 'VN:Z:1.0' AS value UNION ALL SELECT 'S' || chr(9) || name || chr(9) || seq FROM nodes WHERE g = 'A'
       UNION ALL SELECT 'L' || chr(9) || u.name || chr(9) || '+' || chr(9) || v.name || chr(9) || '+' || chr(9) || '0M' FROM edges e JOIN nodes u ON u.g = e.g AND u.node_id = e.src JOIN nodes v ON v.g = e.g AND v.node_id = e.dst WHERE e.g = 'A'
       UNION ALL SELECT 'P' || chr(9) || path_name || chr(9) || string_agg(name || '+', ',' ORDER BY step) || chr(9) || '*' FROM paths JOIN nodes USING (g, node_id) WHERE g = 'A' GROUP BY path_name""",
-    "gfa_nodes": _BASE + "SELECT row_number() OVER (ORDER BY node_id) - 1 AS node_id, name, seq FROM nodes WHERE g = 'A'",
-    "gfa_edges": _BASE + "SELECT u.name AS u, v.name AS v FROM edges e JOIN nodes u ON u.g = e.g AND u.node_id = e.src JOIN nodes v ON v.g = e.g AND v.node_id = e.dst WHERE e.g = 'A'",
-    "gfa_paths": _BASE + "SELECT path_name, CAST(row_number() OVER (PARTITION BY path_name ORDER BY step) - 1 AS INTEGER) AS step, name FROM paths JOIN nodes USING (g, node_id) WHERE g = 'A'",
-    "fasta_lines": _BASE + "SELECT '>' || path_name || chr(10) || string_agg(seq, '' ORDER BY step) AS value FROM paths JOIN nodes USING (g, node_id) WHERE g = 'A' GROUP BY path_name",
-    "path_edges": _BASE + "SELECT * FROM (SELECT g AS graph_id, node_id AS src, lead(node_id) OVER (PARTITION BY g, path_name ORDER BY step) AS dst FROM paths) WHERE dst IS NOT NULL",
-    "edges_distinct": _BASE + "SELECT g AS graph_id, src, dst FROM edges UNION SELECT * FROM (SELECT g, node_id, lead(node_id) OVER (PARTITION BY g, path_name ORDER BY step) AS dst FROM paths) WHERE dst IS NOT NULL",
-    "adjacency": _BASE + "SELECT g AS graph_id, src AS node_id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS successors FROM edges GROUP BY g, src",
-    "node_degrees": _BASE + "SELECT g AS graph_id, node_id, in_degree, out_degree FROM deg",
-    "backbone_nodes": _BASE + "SELECT g AS graph_id, node_id, name FROM bb",
-    "reverse_complement": _BASE + "SELECT name, translate(reverse(seq), 'ACGT', 'TGCA') AS rc FROM nodes WHERE g = 'A'",
+    "gfa_nodes": BASE_SQL + "SELECT row_number() OVER (ORDER BY node_id) - 1 AS node_id, name, seq FROM nodes WHERE g = 'A'",
+    "gfa_edges": BASE_SQL + "SELECT u.name AS u, v.name AS v FROM edges e JOIN nodes u ON u.g = e.g AND u.node_id = e.src JOIN nodes v ON v.g = e.g AND v.node_id = e.dst WHERE e.g = 'A'",
+    "gfa_paths": BASE_SQL + "SELECT path_name, CAST(row_number() OVER (PARTITION BY path_name ORDER BY step) - 1 AS INTEGER) AS step, name FROM paths JOIN nodes USING (g, node_id) WHERE g = 'A'",
+    "fasta_lines": BASE_SQL + "SELECT '>' || path_name || chr(10) || string_agg(seq, '' ORDER BY step) AS value FROM paths JOIN nodes USING (g, node_id) WHERE g = 'A' GROUP BY path_name",
+    "path_edges": BASE_SQL + "SELECT * FROM (SELECT g AS graph_id, node_id AS src, lead(node_id) OVER (PARTITION BY g, path_name ORDER BY step) AS dst FROM paths) WHERE dst IS NOT NULL",
+    "edges_distinct": BASE_SQL + "SELECT g AS graph_id, src, dst FROM edges UNION SELECT * FROM (SELECT g, node_id, lead(node_id) OVER (PARTITION BY g, path_name ORDER BY step) AS dst FROM paths) WHERE dst IS NOT NULL",
+    "adjacency": BASE_SQL + "SELECT g AS graph_id, src AS node_id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS successors FROM edges GROUP BY g, src",
+    "node_degrees": BASE_SQL + "SELECT g AS graph_id, node_id, in_degree, out_degree FROM deg",
+    "backbone_nodes": BASE_SQL + "SELECT g AS graph_id, node_id, name FROM bb",
+    "reverse_complement": BASE_SQL + "SELECT name, translate(reverse(seq), 'ACGT', 'TGCA') AS rc FROM nodes WHERE g = 'A'",
     "edit_distance": "SELECT p.p_partkey, CAST(levenshtein(p.p_name, o.p_name) AS INTEGER) AS ed FROM part p JOIN part o ON o.p_partkey = p.p_partkey + 1",
     "seq_similarity": "SELECT p.p_partkey, round(1 - levenshtein(p.p_name, o.p_name) / greatest(length(p.p_name), length(o.p_name)), 9) AS sim FROM part p JOIN part o ON o.p_partkey = p.p_partkey + 1",
     "similar_within": "SELECT p.p_partkey, 1 - levenshtein(p.p_name, o.p_name) / greatest(length(p.p_name), length(o.p_name)) >= 0.6 - 1e-9 AS close FROM part p JOIN part o ON o.p_partkey = p.p_partkey + 1",
-    "path_sequence": _BASE + "SELECT g AS graph_id, path_name, string_agg(seq, '' ORDER BY step) AS seq FROM paths JOIN nodes USING (g, node_id) GROUP BY g, path_name",
-    "path_node_spans": _BASE + """SELECT g AS graph_id, path_name, step, node_id, CAST(e - length(seq) AS BIGINT) AS start, CAST(e AS BIGINT) AS "end" FROM (SELECT *, sum(length(seq)) OVER (PARTITION BY g, path_name ORDER BY step) AS e FROM paths JOIN nodes USING (g, node_id))""",
-    "kmer_fnv_hash": _BASE + f"SELECT name, {_FNV.format('left(seq, 15)')} AS h FROM nodes WHERE g = 'A'",
-    "minimizers": _BASE + ", " + _HASHED.format("nodes WHERE g = 'A'") + f" SELECT name, array_to_string({_MINS}, ',') AS mins FROM hs",
-    "minimizer_candidates": _BASE + ", " + _HASHED.format("bb") + f", ix AS (SELECT DISTINCT g, node_id, unnest({_MINS}) AS h FROM hs) SELECT DISTINCT a.node_id AS l, b.node_id AS r FROM ix a JOIN ix b ON a.g = 'A' AND b.g = 'B' AND a.h = b.h",
-    "topo_rank": _BASE + 'SELECT g AS graph_id, node_id, row_number() OVER (PARTITION BY g ORDER BY node_id) - 1 AS "rank" FROM nodes',
-    "reachability": _BASE + ", e1 AS (SELECT g, src, dst FROM edges), e2 AS (SELECT DISTINCT a.g, a.src, b.dst FROM e1 a JOIN e1 b ON a.g = b.g AND a.dst = b.src), e3 AS (SELECT DISTINCT a.g, a.src, b.dst FROM e2 a JOIN e1 b ON a.g = b.g AND a.dst = b.src) SELECT g AS graph_id, src, dst, CAST(min(hops) AS INTEGER) AS hops FROM (SELECT *, 1 AS hops FROM e1 UNION ALL SELECT *, 2 FROM e2 UNION ALL SELECT *, 3 FROM e3) GROUP BY ALL",
-    "snarls": _BASE + "SELECT g AS graph_id, idx AS snarl_idx, ok * 16 AS source, (ok + 1) * 16 AS sink, snarl_id, CAST(k AS INTEGER) AS allele_count, k * k * k AS subtree_work FROM sn",
-    "alleles": _BASE + "SELECT g AS graph_id, idx AS snarl_idx, ai AS allele_idx, (ok * 16) || ',' || (ok * 16 + ln) || ',' || ((ok + 1) * 16) AS path FROM am",
-    "allele_sequences": _BASE + "SELECT idx AS snarl_idx, ai AS allele_idx, seq FROM am WHERE g = 'A'",
-    "k_histogram": _BASE + "SELECT g AS graph_id, CAST(k AS INTEGER) AS allele_count, count(*) AS n_snarls, CAST(sum(k * k * k) AS BIGINT) AS work FROM sn GROUP BY g, k",
-    "gini_work": _BASE + "SELECT count(*) AS n, round(sum((2 * r - n - 1) * x) / (any_value(n) * sum(x)), 6) AS gini FROM (SELECT k * k * k AS x, row_number() OVER (ORDER BY k) AS r, count(*) OVER () AS n FROM sn WHERE g = 'A')",
-    "sim_matrix": _BASE + "SELECT pr.snarl_a, pr.snarl_b, a.ai AS i, b.ai AS j, round(1 - levenshtein(a.seq, b.seq) / 32, 9) AS sim FROM pr JOIN am a ON a.g = 'A' AND a.ok = pr.ok JOIN am b ON b.g = 'B' AND b.ok = pr.ok",
-    "allele_match_lap": _BASE + _MATCH,
-    "allele_match_optimal": _BASE + _MATCH,
-    "allele_match_greedy": _BASE + _MATCH,
-    "pair_scores": _BASE + "SELECT snarl_a, snarl_b, CAST(1.0 AS DOUBLE) AS w_seq, CAST(0.5 AS DOUBLE) AS w_topo, CAST(round(w_struct, 6) AS DOUBLE) AS w_struct, CAST(round(1.5 + w_struct, 6) AS DOUBLE) AS score FROM pr",
-    "pairing_score": _BASE + "SELECT snarl_a, snarl_b, CAST(round(score, 6) AS DOUBLE) AS score FROM pos",
-    "pairing_work": _BASE + "SELECT a.idx AS snarl_a, b.idx AS snarl_b FROM (SELECT idx, row_number() OVER (ORDER BY idx) AS n FROM sn WHERE g = 'A') a JOIN (SELECT idx, row_number() OVER (ORDER BY k DESC, idx) AS n FROM sn WHERE g = 'B') b USING (n)",
-    "anchors_exact": _BASE + "SELECT node_a, node_b, CAST(sim AS DOUBLE) AS sim FROM an",
-    "anchors_minimizer": _BASE + "SELECT node_a, node_b, CAST(sim AS DOUBLE) AS sim FROM an",
-    "delta_a_only": _BASE + "SELECT snarl_id, ai AS allele_idx, seq FROM (" + _ONLY.format(pairs="pos", g="A", o="B") + ")",
-    "delta_b_only": _BASE + "SELECT snarl_id, ai AS allele_idx, seq FROM (" + _ONLY.format(pairs="pos", g="B", o="A") + ")",
-    "total_score": _BASE + "SELECT (SELECT count(*) FROM an) AS n_anchors, (SELECT count(*) FROM pos) AS n_pairs, CAST(round((SELECT count(*) FROM an) + (SELECT sum(score) FROM pos), 4) AS DOUBLE) AS total",
-    "gaf_lines": _BASE + """, num AS (SELECT (SELECT count(*) FROM an) AS n, (SELECT count(*) FROM pos) AS p, (SELECT count(*) FROM an) + (SELECT sum(score) FROM pos) AS t)
+    "path_sequence": BASE_SQL + "SELECT g AS graph_id, path_name, string_agg(seq, '' ORDER BY step) AS seq FROM paths JOIN nodes USING (g, node_id) GROUP BY g, path_name",
+    "path_node_spans": BASE_SQL + """SELECT g AS graph_id, path_name, step, node_id, CAST(e - length(seq) AS BIGINT) AS start, CAST(e AS BIGINT) AS "end" FROM (SELECT *, sum(length(seq)) OVER (PARTITION BY g, path_name ORDER BY step) AS e FROM paths JOIN nodes USING (g, node_id))""",
+    "kmer_fnv_hash": BASE_SQL + f"SELECT name, {FNV_SQL.format('left(seq, 15)')} AS h FROM nodes WHERE g = 'A'",
+    "minimizers": BASE_SQL + ", " + _HASHED.format("nodes WHERE g = 'A'") + f" SELECT name, array_to_string({MINIMA_SQL}, ',') AS mins FROM hs",
+    "minimizer_candidates": BASE_SQL + ", " + _HASHED.format("bb") + f", ix AS (SELECT DISTINCT g, node_id, unnest({MINIMA_SQL}) AS h FROM hs) SELECT DISTINCT a.node_id AS l, b.node_id AS r FROM ix a JOIN ix b ON a.g = 'A' AND b.g = 'B' AND a.h = b.h",
+    "topo_rank": BASE_SQL + 'SELECT g AS graph_id, node_id, row_number() OVER (PARTITION BY g ORDER BY node_id) - 1 AS "rank" FROM nodes',
+    "reachability": BASE_SQL + ", e1 AS (SELECT g, src, dst FROM edges), e2 AS (SELECT DISTINCT a.g, a.src, b.dst FROM e1 a JOIN e1 b ON a.g = b.g AND a.dst = b.src), e3 AS (SELECT DISTINCT a.g, a.src, b.dst FROM e2 a JOIN e1 b ON a.g = b.g AND a.dst = b.src) SELECT g AS graph_id, src, dst, CAST(min(hops) AS INTEGER) AS hops FROM (SELECT *, 1 AS hops FROM e1 UNION ALL SELECT *, 2 FROM e2 UNION ALL SELECT *, 3 FROM e3) GROUP BY ALL",
+    "snarls": BASE_SQL + "SELECT g AS graph_id, idx AS snarl_idx, ok * 16 AS source, (ok + 1) * 16 AS sink, snarl_id, CAST(k AS INTEGER) AS allele_count, k * k * k AS subtree_work FROM sn",
+    "alleles": BASE_SQL + "SELECT g AS graph_id, idx AS snarl_idx, ai AS allele_idx, (ok * 16) || ',' || (ok * 16 + ln) || ',' || ((ok + 1) * 16) AS path FROM am",
+    "allele_sequences": BASE_SQL + "SELECT idx AS snarl_idx, ai AS allele_idx, seq FROM am WHERE g = 'A'",
+    "k_histogram": BASE_SQL + "SELECT g AS graph_id, CAST(k AS INTEGER) AS allele_count, count(*) AS n_snarls, CAST(sum(k * k * k) AS BIGINT) AS work FROM sn GROUP BY g, k",
+    "gini_work": BASE_SQL + "SELECT count(*) AS n, round(sum((2 * r - n - 1) * x) / (any_value(n) * sum(x)), 6) AS gini FROM (SELECT k * k * k AS x, row_number() OVER (ORDER BY k) AS r, count(*) OVER () AS n FROM sn WHERE g = 'A')",
+    "sim_matrix": BASE_SQL + "SELECT pr.snarl_a, pr.snarl_b, a.ai AS i, b.ai AS j, round(1 - levenshtein(a.seq, b.seq) / 32, 9) AS sim FROM pr JOIN am a ON a.g = 'A' AND a.ok = pr.ok JOIN am b ON b.g = 'B' AND b.ok = pr.ok",
+    "allele_match_lap": BASE_SQL + _MATCH,
+    "allele_match_optimal": BASE_SQL + _MATCH,
+    "allele_match_greedy": BASE_SQL + _MATCH,
+    "pair_scores": BASE_SQL + "SELECT snarl_a, snarl_b, CAST(1.0 AS DOUBLE) AS w_seq, CAST(0.5 AS DOUBLE) AS w_topo, CAST(round(w_struct, 6) AS DOUBLE) AS w_struct, CAST(round(1.5 + w_struct, 6) AS DOUBLE) AS score FROM pr",
+    "pairing_score": BASE_SQL + "SELECT snarl_a, snarl_b, CAST(round(score, 6) AS DOUBLE) AS score FROM pos",
+    "pairing_work": BASE_SQL + "SELECT a.idx AS snarl_a, b.idx AS snarl_b FROM (SELECT idx, row_number() OVER (ORDER BY idx) AS n FROM sn WHERE g = 'A') a JOIN (SELECT idx, row_number() OVER (ORDER BY k DESC, idx) AS n FROM sn WHERE g = 'B') b USING (n)",
+    "anchors_exact": BASE_SQL + "SELECT node_a, node_b, CAST(sim AS DOUBLE) AS sim FROM an",
+    "anchors_minimizer": BASE_SQL + "SELECT node_a, node_b, CAST(sim AS DOUBLE) AS sim FROM an",
+    "delta_a_only": BASE_SQL + "SELECT snarl_id, ai AS allele_idx, seq FROM (" + _ONLY.format(pairs="pos", g="A", o="B") + ")",
+    "delta_b_only": BASE_SQL + "SELECT snarl_id, ai AS allele_idx, seq FROM (" + _ONLY.format(pairs="pos", g="B", o="A") + ")",
+    "total_score": BASE_SQL + "SELECT (SELECT count(*) FROM an) AS n_anchors, (SELECT count(*) FROM pos) AS n_pairs, CAST(round((SELECT count(*) FROM an) + (SELECT sum(score) FROM pos), 4) AS DOUBLE) AS total",
+    "gaf_lines": BASE_SQL + """, num AS (SELECT (SELECT count(*) FROM an) AS n, (SELECT count(*) FROM pos) AS p, (SELECT count(*) FROM an) + (SELECT sum(score) FROM pos) AS t)
       SELECT '# graph-to-graph alignment' AS value UNION ALL SELECT '# graph_a' || chr(9) || 'A' UNION ALL SELECT '# graph_b' || chr(9) || 'B'
       UNION ALL SELECT '# total_score' || chr(9) || printf('%.6g', CAST(t AS DOUBLE)) FROM num UNION ALL SELECT '# anchors' || chr(9) || n FROM num UNION ALL SELECT '# snarl_alignments' || chr(9) || p FROM num
       UNION ALL SELECT 'anchor' || chr(9) || name || chr(9) || name || chr(9) || '1' FROM an
       UNION ALL SELECT 'snarl' || chr(9) || 'anc_' || ok || '>anc_' || (ok + 1) || chr(9) || 'anc_' || ok || '>anc_' || (ok + 1) || chr(9) || printf('%.6g', CAST(score AS DOUBLE)) || chr(9) || s || chr(9) || tabbed FROM pos""",
-    "delta_vcf_lines": _BASE + """SELECT '##fileformat=G2GdeltaVCF-0.1' AS value UNION ALL SELECT '##INFO=<ID=GRAPH,Number=1,Type=String,Description="Graph name">' UNION ALL SELECT '##INFO=<ID=SNARL,Number=1,Type=String,Description="Snarl">'
+    "delta_vcf_lines": BASE_SQL + """SELECT '##fileformat=G2GdeltaVCF-0.1' AS value UNION ALL SELECT '##INFO=<ID=GRAPH,Number=1,Type=String,Description="Graph name">' UNION ALL SELECT '##INFO=<ID=SNARL,Number=1,Type=String,Description="Snarl">'
       UNION ALL SELECT array_to_string(['#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO'], chr(9))
       UNION ALL SELECT array_to_string([snarl_id, '0', '.', nodes.seq, '.', '.', 'PASS', 'GRAPH=A;SNARL=' || snarl_id || ';ALLELE_IDX=' || ai], chr(9)) FROM (""" + _ONLY.format(pairs="pos", g="A", o="B") + ") x JOIN nodes ON nodes.g = 'A' AND nodes.node_id = x.ok * 16",
-    "precision_recall": _BASE + "SELECT h AS hits, f AS n_found, t AS n_truth, round(h / f, 9) AS prec, round(h / t, 9) AS rec, round(2 * (h / f) * (h / t) / (h / f + h / t), 9) AS f1 FROM (SELECT (SELECT count(*) FROM am a JOIN am b ON a.g = 'A' AND b.g = 'B' AND a.seq = b.seq) AS h, (SELECT count(*) FROM am WHERE g = 'A') AS f, (SELECT count(*) FROM am WHERE g = 'B') AS t)",
-    "paf_overlap": _BASE + ", sps AS (SELECT g, path_name, node_id, e - length(seq) AS s, e FROM (SELECT *, sum(length(seq)) OVER (PARTITION BY g, path_name ORDER BY step) AS e FROM paths JOIN nodes USING (g, node_id))), half AS (SELECT path_name, max(e) // 2 AS h FROM sps WHERE g = 'A' GROUP BY path_name) SELECT DISTINCT a.node_id AS node_a, b.node_id AS node_b FROM half JOIN sps a ON a.g = 'A' AND a.path_name = half.path_name AND a.s < h JOIN sps b ON b.g = 'B' AND b.path_name = half.path_name AND b.s < h",
-    "paf_consistency": _BASE + ", sps AS (SELECT g, path_name, node_id, e - length(seq) AS s, e FROM (SELECT *, sum(length(seq)) OVER (PARTITION BY g, path_name ORDER BY step) AS e FROM paths JOIN nodes USING (g, node_id))), half AS (SELECT path_name, max(e) // 2 AS h FROM sps WHERE g = 'A' GROUP BY path_name), cov AS (SELECT DISTINCT a.node_id AS node_a, b.node_id AS node_b FROM half JOIN sps a ON a.g = 'A' AND a.path_name = half.path_name AND a.s < h JOIN sps b ON b.g = 'B' AND b.path_name = half.path_name AND b.s < h) SELECT count(*) AS n, count(cov.node_a) AS covered, round(count(cov.node_a) / count(*), 9) AS rate FROM an LEFT JOIN cov USING (node_a, node_b)",
-    "predecessors": _BASE + "SELECT DISTINCT g AS graph_id, dst AS node_id, src AS neighbour FROM edges",
-    "work_distribution": _BASE + """, k AS (SELECT k, CAST(k * k * k AS DOUBLE) AS w, row_number() OVER (ORDER BY k) AS r, count(*) OVER () AS n FROM sn WHERE g = 'A')
+    "precision_recall": BASE_SQL + "SELECT h AS hits, f AS n_found, t AS n_truth, round(h / f, 9) AS prec, round(h / t, 9) AS rec, round(2 * (h / f) * (h / t) / (h / f + h / t), 9) AS f1 FROM (SELECT (SELECT count(*) FROM am a JOIN am b ON a.g = 'A' AND b.g = 'B' AND a.seq = b.seq) AS h, (SELECT count(*) FROM am WHERE g = 'A') AS f, (SELECT count(*) FROM am WHERE g = 'B') AS t)",
+    "paf_overlap": BASE_SQL + ", sps AS (SELECT g, path_name, node_id, e - length(seq) AS s, e FROM (SELECT *, sum(length(seq)) OVER (PARTITION BY g, path_name ORDER BY step) AS e FROM paths JOIN nodes USING (g, node_id))), half AS (SELECT path_name, max(e) // 2 AS h FROM sps WHERE g = 'A' GROUP BY path_name) SELECT DISTINCT a.node_id AS node_a, b.node_id AS node_b FROM half JOIN sps a ON a.g = 'A' AND a.path_name = half.path_name AND a.s < h JOIN sps b ON b.g = 'B' AND b.path_name = half.path_name AND b.s < h",
+    "paf_consistency": BASE_SQL + ", sps AS (SELECT g, path_name, node_id, e - length(seq) AS s, e FROM (SELECT *, sum(length(seq)) OVER (PARTITION BY g, path_name ORDER BY step) AS e FROM paths JOIN nodes USING (g, node_id))), half AS (SELECT path_name, max(e) // 2 AS h FROM sps WHERE g = 'A' GROUP BY path_name), cov AS (SELECT DISTINCT a.node_id AS node_a, b.node_id AS node_b FROM half JOIN sps a ON a.g = 'A' AND a.path_name = half.path_name AND a.s < h JOIN sps b ON b.g = 'B' AND b.path_name = half.path_name AND b.s < h) SELECT count(*) AS n, count(cov.node_a) AS covered, round(count(cov.node_a) / count(*), 9) AS rate FROM an LEFT JOIN cov USING (node_a, node_b)",
+    "predecessors": BASE_SQL + "SELECT DISTINCT g AS graph_id, dst AS node_id, src AS neighbour FROM edges",
+    "work_distribution": BASE_SQL + """, k AS (SELECT k, CAST(k * k * k AS DOUBLE) AS w, row_number() OVER (ORDER BY k) AS r, count(*) OVER () AS n FROM sn WHERE g = 'A')
       SELECT count(*) AS n, CAST(max(k) AS INTEGER) AS k_max, round(avg(k), 6) AS k_mean, round(100 * avg(CASE WHEN k = 2 THEN 1.0 ELSE 0.0 END), 6) AS pct_k2,
       round(sum((2 * r - n - 1) * k) / (any_value(n) * sum(k)), 6) AS gini_k, round(sum((2 * r - n - 1) * w) / (any_value(n) * sum(w)), 6) AS gini_work FROM k""",
-    "matched_nodes": _BASE + "SELECT DISTINCT a.ok * 16 + a.ln AS node_a, b.ok * 16 + b.ln AS node_b FROM (SELECT * FROM am WHERE g = 'A') a JOIN (SELECT * FROM am WHERE g = 'B') b ON a.ok = b.ok AND a.ln = b.ln",
-    "work_scores": _BASE + """, za AS (SELECT *, row_number() OVER (ORDER BY idx) AS n FROM sn WHERE g = 'A'), zb AS (SELECT *, row_number() OVER (ORDER BY k DESC, idx) AS n FROM sn WHERE g = 'B')
+    "matched_nodes": BASE_SQL + "SELECT DISTINCT a.ok * 16 + a.ln AS node_a, b.ok * 16 + b.ln AS node_b FROM (SELECT * FROM am WHERE g = 'A') a JOIN (SELECT * FROM am WHERE g = 'B') b ON a.ok = b.ok AND a.ln = b.ln",
+    "work_scores": BASE_SQL + """, za AS (SELECT *, row_number() OVER (ORDER BY idx) AS n FROM sn WHERE g = 'A'), zb AS (SELECT *, row_number() OVER (ORDER BY k DESC, idx) AS n FROM sn WHERE g = 'B')
       SELECT za.idx AS snarl_a, zb.idx AS snarl_b, CAST(round(2 * (coalesce(m.s, 0) - 0.5 * (za.k + zb.k - 2 * coalesce(m.s, 0))), 6) AS DOUBLE) AS w_struct FROM za JOIN zb USING (n) LEFT JOIN pr m ON m.snarl_a = za.idx AND m.snarl_b = zb.idx""",
-    "shared_nodes": _BASE + "SELECT 'A' AS graph_id, node_a AS node_id FROM an UNION ALL SELECT 'B', node_b FROM an",
+    "shared_nodes": BASE_SQL + "SELECT 'A' AS graph_id, node_a AS node_id FROM an UNION ALL SELECT 'B', node_b FROM an",
     "walk_nodes": _WALK + " SELECT id AS node_id, name, seq FROM num UNION ALL SELECT (SELECT count(*) FROM num) + nth, 'al_' || ok || '_' || ln || '_rc', translate(reverse(seq), 'ACGT', 'TGCA') FROM first JOIN num ON num.node_id = ok * 16 + ln",
     "walk_edges": _WALK + " SELECT 'al_' || ok || '_' || ln AS u, 'al_' || ok || '_' || ln || '_rc' AS v FROM first UNION ALL SELECT 'anc_' || ok, 'al_' || ok || '_' || ln || '_rc' FROM first",
     "walk_paths": _WALK + " SELECT 's' || ok || '#1#c:0-52' AS path_name, CAST(0 AS INTEGER) AS step, 'anc_' || ok AS name FROM first UNION ALL SELECT 's' || ok || '#1#c:0-52', 1, 'al_' || ok || '_' || ln || '_rc' FROM first",

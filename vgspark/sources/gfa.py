@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import reverse_complement
 from ..model import GraphSet
+from ..operators.order import numbered
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -39,10 +40,6 @@ def _steps(df: DataFrame) -> DataFrame:
     return p.unionByName(w.select("graph_id", "line_no", "path_name", "step", F.expr("substring(s, 2)").alias("name"), F.col("s").startswith("<").alias("rev")))
 
 
-def _number(rows: DataFrame, by: list, after: Column | int = 0) -> Column:
-    return F.row_number().over(Window.partitionBy("graph_id").orderBy(*by)) - 1 + after
-
-
 def parse(df: DataFrame) -> GraphSet:
     """Tables of all graphs in ``(graph_id, line_no, value)``.
 
@@ -51,7 +48,7 @@ def parse(df: DataFrame) -> GraphSet:
     comment and unknown lines are skipped; an unknown segment is an error.
     """
     s = _fields(df, "S", 3).select("graph_id", "line_no", F.get("f", F.lit(1)).alias("name"), F.get("f", F.lit(2)).alias("seq"))
-    s = s.select("graph_id", "name", F.when(F.col("seq") == "*", "").otherwise(F.col("seq")).alias("seq"), _number(s, ["line_no"]).cast("long").alias("node_id"))
+    s = numbered(s.withColumn("seq", F.when(F.col("seq") == "*", "").otherwise(F.col("seq"))), ["line_no"], ["graph_id"], "node_id", 0).drop("line_no")
     named = s.groupBy("graph_id", "name").agg(F.max_by("seq", "node_id").alias("seq"), F.max("node_id").alias("node_id"))
     links = _fields(df, "L", 5).select("graph_id", "line_no", F.posexplode(F.array(*(F.struct(F.get("f", F.lit(i)).alias("name"), (F.get("f", F.lit(i + 1)) != "+").alias("rev")) for i in (1, 3)))).alias("step", "x"))
     links = links.select("graph_id", "line_no", F.lit(None).cast("string").alias("path_name"), "step", "x.name", "x.rev")
@@ -59,7 +56,8 @@ def parse(df: DataFrame) -> GraphSet:
     first = mentions.where("rev").groupBy("graph_id", "name").agg(F.min(F.struct("line_no", "step")).alias("at")).join(named, ["graph_id", "name"], "left_semi")
     size = s.groupBy("graph_id").agg(F.count("*").alias("size"))
     turned = first.join(named.select("graph_id", "name", "seq"), ["graph_id", "name"]).join(size, "graph_id")
-    turned = turned.select("graph_id", F.concat("name", F.lit("_rc")).alias("name"), reverse_complement("seq").alias("seq"), (F.row_number().over(Window.partitionBy("graph_id").orderBy("at")) - 1 + F.col("size")).cast("long").alias("node_id"))
+    turned = numbered(turned, ["at"], ["graph_id"], "nth", 0)
+    turned = turned.select("graph_id", F.concat("name", F.lit("_rc")).alias("name"), reverse_complement("seq").alias("seq"), (F.col("nth") + F.col("size")).alias("node_id"))
     nodes = s.unionByName(turned)
     # a segment that is itself called <name>_rc is the reverse of <name>
     known = named.select("graph_id", "name", "node_id").unionByName(turned.select("graph_id", "name", "node_id")).groupBy("graph_id", "name").agg(F.min("node_id").alias("node_id"))

@@ -144,3 +144,25 @@ def decompose(g: GraphSet, nested: str = "drop", max_alleles: int = 100_000, ran
     inner = inner.join(g.nodes.select("graph_id", "node_id", "seq"), ["graph_id", "node_id"], "left")
     seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "seq"))), lambda x: x["seq"]), "")
     return snarls, kept(inner.groupBy("graph_id", "snarl_idx", "allele_idx").agg(F.first("path").alias("path"), seq.alias("seq")))
+
+
+def forest(snarls: DataFrame, alleles: DataFrame) -> DataFrame:
+    """``(graph_id, snarl_idx, parent_idx, depth, subtree_work)`` of nested bubbles: which bubble lies within which.
+
+    A bubble's parent is the last, in topological order, of those with an allele that its source lies within; -1 if there is none. The work
+    of a bubble is the cube of its alleles, and that of all bubbles below it. Ancestors are found by doubling, in as many steps as the logarithm of the depth.
+    """
+    own = kept(snarls.select("graph_id", "snarl_idx", "source", F.pow("allele_count", F.lit(3)).cast("long").alias("work")))
+    inner = alleles.where("size(path) > 2").select("graph_id", F.col("snarl_idx").alias("up"), F.explode(F.expr("slice(path, 2, size(path) - 2)")).alias("source")).distinct()
+    jump = kept(own.join(inner, ["graph_id", "source"]).where("up <> snarl_idx").groupBy("graph_id", "snarl_idx").agg(F.max("up").alias("up")))
+    parents = above = jump
+    while True:
+        on = lambda x: jump.withColumnRenamed("up", "mid").join(x.withColumnRenamed("snarl_idx", "mid"), ["graph_id", "mid"]).select("graph_id", "snarl_idx", "up")
+        more = kept(on(above))
+        if more.isEmpty():
+            break
+        above, jump = kept(above.unionByName(more)), kept(on(jump))
+    depth = above.groupBy("graph_id", "snarl_idx").agg(F.count("*").cast("int").alias("depth"))
+    below = above.join(own, ["graph_id", "snarl_idx"]).groupBy("graph_id", F.col("up").alias("snarl_idx")).agg(F.sum("work").alias("below"))
+    out = own.join(parents, ["graph_id", "snarl_idx"], "left").join(depth, ["graph_id", "snarl_idx"], "left").join(below, ["graph_id", "snarl_idx"], "left")
+    return out.select("graph_id", "snarl_idx", F.coalesce("up", F.lit(-1)).alias("parent_idx"), F.coalesce("depth", F.lit(0)).alias("depth"), (F.col("work") + F.coalesce("below", F.lit(0))).alias("subtree_work"))

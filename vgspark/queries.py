@@ -12,7 +12,7 @@ from .operators.matching import similarity_matrix
 from .plans.aligner import align
 from .sinks import writers
 from .sources import gfa
-from .sources.testbed import graph, table, variant, walk_lines
+from .sources.testbed import RIVALS, graph, rivals, table, variant, walk_lines
 
 EXACT = AnchorParams(strategy="exact")
 MINIMIZER = AnchorParams(strategy="minimizer")
@@ -51,6 +51,13 @@ def _variant(spark: SparkSession, d: str, how: str = "auto", objective: str = "r
     return pairing.scored(ga, gb, da, db, AlignParams(match=MatchParams(objective=objective)), pairing.candidates(da[1], db[1]), how), da, db
 
 
+def _rivals(spark: SparkSession, d: str, how: str = "auto", objective: str = "reference") -> DataFrame:
+    ga, gb = rivals(spark, d, "A"), rivals(spark, d, "B")
+    da, db = snarls.decompose(ga), snarls.decompose(gb)
+    same = da[0].select(F.col("snarl_idx").alias("snarl_a"), "snarl_id").join(db[0].select(F.col("snarl_idx").alias("snarl_b"), "snarl_id"), "snarl_id")
+    return _matches(pairing.scored(ga, gb, da, db, AlignParams(match=MatchParams(objective=objective)), same, how))
+
+
 def _variant_snarls(spark: SparkSession, d: str, nested: str) -> DataFrame:
     a, b = (snarls.decompose(variant(spark, d, g), nested)[0] for g in "AB")
     return a.unionByName(b)
@@ -83,9 +90,9 @@ def _paf(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.col("path_name").alias("q_name"), F.lit(0).cast("long").alias("q_start"), half.alias("q_end"), F.col("path_name").alias("t_name"), F.lit(0).cast("long").alias("t_start"), half.alias("t_end"))
 
 
-def _covered(spark: SparkSession, d: str) -> DataFrame:
+def _covered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     a, b = graph(spark, d, "A"), graph(spark, d, "B")
-    return metrics.coverage(_paf(spark, d), topology.node_spans(a.paths, a.nodes), topology.node_spans(b.paths, b.nodes))
+    return _paf(spark, d), topology.node_spans(a.paths, a.nodes), topology.node_spans(b.paths, b.nodes)
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -138,8 +145,8 @@ QUERIES = {
     "gaf_lines": lambda s, d: (lambda a, b: (lambda r: _lines(writers.gaf_lines(r.anchors, r.alignments.withColumn("matches", F.array_sort("matches")), r.total, a, b, r.snarls_a, r.snarls_b, "A", "B")))(align(a, b, AlignParams(anchor=EXACT, candidate_sim=0.9))))(graph(s, d, "A"), graph(s, d, "B")),
     "delta_vcf_lines": lambda s, d: (lambda a: (lambda r: _lines(writers.delta_vcf_lines(r.delta_a, a, r.snarls_a, "A")))(align(a, graph(s, d, "B"), AlignParams(anchor=EXACT, candidate_sim=0.9))))(graph(s, d, "A")),
     "precision_recall": lambda s, d: metrics.precision_recall(_seqs(s, d, "A"), _seqs(s, d, "B")).select("hits", "n_found", "n_truth", *(F.round(c, 9).alias(c) for c in ("prec", "rec", "f1"))),
-    "paf_overlap": lambda s, d: _covered(s, d),
-    "paf_consistency": lambda s, d: metrics.consistency(anchors.find_anchors(graph(s, d, "A"), graph(s, d, "B"), EXACT), _covered(s, d)).withColumn("rate", F.round("rate", 9)),
+    "paf_overlap": lambda s, d: metrics.coverage(*_covered(s, d)),
+    "paf_consistency": lambda s, d: metrics.consistency(anchors.find_anchors(graph(s, d, "A"), graph(s, d, "B"), EXACT), *_covered(s, d)).withColumn("rate", F.round("rate", 9)),
     "predecessors": lambda s, d: topology.neighbours(both(s, d).edges, direction="in"),
     "work_distribution": lambda s, d: metrics.work_distribution(decomposed(s, d, "A")[0]).select("n", "k_max", *(F.round(c, 6).alias(c) for c in ("k_mean", "pct_k2", "gini_k", "gini_work"))),
     "matched_nodes": lambda s, d: (lambda a, b: metrics.matched_nodes(_scores(s, d), a, b))(decomposed(s, d, "A")[1], decomposed(s, d, "B")[1]),
@@ -150,16 +157,20 @@ QUERIES = {
     "walk_paths": lambda s, d: (lambda g: g.paths.join(g.nodes.select("node_id", "name"), "node_id").select("path_name", "step", "name"))(_walked(s, d)),
     "variant_snarls": lambda s, d: _variant_snarls(s, d, "drop"),
     "variant_snarls_nested": lambda s, d: _variant_snarls(s, d, "keep"),
+    "variant_forest": lambda s, d: snarls.forest(*snarls.decompose(variant(s, d, "B"), "keep")).drop("graph_id"),
     "variant_alleles": lambda s, d: (lambda x: x[1].select("snarl_idx", "allele_idx", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"), "seq"))(snarls.decompose(variant(s, d, "B"))),
     "variant_match_lap": lambda s, d: _matches(_variant(s, d)[0]),
     "variant_match_greedy": lambda s, d: _matches(_variant(s, d, "greedy")[0]),
     "variant_match_optimal": lambda s, d: _matches(_variant(s, d, objective="optimal")[0]),
+    "rival_match_lap": lambda s, d: _rivals(s, d),
+    "rival_match_optimal": lambda s, d: _rivals(s, d, objective="optimal"),
+    "rival_match_greedy": lambda s, d: _rivals(s, d, "greedy"),
     "variant_anchors": lambda s, d: anchors.find_anchors(variant(s, d, "A"), variant(s, d, "B"), EXACT).withColumn("sim", F.round("sim", 6)),
     "bench_stderr": lambda s, d: metrics.grouped_stderr(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity").select("l_returnflag", "l_linestatus", "n", F.round("mean", 6).alias("mean"), F.round("stderr", 6).alias("stderr")),
     "speedup": lambda s, d: metrics.speedup(table(s, d, "lineitem"), "l_linenumber", "l_quantity").select("l_linenumber", *(F.round(c, 6).alias(c) for c in ("mean", "speedup", "efficiency"))),
 }
 
-#: The testbed in SQL: fl (lines of A and B), al (alleles), spine, nodes, edges, paths, sn (bubbles), am (alleles of bubbles), bb (backbone), pr (pairs).
+#: The testbed in SQL: al (alleles), spine, nodes, edges, paths, sn (bubbles), am (alleles of bubbles), bb (backbone), pr (pairs), an (anchors: a node's sequence follows from its id, so equal sequences are equal ids).
 _DNA = "translate(md5({}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 BASE_SQL = f"""WITH
 al AS MATERIALIZED (SELECT DISTINCT 'A' AS g, l_orderkey AS ok, CAST(l_linenumber AS BIGINT) AS ln FROM lineitem WHERE l_returnflag IN ('A', 'N')
@@ -183,7 +194,7 @@ am AS MATERIALIZED (SELECT sn.g, sn.ok, sn.idx, sn.k, sn.snarl_id, al.ln, CAST(r
 mt AS (SELECT a.ok, a.idx AS snarl_a, b.idx AS snarl_b, a.k AS ka, b.k AS kb, a.ai AS i, b.ai AS j FROM am a JOIN am b ON a.g = 'A' AND b.g = 'B' AND a.ok = b.ok AND a.ln = b.ln),
 pr AS (SELECT ok, snarl_a, snarl_b, count(*) AS s, 2 * (count(*) - 0.5 * (any_value(ka) + any_value(kb) - 2 * count(*))) AS w_struct, string_agg(i || ':' || j, ',' ORDER BY i || ':' || j) AS matched,
     string_agg(i || ':' || j || ':1', chr(9) ORDER BY i, j) AS tabbed FROM mt GROUP BY ok, snarl_a, snarl_b),
-an AS (SELECT a.node_id AS node_a, b.node_id AS node_b, 1.0 AS sim, a.name FROM (SELECT * FROM bb WHERE g = 'A') a JOIN (SELECT * FROM bb WHERE g = 'B') b ON a.seq = b.seq),
+an AS MATERIALIZED (SELECT node_id AS node_a, node_id AS node_b, CAST(1 AS DOUBLE) AS sim, any_value(name) AS name FROM bb GROUP BY node_id HAVING count(*) = 2),
 pos AS (SELECT *, 1.5 + w_struct AS score FROM pr WHERE 1.5 + w_struct > 0)
 """
 #: The testbed with differences: vsn (bubbles), vam (their alleles with paths), vmt (matched alleles), vpr (pairs).
@@ -203,6 +214,31 @@ vpr AS (SELECT ok, snarl_a, snarl_b, any_value(ka) AS ka, any_value(kb) AS kb, c
 """
 _VMATCH = """SELECT snarl_a, snarl_b, round(1.5 + w_struct, 6) AS score, CAST(s AS INTEGER) AS n_matched, matched,
  array_to_string(list_filter(range(0, ka), lambda x: NOT list_contains(li, x)), ',') AS a_only, array_to_string(list_filter(range(0, kb), lambda x: NOT list_contains(lj, x)), ',') AS b_only FROM vpr"""
+_PLACED = " UNION ALL ".join(
+    f"SELECT '{'AB'[side]}' AS g, ok, {i} AS i, {' || '.join(f'translate(substring(z, {k}, 1), $$ACGT$$, $$CGTA$$)' if k in places else f'substring(z, {k}, 1)' for k in range(1, 33))} AS seq FROM z WHERE ok % 2 = {odd}"
+    for odd, sides in enumerate(RIVALS) for side, alleles in enumerate(sides) for i, places in enumerate(alleles)
+)
+#: The testbed of competing alleles: sim (admissible pairs), ways (all partial matchings of up to three alleles, with cost and score), picked (by the greedy rule).
+_RIVALS = f"""WITH z AS (SELECT o_orderkey AS ok, {_DNA.format("'rival:' || o_orderkey")} AS z FROM orders),
+al AS MATERIALIZED ({_PLACED}),
+sim AS MATERIALIZED (SELECT * FROM (SELECT a.ok, a.i, b.i AS j, 1 - levenshtein(a.seq, b.seq) / 32 AS s FROM al a JOIN al b ON a.ok = b.ok AND a.g = 'A' AND b.g = 'B') WHERE s >= 0.75 - 1e-9),
+opt AS (SELECT * FROM sim UNION ALL SELECT ok, i, -1, 0 FROM al WHERE g = 'A'),
+ways AS MATERIALIZED (SELECT x.ok, [x.j, y.j, coalesce(w.j, -1)] AS js, x.s + y.s + coalesce(w.s, 0) AS s, 2 + x.ok % 2 AS k FROM opt x JOIN opt y ON y.ok = x.ok AND x.i = 0 AND y.i = 1 LEFT JOIN opt w ON w.ok = x.ok AND w.i = 2
+  WHERE (x.j < 0 OR x.j <> y.j) AND (w.j IS NULL OR w.j < 0 OR w.j <> x.j AND w.j <> y.j)),
+valued AS (SELECT *, len(list_filter(js, lambda j: j >= 0)) AS m FROM ways),
+g1 AS (SELECT * FROM sim QUALIFY row_number() OVER (PARTITION BY ok ORDER BY s DESC, i DESC, j DESC) = 1),
+r1 AS (SELECT sim.* FROM sim JOIN g1 ON g1.ok = sim.ok AND g1.i <> sim.i AND g1.j <> sim.j),
+g2 AS (SELECT * FROM r1 QUALIFY row_number() OVER (PARTITION BY ok ORDER BY s DESC, i DESC, j DESC) = 1),
+g3 AS (SELECT r1.* FROM r1 JOIN g2 ON g2.ok = r1.ok AND g2.i <> r1.i AND g2.j <> r1.j),
+picked AS (SELECT ok, [coalesce(max(CASE WHEN i = 0 THEN j END), -1), coalesce(max(CASE WHEN i = 1 THEN j END), -1), coalesce(max(CASE WHEN i = 2 THEN j END), -1)] AS js, sum(s) AS s, 2 + ok % 2 AS k, count(*) AS m
+  FROM (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3) GROUP BY ok),
+cheapest AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY ok ORDER BY round(m - s + 0.5 * (k - m), 9), js) = 1),
+richest AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY ok ORDER BY round(s + m, 9) DESC, js) = 1),
+num AS (SELECT ok, CAST(row_number() OVER (ORDER BY ok) - 1 AS INTEGER) AS idx FROM z)
+SELECT idx AS snarl_a, idx AS snarl_b, CAST(round(1.5 + 2 * (s - (k - m)), 6) AS DOUBLE) AS score, CAST(m AS INTEGER) AS n_matched,
+  array_to_string(list_transform(list_filter(range(0, k), lambda i: js[i + 1] >= 0), lambda i: i || ':' || js[i + 1]), ',') AS matched,
+  array_to_string(list_filter(range(0, k), lambda i: js[i + 1] < 0), ',') AS a_only, array_to_string(list_filter(range(0, k), lambda j: NOT list_contains(js, j)), ',') AS b_only
+FROM {{}} JOIN num USING (ok)"""
 _WALK = BASE_SQL + """, first AS (SELECT ok, min(ln) AS ln, row_number() OVER (ORDER BY ok) - 1 AS nth FROM al WHERE g = 'A' GROUP BY ok), num AS (SELECT node_id, name, seq, row_number() OVER (ORDER BY node_id) - 1 AS id FROM nodes WHERE g = 'A')"""
 _ONLY = "SELECT am.* FROM am JOIN {pairs} p ON p.ok = am.ok WHERE am.g = '{g}' AND NOT EXISTS (SELECT 1 FROM am o WHERE o.g = '{o}' AND o.ok = am.ok AND o.ln = am.ln)"
 _MATCH = """SELECT snarl_a, snarl_b, round(1.5 + w_struct, 6) AS score, CAST(s AS INTEGER) AS n_matched, matched,
@@ -248,8 +284,8 @@ ORACLE_SQL = {
     "pair_scores": BASE_SQL + "SELECT snarl_a, snarl_b, CAST(1.0 AS DOUBLE) AS w_seq, CAST(0.5 AS DOUBLE) AS w_topo, CAST(round(w_struct, 6) AS DOUBLE) AS w_struct, CAST(round(1.5 + w_struct, 6) AS DOUBLE) AS score FROM pr",
     "pairing_score": BASE_SQL + "SELECT snarl_a, snarl_b, CAST(round(score, 6) AS DOUBLE) AS score FROM pos",
     "pairing_work": BASE_SQL + "SELECT a.idx AS snarl_a, b.idx AS snarl_b FROM (SELECT idx, row_number() OVER (ORDER BY idx) AS n FROM sn WHERE g = 'A') a JOIN (SELECT idx, row_number() OVER (ORDER BY k DESC, idx) AS n FROM sn WHERE g = 'B') b USING (n)",
-    "anchors_exact": BASE_SQL + "SELECT node_a, node_b, CAST(sim AS DOUBLE) AS sim FROM an",
-    "anchors_minimizer": BASE_SQL + "SELECT node_a, node_b, CAST(sim AS DOUBLE) AS sim FROM an",
+    "anchors_exact": BASE_SQL + "SELECT node_a, node_b, sim FROM an",
+    "anchors_minimizer": BASE_SQL + "SELECT node_a, node_b, sim FROM an",
     "delta_a_only": BASE_SQL + "SELECT snarl_id, ai AS allele_idx, seq FROM (" + _ONLY.format(pairs="pos", g="A", o="B") + ")",
     "delta_b_only": BASE_SQL + "SELECT snarl_id, ai AS allele_idx, seq FROM (" + _ONLY.format(pairs="pos", g="B", o="A") + ")",
     "total_score": BASE_SQL + "SELECT (SELECT count(*) FROM an) AS n_anchors, (SELECT count(*) FROM pos) AS n_pairs, CAST(round((SELECT count(*) FROM an) + (SELECT sum(score) FROM pos), 4) AS DOUBLE) AS total",
@@ -278,15 +314,21 @@ ORACLE_SQL = {
     "variant_snarls": _VARIANT + "SELECT g AS graph_id, idx AS snarl_idx, ok * 16 AS source, (ok + 1) * 16 AS sink, 'anc_' || ok || '>anc_' || (ok + 1) AS snarl_id, CAST(k AS INTEGER) AS allele_count, k * k * k AS subtree_work FROM vsn",
     "variant_snarls_nested": _VARIANT + """SELECT g AS graph_id, CAST(row_number() OVER (PARTITION BY g ORDER BY source) - 1 AS INTEGER) AS snarl_idx, source, sink, snarl_id, CAST(k AS INTEGER) AS allele_count, k * k * k AS subtree_work FROM (
       SELECT g, ok * 16 AS source, (ok + 1) * 16 AS sink, 'anc_' || ok || '>anc_' || (ok + 1) AS snarl_id, k FROM vsn UNION ALL SELECT g, ok * 16 + 8, ok * 16 + 11, 'x_' || ok || '>z_' || ok, 2 FROM vn)""",
+    "variant_forest": _VARIANT + """, every AS (SELECT ok * 16 AS source, k, ok, 0 AS depth FROM vsn WHERE g = 'B' UNION ALL SELECT ok * 16 + 8, 2, ok, CASE WHEN EXISTS (SELECT 1 FROM vsn WHERE vsn.g = 'B' AND vsn.ok = vn.ok) THEN 1 ELSE 0 END FROM vn WHERE g = 'B'),
+      named AS (SELECT *, CAST(row_number() OVER (ORDER BY source) - 1 AS INTEGER) AS snarl_idx FROM every)
+      SELECT c.snarl_idx, coalesce(p.snarl_idx, -1) AS parent_idx, CAST(c.depth AS INTEGER) AS depth, CAST(c.k * c.k * c.k + CASE WHEN c.depth = 0 THEN coalesce(i.k * i.k * i.k, 0) ELSE 0 END AS BIGINT) AS subtree_work
+      FROM named c LEFT JOIN named p ON c.depth = 1 AND p.depth = 0 AND p.ok = c.ok LEFT JOIN named i ON i.depth = 1 AND i.ok = c.ok AND c.depth = 0""",
     "variant_alleles": _VARIANT + "SELECT idx AS snarl_idx, ai AS allele_idx, path, seq FROM vam WHERE g = 'B'",
     "variant_match_lap": _VARIANT + _VMATCH,
     "variant_match_greedy": _VARIANT + _VMATCH,
     "variant_match_optimal": _VARIANT + _VMATCH,
+    "rival_match_lap": _RIVALS.format("cheapest"),
+    "rival_match_optimal": _RIVALS.format("richest"),
+    "rival_match_greedy": _RIVALS.format("picked"),
     "variant_anchors": _VARIANT + """, one AS (SELECT * FROM va WHERE ln < 8)
       SELECT a.at AS node_a, b.at AS node_b, CAST(round(CASE WHEN a.seq = b.seq THEN 1 ELSE 1 - 1 / 32 END, 6) AS DOUBLE) AS sim FROM (SELECT * FROM one WHERE g = 'A') a JOIN (SELECT * FROM one WHERE g = 'B') b ON a.ok = b.ok AND a.ln = b.ln
       UNION ALL SELECT a.ok * 16 + 8 + i, a.ok * 16 + 8 + i, 1 FROM (SELECT * FROM vn WHERE g = 'A') a JOIN (SELECT * FROM vn WHERE g = 'B') b USING (ok), (SELECT unnest([1, 2]) AS i)
-      UNION ALL SELECT bb.node_id, bb.node_id, 1 FROM bb JOIN bb o ON bb.g = 'A' AND o.g = 'B' AND o.node_id = bb.node_id WHERE bb.node_id % 16 = 0
-        AND NOT EXISTS (SELECT 1 FROM vn WHERE vn.ok * 16 = bb.node_id OR (vn.ok + 1) * 16 = bb.node_id)""",
+      UNION ALL SELECT node_a, node_b, 1 FROM an ANTI JOIN (SELECT ok * 16 AS node_a FROM vn UNION SELECT (ok + 1) * 16 FROM vn) x USING (node_a) WHERE node_a % 16 = 0""",
     "bench_stderr": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity) / sqrt(count(*)), 6) AS stderr FROM lineitem GROUP BY ALL",
     "speedup": "WITH m AS (SELECT l_linenumber, avg(l_quantity) AS mean FROM lineitem GROUP BY 1), b AS (SELECT arg_min(mean, l_linenumber) AS base, min(l_linenumber) AS least FROM m) SELECT l_linenumber, round(mean, 6) AS mean, round(base / mean, 6) AS speedup, round(base / mean * least / l_linenumber, 6) AS efficiency FROM m, b",
 }

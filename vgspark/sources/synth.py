@@ -14,6 +14,14 @@ def dna(key: Column, length: int = 32) -> Column:
     return F.substring(F.concat(*parts), 1, length)
 
 
+def mutated(seq: Column, key: Column, rate: float) -> Column:
+    """``seq`` with each letter drawn anew, which may give the same one, at ``rate``, as ``key`` and its place determine."""
+    draw = lambda i: F.xxhash64(key, i)
+    new = lambda i: F.substring(F.lit("ACGT"), F.pmod(F.shiftright(draw(i), 24), F.lit(4)).cast("int") + 1, F.lit(1))
+    letters = F.transform(F.sequence(F.lit(1), F.length(seq)), lambda i: F.when(F.pmod(draw(i), F.lit(1 << 24)) < rate * (1 << 24), new(i)).otherwise(F.substring(seq, i, F.lit(1))))
+    return F.when(F.length(seq) == 0, "").otherwise(F.array_join(letters, ""))
+
+
 def zipf(u: Column, low: int = 2, high: int = 12, power: float = 2.2) -> Column:
     """A draw of low..high with weights i ** -power, from a uniform column."""
     w = [i**-power for i in range(low, high + 1)]
@@ -24,30 +32,35 @@ def zipf(u: Column, low: int = 2, high: int = 12, power: float = 2.2) -> Column:
     return out.cast("int")
 
 
-def bubble_pair(spark: SparkSession, n: int, seed: int = 42, anchor: int = 20, allele: int = 50, shared: float = 0.7) -> tuple[GraphSet, GraphSet, DataFrame]:
-    """Two chains of ``n`` bubbles and ``truth (snarl, type, seq)``, made by the executors from hashes of ``seed``.
+def bubble_pair(spark: SparkSession, n: int, seed: int = 42, anchor: int = 20, allele: int = 50, shared: float = 0.7, most: int = 12, power: float = 2.2, divergence: float = 0.0) -> tuple[GraphSet, GraphSet, DataFrame]:
+    """Two chains of ``n`` bubbles and ``truth (snarl, type, seq, node_a, node_b)``, made by the executors from hashes of ``seed``.
+
+    Alleles that both graphs have are mutated in B at the rate ``divergence``; ``node_a`` and ``node_b`` are the names of their nodes.
 
-    A bubble has k alleles by ``zipf``: the rounded share, one at least, is in both graphs, half the rest
+    A bubble has k alleles, up to ``most``, by ``zipf``: the rounded share, one at least, is in both graphs, half the rest
     in each, and each graph has two at least.
     """
     b = spark.range(n).select(F.col("id").alias("snarl"))
     u = F.pmod(F.xxhash64(F.lit(seed), "snarl"), F.lit(1 << 30)) / float(1 << 30)
-    b = b.withColumn("k", zipf(u)).withColumn("s", F.greatest(F.lit(1), F.round(shared * F.col("k")).cast("int")))
+    b = b.withColumn("k", zipf(u, high=most, power=power)).withColumn("s", F.greatest(F.lit(1), F.round(shared * F.col("k")).cast("int")))
     b = b.withColumn("a", F.greatest(F.ceil((F.col("k") - F.col("s")) / 2), 2 - F.col("s")).cast("int")).withColumn("b", F.greatest(F.floor((F.col("k") - F.col("s")) / 2), 2 - F.col("s")).cast("int"))
     kinds = F.concat(F.array_repeat(F.lit("shared"), F.col("s")), F.array_repeat(F.lit("a_only"), F.col("a")), F.array_repeat(F.lit("b_only"), F.col("b")))
     t = b.select("snarl", F.posexplode(kinds).alias("i", "type"))
     t = t.withColumn("seq", dna(F.concat_ws(":", F.lit(str(seed)), "snarl", "i"), allele)).withColumn("node_id", F.col("snarl") * 4096 + F.col("i") + 1)
     chain = spark.range(n + 1).select((F.col("id") * 4096).alias("node_id"), F.concat(F.lit("anc"), F.col("id")).alias("name"), dna(F.concat_ws(":", F.lit(f"anchor{seed}"), "id"), anchor).alias("seq"))
-    out = []
+    out, name = [], F.concat_ws("_", F.lit("al"), "snarl", "i")
     for g, own in (("A", "a_only"), ("B", "b_only")):
         mine = t.where(F.col("type").isin("shared", own))
-        nodes = chain.unionByName(mine.select("node_id", F.concat_ws("_", F.lit("al"), "snarl", "i").alias("name"), "seq")).select(F.lit(g).alias("graph_id"), "node_id", "name", "seq")
+        if g == "B" and divergence:
+            mine = mine.withColumn("seq", mutated(F.col("seq"), F.concat_ws(":", F.lit(f"mutated{seed}"), "snarl", "i"), divergence))
+        nodes = chain.unionByName(mine.select("node_id", name.alias("name"), "seq")).select(F.lit(g).alias("graph_id"), "node_id", "name", "seq")
         edges = mine.select(F.lit(g).alias("graph_id"), (F.col("snarl") * 4096).alias("src"), F.col("node_id").alias("dst")).unionByName(mine.select(F.lit(g).alias("graph_id"), F.col("node_id").alias("src"), ((F.col("snarl") + 1) * 4096).alias("dst")))
         first = mine.groupBy("snarl").agg(F.min("node_id").alias("x"))
         steps = first.select(F.explode(F.array(F.struct((F.col("snarl") * 2).alias("step"), (F.col("snarl") * 4096).alias("node_id")), F.struct((F.col("snarl") * 2 + 1).alias("step"), F.col("x").alias("node_id")))).alias("e")).select("e.*")
         steps = steps.unionByName(spark.range(1).select(F.lit(2 * n).cast("long").alias("step"), F.lit(n * 4096).cast("long").alias("node_id")))
         out.append(GraphSet(nodes, edges, steps.select(F.lit(g).alias("graph_id"), F.lit("hap").alias("path_name"), F.col("step").cast("int"), "node_id")))
-    return out[0], out[1], t.select("snarl", "type", "seq")
+    truth = t.select("snarl", "type", "seq", F.when(F.col("type") != "b_only", name).alias("node_a"), F.when(F.col("type") != "a_only", name).alias("node_b"))
+    return out[0], out[1], truth
 
 
 def planted_pair(spark: SparkSession, n: int, shared: int = 2, a_only: int = 1, b_only: int = 1, seed: int = 99) -> tuple[GraphSet, GraphSet, DataFrame]:

@@ -6,10 +6,10 @@ Lines flagged A or N are in graph A, those flagged N or R in graph B.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import GraphSet
+from ..model import PATHS, GraphSet
 from .synth import dna
 
 
@@ -52,6 +52,31 @@ def variant(spark: SparkSession, sf_dir: str, graph_id: str) -> GraphSet:
     return GraphSet(g.nodes.unionByName(parts), g.edges.unionByName(edges), g.paths)
 
 
+def turned(seq: Column, n: list[int]) -> Column:
+    """``seq`` of 32 letters with other ones at the places ``n``, counted from 1."""
+    return F.concat(*(F.translate(F.substring(seq, i, 1), "ACGT", "CGTA") if i in n else F.substring(seq, i, 1) for i in range(1, 33)))
+
+
+#: Places at which the alleles of the bubble of an even and of an odd order differ from its letters, in graph A and in graph B.
+RIVALS = [([[1], [4, 5]], [[], [1, 2, 3]]), ([[*range(1, 9)], [*range(1, 17)], [*range(1, 25)]], [[], [*range(1, 9)], [*range(1, 17)]])]
+
+
+def rivals(spark: SparkSession, sf_dir: str, graph_id: str) -> GraphSet:
+    """A pair whose alleles compete, a bubble for each order: of even ones the best pair spoils the other, so that greedy choice isn't the cheapest; of
+    odd ones two equal pairs leave an allele over on each side, which costs less but scores less than three fair pairs.
+    """
+    g = F.lit(graph_id).alias("graph_id")
+    spine = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ok"))
+    ends = spine.unionByName(spine.agg((F.max("ok") + 1).alias("ok")).where("ok IS NOT NULL"))
+    base = dna(F.concat(F.lit("rival:"), "ok"))
+    kinds = [F.array(*(F.struct(F.lit(i + 1).alias("i"), turned(F.col("z"), n).alias("seq")) for i, n in enumerate(side["AB".index(graph_id)]))) for side in RIVALS]
+    al = spine.select("ok", base.alias("z")).select("ok", F.explode(F.when(F.col("ok") % 2 == 0, kinds[0]).otherwise(kinds[1])).alias("x")).select("ok", "x.i", "x.seq")
+    nodes = ends.select(g, (F.col("ok") * 16).alias("node_id"), F.concat(F.lit("anc_"), "ok").alias("name"), dna(F.concat(F.lit("anc:"), "ok"), 20).alias("seq"))
+    nodes = nodes.unionByName(al.select(g, (F.col("ok") * 16 + F.col("i")).alias("node_id"), F.concat_ws("_", F.lit("al"), "ok", "i").alias("name"), "seq"))
+    edges = al.select(g, F.explode(F.array(F.struct((F.col("ok") * 16).alias("src"), (F.col("ok") * 16 + F.col("i")).alias("dst")), F.struct((F.col("ok") * 16 + F.col("i")).alias("src"), ((F.col("ok") + 1) * 16).alias("dst")))).alias("e")).select("graph_id", "e.src", "e.dst")
+    return GraphSet(nodes, edges, spark.createDataFrame([], PATHS))
+
+
 def walk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GFA lines with W lines and reversed steps: the segments of graph A, a link from each order's first allele to its reverse, and a walk
     for each order: its anchor forward, then its first allele in reverse.

@@ -134,3 +134,29 @@ def test_many_copies_take_few_rounds(spark, monkeypatch):
     found = greedy.serial_classes(a, b, df)
     assert found.count() == n and len(calls) <= 8
     assert found.agg(F.countDistinct("l"), F.countDistinct("r")).first() == (n, n)
+
+
+def test_order_in_rounds_equals_that_of_a_queue(spark):
+    """Tangled stretches, parts that aren't joined, loose ends, single nodes and long chains of nested bubbles."""
+    rng = random.Random(5)
+    rows, names = [], []
+    for k in range(5):
+        edges = dag(rng, 30) | (dag(rng, 25, 500) if k % 2 else set())
+        edges |= {(700 + i, 701 + i) for i in range(40)} if k == 3 else set()
+        if k == 4:  # bubbles within bubbles, and ids against the order
+            edges = {(5000 - 10 * i - a, 5000 - 10 * i - b) for i in range(12) for a, b in ((0, 1), (0, 5), (1, 2), (1, 3), (2, 4), (3, 4), (4, 10), (5, 10))}
+        ids = {x for e in edges for x in e} | {9000 + k}
+        turn = dict(zip(sorted(ids), rng.sample(range(10_000), len(ids)))) if k == 2 else {x: x for x in ids}
+        rows += [(f"g{k}", turn[a], turn[b]) for a, b in edges]
+        names += [(f"g{k}", turn[v], str(v), "A") for v in ids]
+    g = GraphSet(spark.createDataFrame(names, "graph_id string, node_id long, name string, seq string"), spark.createDataFrame(rows, "graph_id string, src long, dst long"), None)
+    want = {tuple(r) for r in topology.topological_rank(g).collect()}
+    assert {tuple(r) for r in topology.topological_rank(g, most=0).collect()} == want and len(want) == len(names)
+    assert {tuple(r) for r in topology.topological_rank(g, most=60).collect()} == want
+
+
+@pytest.mark.parametrize("ring", [[("a", "b"), ("b", "c"), ("c", "b")], [("a", "b"), ("c", "d"), ("d", "c")], [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("a", "d")]])
+def test_cycles_are_errors_in_rounds(spark, ring):
+    names = sorted({x for e in ring for x in e})
+    with pytest.raises(ValueError, match="cycle"):
+        topology.topological_rank(GraphSet.build(spark, "g", [(n, "A") for n in names], ring), most=0)

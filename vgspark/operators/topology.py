@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..model import GraphSet
 from ..storage import kept
-from . import order
+from . import levels, order
 
 
 def path_edges(paths: DataFrame) -> DataFrame:
@@ -66,8 +66,12 @@ def kahn(nodes: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return rank
 
 
-def topological_rank(g: GraphSet) -> DataFrame:
-    """``(graph_id, node_id, rank)``. The order depends on the whole graph, so each graph is one group, of two columns of ids."""
+def topological_rank(g: GraphSet, most: int = 5_000_000) -> DataFrame:
+    """``(graph_id, node_id, rank)``: first in, first out, starting in order of ids; a cycle is an error.
+
+    Graphs of up to ``most`` nodes are ordered in a group each, of two columns of ids. Larger ones are ordered in rounds over
+    tables (``levels``), which gives the same ranks.
+    """
     rows = g.nodes.select("graph_id", F.col("node_id").alias("src"), F.lit(None).cast("long").alias("dst")).unionByName(g.edges.select("graph_id", "src", "dst").distinct())
 
     def ranked(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -75,7 +79,12 @@ def topological_rank(g: GraphSet) -> DataFrame:
         nodes = np.unique(np.concatenate([pdf["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64)]))
         return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "node_id": nodes, "rank": kahn(nodes, e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64))})
 
-    return rows.groupBy("graph_id").applyInPandas(ranked, "graph_id string, node_id long, rank long")
+    schema = "graph_id string, node_id long, rank long"
+    large = kept(g.nodes.groupBy("graph_id").count().where(F.col("count") > most).select("graph_id"))
+    if large.isEmpty():
+        return rows.groupBy("graph_id").applyInPandas(ranked, schema)
+    small = rows.join(large, "graph_id", "left_anti").groupBy("graph_id").applyInPandas(ranked, schema)
+    return small.unionByName(levels.ranked(g.nodes.join(large, "graph_id", "left_semi"), g.edges.join(large, "graph_id", "left_semi")))
 
 
 def regions(edges: DataFrame, rank: DataFrame, most: int = 1_000_000) -> DataFrame:

@@ -121,16 +121,17 @@ def similar_classes(docs: DataFrame, classes: DataFrame, similarity: float = SIM
     is_heavy = _may_hold(counts, F.xxhash64("token"))
     n, m = F.col("l.n"), F.col("r.n")
     need = F.ceil((n + m) * (s / (1 + s)) - 1e-9)
-    half = F.when(n >= LONG, F.col("l.half").bitwiseXOR(F.col("r.half"))).otherwise(F.lit(0).cast("long"))  # of n and m, n is the lesser
+    half = F.when(F.least(n, m) >= LONG, F.col("l.half").bitwiseXOR(F.col("r.half"))).otherwise(F.lit(0).cast("long"))
     differ = F.bit_count(half) + F.bit_count(F.col("l.parity").bitwiseXOR(F.col("r.parity")).bitwiseXOR(half))
-    fits = (F.col("l.token") == F.col("r.token")) & (n <= m) & ((n < m) | (F.col("l.c") < F.col("r.c"))) & (n >= F.ceil(m * s - 1e-9)) & (differ <= n + m - 2 * need)
+    # l is the later class; of the two lines that with fewer tokens (of equals the earlier one) has the token in its shorter prefix
+    fits = (F.col("l.token") == F.col("r.token")) & (F.col("l.c") > F.col("r.c")) & (F.least(n, m) >= F.ceil(F.greatest(n, m) * s - 1e-9)) & (differ <= n + m - 2 * need)
     fits &= F.least(n - F.col("l.pos"), m - F.col("r.pos")) + F.least("l.pos", "r.pos") >= need
+    fits &= F.when(n < m, F.col("l.pos")).otherwise(F.col("r.pos")) < _shortest_prefix(F.least(n, m), s)
 
-    def met(left: DataFrame, right: DataFrame) -> DataFrame:
-        """``(a, b, differ)``, the later class first, of the candidates."""
-        left = left.where(F.col("pos") < _shortest_prefix(F.col("n"), s))
-        pairs = left.alias("l").join(right.alias("r"), fits)
-        return pairs.select(F.greatest("l.c", "r.c").alias("a"), F.least("l.c", "r.c").alias("b"), differ.cast("tinyint").alias("differ"))
+    def met(later: DataFrame, earlier: DataFrame) -> DataFrame:
+        """``(a, b, differ)``, the later class first, of the candidates; each side is dealt out by token once."""
+        pairs = later.alias("l").join(earlier.alias("r"), fits)
+        return pairs.select(F.col("l.c").alias("a"), F.col("r.c").alias("b"), differ.cast("tinyint").alias("differ"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The ``a`` of the pairs whose token sets are similar."""
@@ -167,18 +168,17 @@ def similar_classes(docs: DataFrame, classes: DataFrame, similarity: float = SIM
     freed(docs.sparkSession)
     first = often.groupBy("token").agg(F.min(F.struct("c", "n", "pos", "parity", "half")).alias("x")).select("token", "x.*")
     first = stored(first, "heads")
-    later = often.join(first.select("token", F.col("c").alias("head")), "token").where("c > head").drop("head")
-    heads = verified(stored(met(later, first).unionByName(met(first, later)), "pairs"))
+    heads = verified(stored(met(often, first), "pairs"))
     dropped(first)
     freed(docs.sparkSession)
-    # what has a match is done; of a pair the later class is open, whichever has more tokens
-    matched = heads.select(F.col("c").alias("a"))
-    open_ = often.join(heads, "c", "left_anti")
-    rest = stored(met(open_, often).unionByName(met(often, open_)).join(matched, "a", "left_anti"), "pairs")
-    dropped(often)
+    # what has a match is done: of a pair the later class is open
+    open_ = stored(often.join(heads, "c", "left_anti"), "open")
+    freed(docs.sparkSession)
+    rest = stored(met(open_, often), "pairs")
+    dropped(often, open_)
     freed(docs.sparkSession)
     light = rows.where(~is_heavy)
-    light = stored(met(light, light).join(matched, "a", "left_anti"), "pairs")
+    light = stored(met(light, light).join(heads.select(F.col("c").alias("a")), "a", "left_anti"), "pairs")
     freed(docs.sparkSession)
     out = heads.unionByName(verified(stored(rest.unionByName(light), "pairs"))).distinct()
     dropped(rest, light)

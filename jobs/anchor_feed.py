@@ -61,19 +61,19 @@ def anchored(documents: DataFrame, catalogue: DataFrame, s: Settings) -> DataFra
     return own.join(near, "seq").join(items, "item_seq").select("doc_id", "source", "sentence", "item_id", "item_sentence", "sim")
 
 
-def read(spark: SparkSession, output: str) -> DataFrame:
-    """The anchors found so far; none before the first batch."""
-    return spark.read.schema(SCHEMA).option("basePath", output).parquet(output)
+def read(spark: SparkSession, output: str, batch: int | None = None) -> DataFrame:
+    """The anchors found so far, or those of one batch; none before the first batch."""
+    return spark.read.schema(SCHEMA).option("basePath", output).parquet(output if batch is None else f"{output}/batch={batch}")
 
 
 def run(spark: SparkSession, s: Settings) -> DataFrame:
     """Take what is new in ``s.documents``, wait for it to be done, and return the whole output as it stands."""
 
     def batch(documents: DataFrame, n: int) -> None:
-        out = f"{s.output}/batch={n}"
-        found = anchored(documents, documents.sparkSession.read.parquet(s.catalogue).select("item_id", "text"), s)
+        session, out = documents.sparkSession, f"{s.output}/batch={n}"
+        found = anchored(documents, session.read.parquet(s.catalogue).select("item_id", "text"), s)
         found.hint("rebalance", "source").write.partitionBy("source").mode("overwrite").parquet(out)
-        log.info("batch %d: read %d documents of %s, wrote %d anchors to %s", n, documents.count(), s.documents, read(documents.sparkSession, s.output).where(F.col("batch") == n).count(), out)
+        log.info("batch %d: read %d documents of %s, wrote %d anchors to %s", n, documents.count(), s.documents, read(session, s.output, n).count(), out)
 
     # a folder without files, so that the output can be read before there is a batch
     spark.createDataFrame([], SCHEMA).drop("batch").write.partitionBy("source").mode("overwrite").parquet(f"{s.output}/batch=-1")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vgspark.__main__ import main
+from vgspark.functions import sequences as q
 from vgspark.functions.sequences import register
 from vgspark.model import AlignParams, AnchorParams, GraphSet, MatchParams
 from vgspark.operators import matching, metrics, snarls, topology
@@ -52,8 +53,15 @@ def test_paf_and_tables(spark, tmp_path):
     df = spark.createDataFrame([(1, 2.5), (2, None)], "n int, x double")
     writers.write_table(df, str(tmp_path / "t"))
     assert sorted(map(tuple, gfa.measurements(spark, str(tmp_path / "t"), "n int, x double").collect())) == [(1, 2.5), (2, None)]
+
+
+def test_sql_functions(spark):
     register(spark)
-    assert spark.sql("SELECT seq_similarity('GATTACA', 'GATTAC'), rev_comp('ACGTNx')").first()[1] == "NNACGT"
+    rng = random.Random(8)
+    seqs = spark.createDataFrame([("".join(rng.choice("ACGTé") for _ in range(n)),) for n in (0, 1, 14, 15, 16, 24, 25, 80)], "s string")
+    got = seqs.selectExpr("s", "seq_similarity(s, 'GATTACA') AS sim", "rev_comp(s) AS rc", "kmer_hash(s) AS h", "minimizers(s, 15, 10) AS m")
+    want = seqs.select("s", q.similarity("s", F.lit("GATTACA")).alias("sim"), q.reverse_complement("s").alias("rc"), q.kmer_hash("s").alias("h"), q.minimizers("s").alias("m"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_planted_alleles_are_found(spark):

@@ -58,6 +58,14 @@ def minimizers(seq: str | Column, k: int = 15, window: int = 10) -> Column:
 
 
 def register(spark) -> None:
-    """The same as SQL functions."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION seq_similarity(a STRING, b STRING) RETURNS DOUBLE RETURN CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0D ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION rev_comp(s STRING) RETURNS STRING RETURN regexp_replace(translate(reverse(s), 'ACGTacgt', 'TGCATGCA'), '[^ACGT]', 'N')")
+    """The same as SQL functions: seq_similarity, rev_comp, kmer_hash, minimizers."""
+    fnv = f"aggregate(transform(sequence({{}}, {{}}), j -> CAST(ascii(substring(s, j, 1)) AS BIGINT)), {FNV_BASIS}L, (h, c) -> ((h ^ c) * {FNV_PRIME}L) & 4294967295L)"
+    hashes = f"transform(sequence(1, length(s) - k + 1), i -> {fnv.format('i', 'i + k - 1')})"
+    minima = "array_sort(array_distinct(transform(sequence(1, greatest(size(x) - w + 1, 1)), i -> array_min(slice(x, i, w)))))"
+    for name, body in (
+        ("seq_similarity(a STRING, b STRING) RETURNS DOUBLE", "CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0D ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END"),
+        ("rev_comp(s STRING) RETURNS STRING", "regexp_replace(translate(reverse(s), 'ACGTacgt', 'TGCATGCA'), '[^ACGT]', 'N')"),
+        ("kmer_hash(s STRING) RETURNS BIGINT", f"CASE WHEN length(s) = 0 THEN {FNV_BASIS}L ELSE {fnv.format('1', 'length(s)')} END"),
+        ("minimizers(s STRING, k INT, w INT) RETURNS ARRAY<BIGINT>", f"CASE WHEN length(s) < k THEN array() ELSE transform(array({hashes}), x -> {minima})[0] END"),
+    ):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name} RETURN {body}")

@@ -61,13 +61,6 @@ def _equal_first(a: DataFrame, b: DataFrame, near: DataFrame) -> tuple[DataFrame
     return zipped, a.join(mixed, "seq", "left_semi"), b.join(mixed, "seq", "left_semi")
 
 
-def _edges(a: DataFrame, b: DataFrame, near: DataFrame) -> DataFrame:
-    """``(l, r, score)`` of nodes with equal or with ``near`` sequences."""
-    l, r = a.select(F.col("node_id").alias("l"), F.col("seq").alias("sa")), b.select(F.col("node_id").alias("r"), F.col("seq").alias("sb"))
-    same = l.join(r, l["sa"] == r["sb"]).select("l", "r", F.lit(1.0).alias("score"))
-    return same.unionByName(l.join(near, "sa").join(r, "sb").select("l", "r", "score"))
-
-
 def minimizer_index(nodes: DataFrame, p: AnchorParams) -> DataFrame:
     """``(h, node_id)``, distinct; sequences shorter than a k-mer have none."""
     return nodes.select("node_id", F.explode(minimizers("seq", p.kmer_len, p.window)).alias("h")).distinct()
@@ -81,7 +74,7 @@ def minimizer_candidates(a: DataFrame, b: DataFrame, p: AnchorParams) -> DataFra
 def find_anchors(ga: GraphSet, gb: GraphSet, p: AnchorParams) -> DataFrame:
     """``(node_a, node_b, sim)``: exact, each A node in order takes its best free B node; by minimizers, the most similar pair comes first.
 
-    Nodes of sequences that no other sequence is similar to pair off in order; only the others compete: exact, by classes of equal sequences, by minimizers in rounds.
+    Nodes of sequences that no other sequence is similar to pair off in order; only the others compete, by classes of equal sequences.
     """
     a, b = kept(backbone(ga).select("node_id", "seq")), kept(backbone(gb).select("node_id", "seq"))
     exact = p.strategy == "exact" or p.strategy == "auto" and a.count() * b.count() <= p.exact_pairs
@@ -89,18 +82,16 @@ def find_anchors(ga: GraphSet, gb: GraphSet, p: AnchorParams) -> DataFrame:
         near = kept(similar_sequences(a, b, p))
         if p.strict and p.min_sim >= 1:
             return near.select(F.lit(0).cast("long").alias("node_a"), F.lit(0).cast("long").alias("node_b"), F.col("score").alias("sim")).limit(0)
-        found, a, b = _equal_first(a, b, near)
-        if near.isEmpty():
-            return found.select(F.col("l").alias("node_a"), F.col("r").alias("node_b"), F.col("score").alias("sim"))
-        same = a.select("seq").distinct().join(b.select("seq").distinct(), "seq").select(F.col("seq").alias("cl"), F.col("seq").alias("cr"), F.lit(1.0).alias("score"))
-        scores = same.unionByName(near.select(F.col("sa").alias("cl"), F.col("sb").alias("cr"), "score"))
-        rest = greedy.serial_classes(a.select(F.col("node_id").alias("l"), F.col("seq").alias("cl")), b.select(F.col("node_id").alias("r"), F.col("seq").alias("cr")), scores).select("l", "r", "score")
     else:
         a, b = (f.where(F.length("seq") >= p.kmer_len) for f in (a, b))
         x, y = (f.select("seq").distinct().select(F.col("seq").alias("node_id"), "seq") for f in (a, b))
         met = minimizer_candidates(x, y, p).where("l <> r").select(F.col("l").alias("sa"), F.col("r").alias("sb"))
         near = kept(met.where(similar("sa", "sb", p.min_sim)).select("sa", "sb", similarity("sa", "sb").alias("score")))
-        found, a, b = _equal_first(a, b, near)
-        rest = greedy.best_first(_edges(a, b, near))
-    found = found.unionByName(rest)
+    found, a, b = _equal_first(a, b, near)
+    if not near.isEmpty():
+        same = a.select("seq").distinct().join(b.select("seq").distinct(), "seq").select(F.col("seq").alias("cl"), F.col("seq").alias("cr"), F.lit(1.0).alias("score"))
+        scores = same.unionByName(near.select(F.col("sa").alias("cl"), F.col("sb").alias("cr"), "score"))
+        choose = greedy.serial_classes if exact else greedy.best_first_classes
+        rest = choose(a.select(F.col("node_id").alias("l"), F.col("seq").alias("cl")), b.select(F.col("node_id").alias("r"), F.col("seq").alias("cr")), scores)
+        found = found.unionByName(rest.select("l", "r", "score"))
     return found.select(F.col("l").alias("node_a"), F.col("r").alias("node_b"), F.col("score").alias("sim"))

@@ -215,13 +215,13 @@ vpr AS (SELECT ok, snarl_a, snarl_b, any_value(ka) AS ka, any_value(kb) AS kb, c
 _VMATCH = """SELECT snarl_a, snarl_b, round(1.5 + w_struct, 6) AS score, CAST(s AS INTEGER) AS n_matched, matched,
  array_to_string(list_filter(range(0, ka), lambda x: NOT list_contains(li, x)), ',') AS a_only, array_to_string(list_filter(range(0, kb), lambda x: NOT list_contains(lj, x)), ',') AS b_only FROM vpr"""
 _PLACED = " UNION ALL ".join(
-    f"SELECT '{'AB'[side]}' AS g, ok, {i} AS i, {' || '.join(f'translate(substring(z, {k}, 1), $$ACGT$$, $$CGTA$$)' if k in places else f'substring(z, {k}, 1)' for k in range(1, 33))} AS seq FROM z WHERE ok % 2 = {odd}"
+    f"SELECT '{'AB'[side]}' AS g, ok, {i} AS i, {' || '.join(f'translate(substring(z, {k}, 1), $$ACGT$$, $$CGTA$$)' if k in places else f'substring(z, {k}, 1)' for k in range(1, 65))} AS seq FROM z WHERE ok % 2 = {odd}"
     for odd, sides in enumerate(RIVALS) for side, alleles in enumerate(sides) for i, places in enumerate(alleles)
 )
 #: The testbed of competing alleles: sim (admissible pairs), ways (all partial matchings of up to three alleles, with cost and score), picked (by the greedy rule).
-_RIVALS = f"""WITH z AS (SELECT o_orderkey AS ok, {_DNA.format("'rival:' || o_orderkey")} AS z FROM orders),
+_RIVALS = f"""WITH z AS (SELECT o_orderkey AS ok, {_DNA.format("'rival:' || o_orderkey")} || {_DNA.format("'rival:' || o_orderkey || '/1'")} AS z FROM orders),
 al AS MATERIALIZED ({_PLACED}),
-sim AS MATERIALIZED (SELECT * FROM (SELECT a.ok, a.i, b.i AS j, 1 - levenshtein(a.seq, b.seq) / 32 AS s FROM al a JOIN al b ON a.ok = b.ok AND a.g = 'A' AND b.g = 'B') WHERE s >= 0.75 - 1e-9),
+sim AS MATERIALIZED (SELECT * FROM (SELECT a.ok, a.i, b.i AS j, 1 - levenshtein(a.seq, b.seq) / 64 AS s FROM al a JOIN al b ON a.ok = b.ok AND a.g = 'A' AND b.g = 'B') WHERE s >= 0.75 - 1e-9),
 opt AS (SELECT * FROM sim UNION ALL SELECT ok, i, -1, 0 FROM al WHERE g = 'A'),
 ways AS MATERIALIZED (SELECT x.ok, [x.j, y.j, coalesce(w.j, -1)] AS js, x.s + y.s + coalesce(w.s, 0) AS s, 2 + x.ok % 2 AS k FROM opt x JOIN opt y ON y.ok = x.ok AND x.i = 0 AND y.i = 1 LEFT JOIN opt w ON w.ok = x.ok AND w.i = 2
   WHERE (x.j < 0 OR x.j <> y.j) AND (w.j IS NULL OR w.j < 0 OR w.j <> x.j AND w.j <> y.j)),

@@ -53,12 +53,13 @@ def variant(spark: SparkSession, sf_dir: str, graph_id: str) -> GraphSet:
 
 
 def turned(seq: Column, n: list[int]) -> Column:
-    """``seq`` of 32 letters with other ones at the places ``n``, counted from 1."""
-    return F.concat(*(F.translate(F.substring(seq, i, 1), "ACGT", "CGTA") if i in n else F.substring(seq, i, 1) for i in range(1, 33)))
+    """``seq`` of 64 letters with other ones at the places ``n``, counted from 1."""
+    return F.concat(*(F.translate(F.substring(seq, i, 1), "ACGT", "CGTA") if i in n else F.substring(seq, i, 1) for i in range(1, 65)))
 
 
-#: Places at which the alleles of the bubble of an even and of an odd order differ from its letters, in graph A and in graph B.
-RIVALS = [([[1], [4, 5]], [[], [1, 2, 3]]), ([[*range(1, 9)], [*range(1, 17)], [*range(1, 25)]], [[], [*range(1, 9)], [*range(1, 17)]])]
+#: Places, of 64, at which the alleles of the bubble of an even and of an odd order differ from its letters, in graph A and in graph B.
+_QUARTERS = [[i for i in range(1, 65) if 0 < i % 4 < k] for k in (1, 2, 3, 4)]  # none of four letters, or one, two, three
+RIVALS = [([[1], [4, 5]], [[], [1, 2, 3]]), (_QUARTERS[1:], _QUARTERS[:3])]
 
 
 def rivals(spark: SparkSession, sf_dir: str, graph_id: str) -> GraphSet:
@@ -68,7 +69,7 @@ def rivals(spark: SparkSession, sf_dir: str, graph_id: str) -> GraphSet:
     g = F.lit(graph_id).alias("graph_id")
     spine = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ok"))
     ends = spine.unionByName(spine.agg((F.max("ok") + 1).alias("ok")).where("ok IS NOT NULL"))
-    base = dna(F.concat(F.lit("rival:"), "ok"))
+    base = dna(F.concat(F.lit("rival:"), "ok"), 64)
     kinds = [F.array(*(F.struct(F.lit(i + 1).alias("i"), turned(F.col("z"), n).alias("seq")) for i, n in enumerate(side["AB".index(graph_id)]))) for side in RIVALS]
     al = spine.select("ok", base.alias("z")).select("ok", F.explode(F.when(F.col("ok") % 2 == 0, kinds[0]).otherwise(kinds[1])).alias("x")).select("ok", "x.i", "x.seq")
     nodes = ends.select(g, (F.col("ok") * 16).alias("node_id"), F.concat(F.lit("anc_"), "ok").alias("name"), dna(F.concat(F.lit("anc:"), "ok"), 20).alias("seq"))

@@ -122,7 +122,7 @@ def best(a, b, score):
 
 def test_choice_by_classes_equals_the_loop(spark):
     rng = random.Random(4)
-    for case in range(4):
+    for case in range(2):
         na, nb, values = rng.randrange(1, 5), rng.randrange(1, 5), [[1.0, 0.9, 0.8, 0.7], [1.0, 0.9]][case % 2]
         score = {(f"x{i}", f"y{j}"): rng.choice(values) for i in range(na) for j in range(nb) if rng.random() < 0.8}
         a = [(l, f"x{rng.randrange(na)}") for l in rng.sample(range(1000), 60)]

@@ -6,7 +6,7 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import GraphSet
@@ -14,10 +14,22 @@ from ..storage import kept
 from . import levels, order
 
 
+#: Steps of a path are taken in blocks of so many, so that no window or group has a row for each step of a path.
+BLOCK = 4096
+_PATH = ["graph_id", "path_name"]
+
+
+def _blocks(paths: DataFrame) -> DataFrame:
+    return paths.withColumn("block", F.floor(F.col("step") / BLOCK))
+
+
 def path_edges(paths: DataFrame) -> DataFrame:
-    """An edge for each two consecutive steps."""
-    nxt = order.following(paths, ["step"], "node_id", "dst", ["graph_id", "path_name"])
-    return nxt.select("graph_id", F.col("node_id").alias("src"), "dst").where("dst IS NOT NULL")
+    """An edge for each two consecutive steps: within blocks of steps, and from the last step of a block to the first of the next."""
+    rows = _blocks(paths)
+    inside = rows.select("graph_id", F.col("node_id").alias("src"), F.lead("node_id").over(Window.partitionBy(*_PATH, "block").orderBy("step")).alias("dst"))
+    ends = rows.groupBy(*_PATH, "block").agg(F.min_by("node_id", "step").alias("first"), F.max_by("node_id", "step").alias("last"))
+    between = ends.select("graph_id", F.col("last").alias("src"), F.lead("first").over(Window.partitionBy(*_PATH).orderBy("block")).alias("dst"))
+    return inside.unionByName(between).where("dst IS NOT NULL")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -122,20 +134,22 @@ def reachable(edges: DataFrame, hops: int) -> DataFrame:
     return found.groupBy("graph_id", "src", "dst").agg(F.min("hops").alias("hops"))
 
 
-def path_sequences(paths: DataFrame, nodes: DataFrame, block: int = 1024) -> DataFrame:
-    """``(graph_id, path_name, seq)``: blocks of so many steps are put together first, then the blocks of a path, so no group has a row for each step."""
-    at = order.numbered(paths, ["step"], ["graph_id", "path_name"], "nth", 0)
-    both = at.join(nodes.select("graph_id", "node_id", "seq"), ["graph_id", "node_id"])
+def path_sequences(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(graph_id, path_name, seq)``: blocks of steps are put together first, then the blocks of a path."""
+    both = _blocks(paths).join(nodes.select("graph_id", "node_id", "seq"), ["graph_id", "node_id"])
     text = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, "seq"))), lambda x: x["seq"]), "").alias("seq")
-    blocks = both.groupBy("graph_id", "path_name", F.floor(F.col("nth") / block).alias("block")).agg(text("nth"))
-    return blocks.groupBy("graph_id", "path_name").agg(text("block"))
+    return both.groupBy(*_PATH, "block").agg(text("step")).groupBy(*_PATH).agg(text("block"))
 
 
 def node_spans(paths: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(graph_id, path_name, step, node_id, start, end)``: where each step's sequence lies in its path's."""
-    both = paths.join(nodes.select("graph_id", "node_id", F.length("seq").cast("long").alias("n")), ["graph_id", "node_id"])
-    upto = order.running(both, ["step"], "n", "end", ["graph_id", "path_name"])
-    return upto.select("graph_id", "path_name", "step", "node_id", (F.col("end") - F.col("n")).alias("start"), "end")
+    """``(graph_id, path_name, step, node_id, start, end)``: where each step's sequence lies in its path's; totals of blocks of steps are summed first."""
+    both = _blocks(paths).join(nodes.select("graph_id", "node_id", F.length("seq").cast("long").alias("n")), ["graph_id", "node_id"])
+    upto = lambda w, c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    whole = both.groupBy(*_PATH, "block").agg(F.sum("n").alias("all"))
+    whole = whole.select(*_PATH, "block", (upto(Window.partitionBy(*_PATH).orderBy("block"), "all") - F.col("all")).alias("before"))
+    inside = both.withColumn("here", upto(Window.partitionBy(*_PATH, "block").orderBy("step"), "n")).join(whole, [*_PATH, "block"])
+    end = F.col("before") + F.col("here")
+    return inside.select("graph_id", "path_name", "step", "node_id", (end - F.col("n")).alias("start"), end.alias("end"))
 
 
 def covering_paths(g: GraphSet, most: int = 1000) -> DataFrame:

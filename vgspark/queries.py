@@ -39,21 +39,25 @@ def _alignment(spark: SparkSession, d: str, **how):
     return align(graph(spark, d, "A"), graph(spark, d, "B"), AlignParams(anchor=EXACT, candidate_sim=0.9, **how))
 
 
+def _pair(spark: SparkSession, d: str, make) -> tuple[GraphSet, GraphSet, tuple, tuple]:
+    """Graphs A and B with their bubbles and alleles, decomposed at once."""
+    ga, gb = make(spark, d, "A"), make(spark, d, "B")
+    found = snarls.decompose(GraphSet(ga.nodes.unionByName(gb.nodes), ga.edges.unionByName(gb.edges), ga.paths.unionByName(gb.paths)))
+    return ga, gb, *(tuple(x.where(F.col("graph_id") == g) for x in found) for g in "AB")
+
+
 def _scores(spark: SparkSession, d: str, how: str = "auto", objective: str = "reference") -> DataFrame:
-    ga, gb = graph(spark, d, "A"), graph(spark, d, "B")
-    da, db = snarls.decompose(ga), snarls.decompose(gb)
+    ga, gb, da, db = _pair(spark, d, graph)
     return pairing.scored(ga, gb, da, db, AlignParams(match=MatchParams(objective=objective)), pairing.candidates(da[1], db[1]), how)
 
 
 def _variant(spark: SparkSession, d: str, how: str = "auto", objective: str = "reference") -> tuple[DataFrame, tuple, tuple]:
-    ga, gb = variant(spark, d, "A"), variant(spark, d, "B")
-    da, db = snarls.decompose(ga), snarls.decompose(gb)
+    ga, gb, da, db = _pair(spark, d, variant)
     return pairing.scored(ga, gb, da, db, AlignParams(match=MatchParams(objective=objective)), pairing.candidates(da[1], db[1]), how), da, db
 
 
 def _rivals(spark: SparkSession, d: str, how: str = "auto", objective: str = "reference") -> DataFrame:
-    ga, gb = rivals(spark, d, "A"), rivals(spark, d, "B")
-    da, db = snarls.decompose(ga), snarls.decompose(gb)
+    ga, gb, da, db = _pair(spark, d, rivals)
     same = da[0].select(F.col("snarl_idx").alias("snarl_a"), "snarl_id").join(db[0].select(F.col("snarl_idx").alias("snarl_b"), "snarl_id"), "snarl_id")
     return _matches(pairing.scored(ga, gb, da, db, AlignParams(match=MatchParams(objective=objective)), same, how))
 

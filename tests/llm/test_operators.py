@@ -304,6 +304,11 @@ def test_toxicity(spark):
     assert np.mean([(got[i] >= 0.3) == (i % 3 == 0) for i in held]) > 0.9 and all(0 <= x <= 1 for x in got.values())
     named = toxicity.fit(docs.withColumn("doc_id", F.col("doc_id").cast("string")), known.withColumn("doc_id", F.concat(F.col("doc_id").cast("string"))))
     assert named.weights
+    again = toxicity.fit(docs.unionByName(docs.where("doc_id % 2 = 0")).repartition(7), known.where(~is_remainder("doc_id", 4, 2)))
+    assert (again.toxic, again.ordinary, again.shared) == (model.toxic, model.ordinary, model.shared)  # copies teach once, in any order
+    other = docs.select(F.col("doc_id").alias("n"), F.col("text").alias("body"), F.lit("x").alias("toxic"), F.lit("y").alias("half"))
+    assert toxicity.fit(other, known.where(~is_remainder("doc_id", 4, 2)), id_col="n", text_col="body") == model
+    assert not toxicity.fit(docs.limit(0), known).weights and not toxicity.score(docs.limit(0), model).collect()
     none = toxicity.fit(docs, known.where("toxic = 0"))
     assert set(x.score for x in toxicity.score(docs, none).collect()) == {0.0}
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,19 +21,18 @@ GRAM = 7
 class Settings:
     """``fit_rows``: labelled rows of each label at most that each dictionary, and the calibration, learns from.
 
-    ``fit_windows``: windows at most, picked at random, that each training text gives the dictionaries; ``plain_windows``: ordinary
-    windows in all that the ordinary and the shared dictionary are made from. ``deviations`` is the bar for n-grams from 1500 toxic rows
-    up; below, it falls with their square root, to 3.5. Calibration and scoring read whole texts.
+    That is the only bound: the dictionaries learn from all windows of the rows' whole texts, and calibration and scoring read whole texts.
+    The bars for n-grams are the same at every size: ``effect`` is of the difference of the classes' shares, in units of the spread of
+    one row; ``deviations`` is how sure that difference must be.
     """
 
     fit_rows: int = 4000
-    fit_windows: int = 200
     shared_bytes: int = 16384
     class_bytes: int = 3072
     contrast: float = 2.5
     least_docs: int = 6
-    deviations: float = 8.0
-    plain_windows: int = 20_000
+    deviations: float = 3.5
+    effect: float = 0.3
     threshold: float = 0.3
 
 
@@ -103,7 +101,7 @@ def train(toxic: list[list[bytes]], ordinary: list[list[bytes]], s: Settings) ->
     """Separate dictionaries of the two classes, of one size, in front of one dictionary of ordinary text that both share.
 
     The toxic one learns from the stretches of toxic text whose n-grams are ``contrast``
-    times as frequent, by documents, as in ordinary text, and surely so (by
+    times as frequent, by documents, as in ordinary text, by ``effect`` and surely so (by
     ``deviations`` of the difference). The ordinary one learns from ordinary
     windows, so that length alone favours neither.
     """
@@ -116,12 +114,10 @@ def train(toxic: list[list[bytes]], ordinary: list[list[bytes]], s: Settings) ->
         seen[same] = m[at[same]]
     p, q = n / max(1, len(toxic)), (seen + 1) / max(1, len(ordinary))
     both = (n + seen + 1) / (len(toxic) + len(ordinary) + 1)
-    sure = (p - q) / np.sqrt(both * (1 - both) * (1 / max(1, len(toxic)) + 1 / max(1, len(ordinary))) + 1e-12)
-    least = max(3.5, s.deviations * min(1.0, (len(toxic) / 1500) ** 0.5))  # few documents can't deviate far
-    good = grams[(n >= s.least_docs) & (p > s.contrast * q) & (sure > least)]
+    spread = np.sqrt(both * (1 - both) + 1e-12)
+    sure = (p - q) / (spread * np.sqrt(1 / max(1, len(toxic)) + 1 / max(1, len(ordinary))))
+    good = grams[(n >= s.least_docs) & (p > s.contrast * q) & (sure > s.deviations) & (p - q > s.effect * spread)]
     plain = [w for ws in ordinary for w in ws]
-    random.Random(1).shuffle(plain)
-    plain = plain[: s.plain_windows]
     return Model(_dictionary(s.class_bytes, _fragments(joined, good), k=16, d=8), _dictionary(s.class_bytes, plain, k=16, d=8), _dictionary(s.shared_bytes, plain, k=64, d=8))
 
 
@@ -140,14 +136,14 @@ class Scorer:
         self.toxic, self.ordinary = (_compressor(x + model.shared).compress for x in (model.toxic, model.ordinary))
 
     def features(self, text: str | None) -> list[float]:
-        """Of the gains (ordinary less toxic compressed length of a window): mean, largest, mean of three largest, shares, and their sum by sqrt(n)."""
+        """Of the gains (ordinary less toxic compressed length of a window): mean, largest, mean of three largest, shares, and their sum by sqrt(n). The length of the text is none of them."""
         ws = windows(text)
         if not ws:
-            return [0.0] * 8
+            return [0.0] * 7
         a, b = self.ordinary, self.toxic
         g = np.fromiter((len(a(w)) - len(b(w)) for w in ws), np.float64, len(ws))
         top = np.sort(g)[-3:]
-        return [g.mean(), min(top[-1], 12), min(top.mean(), 10), (g > 2).mean(), (g > 4).mean(), g.sum() / np.sqrt(len(g)), (g < -2).mean(), np.log1p(len(g))]
+        return [g.mean(), min(top[-1], 12), min(top.mean(), 10), (g > 2).mean(), (g > 4).mean(), g.sum() / np.sqrt(len(g)), (g < -2).mean()]
 
     def score(self, text: str | None) -> float:
         m = self.model
@@ -182,12 +178,14 @@ def calibrate(model: Model, features: np.ndarray, labels: np.ndarray) -> None:
     model.mean, model.scale, model.weights = mean.tolist(), scale.tolist(), w.tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Dictionaries from one half of a bounded sample of labelled rows, calibration from the other.
 
     ``labels`` has ``doc_id`` and ``toxic`` (0 or 1; others don't count; a document with
     both is toxic). The sample is the ``2 * fit_rows`` rows of each label with the
-    smallest hash of the id, so reruns agree and its size is bounded.
+    smallest hash of the id, so reruns agree and its size is bounded. Copies of a text
+    within a class teach the dictionaries once. Null and empty texts have no windows; an
+    empty table, or one label only, gives a model without weights. Other columns are ignored.
     """
     s = s or Settings()
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -195,19 +193,17 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Model:
     rows = [r for y in (0, 1) for r in known.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(2 * s.fit_rows).collect()]
     kind = known.schema["doc_id"].dataType.simpleString()
     sample = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["toxic"]), bool(r["h"] & 1)) for r in rows], f"id {kind}, toxic int, half boolean")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("doc_id", "toxic", "half", "text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    texts = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("doc_id", "toxic", "half", "text")
 
     def pick(batches):
         for b in batches:
-            out = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
-                ws = windows(text)
-                out.append(random.Random(i).sample(ws, s.fit_windows) if len(ws) > s.fit_windows else ws)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.binary()))], ["doc_id", "toxic", "windows"])
-
-    found = texts.where("half").mapInArrow(pick, f"doc_id {kind}, toxic int, windows array<binary>").toArrow().to_pylist()
-    found.sort(key=lambda r: (r["doc_id"], r["windows"]))  # the order of partitions may differ
+            out = [windows(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.binary()))], ["toxic", "windows"])
+
+    found = texts.where("half").select("toxic", "text").distinct().mapInArrow(pick, "toxic int, windows array<binary>").toArrow().to_pylist()
+    found.sort(key=lambda r: r["windows"])  # the order of partitions may differ
     model = train([r["windows"] for r in found if r["toxic"]], [r["windows"] for r in found if not r["toxic"]], s)
 
     def measure(batches):
@@ -226,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Model:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, score)``: how likely the whole text is toxic, 0 to 1; null and empty texts have the score of no windows.
 
-    Every row gives a row. A model fitted without both labels scores all rows 0. Other columns are ignored.
+    Every row gives a row, repeated ones too; very long texts are scored window by window. A model fitted without both labels scores all rows 0. Other columns are ignored.
     """
 
     def run(batches):

@@ -324,6 +324,41 @@ def test_surrogates(spark):
     assert len({surrogates.permuted(i, 1000, "t") for i in range(1000)}) == 1000
 
 
+def test_surrogates_of_ranges_and_genders(spark):
+    text = "Mr Kim Lee met Mrs Kim Park. Kim laughed. From 10.0.0.7, 127.0.0.1, 192.168.3.4, 172.20.1.1, 100.64.0.9 and 8.8.8.8."
+    docs = frame(spark, [(1, text, "s"), (1, text, "s"), (2, "Kim knows Mr Kim Lee. " * 3000, "s")])
+    one, same, long = [x.text for x in surrogates.with_surrogates(docs.select("*", F.lit(1).alias("row"), F.lit("k").alias("kinds"))).orderBy("doc_id").collect()]
+    words = one.split()
+    he, she = words[1], words[5]
+    assert one == same and he != she and words[7] == she and words[2] != words[6].strip(".") and set(long.split()) == {he, "knows", "Mr", words[2] + "."}
+    ends = surrogates.SPELLING["LATIN"][2]
+    assert he.endswith(ends["m"]) and she.endswith(ends["f"])
+    spans = [x[3] for x in surrogates.entities(text) if x[2] == "ip"]
+    new = [x[3] for x in surrogates.entities(one) if x[2] == "ip"]
+    assert [surrogates._range(surrogates._address(x)) for x in spans] == [surrogates._range(surrogates._address(x)) for x in new] and not set(spans) & set(new)
+    assert not surrogates.with_surrogates(docs.limit(0)).collect()
+
+
+def test_surrogates_are_one_to_one(spark):
+    """All entities of a corpus against a brute-force reading: one surrogate each, none shared, none of the corpus, in the same form."""
+    rng = random.Random(31)
+    pick = lambda *xs: rng.choice(xs)
+    mention = lambda: pick(f"{rng.randrange(3)}.x@m{rng.randrange(9)}.com", f"10.0.{rng.randrange(3)}.{rng.randrange(9)}", f"{rng.randrange(900, 905)}-{rng.randrange(10, 14)}-0001", f"+1 (017) 555-77{rng.randrange(10, 30)}", "4111 1111 1111 1111")
+    rows = [(i, " and ".join(f"see {mention()} now" for _ in range(rng.randrange(6))), "s") for i in range(60)]
+    got = {x.doc_id: x for x in surrogates.with_surrogates(frame(spark, rows)).collect()}
+    stands = {}
+    for i, t, _ in rows:
+        old, new = (surrogates.entities(x) for x in (t, got[i].text))
+        assert [x[2] for x in old] == [x[2] for x in new] == list(got[i].kinds)
+        shape = lambda x: "".join("0" if c.isdigit() else c for c in x)
+        for (s, e, kind, a), (u, v, _, b) in zip(old, new):
+            stands.setdefault((kind, a), set()).add(b)
+            assert kind in ("email", "ip") or shape(t[s:e]) == shape(got[i].text[u:v])
+    assert all(len(v) == 1 for v in stands.values())
+    out = [(k, *v) for (k, _), v in stands.items()]
+    assert len(set(out)) == len(out) and not set(out) & set(stands)
+
+
 def test_surrogates_full_shapes(spark):
     mails = [f"{a}@{b}.de" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
     people = [("Mr", "Fotia Nabad"), ("Mrs", "Fotia Nabad"), ("Dr", "Fotia Kulan")]

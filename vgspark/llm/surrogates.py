@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, stored, table
+from .common import dropped, settled, stored, table
 
 KEY = b"surrogates"
 #: Entities with a second or later choice that are sent to all tasks at most; more are joined.
@@ -29,6 +30,8 @@ NUMBER = re.compile(
     r"|(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)"
     r")(?![\w])"
 )
+#: Ranges of IPv4 addresses with a use of their own (this network, private, shared, loopback, link-local, multicast, reserved).
+RANGES = [(int.from_bytes(bytes(base), "big"), 32 - bits) for base, bits in (((0, 0, 0, 0), 8), ((10, 0, 0, 0), 8), ((100, 64, 0, 0), 10), ((127, 0, 0, 0), 8), ((169, 254, 0, 0), 16), ((172, 16, 0, 0), 12), ((192, 168, 0, 0), 16), ((224, 0, 0, 0), 4), ((240, 0, 0, 0), 4))]
 #: Titles before a name, by the gender they tell.
 TITLES = {"m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "г-н", "господин", "κύριος"), "f": ("Mrs", "Ms", "Miss", "Lady", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Doña", "г-жа", "госпожа", "κυρία"), "n": ("Dr", "Prof")}
 GENDER = {t.lower(): g for g, ts in TITLES.items() for t in ts}
@@ -128,15 +131,15 @@ def surrogate(kind: str, norm: str, attempt: int) -> str:
     elif wider and kind not in ("given", "family"):
         norm += "0" * wider
     if kind == "ip":
-        # stays in or out of the private ranges
-        n, private = 0, _private(norm)
-        for p in norm.split("."):
-            n = n * 256 + int(p)
-        while True:
+        n = _address(norm)
+        base, free = _range(n)
+        if free < 32:
+            n = base + permuted(n - base, 1 << free, f"{tweak}:{base}")
+        else:  # no range's own: walk until it is in none
             n = permuted(n, 1 << 32, tweak)
-            out = ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
-            if _private(out) == private:
-                return out
+            while _range(n)[1] < 32:
+                n = permuted(n, 1 << 32, tweak)
+        return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
     if kind == "card":
         good = luhn(norm[: len(norm) - wider])
         while True:
@@ -164,9 +167,13 @@ def surrogate(kind: str, norm: str, attempt: int) -> str:
     return permuted_text(norm, tweak)
 
 
-def _private(ip: str) -> bool:
-    a, b = map(int, ip.split(".")[:2])
-    return a in (10, 127) or (a, b) == (192, 168) or a == 172 and 16 <= b < 32
+def _address(ip: str) -> int:
+    return int.from_bytes(bytes(map(int, ip.split("."))), "big")
+
+
+def _range(n: int) -> tuple[int, int]:
+    """The first address and the free bits of the range of ``RANGES`` that ``n`` is in; of all addresses where it is in none."""
+    return next(((base, free) for base, free in RANGES if n >> free == base >> free), (0, 32))
 
 
 def _mod97(text: str) -> int:
@@ -184,7 +191,11 @@ def _refilled(shape: str, chars: str) -> str:
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """``(start, end, kind, normal form)`` of the entities of a text, in order and without overlap."""
+    """``(start, end, kind, normal form)`` of the entities of a text, in order and without overlap.
+
+    A name with a title is of the gender that the title tells. A mention without one is the
+    person named last before it, or first after it where there is none before.
+    """
     found = []
     if "@" in text:
         found += [(*m.span(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
@@ -195,18 +206,19 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             cc = re.match(r"\+([0-9]{1,3})(?=[ .(-])", raw)
             plain = f"+{cc[1]}|{plain[len(cc[1]) :]}" if cc else ("+|" if raw[0] == "+" else "") + plain
         found.append((*m.span(), kind, raw if kind == "ip" else plain))
-    names = {}
+    names: dict[str, list[tuple[int, str, str]]] = {}  # where titles name whom, in order
     for m in NAMED.finditer(text):
-        parts = [x for x in (m[2], m[3]) if x and x[0].isupper()]
-        if parts and parts[0] == m[2]:
-            gender = GENDER[m[1].lower()]
-            if len(parts) == 2:
-                names[parts[0].lower()] = ("given", gender)
-            names[parts[-1].lower()] = ("family", "n")
-    if names:  # later mentions of a name, alone too, are the same entity
+        if m[2][0].isupper():
+            both = bool(m[3]) and m[3][0].isupper()
+            if both:
+                names.setdefault(m[2].lower(), []).append((m.start(2), "given", GENDER[m[1].lower()]))
+            last = 3 if both else 2
+            names.setdefault(m[last].lower(), []).append((m.start(last), "family", "n"))
+    if names:  # mentions of a name without a title too
         for m in WORD.finditer(text):
             if m[0][0].isupper() and (known := names.get(m[0].lower())):
-                found.append((*m.span(), known[0], f"{known[1]}|{m[0].lower()}"))
+                _, kind, gender = known[max(0, bisect_right(known, m.start(), key=lambda x: x[0]) - 1)]
+                found.append((*m.span(), kind, f"{gender}|{m[0].lower()}"))
     out, end = [], 0
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if x[0] >= end:
@@ -285,8 +297,10 @@ def with_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     One entity has one surrogate wherever it stands; different ones have different ones,
     none of which is an entity of the corpus. A null text stays null and has no kinds.
-    Repeated rows are rows of their own; other columns are ignored.
+    Texts are read whole, whatever their length; an empty table gives none. Repeated rows
+    are rows of their own; other columns are ignored.
     """
+    docs = settled(docs.select(id_col, text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     again = collisions(rows)
     few = [tuple(r) for r in again.limit(SENT + 1).collect()]

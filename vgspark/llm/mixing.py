@@ -52,6 +52,11 @@ def targets(sized: DataFrame, weights: Column | None = None) -> DataFrame:
     return state.withColumn("target", F.least(F.col("weight") * level, (CAP * F.col("source_size")).cast("double")))
 
 
+def _exact(x: Column) -> Column:
+    """The sum of ``x``, the same in whatever order rows come."""
+    return F.sum(x.cast("decimal(28,8)")).cast("double")
+
+
 def balanced(cells: DataFrame, goals: DataFrame, tolerance: float = 1e-9, rounds: int = 60) -> DataFrame:
     """``(source, tilt, mean, target, source_size)``: of each source, the tilt that meets its token target.
 
@@ -76,8 +81,8 @@ def balanced(cells: DataFrame, goals: DataFrame, tolerance: float = 1e-9, rounds
         rate = F.exp(F.least(F.col("tilt") * x, F.lit(60.0)))
         held = cells.alias("c").join(state.where("NOT done").alias("s"), F.expr("c.source <=> s.source"))
         sums = held.select("s.source", "n", "size", x.alias("x"), rate.alias("rate")).groupBy("source").agg(
-            F.sum(F.col("n") * F.col("size") * F.least("rate", F.lit(float(CAP)))).alias("got"),
-            F.sum(F.when(F.col("rate") < CAP, F.col("n") * F.col("size") * F.col("x") * F.col("rate")).otherwise(0.0)).alias("slope"),
+            _exact(F.col("n") * F.col("size") * F.least("rate", F.lit(float(CAP)))).alias("got"),
+            _exact(F.when(F.col("rate") < CAP, F.col("n") * F.col("size") * F.col("x") * F.col("rate")).otherwise(0.0)).alias("slope"),
         )
         s = state.alias("s").join(sums.alias("u"), F.expr("s.source <=> u.source"), "left")
         gap = F.col("got") - F.col("target")

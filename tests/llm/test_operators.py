@@ -36,9 +36,23 @@ def test_mixing(spark):
     assert sum(v[0].target for v in by.values()) == pytest.approx(total)
     for v in by.values():
         assert v[0].source_size == sum(x.size for x in v) and v[0].target <= 3 * v[0].source_size + 1e-6
+    for v in by.values():  # a few documents can't be nearer than the largest one's words
+        assert abs(sum(x.taken for x in v) - v[0].target) <= max(x.size for x in v)
+    again = mixing.mixed(frame(spark, rows[::-1]).repartition(5)).collect()
+    key = lambda x: (x.doc_id is None, x.doc_id or 0, x.size, x.taken)
+    assert [tuple(x) for x in sorted(again, key=key)] == [tuple(x) for x in sorted(r, key=key)]
     assert not mixing.mixed(frame(spark, rows).limit(0)).collect()
 
 
+def test_mixing_is_near_its_targets(spark):
+    rng = random.Random(21)
+    rows = [(i, "w " * rng.randrange(1, 200), rng.choice(["a", "b", "b", "b", "c", None])) for i in range(900)]
+    r = mixing.mixed(frame(spark, rows)).collect()
+    for s in ("a", "b", "c", None):
+        v = [x for x in r if x.source == s]
+        assert abs(sum(x.taken for x in v) - v[0].target) <= 0.02 * v[0].target
+
+
 def test_lines(spark):
     rng = random.Random(2)
     base = [" ".join(rng.choice("abcdefghijklmnop") * 2 + str(rng.randrange(30)) for _ in range(12)) for _ in range(12)]
@@ -255,6 +269,51 @@ def test_secrets():
     assert not secrets.linked_spans(f"user: bob\n\n{key}", [], 300)
 
 
+def linked_by_pairs(text, gap):
+    """The linked spans by holding all pairs of parts of a scope against each other."""
+    base = secrets.base_spans(text)
+    mixed = lambda x: any(c.isdigit() for c in x) and any("a" <= c <= "z" for c in x) and any("A" <= c <= "Z" for c in x)
+    weak = [(*m.span(), k) for k, p in (("linked_id", secrets.WEAK_ID), ("linked_key", secrets.WEAK_KEY), ("linked_endpoint", secrets.ENDPOINT)) for m in p.finditer(text) if k != "linked_key" or mixed(m[0])]
+    parts = base + [w for w in weak if not any(s < w[1] and e > w[0] for s, e, _ in base)]
+    breaks = [m.start() for m in secrets.BREAK.finditer(text)]
+    scope = lambda x: sum(b < x[0] for b in breaks)
+    is_key = lambda x: x[2] in ("assign", "hex", "linked_key")
+    near = lambda x, y: scope(x) == scope(y) and max(x[0], y[0]) - (x[1] if x <= y else y[1]) <= gap
+    return sorted(x for x in parts if x[2].startswith("linked") and any(is_key(x) != is_key(y) and near(x, y) for y in parts))
+
+
+def test_secrets_brute_force(spark):
+    rng = random.Random(41)
+    letters = "abcdefghXYZKLM0123456789"
+    pieces = [
+        lambda: "AKIA" + "".join(rng.choice("ABC123") for _ in range(16)),
+        lambda: "user: bob" + str(rng.randrange(9)),
+        lambda: f"https://db{rng.randrange(9)}.example.com/x",
+        lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(30, 50))),
+        lambda: "".join(rng.choice("0123456789abcdef") for _ in range(30)),
+        lambda: 'token="' + "-".join("0a" * 12 for _ in range(4)) + "-" + "aB3" * 12 + '"',
+        lambda: "filler words here " * rng.randrange(1, 12),
+        lambda: "\n \n",
+    ]
+    rows = [(i, " ".join(rng.choice(pieces)() for _ in range(rng.randrange(14))), "s") for i in range(150)]
+    rows += [(500, None, "s"), (501, "", "s"), (3, rows[3][1], "s"), (502, "pad " * 50_000 + "user: bob " + "aB3" * 12, "s")]
+    docs = frame(spark, rows).withColumn("spans", F.lit("clash"))
+    got = {x.doc_id: [(s.start, s.end, s.kind) for s in x.spans] for x in secrets.find_secrets(docs, gap=60).collect()}
+    n = 0
+    for i, t, _ in rows:
+        base, linked = (secrets.base_spans(t), linked_by_pairs(t, 60)) if t else ([], [])
+        assert sorted(got[i]) == sorted(base + linked)
+        n += len(linked)
+    assert n > 100 and got[502] and not got[500] and not got[501]
+    clean = {x.doc_id: x.text for x in secrets.redact(docs, gap=60).collect()}
+    for i, t, _ in rows:
+        keep = bytearray(b"\1" * len(t or ""))
+        for s, e, _ in got[i]:
+            keep[s:e] = bytes(e - s)
+        assert (clean[i] or "").replace("[SECRET]", "") == "".join(c for c, k in zip(t or "", keep) if k)
+    assert not secrets.find_secrets(docs.limit(0)).collect() and clean[500] is None
+
+
 def test_suffixes(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefé") for _ in range(rng.randrange(1, 9)))

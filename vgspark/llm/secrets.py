@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,10 +48,10 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], gap: int) -> list[
     points = [(*m.span(), "linked_endpoint") for m in ENDPOINT.finditer(text)] if ends else []
     mixed = (lambda s: any(c.isdigit() for c in s) and any("a" <= c <= "z" for c in s) and any("A" <= c <= "Z" for c in s))
     taken = sorted((s, e) for s, e, _ in base)
+    reach = [-1, *accumulate((e for _, e in taken), max)]  # where the first spans end at the latest
 
     def free(span):  # not part of a base span
-        i = bisect_left(taken, (span[1],))
-        return not any(e > span[0] for s, e in taken[max(0, i - 3) : i])
+        return reach[bisect_left(taken, (span[1],))] <= span[0]
 
     keys = [x for m in WEAK_KEY.finditer(text) if mixed(m[0]) and free(x := (*m.span(), "linked_key"))]
     breaks = [m.start() for m in BREAK.finditer(text)]
@@ -86,7 +87,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(doc_id, spans array<struct<kind, start, end>>)`` in code points, end exclusive, one row per input row.
 
     Spans are in order of start, then of kind as in ``KINDS``. A null or empty text has
-    none. Texts are scanned whole. Repeated rows each give a row; other columns are ignored.
+    none, an empty table no rows. Texts are scanned whole, whatever their length; parts that start
+    together are ordered by their ends. Repeated rows each give a row; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(lambda it: _scan(it, gap), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:long,end:long>>")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +173,29 @@ def test_cycles_are_errors_in_rounds(spark, ring):
     names = sorted({x for e in ring for x in e})
     with pytest.raises(ValueError, match="cycle"):
         topology.topological_rank(GraphSet.build(spark, "g", [(n, "A") for n in names], ring), most=0)
+
+
+def test_order_of_ids_is_told_without_ordering(spark, monkeypatch):
+    """Chains of bubbles with ids in order need no group or rounds; any other graph is told from them, by loops."""
+    rng = random.Random(5)
+    graphs = {f"g{k}": {(4 * i, 4 * i + j) for i in range(30) for j in (1, 2, 3)} | {(4 * i + j, 4 * i + 4) for i in range(30) for j in (1, 2, 3)} for k in range(6)}
+    graphs["g1"] = {(a * 7 % 121, b * 7 % 121) for a, b in graphs["g1"]}  # ids against the order
+    graphs["g2"] |= {(0, 119)}  # released later still
+    graphs["g3"] |= {(200, 120)}  # starts late
+    graphs["g4"] |= {(2, 4), (60, 64)}
+    for k in range(6, 30):
+        n = rng.randrange(3, 7)
+        graphs[f"g{k}"] = {(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.5} | {(0, 1)}
+    rows = [(g, a, b) for g, es in graphs.items() for a, b in es]
+    names = [(g, v, str(v), "A") for g, es in graphs.items() for v in {x for e in es for x in e}]
+    g = GraphSet(spark.createDataFrame(names, "graph_id string, node_id long, name string, seq string"), spark.createDataFrame(rows, "graph_id string, src long, dst long").repartition(3), None)
+    want = set()
+    for name, es in graphs.items():
+        nodes = np.array(sorted({x for e in es for x in e}))
+        if (np.diff(topology.kahn(nodes, *(np.array(x) for x in zip(*es)))) == 1).all():
+            want.add(name)
+    got = {r.graph_id for r in topology.in_order_of_ids(topology.node_table(g)).collect()}
+    assert got == want and {"g0", "g2", "g4", "g5"} & got and not {"g1", "g3"} & got
+    monkeypatch.setattr(topology.levels, "ranked", None)
+    only = GraphSet(g.nodes.where("graph_id = 'g0'"), g.edges.where("graph_id = 'g0'"), None)
+    assert [r["rank"] for r in topology.topological_rank(only, most=0).orderBy("node_id").collect()] == list(range(121))

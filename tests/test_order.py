@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vgspark.functions import sequences as q
 from vgspark.model import GraphSet
 from vgspark.operators import greedy, order, snarls, topology
 
@@ -199,3 +200,30 @@ def test_order_of_ids_is_told_without_ordering(spark, monkeypatch):
     monkeypatch.setattr(topology.levels, "ranked", None)
     only = GraphSet(g.nodes.where("graph_id = 'g0'"), g.edges.where("graph_id = 'g0'"), None)
     assert [r["rank"] for r in topology.topological_rank(only, most=0).orderBy("node_id").collect()] == list(range(121))
+
+
+def test_minimizers_against_loops(spark):
+    """Sequences shorter than a k-mer, than a window, long ones, repeats, letters beyond ASCII, none and null; many slices a batch."""
+
+    def loop(s, k, w):
+        h = []
+        for i in range(len(s) - k + 1):
+            x = 2166136261
+            for c in s[i : i + k]:
+                x = (x ^ ord(c)) * 16777619 & 0xFFFFFFFF
+            h.append(x)
+        return sorted({min(h[i : i + w]) for i in range(max(len(h) - w + 1, 1))}) if h else []
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (*range(0, 70, 3), 14, 15, 24, 25, 26)] + ["A" * 40, "né\U0001d11e" * 9, "ACGTNacgt" * 200_000, "G" * 16, None, ""]
+    for k, w in ((15, 10), (3, 4), (1, 1)):
+        rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").coalesce(1).select("i", q.minimizers("s", k, w).alias("m")).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            assert r.m == (None if texts[r.i] is None else loop(texts[r.i], k, w)), (r.i, k, w)
+
+
+def test_minimizers_leave_the_lambdas(spark):
+    """Of a letter of a k-mer no expression is interpreted: the plan has one Arrow step and no aggregate over an array."""
+    plan = spark.createDataFrame([("A" * 32,)], "s string").select(q.minimizers("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from vgspark.functions import sequences as q
 from vgspark.model import GraphSet
-from vgspark.operators import greedy, order, snarls, topology
+from vgspark import storage
+from vgspark.operators import greedy, metrics, order, snarls, topology
 
 
 def test_numbers_and_totals_over_ranges(spark):
@@ -227,3 +228,41 @@ def test_minimizers_leave_the_lambdas(spark):
     """Of a letter of a k-mer no expression is interpreted: the plan has one Arrow step and no aggregate over an array."""
     plan = spark.createDataFrame([("A" * 32,)], "s string").select(q.minimizers("s"))._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+
+
+def test_partitions_follow_rows(spark, monkeypatch):
+    """What groups edges is dealt out by the number of rows, not to a fixed number of tasks; results are as of loops, with repeats and cycles."""
+    monkeypatch.setattr(storage, "ROWS", 10)
+    rng = random.Random(9)
+    rows = [("g", rng.randrange(60), rng.randrange(60)) for _ in range(200)]
+    edges, after = spark.createDataFrame(rows, "graph_id string, src long, dst long"), {}
+    for _, a, b in rows:
+        after.setdefault(a, set()).add(b)
+    near = topology.neighbours(edges, direction="in")
+    assert near.rdd.getNumPartitions() >= 20 and {(r.node_id, r.neighbour) for r in near.collect()} == {(b, a) for _, a, b in rows}
+    out = topology.adjacency(edges)
+    assert out.rdd.getNumPartitions() >= 20 and {r.node_id: r.successors for r in out.collect()} == {a: sorted(bs) for a, bs in after.items()}
+    paths = spark.createDataFrame([("g", "p", i, rng.randrange(60)) for i in range(50)], "graph_id string, path_name string, step int, node_id long")
+    whole = topology.all_edges(GraphSet(None, edges, paths))
+    steps = [r.node_id for r in sorted(paths.collect(), key=lambda r: r.step)]
+    assert whole.rdd.getNumPartitions() >= 20 and sorted((r.src, r.dst) for r in whole.collect()) == sorted({(a, b) for _, a, b in rows} | set(zip(steps, steps[1:])))
+    for hops in (1, 3):
+        found, want, front = topology.reachable(edges, hops), {}, {(a, b) for _, a, b in rows}
+        for n in range(1, hops + 1):
+            want = {p: n for p in front} | want
+            front = {(a, c) for a, b in front for c in after.get(b, ())}
+        assert found.rdd.getNumPartitions() >= 20
+        got = [((r.src, r.dst), r.hops) for r in found.collect()]
+        assert dict(got) == want and len(got) == len(want)
+
+
+def test_coverage_tells_apart_only_pairs_that_may_repeat(spark):
+    spans = lambda n: spark.createDataFrame([("p", n + i, 10 * i, 10 * i + 10) for i in range(6)], "path_name string, node_id long, start long, end long")
+    of = lambda rows: spark.createDataFrame([("p", a, b, "p", a, b) for a, b in rows], "q_name string, q_start long, q_end long, t_name string, t_start long, t_end long")
+    for rows, distinct in (([(0, 20), (30, 60)], False), ([(0, 40), (20, 60)], True)):
+        found = metrics.coverage(of(rows), spans(0), spans(100))
+        want = {(i, 100 + j) for a, b in rows for i in range(a // 10, b // 10) for j in range(a // 10, b // 10)}
+        got = [(r.node_a, r.node_b) for r in found.collect()]
+        assert set(got) == want and len(got) == len(want)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Aggregate [node_a" in plan) == distinct

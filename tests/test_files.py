@@ -171,3 +171,24 @@ def test_large_pairs_choose_the_same_anchors(spark):
     a, b, _ = synth.bubble_pair(spark, 40)
     x = [{tuple(r) for r in find_anchors(a, b, AnchorParams(strategy=s)).select("node_a", "node_b").collect()} for s in ("exact", "minimizer")]
     assert x[0] == x[1] and len(x[0]) > 40
+
+
+def test_lines_are_made_once(spark):
+    """However often a graph's tables ask for them; types of lines have folders of their own."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    text = ["H\tVN:Z:1.0", "S\ta\tAC", "S\tb\tGGT", "# x", "L\ta\t+\tb\t-\t0M", "P\tp\ta+,b-\t*", "W\ts\t1\tc\t0\t5\t>a<b"]
+    lines = gfa.from_lines(spark, "g", text)
+    g = gfa.parse(lines.mapInArrow(count, lines.schema))
+    assert {(r.node_id, r.name, r.seq) for r in g.nodes.collect()} == {(0, "a", "AC"), (1, "b", "GGT"), (2, "b_rc", "ACC")}
+    assert {(r.src, r.dst) for r in g.edges.collect()} == {(0, 2)}
+    assert {(r.path_name, r.step, r.node_id) for r in g.paths.collect()} == {("p", 0, 0), ("p", 1, 2), ("s#1#c:0-5", 0, 0), ("s#1#c:0-5", 1, 2)}
+    assert seen.value == len(text)
+    with pytest.raises(Exception, match="unknown segment z, line 1"):
+        gfa.parse(gfa.from_lines(spark, "g", ["S\ta\tAC", "L\ta\t+\tz\t+\t0M"])).edges.collect()
+    assert gfa.parse(gfa.from_lines(spark, "g", ["H\tVN:Z:1.0"])).edges.count() == 0

@@ -102,6 +102,23 @@ def test_short_lines(spark, similarity):
     assert {x.doc_id: list(x.removed) for x in lines.removed_lines(frame(spark, docs), similarity=similarity).collect()} == want and want[21][0] == 0
 
 
+def test_groups_of_similar_lines_meet_once(spark, monkeypatch):
+    """Pairs grow with the lines of a group of near copies, not with their square."""
+    groups = [[f"g{g}w{i}" for i in range(30)] for g in range(4)]
+    docs = [(g * 100 + i, " ".join([*groups[g][:29], f"own{g}x{i}"]), "s") for g in range(4) for i in range(60)]
+    pairs, keep = [], lines.stored
+
+    def spy(df, what="part"):
+        out = keep(df, what)
+        pairs.extend([out.count()] if what == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(lines, "stored", spy)
+    got = {x.doc_id: list(x.removed) for x in lines.removed_lines(frame(spark, docs)).collect()}
+    assert got == {i: [0] if i % 100 else [] for i, _, _ in docs}
+    assert sum(pairs) <= 4 * len(docs)
+
+
 def test_simhash(spark):
     rows = texts()
 

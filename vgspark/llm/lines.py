@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,9 @@ from .common import dropped, freed, settled, stored, table
 SIMILARITY = 0.8
 #: Token counts are kept for so many buckets of token hashes: a table of this size however many tokens there are.
 BUCKETS = 1 << 18
-#: Prefix tokens are counted in FILTER buckets; those of a bucket with more lines than this meet the first line of each token before they meet the others.
-HEAVY = 64
+#: Lines with prefix tokens that more lines than this have meet the first line of the MET rarest of these before they meet the others.
+HEAVY = 16
+MET = 3
 #: Bits of the filters that spare rows which no join wants.
 FILTER = 1 << 20
 #: From so many tokens on, the parities of 64 bits are held apart for two halves of the tokens, 128 bits in all.
@@ -78,14 +80,23 @@ def _shortest_prefix(n: Column, s: float) -> Column:
 
 
 def _may_hold(hashes: DataFrame, x: Column) -> Column:
-    """Whether ``x`` may be among ``hashes``: a filter of FILTER bits as a literal array. It spares work; a join decides."""
+    return _filter(hashes)(x)
+
+
+def _filter(hashes: DataFrame) -> Callable[[Column], Column]:
+    """Whether a number may be among ``hashes``: a filter of FILTER bits as a literal array. It spares work; a join decides."""
     i = F.col("x").bitwiseAND(FILTER - 1)
     found = hashes.groupBy(F.shiftright(i, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(x & 63 AS INT))")).alias("v")).collect()
     bits = [0] * (FILTER // 64)
     for w, v in found:
         bits[w] = v
-    word = F.get(F.from_json(F.lit(json.dumps(bits)), "array<bigint>"), F.shiftright(x.bitwiseAND(FILTER - 1), 6).cast("int"))
-    return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))) != 0
+    table = F.from_json(F.lit(json.dumps(bits)), "array<bigint>")
+
+    def holds(x: Column) -> Column:
+        word = F.get(table, F.shiftright(x.bitwiseAND(FILTER - 1), 6).cast("int"))
+        return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))) != 0
+
+    return holds
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -108,23 +119,27 @@ def similar_classes(docs: DataFrame, classes: DataFrame, similarity: float = SIM
     longer prefix of the other. Pairs that meet so, and whose lengths, positions and
     parities allow the similarity, are candidates, verified on all their tokens. A class
     needs one earlier match only: the candidate that differs in the fewest bits is verified
-    first, the others if that one fails. Frequent prefix tokens would meet in
-    all pairs within large groups of similar lines: there each class first meets the
-    earliest class of the token, and only those without a match there meet the others.
+    first, the others if that one fails. Groups of similar lines would meet in all
+    pairs: of its tokens that more than HEAVY classes have, each class first meets the earliest class
+    of the MET rarest, and only classes without a match there meet the others, by all their tokens.
     """
     s = similarity
     numbered = _numbered(docs)
-    some = classes.where("p IS NOT NULL")
-    rows = some.select("c", "n", "parity", "half", F.posexplode("p").alias("pos", "token"))
-    bucket = F.xxhash64("token").bitwiseAND(FILTER - 1)
-    counts = some.select(F.explode("p").alias("token")).groupBy(bucket.alias("x")).count().where(F.col("count") > HEAVY)
-    is_heavy = _may_hold(counts, F.xxhash64("token"))
+    some = classes.where("p IS NOT NULL").withColumn("c", F.coalesce("c", F.lit(0).cast("long")))
+
+    def spread(some: DataFrame, late: Column, tokens: Column) -> DataFrame:
+        """A row for each of ``tokens``; ``late`` is the class, or -1 if it needs no earlier one any more. Neither is null, so that both sides of a join are dealt out as one."""
+        return some.select("c", late.alias("late"), "n", "parity", "half", tokens)
+
+    # counted by token: buckets of a fixed number would all be full in a large table
+    counts = some.select(F.explode("p").alias("token")).groupBy("token").count().where(F.col("count") > HEAVY)
+    counts = counts.select(F.xxhash64("token").alias("x"))
     n, m = F.col("l.n"), F.col("r.n")
     need = F.ceil((n + m) * (s / (1 + s)) - 1e-9)
     half = F.when(F.least(n, m) >= LONG, F.col("l.half").bitwiseXOR(F.col("r.half"))).otherwise(F.lit(0).cast("long"))
     differ = F.bit_count(half) + F.bit_count(F.col("l.parity").bitwiseXOR(F.col("r.parity")).bitwiseXOR(half))
     # l is the later class; of the two lines that with fewer tokens (of equals the earlier one) has the token in its shorter prefix
-    fits = (F.col("l.token") == F.col("r.token")) & (F.col("l.c") > F.col("r.c")) & (F.least(n, m) >= F.ceil(F.greatest(n, m) * s - 1e-9)) & (differ <= n + m - 2 * need)
+    fits = (F.col("l.token") == F.col("r.token")) & (F.col("l.late") > F.col("r.c")) & (F.col("l.c") > F.col("r.late")) & (F.least(n, m) >= F.ceil(F.greatest(n, m) * s - 1e-9)) & (differ <= n + m - 2 * need)
     fits &= F.least(n - F.col("l.pos"), m - F.col("r.pos")) + F.least("l.pos", "r.pos") >= need
     fits &= F.when(n < m, F.col("l.pos")).otherwise(F.col("r.pos")) < _shortest_prefix(F.least(n, m), s)
 
@@ -164,25 +179,21 @@ def similar_classes(docs: DataFrame, classes: DataFrame, similarity: float = SIM
         freed(docs.sparkSession)
         return first.unionByName(rest)
 
-    often = stored(rows.where(is_heavy), "often")
+    heavy = _filter(counts)
+    tokens = F.filter(F.transform("p", lambda x, i: F.struct(i.alias("pos"), x.alias("token"), F.xxhash64(x).alias("x"))), lambda y: heavy(y["x"]))
+    often = stored(spread(some, F.col("c"), F.inline(F.slice(tokens, 1, MET))).drop("x"), "often")
     freed(docs.sparkSession)
-    first = often.groupBy("token").agg(F.min(F.struct("c", "n", "pos", "parity", "half")).alias("x")).select("token", "x.*")
+    first = often.groupBy("token").agg(F.min(F.struct("c", "late", "n", "pos", "parity", "half")).alias("x")).select("token", "x.*")
     first = stored(first, "heads")
     heads = verified(stored(met(often, first), "pairs"))
-    dropped(first)
+    dropped(often, first)
     freed(docs.sparkSession)
     # what has a match is done: of a pair the later class is open
-    open_ = stored(often.join(heads, "c", "left_anti"), "open")
-    freed(docs.sparkSession)
-    rest = stored(met(open_, often), "pairs")
-    dropped(often, open_)
-    freed(docs.sparkSession)
-    light = rows.where(~is_heavy)
-    light = stored(met(light, light).join(heads.select(F.col("c").alias("a")), "a", "left_anti"), "pairs")
+    late = F.when(F.col("done").isNull(), F.col("c")).otherwise(F.lit(-1).cast("long"))
+    rows = spread(some.join(heads.select("c", F.lit(True).alias("done")), "c", "left"), late, F.posexplode("p").alias("pos", "token"))
+    rest = stored(met(rows, rows), "pairs")
     freed(docs.sparkSession)
-    out = heads.unionByName(verified(stored(rest.unionByName(light), "pairs"))).distinct()
-    dropped(rest, light)
-    return out
+    return heads.unionByName(verified(rest)).distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

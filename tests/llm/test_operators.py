@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -389,6 +390,30 @@ def test_toxicity(spark):
     assert set(x.score for x in toxicity.score(docs, none).collect()) == {0.0}
 
 
+def test_toxic_ngrams_are_counted_by_executors(spark):
+    rng = random.Random(13)
+    plain = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(5000)]
+    rows = [(i, " ".join(rng.choice(plain) if i % 2 or rng.random() > 0.02 else "zukkerhead vilescum" for _ in range(600)), "s") for i in range(300)]
+    docs, known = frame(spark, rows), spark.createDataFrame([(i, 1 - i % 2) for i, _, _ in rows], "doc_id long, toxic int")
+    s = toxicity.Settings()
+    ws = [(1 - i % 2, toxicity.windows(t)) for i, t, _ in rows]
+    seen = {y: [set(toxicity._packed(b"\n".join(w)).tolist()) for toxic, w in ws if toxic == y] for y in (0, 1)}
+    want = []
+    for x in set().union(*seen[1]):
+        n, m = (sum(x in t for t in seen[y]) for y in (1, 0))
+        p, q, both = n / 150, (m + 1) / 150, (n + m + 1) / 301
+        spread = np.sqrt(both * (1 - both) + 1e-12)
+        if n >= s.least_docs and p > s.contrast * q and (p - q) / (spread * np.sqrt(2 / 150)) > s.deviations and p - q > s.effect * spread:
+            want.append(x)
+    found = spark.createDataFrame(ws, "toxic int, windows array<binary>").repartition(5)
+    assert toxicity.telling(found, s).tolist() == sorted(want) and want
+    tracemalloc.start()
+    toxicity.fit(docs, known)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * sum(len(t) for _, t, _ in rows) / 2  # half of the rows teach; their n-grams alone would take 16 times their text and more
+
+
 def test_surrogates(spark):
     t = "Mr John Smith (john.s@mail.example.com, +1 (017) 555-7713) met Mrs Anna Smith. SMITH pays 4111 1111 1111 1111 from 10.0.0.7."
     r = surrogates.with_surrogates(frame(spark, [(1, t, "s"), (2, "Mail john.s@mail.example.com or jane@mail.example.com", "s"), (3, None, "s"), (4, "", "s")])).orderBy("doc_id").collect()

@@ -10,11 +10,13 @@ import zstandard as zs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import is_remainder, table, words
+from .common import dropped, is_remainder, stored, table, words
 
 WINDOW = 48
 #: Bytes of the n-grams whose document frequency picks what the dictionaries learn from.
 GRAM = 7
+#: A task counts the n-grams of so many bytes of text at a time (or of one text).
+COUNTED = 1 << 20
 
 
 @dataclass
@@ -70,10 +72,48 @@ def _packed(b: bytes) -> np.ndarray:
     return out
 
 
-def _frequent(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of ``texts`` and in how many of them each is."""
-    each = [np.unique(_packed(b)) for b in texts]
-    return np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def _counted(texts: list[tuple[bool, bytes]]) -> pa.RecordBatch:
+    """The n-grams of ``texts``, and in how many toxic and how many other ones each is."""
+    parts: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
+    for toxic, b in texts:
+        parts[not toxic].append(np.unique(_packed(b)))
+    (x, n), (y, m) = (np.unique(np.concatenate(p), return_counts=True) for p in parts)
+    grams = np.union1d(x, y)
+    counts = [np.zeros(len(grams), np.int64) for _ in parts]
+    for c, g, k in zip(counts, (x, y), (n, m)):
+        c[np.searchsorted(grams, g)] = k
+    return pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), *map(pa.array, counts)], ["gram", "n", "m"])
+
+
+def telling(found: DataFrame, s: Settings) -> np.ndarray:
+    """The n-grams, sorted, that tell toxic from other texts, of ``(toxic int, windows array<binary>)``.
+
+    They are ``contrast`` times as frequent, by documents, in toxic text as in ordinary text, by ``effect`` and surely so (by ``deviations`` of the
+    difference). The executors count them, some texts at a time; only those that pass leave them. As these are in a share of the toxic
+    texts that ``effect`` bounds from below, they are few however many n-grams there are.
+    """
+
+    def count(batches):
+        texts, size = [], 0
+        for b in batches:
+            for toxic, ws in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                texts.append((bool(toxic), b"\n".join(ws)))
+                size += len(texts[-1][1])
+                if size >= COUNTED:
+                    yield _counted(texts)
+                    texts, size = [], 0
+        if texts:
+            yield _counted(texts)
+
+    of = {bool(r["toxic"]): r["count"] for r in found.groupBy("toxic").count().collect()}
+    t, o = of.get(True, 0), of.get(False, 0)
+    grams = found.select("toxic", "windows").mapInArrow(count, "gram long, n long, m long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    grams = grams.where(F.col("n") >= s.least_docs)
+    p, q, both = F.col("n") / F.lit(float(max(1, t))), (F.col("m") + 1) / F.lit(float(max(1, o))), (F.col("n") + F.col("m") + 1) / F.lit(float(t + o + 1))
+    grams = grams.select("gram", p.alias("p"), q.alias("q"), F.sqrt(both * (1 - both) + 1e-12).alias("spread"))
+    sure = (F.col("p") - F.col("q")) / (F.col("spread") * F.lit(float(np.sqrt(1 / max(1, t) + 1 / max(1, o)))))
+    good = grams.where((F.col("p") > s.contrast * F.col("q")) & (sure > s.deviations) & (F.col("p") - F.col("q") > s.effect * F.col("spread")))
+    return np.sort(good.select("gram").toArrow()["gram"].to_numpy().astype(np.uint64))
 
 
 def _fragments(texts: list[bytes], good: np.ndarray) -> list[bytes]:
@@ -97,28 +137,15 @@ def _dictionary(size: int, samples: list[bytes], **how) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def train(toxic: list[list[bytes]], ordinary: list[list[bytes]], s: Settings) -> Model:
+def train(toxic: list[list[bytes]], ordinary: list[list[bytes]], good: np.ndarray, s: Settings) -> Model:
     """Separate dictionaries of the two classes, of one size, in front of one dictionary of ordinary text that both share.
 
-    The toxic one learns from the stretches of toxic text whose n-grams are ``contrast``
-    times as frequent, by documents, as in ordinary text, by ``effect`` and surely so (by
-    ``deviations`` of the difference). The ordinary one learns from ordinary
+    The toxic one learns from the stretches of toxic text whose n-grams are ``good``, those of ``telling``. The ordinary one learns from ordinary
     windows, so that length alone favours neither.
     """
-    joined = [b"\n".join(ws) for ws in toxic]
-    (grams, n), (other, m) = _frequent(joined), _frequent([b"\n".join(ws) for ws in ordinary])
-    at = np.searchsorted(other, grams)
-    seen = np.zeros(len(grams), np.int64)
-    if len(other):
-        same = other[np.minimum(at, len(other) - 1)] == grams
-        seen[same] = m[at[same]]
-    p, q = n / max(1, len(toxic)), (seen + 1) / max(1, len(ordinary))
-    both = (n + seen + 1) / (len(toxic) + len(ordinary) + 1)
-    spread = np.sqrt(both * (1 - both) + 1e-12)
-    sure = (p - q) / (spread * np.sqrt(1 / max(1, len(toxic)) + 1 / max(1, len(ordinary))))
-    good = grams[(n >= s.least_docs) & (p > s.contrast * q) & (sure > s.deviations) & (p - q > s.effect * spread)]
     plain = [w for ws in ordinary for w in ws]
-    return Model(_dictionary(s.class_bytes, _fragments(joined, good), k=16, d=8), _dictionary(s.class_bytes, plain, k=16, d=8), _dictionary(s.shared_bytes, plain, k=64, d=8))
+    fragments = _fragments([b"\n".join(ws) for ws in toxic], good)
+    return Model(_dictionary(s.class_bytes, fragments, k=16, d=8), _dictionary(s.class_bytes, plain, k=16, d=8), _dictionary(s.shared_bytes, plain, k=64, d=8))
 
 
 def _compressor(data: bytes) -> zs.ZstdCompressor:
@@ -202,9 +229,11 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None, id_col: s
             out = [windows(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.binary()))], ["toxic", "windows"])
 
-    found = texts.where("half").select("toxic", "text").distinct().mapInArrow(pick, "toxic int, windows array<binary>").toArrow().to_pylist()
-    found.sort(key=lambda r: r["windows"])  # the order of partitions may differ
-    model = train([r["windows"] for r in found if r["toxic"]], [r["windows"] for r in found if not r["toxic"]], s)
+    taught = stored(texts.where("half").select("toxic", "text").distinct().mapInArrow(pick, "toxic int, windows array<binary>"), "taught")
+    good = telling(taught, s)
+    found = {y: sorted(taught.where(F.col("toxic") == y).select("windows").toArrow()["windows"].to_pylist()) for y in (1, 0)}  # the order of partitions may differ
+    dropped(taught)
+    model = train(found.pop(1), found.pop(0), good, s)
 
     def measure(batches):
         scorer = Scorer(model)

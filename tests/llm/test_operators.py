@@ -414,6 +414,15 @@ def test_toxic_ngrams_are_counted_by_executors(spark):
     assert peak < 12 * sum(len(t) for _, t, _ in rows) / 2  # half of the rows teach; their n-grams alone would take 16 times their text and more
 
 
+def test_toxic_ngrams_do_not_follow_the_mix_of_labels(spark):
+    toxic = ["zukkerhead" if i < 30 else "vilescum" if i < 42 else "plain words" for i in range(1000)]
+    found = []
+    for n in (1000, 8000):
+        rows = [(1, [x.encode()]) for x in toxic] + [(0, [b"plain words"])] * n
+        found.append(toxicity.telling(spark.createDataFrame(rows, "toxic int, windows array<binary>"), toxicity.Settings()).tolist())
+    assert found[0] == found[1] == sorted(toxicity._packed(b"zukkerhead").tolist())
+
+
 def test_surrogates(spark):
     t = "Mr John Smith (john.s@mail.example.com, +1 (017) 555-7713) met Mrs Anna Smith. SMITH pays 4111 1111 1111 1111 from 10.0.0.7."
     r = surrogates.with_surrogates(frame(spark, [(1, t, "s"), (2, "Mail john.s@mail.example.com or jane@mail.example.com", "s"), (3, None, "s"), (4, "", "s")])).orderBy("doc_id").collect()

@@ -25,7 +25,7 @@ class Settings:
 
     That is the only bound: the dictionaries learn from all windows of the rows' whole texts, and calibration and scoring read whole texts.
     The bars for n-grams are the same at every size: ``effect`` is of the difference of the classes' shares, in units of the spread of
-    one row; ``deviations`` is how sure that difference must be.
+    one row where both labels are as frequent, so that it doesn't follow their mix in the sample; ``deviations`` is how sure that difference must be.
     """
 
     fit_rows: int = 4000
@@ -34,7 +34,7 @@ class Settings:
     contrast: float = 2.5
     least_docs: int = 6
     deviations: float = 3.5
-    effect: float = 0.3
+    effect: float = 0.2
     threshold: float = 0.3
 
 
@@ -110,8 +110,9 @@ def telling(found: DataFrame, s: Settings) -> np.ndarray:
     grams = found.select("toxic", "windows").mapInArrow(count, "gram long, n long, m long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     grams = grams.where(F.col("n") >= s.least_docs)
     p, q, both = F.col("n") / F.lit(float(max(1, t))), (F.col("m") + 1) / F.lit(float(max(1, o))), (F.col("n") + F.col("m") + 1) / F.lit(float(t + o + 1))
-    grams = grams.select("gram", p.alias("p"), q.alias("q"), F.sqrt(both * (1 - both) + 1e-12).alias("spread"))
-    sure = (F.col("p") - F.col("q")) / (F.col("spread") * F.lit(float(np.sqrt(1 / max(1, t) + 1 / max(1, o)))))
+    spread = lambda x: F.sqrt(x * (1 - x) + 1e-12)
+    grams = grams.select("gram", p.alias("p"), q.alias("q"), spread(both).alias("pooled"), spread((p + q) / 2).alias("spread"))
+    sure = (F.col("p") - F.col("q")) / (F.col("pooled") * F.lit(float(np.sqrt(1 / max(1, t) + 1 / max(1, o)))))
     good = grams.where((F.col("p") > s.contrast * F.col("q")) & (sure > s.deviations) & (F.col("p") - F.col("q") > s.effect * F.col("spread")))
     return np.sort(good.select("gram").toArrow()["gram"].to_numpy().astype(np.uint64))
 

@@ -120,6 +120,24 @@ def test_groups_of_similar_lines_meet_once(spark, monkeypatch):
     assert sum(pairs) <= 4 * len(docs)
 
 
+def test_groups_of_similar_lines_meet_once_where_others_have_their_words(spark, monkeypatch):
+    """The first line of a word may be another's; pairs still grow with the group, in long lines and in short ones whose own word comes first."""
+    long, short = [f"word{i:02d}" for i in range(30)], [f"part{i}" for i in range(8)]
+    docs = [(i, " ".join([w, *(f"other{i}x{k}" for k in range(9))]), "s") for i, w in enumerate(long)]
+    docs += [(100 + i, " ".join([*long[:29], f"o{i}"]), "s") for i in range(80)] + [(200 + i, " ".join([*short, f"anotherword{i}"]), "s") for i in range(80)]
+    pairs, keep = [], lines.stored
+
+    def spy(df, what="part"):
+        out = keep(df, what)
+        pairs.extend([out.count()] if what == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(lines, "stored", spy)
+    got = {x.doc_id: list(x.removed) for x in lines.removed_lines(frame(spark, docs)).collect()}
+    assert got == {i: [0] if i > 100 and i != 200 else [] for i, _, _ in docs}
+    assert sum(pairs) <= 6 * len(docs)
+
+
 def test_simhash(spark):
     rows = texts()
 

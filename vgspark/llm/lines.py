@@ -14,9 +14,10 @@ from .common import dropped, freed, settled, stored, table
 SIMILARITY = 0.8
 #: Token counts are kept for so many buckets of token hashes: a table of this size however many tokens there are.
 BUCKETS = 1 << 18
-#: Lines with prefix tokens that more lines than this have meet the first line of the MET rarest of these before they meet the others.
+#: Lines with prefix tokens that more lines than this have meet the first line of the MET - 1 rarest of these, and of the PAIRED first pairs of neighbours among them, before they meet the others.
 HEAVY = 16
 MET = 3
+PAIRED = 2
 #: Bits of the filters that spare rows which no join wants.
 FILTER = 1 << 20
 #: From so many tokens on, the parities of 64 bits are held apart for two halves of the tokens, 128 bits in all.
@@ -121,29 +122,26 @@ def similar_classes(docs: DataFrame, classes: DataFrame, similarity: float = SIM
     needs one earlier match only: the candidate that differs in the fewest bits is verified
     first, the others if that one fails. Groups of similar lines would meet in all
     pairs: of its tokens that more than HEAVY classes have, each class first meets the earliest class
-    of the MET rarest, and only classes without a match there meet the others, by all their tokens.
+    of the MET - 1 rarest that is about as long, and of PAIRED pairs of neighbours among them, as the earliest line of one word may be no member of the group. Only classes without a match there meet the others, by all their tokens.
     """
     s = similarity
     numbered = _numbered(docs)
     some = classes.where("p IS NOT NULL").withColumn("c", F.coalesce("c", F.lit(0).cast("long")))
 
-    def spread(some: DataFrame, late: Column, tokens: Column) -> DataFrame:
-        """A row for each of ``tokens``; ``late`` is the class, or -1 if it needs no earlier one any more. Neither is null, so that both sides of a join are dealt out as one."""
-        return some.select("c", late.alias("late"), "n", "parity", "half", tokens)
-
     # counted by token: buckets of a fixed number would all be full in a large table
     counts = some.select(F.explode("p").alias("token")).groupBy("token").count().where(F.col("count") > HEAVY)
-    counts = counts.select(F.xxhash64("token").alias("x"))
+    counts = counts.select(F.col("token").alias("x"))
     n, m = F.col("l.n"), F.col("r.n")
     need = F.ceil((n + m) * (s / (1 + s)) - 1e-9)
     half = F.when(F.least(n, m) >= LONG, F.col("l.half").bitwiseXOR(F.col("r.half"))).otherwise(F.lit(0).cast("long"))
     differ = F.bit_count(half) + F.bit_count(F.col("l.parity").bitwiseXOR(F.col("r.parity")).bitwiseXOR(half))
-    # l is the later class; of the two lines that with fewer tokens (of equals the earlier one) has the token in its shorter prefix
-    fits = (F.col("l.token") == F.col("r.token")) & (F.col("l.late") > F.col("r.c")) & (F.col("l.c") > F.col("r.late")) & (F.least(n, m) >= F.ceil(F.greatest(n, m) * s - 1e-9)) & (differ <= n + m - 2 * need)
-    fits &= F.least(n - F.col("l.pos"), m - F.col("r.pos")) + F.least("l.pos", "r.pos") >= need
+    # l is the later class; ``late`` is the class, or -1 if it needs no earlier one any more
+    near = (F.col("l.token") == F.col("r.token")) & (F.col("l.late") > F.col("r.c")) & (F.col("l.c") > F.col("r.late")) & (F.least(n, m) >= F.ceil(F.greatest(n, m) * s - 1e-9)) & (differ <= n + m - 2 * need)
+    # of the two lines that with fewer tokens (of equals the earlier one) has the token in its shorter prefix
+    fits = near & (F.least(n - F.col("l.pos"), m - F.col("r.pos")) + F.least("l.pos", "r.pos") >= need)
     fits &= F.when(n < m, F.col("l.pos")).otherwise(F.col("r.pos")) < _shortest_prefix(F.least(n, m), s)
 
-    def met(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    def met(later: DataFrame, earlier: DataFrame, fits: Column) -> DataFrame:
         """``(a, b, differ)``, the later class first, of the candidates; each side is dealt out by token once."""
         pairs = later.alias("l").join(earlier.alias("r"), fits)
         return pairs.select(F.col("l.c").alias("a"), F.col("r.c").alias("b"), differ.cast("tinyint").alias("differ"))
@@ -180,18 +178,22 @@ def similar_classes(docs: DataFrame, classes: DataFrame, similarity: float = SIM
         return first.unionByName(rest)
 
     heavy = _filter(counts)
-    tokens = F.filter(F.transform("p", lambda x, i: F.struct(i.alias("pos"), x.alias("token"), F.xxhash64(x).alias("x"))), lambda y: heavy(y["x"]))
-    often = stored(spread(some, F.col("c"), F.inline(F.slice(tokens, 1, MET))).drop("x"), "often")
+    often = some.select("c", "n", "parity", "half", F.slice(F.filter("p", heavy), 1, MET).alias("t")).where(F.size("t") > 0)
+    often = often.select("c", F.col("c").alias("late"), "n", "parity", "half", *(F.get("t", F.lit(i)).alias(f"t{i}") for i in range(MET)))
+    size = F.floor(10 * F.log("n"))  # the first line of a word is more often similar where it is as long
+    keys = [*(F.when(F.col(f"t{i}").isNotNull(), F.xxhash64(f"t{i}", size)) for i in range(MET - 1)), *(F.when(F.col(f"t{i + 1}").isNotNull(), F.xxhash64(f"t{i}", f"t{i + 1}")) for i in range(PAIRED))]
+    often = stored(often.select("c", "late", "n", "parity", "half", F.explode(F.array(*keys)).alias("token")).where("token IS NOT NULL"), "often")
     freed(docs.sparkSession)
-    first = often.groupBy("token").agg(F.min(F.struct("c", "late", "n", "pos", "parity", "half")).alias("x")).select("token", "x.*")
-    first = stored(first, "heads")
-    heads = verified(stored(met(often, first), "pairs"))
+    first = often.groupBy("token").agg(F.min("c").alias("c"), F.max("c").alias("last")).where("c < last").select("token", "c")
+    first = stored(first.join(some.select("c", F.col("c").alias("late"), "n", "parity", "half"), "c"), "heads")
+    heads = verified(stored(met(often, first, near), "pairs"))
     dropped(often, first)
     freed(docs.sparkSession)
     # what has a match is done: of a pair the later class is open
     late = F.when(F.col("done").isNull(), F.col("c")).otherwise(F.lit(-1).cast("long"))
-    rows = spread(some.join(heads.select("c", F.lit(True).alias("done")), "c", "left"), late, F.posexplode("p").alias("pos", "token"))
-    rest = stored(met(rows, rows), "pairs")
+    rows = some.join(heads.select("c", F.lit(True).alias("done")), "c", "left")
+    rows = rows.select("c", late.alias("late"), "n", "parity", "half", F.posexplode("p").alias("pos", "token"))  # no null: both sides of the join are dealt out as one
+    rest = stored(met(rows, rows, fits), "pairs")
     freed(docs.sparkSession)
     return heads.unionByName(verified(rest)).distinct()
 

@@ -138,6 +138,15 @@ def test_groups_of_similar_lines_meet_once_where_others_have_their_words(spark,
     assert sum(pairs) <= 6 * len(docs)
 
 
+def test_simhash_variants_are_not_broadcast(spark):
+    """Variants are 64 rows a print, which Spark's sizes don't show; they met by a broadcast where the prints were small."""
+    prints = spark.range(5000).select(F.xxhash64("id").alias("fp"))
+    found = simhash.fingerprint_links(prints)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert found.count() == 0
+
+
 def test_simhash(spark):
     rows = texts()
 

@@ -70,7 +70,8 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 3, bits: int = 64) -> D
         first.append(" AND ".join([*before, f"l.seg = {s}", f"({diff} = shiftleft(1L, l.pos) OR ({diff} = 0 AND l.pos = 0))"]))
         before.append(f"bit_count({diff}) > 1")
     on = f"l.seg = r.seg AND l.pos = r.pos AND l.rest = r.rest AND l.fp < r.fp AND bit_count(l.fp ^ r.fp) <= {max_bits} AND ({' OR '.join(f'({x})' for x in first)})"
-    return l.join(r, F.expr(on)).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+    # Spark sizes the variants by the prints, of which they are 64 times as many rows, and would broadcast them
+    return l.join(r.hint("merge"), F.expr(on)).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, shingle: int = SHINGLE) -> DataFrame:

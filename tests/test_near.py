@@ -63,6 +63,7 @@ A, B = "anc_7728>anc_7729", "anc_11482>anc_11483"
 #: What tells in a query's rows that the pair is there.
 TOLD = {
     "allele_match_lap": lambda r: r[:2] == (1, 1) and r[3:] == (1, "1:1", "0", "0"),
+    "allele_match_greedy": lambda r: r[:2] == (1, 1) and r[3:] == (1, "1:1", "0", "0"),
 }
 
 

@@ -65,6 +65,7 @@ TOLD = {
     "allele_match_lap": lambda r: r[:2] == (1, 1) and r[3:] == (1, "1:1", "0", "0"),
     "allele_match_greedy": lambda r: r[:2] == (1, 1) and r[3:] == (1, "1:1", "0", "0"),
     "allele_match_optimal": lambda r: r[:2] == (1, 1) and r[3:] == (1, "1:1", "0", "0"),
+    "total_score": lambda r: r[1] == 2,
 }
 
 

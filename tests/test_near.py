@@ -67,6 +67,7 @@ TOLD = {
     "allele_match_optimal": lambda r: r[:2] == (1, 1) and r[3:] == (1, "1:1", "0", "0"),
     "total_score": lambda r: r[1] == 2,
     "pairing_score": lambda r: r[:2] == (1, 1),
+    "delta_a_only": lambda r: r[:2] == (A, 0),
 }
 
 

@@ -68,6 +68,7 @@ TOLD = {
     "total_score": lambda r: r[1] == 2,
     "pairing_score": lambda r: r[:2] == (1, 1),
     "delta_a_only": lambda r: r[:2] == (A, 0),
+    "delta_b_only": lambda r: r[:2] == (B, 0),
 }
 
 

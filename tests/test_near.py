@@ -69,6 +69,7 @@ TOLD = {
     "pairing_score": lambda r: r[:2] == (1, 1),
     "delta_a_only": lambda r: r[:2] == (A, 0),
     "delta_b_only": lambda r: r[:2] == (B, 0),
+    "delta_vcf_lines": lambda r: r[0].startswith(A) and r[0].endswith("ALLELE_IDX=0"),
 }
 
 

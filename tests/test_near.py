@@ -71,6 +71,7 @@ TOLD = {
     "delta_b_only": lambda r: r[:2] == (B, 0),
     "delta_vcf_lines": lambda r: r[0].startswith(A) and r[0].endswith("ALLELE_IDX=0"),
     "gaf_lines": lambda r: r[0].startswith(f"snarl\t{A}\t{B}\t") and "\t1:1:0.7" in r[0],
+    "matched_nodes": lambda r: r == (7728 * 16 + 3, 11482 * 16 + 7),
 }
 
 

@@ -73,6 +73,7 @@ TOLD = {
     "gaf_lines": lambda r: r[0].startswith(f"snarl\t{A}\t{B}\t") and "\t1:1:0.7" in r[0],
     "matched_nodes": lambda r: r == (7728 * 16 + 3, 11482 * 16 + 7),
     "variant_match_lap": lambda r: r[:2] == (1, 1) and r[3:] == (1, "1:1", "0", "0"),
+    "job1_delta_report": lambda r: r[0] == A and r[3] == B and r[6] == "shared",
 }
 
 
